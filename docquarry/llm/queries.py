@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import disclosure, mixing, quality
+from . import disclosure, mixing, quality, substring_dedup
 from .base import documents
 
 
@@ -93,9 +93,30 @@ FROM f
 """
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+s AS (SELECT win.doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM win JOIN d ON d.doc_id = win.doc_id),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM s) WHERE k > 1),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+marked AS (
+  SELECT words.doc_id, words.i, word,
+         count(rep.i) OVER (PARTITION BY words.doc_id ORDER BY words.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM words LEFT JOIN rep ON rep.doc_id = words.doc_id AND rep.i = words.i),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict:
-    return {"op2_disclosure": op2_disclosure, "op6_mixing": op6_mixing, "op9_quality": op9_quality}
+    return {"op2_disclosure": op2_disclosure, "op6_mixing": op6_mixing, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op9_quality": OP9_SQL}
+    return {"op6_mixing": OP6_SQL, "op9_quality": OP9_SQL, "op10_substrings": OP10_SQL}
