@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import disclosure, mixing, quality, substring_dedup
+from . import disclosure, line_dedup, mixing, quality, substring_dedup
 from .base import documents
 
 
@@ -63,6 +63,23 @@ FROM g
 """
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id <> r.last AS gone FROM k LEFT JOIN r ON k.key = r.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -115,8 +132,8 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 
 
 def queries() -> dict:
-    return {"op2_disclosure": op2_disclosure, "op6_mixing": op6_mixing, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
+    return {"op2_disclosure": op2_disclosure, "op6_mixing": op6_mixing, "op7_lines": op7_lines, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op9_quality": OP9_SQL, "op10_substrings": OP10_SQL}
+    return {"op6_mixing": OP6_SQL, "op7_lines": OP7_SQL, "op9_quality": OP9_SQL, "op10_substrings": OP10_SQL}
