@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import disclosure, line_dedup, mixing, quality, substring_dedup
+from . import bpe, disclosure, line_dedup, mixing, quality, substring_dedup
 from .base import documents
 
 
@@ -28,6 +28,22 @@ def count_extra(kind: str):
     return F.size(F.filter("extra", lambda s: s["kind"] == kind)).cast("long")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(documents(spark, sf_dir), vocabulary()), vocabulary())
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -132,7 +148,7 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 
 
 def queries() -> dict:
-    return {"op2_disclosure": op2_disclosure, "op6_mixing": op6_mixing, "op7_lines": op7_lines, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
+    return {"op2_disclosure": op2_disclosure, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_lines": op7_lines, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
