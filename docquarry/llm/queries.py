@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, disclosure, line_dedup, mixing, quality, substring_dedup
+from . import bpe, disclosure, line_dedup, mixing, ngram_join, quality, substring_dedup
 from .base import documents
 
 
@@ -96,6 +96,27 @@ FROM m GROUP BY doc_id
 """
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(documents(spark, sf_dir))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+  UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT u.a, reach.seen FROM reach JOIN u ON u.b = reach.node),
+m AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.node = d.doc_id
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -148,8 +169,8 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 
 
 def queries() -> dict:
-    return {"op2_disclosure": op2_disclosure, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_lines": op7_lines, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
+    return {"op2_disclosure": op2_disclosure, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_lines": op7_lines, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op7_lines": OP7_SQL, "op9_quality": OP9_SQL, "op10_substrings": OP10_SQL}
+    return {"op6_mixing": OP6_SQL, "op7_lines": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_quality": OP9_SQL, "op10_substrings": OP10_SQL}
