@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, disclosure, line_dedup, mixing, ngram_join, quality, substring_dedup
+from . import bpe, disclosure, line_dedup, mixing, multi_index, ngram_join, quality, substring_dedup
 from .base import documents
 
 
@@ -28,6 +28,19 @@ def count_extra(kind: str):
     return F.size(F.filter("extra", lambda s: s["kind"] == kind)).cast("long")
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT l.a, reach.seen FROM reach JOIN l ON l.b = reach.node),
+m AS (SELECT node AS vec_id, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = m.vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM m
+"""
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -169,8 +182,8 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 
 
 def queries() -> dict:
-    return {"op2_disclosure": op2_disclosure, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_lines": op7_lines, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
+    return {"op2_disclosure": op2_disclosure, "op3_embeddings": op3_embeddings, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_lines": op7_lines, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op7_lines": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_quality": OP9_SQL, "op10_substrings": OP10_SQL}
+    return {"op3_embeddings": OP3_SQL, "op6_mixing": OP6_SQL, "op7_lines": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_quality": OP9_SQL, "op10_substrings": OP10_SQL}
