@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, disclosure, line_dedup, mixing, multi_index, ngram_join, quality, substring_dedup
+from . import bpe, disclosure, line_dedup, mixing, multi_index, ngram_join, ppm, quality, substring_dedup
 from .base import documents
 
 
@@ -41,6 +41,10 @@ SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = m.vec_id)::BIGINT AS n_links,
 """
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(documents(spark, sf_dir))
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -182,7 +186,7 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 
 
 def queries() -> dict:
-    return {"op2_disclosure": op2_disclosure, "op3_embeddings": op3_embeddings, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_lines": op7_lines, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
+    return {"op2_disclosure": op2_disclosure, "op3_embeddings": op3_embeddings, "op4_ppm": op4_ppm, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_lines": op7_lines, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
