@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, disclosure, line_dedup, mixing, multi_index, ngram_join, ppm, quality, substring_dedup
+from . import bpe, disclosure, html_text, line_dedup, mixing, multi_index, ngram_join, ppm, quality, substring_dedup
 from .base import documents
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = disclosure.sanitise(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -186,7 +190,7 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 
 
 def queries() -> dict:
-    return {"op2_disclosure": op2_disclosure, "op3_embeddings": op3_embeddings, "op4_ppm": op4_ppm, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_lines": op7_lines, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
+    return {"op1_html_text": op1_html_text, "op2_disclosure": op2_disclosure, "op3_embeddings": op3_embeddings, "op4_ppm": op4_ppm, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_lines": op7_lines, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
