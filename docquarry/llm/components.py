@@ -19,24 +19,25 @@ def small(df: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of (a, b) links, whose component is the smallest node reachable.
 
-    Large-star and small-star steps by turns: each node's neighbours are hung on the smallest node it knows.
-    Each step's minimum is a partial aggregate, and its table is joined back by broadcast
-    if it is small, else by a join that adaptive execution splits where a node has very many links.
+    Large-star and small-star steps by turns: each node's neighbours are hung on the smallest node it knows. The
+    minima are partial aggregates; they are joined back by broadcast where the counted links bound them, else
+    by an ordinary join. Both steps of a turn are one job, and a count with a checksum tells when nothing moves.
     Nulls and links of a node with itself are left out; repeated links count once. No link gives no row.
     """
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs, before = cut(pairs), None
-    while True:
+    while (now := _checksum(pairs)) != before and now[0]:
+        before = now
+        near = F.broadcast if 2 * now[0] <= SMALL_ROWS else (lambda df: df)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.where("v > u").join(small(lowest), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct())
-        lowest = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        hung = large.join(small(lowest), "u")
-        star = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v")))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(near(lowest), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        hung = large.join(near(large.groupBy("u").agg(F.min("v").alias("m"))), "u")
+        star = hung.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         pairs = cut(star.where("u <> v").distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    root = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(root)
+
+
+def _checksum(pairs: DataFrame) -> tuple:
+    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
