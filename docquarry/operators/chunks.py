@@ -47,7 +47,7 @@ def token_rows(df: DataFrame, most: int = 3000) -> DataFrame:
 
 
 def _probe(token: Column, k: int) -> Column:
-    return F.pmod(F.xxhash64(token) + F.lit(k) * F.xxhash64(F.lit("second"), token), F.lit(BITS)).cast("int")
+    return F.pmod(F.xxhash64(F.lit(k), token), F.lit(BITS)).cast("int")
 
 
 def sketches(tokens: DataFrame) -> DataFrame:
