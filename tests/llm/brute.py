@@ -1,5 +1,6 @@
 """Plain Python versions of the operators, for small inputs."""
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -121,3 +122,42 @@ def ppm(train, texts, order):
             total += math.log10(p)
         out.append(total)
     return out
+
+
+def mix(rows, weights=(5.0, 2.0, 1.0), share=1.5, cap=2):
+    """rows: (doc_id, source, size) -> copies of each row."""
+    total = defaultdict(int)
+    for _, s, n in rows:
+        total[s] += n
+    names = sorted(s for s in total if s is not None) + [None] * (None in total)
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    capped = set()
+    while True:
+        left = share * sum(total.values()) - sum(cap * total[s] for s in capped)
+        open_weight = sum(weight[s] for s in names if s not in capped)
+        target = {s: cap * total[s] if s in capped else left * weight[s] / open_weight for s in names}
+        over = {s for s in names if s not in capped and target[s] > cap * total[s] - 1e-9}
+        if not over:
+            break
+        capped |= over
+    place = lambda i: int(hashlib.md5(f"mix{'' if i is None else i}".encode()).hexdigest()[:15], 16)
+    copies = {}
+    for s in names:
+        passes = min(cap, int(target[s] / total[s])) if total[s] else 0
+        need, upto, limit = target[s] - passes * total[s], 0, -1
+        if need > 0 and passes < cap:
+            by_hash = defaultdict(int)
+            for i, x, n in rows:
+                if x == s:
+                    by_hash[place(i)] += n
+            for h in sorted(by_hash):
+                upto += by_hash[h]
+                limit = h
+                if upto >= need:
+                    if 2 * (need - upto + by_hash[h]) < by_hash[h]:
+                        limit = h - 1
+                    break
+        for i, x, _ in rows:
+            if x == s:
+                copies[i] = passes + (place(i) <= limit)
+    return copies
