@@ -17,11 +17,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .exchange import exchange, packed, unpacked
+from .exchange import exchange, pack_lists, pack_words, unpack_lists, unpack_words
 from .wordarrays import binary_array, text_bytes
 
 #: White space outside ASCII, and separators that engines class differently.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 
@@ -77,34 +77,38 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
         found = binary_array(data, starts).dictionary_encode()
         words = found.dictionary
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
+        by_word = pa.compute.sort_indices(words).to_numpy()  # neighbours in order compress well
+        order = by_word[np.argsort(bucket[by_word], kind="stable")].astype(np.int64)
         groups = np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets, dtype=np.uint64)))
         return found.indices.to_numpy(), words, groups, firsts
 
     def ask(table: pa.Table, buckets: int) -> list[bytes]:
         _, words, groups, _ = dictionary(table, buckets)
-        return [packed(pa.record_batch([words.take(pa.array(g))], ["w"])) if len(g) else b"" for g in groups]
+        return [pack_words(words.take(pa.array(g))) if len(g) else b"" for g in groups]
 
     def answer(payloads: list[bytes]) -> list[bytes]:
-        lists = [unpacked(x).column("w").combine_chunks() for x in payloads]
+        lists = [unpack_words(x) for x in payloads]
         everything = pa.concat_arrays(lists).dictionary_encode()
         distinct = [w.decode() for w in everything.dictionary.to_pylist()]
         tokenizer, step = _tokenizer(shared.value), 20_000
         ids = [x.ids for i in range(0, len(distinct), step) for x in tokenizer.encode_batch_fast(distinct[i : i + step], add_special_tokens=False)]
-        table, codes = pa.array(ids, pa.list_(pa.uint16() if tokenizer.get_vocab_size() <= 65536 else pa.int32())), everything.indices
+        table = pa.array(ids, pa.list_(pa.int32()))
         at = np.cumsum([0] + [len(x) for x in lists])
-        return [packed(pa.record_batch([table.take(codes.slice(a, b - a))], ["ids"])) for a, b in zip(at[:-1], at[1:], strict=True)]
+        answers = (table.take(everything.indices.slice(a, b - a)) for a, b in zip(at[:-1], at[1:], strict=True))
+        return [pack_lists(x.value_lengths().to_numpy(), x.flatten().to_numpy()) for x in answers]
 
     def finish(table: pa.Table, answers: list[bytes]) -> pa.Table:
         codes, words, groups, firsts = dictionary(table, len(answers))
-        got = [unpacked(x).column("ids").combine_chunks() for g, x in zip(groups, answers, strict=True) if len(g)]
+        got = [unpack_lists(x) for g, x in zip(groups, answers, strict=True) if len(g)]
         place = np.zeros(len(words), np.int64)
         place[np.concatenate([*groups, np.zeros(0, np.int64)]).astype(np.int64)] = np.arange(len(words))
-        ids = pa.concat_arrays(got).take(pa.array(place[codes])) if got else pa.array([], pa.list_(pa.int32()))
-        at = ids.offsets.to_numpy()[firsts] if len(ids) else np.zeros(len(table) + 1, np.int32)
-        return pa.table({"doc_id": table.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), ids.values.cast(pa.int32()))})
+        sizes, values = (np.concatenate([*x, np.zeros(0, np.uint32)]) for x in (zip(*got, strict=True) if got else ((), ())))
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(np.int32))).take(pa.array(place[codes]))
+        at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(), dtype=np.int64)])[firsts]
+        return pa.table({"doc_id": table.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), ids.flatten())})
 
-    return exchange(docs, ask, answer, finish, "doc_id long, ids array<int>", text)
+    return exchange(docs, ask, answer, finish, "doc_id long, ids array<int>", text, per_partition=4)
 
 
 def pieces(vocabulary: str) -> list[bytes]:
@@ -129,13 +133,15 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(shared.value, pa.large_binary())
-        for batch in batches:
-            ids = batch.column("ids")
-            found = table.take(ids.flatten())
-            raw, at = found.buffers()[2].to_pybytes() if len(found) else b"", np.frombuffer(found.buffers()[1], np.int64) if len(found) else np.zeros(1, np.int64)
-            ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            texts = [raw[at[a] : at[b]].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield batch.append_column("decoded", pa.array(texts, pa.string(), mask=~ids.is_valid().to_numpy(zero_copy_only=False)))
+        for whole in batches:
+            per = max(1, len(whole) * 500_000 // max(1, len(whole.column("ids").flatten())))
+            for batch in (whole.slice(i, per) for i in range(0, len(whole), per)):  # about half a million ids at a time
+                ids = batch.column("ids")
+                found = table.take(ids.flatten())
+                raw, at = found.buffers()[2].to_pybytes() if len(found) else b"", np.frombuffer(found.buffers()[1], np.int64) if len(found) else np.zeros(1, np.int64)
+                ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                texts = [raw[at[a] : at[b]].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield batch.append_column("decoded", pa.array(texts, pa.string(), mask=~ids.is_valid().to_numpy(zero_copy_only=False)))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(join, f"{fields}, decoded string")

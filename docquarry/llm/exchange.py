@@ -28,10 +28,10 @@ Answer = Callable[[list[bytes]], list[bytes]]
 Finish = Callable[[pa.Table, list[bytes]], pa.Table]
 
 
-def packed(table: pa.Table | pa.RecordBatch) -> bytes:
+def packed(table: pa.Table | pa.RecordBatch, level: int = 1) -> bytes:
     """Columns as one compressed binary."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as out:
         out.write(table)
     return sink.getvalue().to_pybytes()
 
@@ -48,6 +48,40 @@ def unpack_array(blob: bytes) -> np.ndarray:
     return unpacked(blob).column(0).to_numpy()
 
 
+def _planes(values: np.ndarray, dtype: str) -> bytes:
+    """Numbers as bytes, all lowest bytes first."""
+    v = values.astype(dtype)
+    return np.ascontiguousarray(v.view(np.uint8).reshape(-1, v.itemsize).T).tobytes()
+
+
+def _from_planes(data: bytes, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1)
+
+
+def pack_words(words: pa.Array) -> bytes:
+    """Byte strings (large_binary): lengths and bytes apart, which compress better than offsets."""
+    w = pa.concat_arrays([words])
+    at = np.frombuffer(w.buffers()[1], np.int64)[w.offset : w.offset + len(w) + 1]
+    data = w.buffers()[2].to_pybytes()[at[0] : at[-1]] if w.buffers()[2] else b""
+    return packed(pa.record_batch([pa.array([_planes(np.diff(at), "<u4")], pa.binary()), pa.array([data], pa.large_binary())], ["n", "data"]), 3)
+
+
+def unpack_words(blob: bytes) -> pa.Array:
+    table = unpacked(blob)
+    at = np.concatenate([[0], np.cumsum(_from_planes(table.column("n")[0].as_py(), "<u4"), dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(table.column("data")[0].as_py())])
+
+
+def pack_lists(sizes: np.ndarray, values: np.ndarray) -> bytes:
+    """Lists of non-negative numbers, given as their sizes and all values."""
+    return packed(pa.record_batch([pa.array([_planes(sizes, "<u4")], pa.binary()), pa.array([_planes(values, "<u4")], pa.binary())], ["n", "values"]), 3)
+
+
+def unpack_lists(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    table = unpacked(blob)
+    return _from_planes(table.column("n")[0].as_py(), "<u4"), _from_planes(table.column("values")[0].as_py(), "<u4")
+
+
 def pack_sorted(hashes: np.ndarray) -> np.ndarray:
     """Ascending 64-bit numbers as bytes: their steps, all lowest bytes first, so that equal high bytes compress."""
     steps = np.diff(hashes, prepend=np.uint64(0)).astype("<u8")
@@ -71,30 +105,47 @@ def _in_order(table: pa.Table) -> pa.Table:
     return table.take(pa.compute.sort_indices(key, [("n", "ascending"), ("i", "ascending"), ("t", "ascending")])) if len(table) else table
 
 
-def number_of_chunks(docs: DataFrame) -> int:
-    """Twice the shuffle partitions, fewer for tables of under 200 rows a partition."""
-    return max(1, min(2 * shuffle_partitions(docs.sparkSession), 1 + docs.select("doc_id").count() // 100))
+def number_of_chunks(docs: DataFrame, per_partition: int) -> int:
+    """So many for each shuffle partition, fewer where a chunk would have under 250 rows."""
+    return max(1, min(per_partition * shuffle_partitions(docs.sparkSession), 1 + docs.select("doc_id").count() // 250))
+
 
+def exchange(docs: DataFrame, ask: Ask, answer: Answer, finish: Finish, schema: str, text: str = "text", per_partition: int = 2, by_hash: bool = False) -> DataFrame:
+    """Run the three steps over (doc_id, text); null texts count as empty. Rows of ``schema`` come from ``finish``.
 
-def exchange(docs: DataFrame, ask: Ask, answer: Answer, finish: Finish, schema: str, text: str = "text") -> DataFrame:
-    """Run the three steps over (doc_id, text); null texts count as empty. Rows of ``schema`` come from ``finish``."""
-    n = number_of_chunks(docs)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    edges = np.array(sorted(set(cuts)), np.int64)
+    ``per_partition``: chunks for each shuffle partition; more make them smaller. ``by_hash``: doc_id is a 64-bit hash of the
+    text, evenly spread; each of them then counts once, and a task sends a text that it sees again not again.
+    """
+    n = number_of_chunks(docs, per_partition)
+    if by_hash:
+        edges = np.array([(i << 64) // n - (1 << 63) for i in range(1, n)], np.int64)
+    else:
+        cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+        edges = np.array(sorted(set(cuts)), np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            if by_hash:
+                ids = batch.column("doc_id").to_pylist()
+                new = [x not in seen and not seen.add(x) for x in ids]
+                batch = batch.filter(pa.array(new, pa.bool_()))
             chunk = np.searchsorted(edges, batch.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="right")
             order = np.argsort(chunk, kind="stable")
             batch, chunk = batch.take(pa.array(order)), chunk[order]
             at = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]]) if len(chunk) else [0]
-            parts = [(int(chunk[a]), packed(pa.Table.from_batches([batch.slice(a, b - a)]).combine_chunks())) for a, b in zip(at[:-1], at[1:], strict=True)]
+            parts = [(int(chunk[a]), packed(pa.Table.from_batches([batch.slice(a, b - a)]).combine_chunks(), 6)) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.record_batch([pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["chunk", "docs"])
 
     def documents_of(table: pa.Table) -> pa.Table:
-        return _in_order(pa.concat_tables([unpacked(x.as_py()) for x in table.column("docs")]).combine_chunks())
+        found = _in_order(pa.concat_tables([unpacked(x.as_py()) for x in table.column("docs")]).combine_chunks())
+        if by_hash and len(found):
+            ids = found.column("doc_id").to_numpy()
+            found = found.filter(pa.array(np.concatenate([[True], ids[1:] != ids[:-1]])))
+        return found
 
     def asking(key, table):
+        pa.default_memory_pool().release_unused()  # what the group before left
         asked = ask(documents_of(table), n)
         some = [b for b, x in enumerate(asked) if x]
         return pa.table({"bucket": pa.array(some, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(some), pa.int32()), "asked": pa.array([asked[b] for b in some], pa.binary())})
@@ -105,6 +156,7 @@ def exchange(docs: DataFrame, ask: Ask, answer: Answer, finish: Finish, schema:
         return pa.table({"chunk": table.column("chunk"), "bucket": pa.array([key[0].as_py()] * len(table), pa.int32()), "answer": pa.array(answers, pa.binary())})
 
     def finishing(key, left, right):
+        pa.default_memory_pool().release_unused()
         got = dict(zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist(), strict=True))
         return finish(documents_of(left), [got.get(b, b"") for b in range(n)])
 
