@@ -2,11 +2,9 @@
 
 Unit vectors are cut in two halves, each with its own codebook of k centroids, fitted by k-means on a bounded
 sample. A vector lies in the cell of its two nearest centroids, one of k * k. A search visits cells by rising
-distance from the query: for each half, the bisectors between the query's centroid and the others bound how near
-a vector of the other centroid can be, and the multi-sequence traversal takes cells in order of the sum of the
-two squared bounds until that exceeds what the target allows. With target recall 1 that is the squared distance
-of the threshold itself, so that every cell which can hold a partner is visited; lower targets stop earlier.
-Visited cells are verified in double precision.
+distance from the query: for each half, the bisectors between centroids bound how near a vector of another
+centroid can be, and the multi-sequence traversal takes cells in order of the sum of the two squared bounds
+until that exceeds what the target recall asks for (see shell()). Visited cells are verified in double precision.
 
 Equal vectors count as one with a weight. Cells are cut into blocks of bounded size, and a task compares one block
 of searching vectors with one block of a cell; it returns counts and its own components, never pairs.
@@ -31,10 +29,10 @@ from .components import components, small
 class Index:
     """Parameters of the index. A fit reads ``sample`` vectors at most; all vectors are indexed."""
 
-    centroids: int = 32  #: of each half
+    centroids: int | None = None  #: of each half; by default the cube root of a hundredth of the vectors, 8 at least
     sample: int = 20_000
     rounds: int = 8  #: of k-means
-    target_recall: float = 1.0
+    target_recall: float = 0.9995
     block: int = 2_048  #: vectors of a cell that one comparison takes
 
 
@@ -57,10 +55,12 @@ def _bounds(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's centroid, and for each centroid the squared distance below which none of its vectors can be."""
     d = _nearest(x, book)
     own = d.argmin(1)
-    gap = np.sqrt(_nearest(book, book))[own]
+    gap = np.sqrt(_nearest(book, book))
+    plane = np.zeros_like(d)
     with np.errstate(divide="ignore", invalid="ignore"):
-        plane = np.where(gap > 0, (d - d[np.arange(len(x)), own][:, None]) / (2 * gap), 0.0)
-    return own, np.maximum(0.0, plane) ** 2
+        for j in range(len(book)):  # a vector of i is nearer to i than to any j
+            plane = np.maximum(plane, np.where(gap[j] > 0, (d - d[:, j : j + 1]) / (2 * gap[j]), 0.0))
+    return own, plane**2
 
 
 def visits(first: np.ndarray, second: np.ndarray, limit: float) -> Iterator[tuple[int, int]]:
@@ -78,6 +78,17 @@ def visits(first: np.ndarray, second: np.ndarray, limit: float) -> Iterator[tupl
                 heapq.heappush(heap, (first[a[p]] + second[b[q]], p, q))
 
 
+def shell(threshold: float, dim: int, recall: float) -> float:
+    """The sum of squared bounds up to which cells are visited.
+
+    Partners differ by at most |p - q|^2 = 2 - 2 cos. That is the limit for recall 1. A difference of any direction has
+    a share of 1 / dim of it along each of the two bisectors' normals, about normally, so that their squares together
+    exceed the limit with probability exp(-limit * dim / (2 |p - q|^2)); at the threshold that is 1 - recall, and less for nearer pairs.
+    """
+    most = 2 - 2 * threshold
+    return most + 1e-9 if recall >= 1 else min(most, 2 * most / dim * float(np.log(1 / (1 - recall)))) + 1e-9
+
+
 def _local_components(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[tuple[int, int]]:
     """(node, smallest node) of the components of a block of links between ``rows`` and ``cols``."""
     some_r, some_c = linked.any(1), linked.any(0)
@@ -137,9 +148,9 @@ def _search(distinct: DataFrame, threshold: float, index: Index) -> DataFrame:
     x = np.stack(sample.to_numpy())
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     half = x.shape[1] // 2
-    books = spark.sparkContext.broadcast((fit_book(x[:, :half], index.centroids, index.rounds), fit_book(x[:, half:], index.centroids, index.rounds)))
-    # |p - q|^2 = 2 - 2 cos for unit vectors; lower targets give up the outer shells
-    limit = (2 - 2 * threshold) * index.target_recall + 1e-9
+    k = index.centroids or max(8, round((distinct.count() / 100) ** (1 / 3)))
+    books = spark.sparkContext.broadcast((fit_book(x[:, :half], k, index.rounds), fit_book(x[:, half:], k, index.rounds)))
+    limit = shell(threshold, x.shape[1], index.target_recall)
 
     def unit(batch: pa.RecordBatch) -> np.ndarray:
         v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
@@ -150,9 +161,7 @@ def _search(distinct: DataFrame, threshold: float, index: Index) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each cell that a vector lies in (home) or visits."""
         first, second = books.value
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, len(whole), 512)):
             v = unit(batch)
             own_a, bound_a = _bounds(v[:, :half], first)
             own_b, bound_b = _bounds(v[:, half:], second)
