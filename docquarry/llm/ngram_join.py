@@ -4,12 +4,12 @@ Shingles are ordered by document frequency (classes of it, then the hash), rare
 only come first of all and can match nothing. Two sets that reach the threshold share at least c tokens, so they
 share at least l tokens within their first n - c + l. Each document takes the l that costs least: the postings
 its longer prefix reads, against the candidates left to verify when l of them have to agree.
-Frequencies come from the packed exchange. Only documents whose prefix holds shingles of other
-documents go on, and of equal sets only the one with the smallest doc_id.
+Frequencies come from the packed exchange, over distinct texts: copies are put aside before, by a 64-bit hash of the text, and
+join again at the end. Only texts whose prefix holds shingles of other texts go on, and of equal sets only one.
 
-Links are found in three rounds, since only components are wanted. First each document is verified against the
-smallest one in each of its posting lists, then against another one in each list. What these rounds link
-need not be compared again: the last round takes all other pairs of a list that lie in different components.
+Links are found in two rounds, since only components are wanted. First each document is verified against two
+pivots of each of its posting lists. What that links need not be compared again: the second round takes
+all other pairs of a list that lie in different components.
 """
 
 from __future__ import annotations
@@ -77,11 +77,11 @@ def _matches(grades: np.ndarray, n: int, c: int, alone: int) -> int:
     return best
 
 
-def profiles(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, text: str = "text") -> DataFrame:
-    """(doc_id, n, set_key, shared, levels, ell): one row for each row of ``docs``.
+def profiles(texts: DataFrame, width: int = 5, num: int = 3, den: int = 4) -> DataFrame:
+    """(doc_id, n, set_key, shared, levels, ell), one row for each distinct text of (doc_id, text), doc_id being its hash.
 
     n: size of the set; set_key: 128-bit key of the set (null: empty). shared: hashes of the shingles that other
-    documents have too, rare ones first; levels: for the first of them, the shortest l whose prefix holds it; ell: the l
+    texts have too, rare ones first; levels: for the first of them, the shortest l whose prefix holds it; ell: the l
     chosen. These are null where the prefix has no shared shingle, and for later equal sets of a chunk.
     """
 
@@ -116,7 +116,7 @@ def profiles(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, text:
         n, key, shared, levels, ell = zip(*rows, strict=True) if rows else [()] * 5
         return pa.table({"doc_id": table.column("doc_id"), "n": pa.array(n, pa.int64()), "set_key": pa.array(key, pa.binary()), "shared": pa.array(shared, pa.list_(pa.int64())), "levels": pa.array(levels, pa.list_(pa.int32())), "ell": pa.array(ell, pa.int32())})
 
-    return exchange(docs, ask, _classes, finish, "doc_id long, n long, set_key binary, shared array<long>, levels array<int>, ell int", text)
+    return exchange(texts, ask, _classes, finish, "doc_id long, n long, set_key binary, shared array<long>, levels array<int>, ell int", by_hash=True)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -127,42 +127,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return cut(pairs.join(left, "a").join(right, "b").where(den * both >= num * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"))
 
 
-def _fits(n_a: Column, n_b: Column, num: int, den: int) -> Column:
-    """Whether sets of these sizes can reach the threshold."""
-    return (den * n_a >= num * n_b) & (den * n_b >= num * n_a)
+def _fits(x: str, y: str, num: int, den: int) -> Column:
+    """Whether two sets can reach the threshold: by their sizes n, and by the shingles m of each that others have at all."""
+    n_x, n_y, m_x, m_y = (F.col(c) for c in (f"n{x}", f"n{y}", f"m{x}", f"m{y}"))
+    return (den * n_x >= num * n_y) & (den * n_y >= num * n_x) & ((num + den) * F.least(m_x, m_y) >= num * (n_x + n_y))
 
 
 def linked(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) over the distinct sets; links that the components don't need are not listed."""
-    tokens = cut(sets.select("doc_id", "n", "ell", F.explode(F.arrays_zip(F.slice("shared", 1, F.size("levels")).alias("h"), F.col("levels").alias("level"))).alias("t")).select("doc_id", "n", "ell", "t.h", "t.level"))
-    lists = tokens.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    tokens = cut(tokens.join(small(cut(lists)), "h", "left_semi"))
-    links, grouped = None, None
-    for turn in range(2):
-        # a pivot for each list, and each other document of the list against it
-        order = F.struct((F.xxhash64("doc_id") if turn else F.col("doc_id")).alias("by"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"))
-        first = tokens.where("level = 1") if grouped is None else _open(tokens, grouped)
-        pivots = first.groupBy("h").agg(F.min(order).alias("p")).select("h", "p.b", "p.n_b")
-        pairs = first.where("level = 1").join(small(cut(pivots)), "h").where((F.col("doc_id") != F.col("b")) & _fits(F.col("n"), F.col("n_b"), num, den))
-        pairs = pairs.select(F.col("doc_id").alias("a"), "b").distinct()
-        found = _verified(pairs, sets, num, den)
-        links = found if links is None else links.unionByName(found)
-        grouped = cut(components(links))
-    rest = cut(_open(tokens, grouped))
-    other = rest.select("h", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("level").alias("level_b"), F.col("component").alias("component_b"))
+    listed = F.explode(F.arrays_zip(F.slice("shared", 1, F.size("levels")).alias("h"), F.col("levels").alias("level"))).alias("t")
+    tokens = cut(sets.select("doc_id", "n", F.size("shared").cast("long").alias("m"), "ell", listed).select("doc_id", "n", "m", "ell", "t.h", "t.level"))
+    # two pivots for each list, and each other document of the list against them: the one with the largest share of
+    # shingles that others have, which is the least changed of a group of copies, and the one with the smallest id
+    first = tokens.where("level = 1")
+    own = [F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b")]
+    changed, by_id = F.min(F.struct((1 - F.col("m") / F.col("n")).alias("by"), *own)), F.min(F.struct(F.lit(0.0).alias("by"), *own))
+    pivots = first.groupBy("h").agg(F.count("*").alias("size"), F.array(changed, by_id).alias("p"))
+    pivots = cut(pivots.where("size > 1").select("h", F.transform("p", lambda x: F.struct(x["b"].alias("b"), x["n_b"].alias("n_b"), x["m_b"].alias("m_b"))).alias("p")))
+    pairs = first.join(pivots, "h").select(F.col("doc_id").alias("a"), "n", "m", F.explode(F.array_distinct("p")).alias("p")).select("a", "n", "m", "p.*")
+    pairs = pairs.where((F.col("a") != F.col("b")) & _fits("", "_b", num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _verified(pairs, sets, num, den)
+    grouped = cut(components(links))
+    # what is left: lists that still hold more than one component
+    placed = cut(tokens.join(grouped, tokens["doc_id"] == grouped["node"], "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node"))
+    mixed = cut(placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h"))
+    rest = cut(placed.join(mixed, "h", "left_semi"))
+    other = rest.select("h", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("level").alias("level_b"), F.col("component").alias("component_b"))
     # the smaller set asks, by its own l; the larger one answers with its prefix for that l
-    meets = (F.col("component") != F.col("component_b")) & (F.struct("n", "doc_id") < F.struct("n_b", "b")) & _fits(F.col("n"), F.col("n_b"), num, den)
+    meets = (F.col("component") != F.col("component_b")) & (F.struct("n", "doc_id") < F.struct("n_b", "b")) & _fits("", "_b", num, den)
     meets = meets & (F.col("level") <= F.col("ell")) & (F.col("level_b") <= F.col("ell"))
     pairs = rest.join(other, "h").where(meets).groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("common"), F.first("ell").alias("ell")).where("common >= ell")
     last = _verified(pairs.select("a", "b"), sets, num, den)
-    return components(links.unionByName(last))
-
-
-def _open(tokens: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Tokens with the component of their document, of lists that hold more than one component."""
-    with_component = tokens.join(small(grouped), tokens["doc_id"] == grouped["node"], "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
-    mixed = with_component.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-    return with_component.join(small(cut(mixed)), "h", "left_semi")
+    if last.isEmpty():
+        return grouped
+    return components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last))
 
 
 def groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, text: str = "text") -> DataFrame:
@@ -173,14 +171,21 @@ def groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, text: st
     itself included. Null or empty texts and texts of white space have an empty set and no links. A null doc_id gets a null component
     unless its set equals or reaches another's. Repeated rows are equal sets. An empty table gives no rows.
     """
-    all_docs = cut(profiles(docs, width, num, den, text))
-    first = all_docs.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("m"))
-    copied = small(cut(first.where("m > 1").select("set_key", "first")))
-    everyone = all_docs.select("doc_id", "n", "set_key").join(copied, "set_key", "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("rep"))
-    sets = cut(all_docs.where("shared is not null").join(copied, "set_key", "left").where(F.coalesce("first", "doc_id") == F.col("doc_id")).select("doc_id", "n", "shared", "levels", "ell"))
-    found = cut(linked(sets, num, den))
-    joined = everyone.join(small(found), everyone["rep"] == found["node"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    keyed = cut(docs.select("doc_id", F.xxhash64(t).alias("key")))
+    texts = cut(profiles(docs.select(F.xxhash64(t).alias("doc_id"), t.alias("text")), width, num, den))
+    # different texts of one set: the one with the smallest key stands for all
+    alike = texts.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
+    alike = small(cut(alike.where("size > 1").select("set_key", "first")))
+    sets = texts.where("shared is not null").join(alike, "set_key", "left").where(F.coalesce("first", "doc_id") == F.col("doc_id"))
+    found = cut(linked(sets.select("doc_id", "n", "shared", "levels", "ell"), num, den))
+    placed = texts.select("doc_id", "n", "set_key").join(alike, "set_key", "left").select(F.col("doc_id").alias("key"), "n", F.coalesce("first", "doc_id").alias("rep"))
+    placed = cut(placed.join(found, F.col("rep") == F.col("node"), "left").select("key", "n", F.coalesce("component", "rep").alias("part")))
+    # from keys back to documents; a key or a component may be hot, so minima are partial sums, and joins are between written tables
+    everyone = cut(keyed.join(placed, "key"))
+    lowest = cut(everyone.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("lowest")))
+    joined = everyone.join(lowest, "part", "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, text: str = "text", **options) -> DataFrame:
