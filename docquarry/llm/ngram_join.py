@@ -7,7 +7,7 @@ its longer prefix reads, against the candidates left to verify when l of them ha
 Frequencies come from the packed exchange, over distinct texts: copies are put aside before, by a 64-bit hash of the text, and
 join again at the end. Only texts whose prefix holds shingles of other texts go on, and of equal sets only one.
 
-Links are found in two rounds, since only components are wanted. First each document is verified against two
+Links are found in two rounds, since only components are wanted. First each document is verified against
 pivots of each of its posting lists. What that links need not be compared again: the second round takes
 all other pairs of a list that lie in different components.
 """
@@ -137,14 +137,15 @@ def linked(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) over the distinct sets; links that the components don't need are not listed."""
     listed = F.explode(F.arrays_zip(F.slice("shared", 1, F.size("levels")).alias("h"), F.col("levels").alias("level"))).alias("t")
     tokens = cut(sets.select("doc_id", "n", F.size("shared").cast("long").alias("m"), "ell", listed).select("doc_id", "n", "m", "ell", "t.h", "t.level"))
-    # two pivots for each list, and each other document of the list against them: the one with the largest share of
-    # shingles that others have, which is the least changed of a group of copies, and the one with the smallest id
-    first = tokens.where("level = 1")
-    own = [F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b")]
-    changed, by_id = F.min(F.struct((1 - F.col("m") / F.col("n")).alias("by"), *own)), F.min(F.struct(F.lit(0.0).alias("by"), *own))
-    pivots = first.groupBy("h").agg(F.count("*").alias("size"), F.array(changed, by_id).alias("p"))
-    pivots = cut(pivots.where("size > 1").select("h", F.transform("p", lambda x: F.struct(x["b"].alias("b"), x["n_b"].alias("n_b"), x["m_b"].alias("m_b"))).alias("p")))
-    pairs = first.join(pivots, "h").select(F.col("doc_id").alias("a"), "n", "m", F.explode(F.array_distinct("p")).alias("p")).select("a", "n", "m", "p.*")
+    # a pivot for each list and band of sizes, a band being as wide as the threshold: the document with the largest share of
+    # shingles that others have, which is the least changed of a group of copies. Each document of the list is held
+    # against the pivots of its own band and of the next, so that cut-off copies meet those of about their length.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
+    first = tokens.where("level = 1").withColumn("band", band)
+    least = F.min(F.struct((1 - F.col("m") / F.col("n")).alias("by"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b")))
+    pivots = cut(first.groupBy("h", "band").agg(least.alias("p")).select("h", "band", "p.b", "p.n_b", "p.m_b"))
+    both = first.select("doc_id", "n", "m", "h", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    pairs = both.join(pivots, ["h", "band"]).select(F.col("doc_id").alias("a"), "n", "m", "b", "n_b", "m_b")
     pairs = pairs.where((F.col("a") != F.col("b")) & _fits("", "_b", num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = _verified(pairs, sets, num, den)
     grouped = cut(components(links))
