@@ -22,8 +22,8 @@ from .base import cut, shuffle_partitions
 
 #: (text array, doc_id array) of a chunk -> one payload for each bucket.
 Ask = Callable[[pa.Table, int], list[bytes]]
-#: payloads of a bucket in the order of chunks -> the answer to each.
-Answer = Callable[[list[bytes]], list[bytes]]
+#: payloads of a bucket in the order of chunks (and the bucket's rows of the table beside, if there is one) -> the answer to each.
+Answer = Callable[..., list[bytes]]
 #: (documents of a chunk, answers by bucket) -> result rows.
 Finish = Callable[[pa.Table, list[bytes]], pa.Table]
 
@@ -110,11 +110,12 @@ def number_of_chunks(docs: DataFrame, per_partition: int) -> int:
     return max(1, min(per_partition * shuffle_partitions(docs.sparkSession), 1 + docs.select("doc_id").count() // 250))
 
 
-def exchange(docs: DataFrame, ask: Ask, answer: Answer, finish: Finish, schema: str, text: str = "text", per_partition: int = 2, by_hash: bool = False) -> DataFrame:
+def exchange(docs: DataFrame, ask: Ask, answer: Answer, finish: Finish, schema: str, text: str = "text", per_partition: int = 2, by_hash: bool = False, beside: Callable[[int], DataFrame] | None = None) -> DataFrame:
     """Run the three steps over (doc_id, text); null texts count as empty. Rows of ``schema`` come from ``finish``.
 
     ``per_partition``: chunks for each shuffle partition; more make them smaller. ``by_hash``: doc_id is a 64-bit hash of the
     text, evenly spread; each of them then counts once, and a task sends a text that it sees again not again.
+    ``beside``: number of buckets -> a table with a column bucket (int), of which each bucket sees its rows.
     """
     n = number_of_chunks(docs, per_partition)
     if by_hash:
@@ -151,8 +152,14 @@ def exchange(docs: DataFrame, ask: Ask, answer: Answer, finish: Finish, schema:
         return pa.table({"bucket": pa.array(some, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(some), pa.int32()), "asked": pa.array([asked[b] for b in some], pa.binary())})
 
     def answering(key, table):
+        return answers_of(key, table)
+
+    def answering_beside(key, table, rows):
+        return answers_of(key, table, rows)
+
+    def answers_of(key, table, *rows):
         table = table.sort_by("chunk")
-        answers = answer([x.as_py() for x in table.column("asked")])
+        answers = answer([x.as_py() for x in table.column("asked")], *rows) if len(table) else []
         return pa.table({"chunk": table.column("chunk"), "bucket": pa.array([key[0].as_py()] * len(table), pa.int32()), "answer": pa.array(answers, pa.binary())})
 
     def finishing(key, left, right):
@@ -162,5 +169,9 @@ def exchange(docs: DataFrame, ask: Ask, answer: Answer, finish: Finish, schema:
 
     dealt = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(deal, "chunk int, docs binary")
     asked = dealt.groupBy("chunk").applyInArrow(asking, "bucket int, chunk int, asked binary")
-    answered = asked.groupBy("bucket").applyInArrow(answering, "chunk int, bucket int, answer binary")
+    answered = asked.groupBy("bucket")
+    if beside is not None:
+        answered = answered.cogroup(beside(n).groupBy("bucket")).applyInArrow(answering_beside, "chunk int, bucket int, answer binary")
+    else:
+        answered = answered.applyInArrow(answering, "chunk int, bucket int, answer binary")
     return dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(finishing, schema)

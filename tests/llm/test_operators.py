@@ -273,3 +273,18 @@ def test_substrings(spark, docs, empty):
     assert sorted(r.n_removed for r in substring_dedup.remove_repeats(twice).collect()) == [0, 45, 45]
 
 
+
+
+def test_ppm_keeps_all_grams(spark):
+    """More contexts times symbols than any fixed table holds; rare grams count as seen."""
+    r = random.Random(3)
+    symbols = [chr(c) for c in range(1, 128) if not chr(c).isupper()]
+    texts = ["".join(r.choices(symbols, k=8_000)) for _ in range(6)]
+    rows = dict(enumerate([*texts, texts[0][:300], "the rest"], 1))
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in rows}
+    train = [t for i, t in rows.items() if not held[i]]
+    contexts = {t[max(0, i - k) : i] for t in train for i in range(len(t)) for k in range(6)}
+    assert len(contexts) * len(symbols) > 12_000_000
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {x.doc_id: x.score for x in ppm.score(df).collect()}
+    assert np.allclose([got[i] for i in rows], brute.ppm(train, rows.values(), 5), rtol=1e-5)
