@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 #: Fixed sets of HTML's element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object svg math canvas audio video datalist select area map".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes canvas audio video datalist area annotation annotation-xml mphantom".split())
+#: Within svg, what is drawn only by reference or not at all, and what holds text that is drawn.
+UNDRAWN, DRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc".split()), frozenset(["text", "foreignobject"])
+PRE = frozenset(["pre", "xmp", "plaintext"])
+SPACED = PRE | frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote figure hr fieldset".split())
 BLOCK = SPACED | frozenset("html body address article aside caption center dd details dialog dir div dt fieldset figcaption footer form header hgroup legend li main menu nav option optgroup search section summary tbody td tfoot th thead tr".split())
 #: A start tag closes these open elements, looked for up to the elements behind them.
 CLOSES = {
@@ -37,16 +40,18 @@ CLOSES = {
     "body": (frozenset(["head"]), frozenset()),
 }
 #: An end tag doesn't reach over these, unless it is their own.
-SCOPE = frozenset("table td th caption html template button".split())
+SCOPE = frozenset("table td th caption html template button object foreignobject".split())
 
 #: Parts of a table reach over its cells, not over the table.
 TABLE_PARTS, TABLE_SCOPE = frozenset("table caption colgroup thead tbody tfoot tr td th".split()), frozenset(["table"])
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))[^>\"']*)*)(?:>|\Z)", re.S)
-_HIDDEN = re.compile(r"(?:^|[\s\"'/])hidden(?=[\s=/]|$)|style\s*=\s*[\"']?[^\"']*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/=][^\s/=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s]+)))?")
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_SPAN = re.compile(r"colspan\s*=\s*[\"']?(\d{1,3})", re.I)
-_START = re.compile(r"start\s*=\s*[\"']?(-?\d{1,9})", re.I)
+_SPAN = re.compile(r"\s*(\d{1,3})")
+_START = re.compile(r"\s*(-?\d{1,9})")
 
 
 class Node:
@@ -58,6 +63,30 @@ class Node:
         self.name, self.attributes, self.children = name, attributes, []
 
 
+def attributes_of(written: str) -> dict[str, str]:
+    """Names, lower-cased, and values of the attributes of a start tag; of repeated names the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(written):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def _hidden(written: str) -> bool:
+    """Whether the attributes hide their element: one is named hidden, or the style says so."""
+    if not _MAY_HIDE.search(written):
+        return False
+    attributes = attributes_of(written)
+    if "hidden" in attributes:
+        return True
+    style: dict[str, tuple[str, bool]] = {}
+    for declaration in _COMMENT.sub(" ", attributes.get("style", "")).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        name, (value, mark, _) = name.strip(), value.partition("!")
+        if mark or not style.get(name, ("", False))[1]:
+            style[name] = (value.strip(), bool(mark))
+    return style.get("display", ("", False))[0] == "none" or style.get("visibility", ("", False))[0] in ("hidden", "collapse")
+
+
 def parse(source: str) -> Node:
     """The page's tree. What isn't a tag is text; an unclosed tag or comment at the end is left out."""
     root = Node("html")
@@ -95,7 +124,7 @@ def parse(source: str) -> Node:
             name, attributes = m[2].lower(), m[3]
             if name in ("html", "body") and opened.get("body"):
                 continue
-            if name in BLOCK and opened.get("p"):
+            if name in BLOCK and name not in ("option", "optgroup") and opened.get("p"):
                 close(frozenset(["p"]), SCOPE)
             if name in CLOSES:
                 close(*CLOSES[name])
@@ -103,10 +132,13 @@ def parse(source: str) -> Node:
                 close(frozenset(["head"]), frozenset())
             node = Node(name, attributes)
             stack[-1].children.append(node)
-            if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+            if name in RAW and not (attributes.endswith("/") and (opened.get("svg") or opened.get("math"))):
+                end = None if name == "plaintext" else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+                inside = source[at : end.start() if end else n]
                 if name == "textarea":
-                    node.children.append(html.unescape(source[at : end.start() if end else n]))
+                    node.children.append(html.unescape(inside))
+                elif name in PRE:
+                    node.children.append(inside)
                 at = end.end() if end else n
             elif name not in VOID and not attributes.endswith("/"):
                 stack.append(node)
@@ -190,11 +222,13 @@ def render(root: Node) -> str:
     tables: list[tuple[_Out, list]] = []
     lists: list[list] = []
     pre = 0
+    drawn: list[bool] = []  # within svg, whether text is drawn
     todo: list[tuple[object, bool]] = [(root, False)]
     while todo:
         node, leaving = todo.pop()
         if isinstance(node, str):
-            out.put(node, keep=pre > 0)
+            if not drawn or drawn[-1]:
+                out.put(node, keep=pre > 0)
             continue
         name = node.name
         if leaving:
@@ -207,11 +241,14 @@ def render(root: Node) -> str:
             elif name in ("blockquote", "dd"):
                 out.end()
                 out.indent.pop()
-            elif name == "pre":
+            elif name in PRE:
                 pre -= 1
+            elif name == "svg" or name in DRAWN and drawn:
+                drawn.pop()
+                out.gap = True
             elif name in ("td", "th") and tables:
                 cell = " ".join(x.strip() for x in out.text().split("\n") if x.strip())
-                span = _SPAN.search(node.attributes)
+                span = _SPAN.match(attributes_of(node.attributes).get("colspan", ""))
                 tables[-1][1][-1].append((cell, max(1, int(span[1])) if span else 1))
                 out = node.children  # the output that the cell set aside
             elif name == "table" and tables:
@@ -223,7 +260,7 @@ def render(root: Node) -> str:
                 out.end()
                 out.blank |= name in SPACED and not (name in ("ul", "ol") and lists)
             continue
-        if name in UNSEEN or node.attributes and _HIDDEN.search(node.attributes) or name == "input":
+        if name in UNSEEN or node.attributes and _hidden(node.attributes) or name == "input" or drawn and name in UNDRAWN:
             continue
         if name == "br":
             out.end(force=True)
@@ -235,7 +272,7 @@ def render(root: Node) -> str:
             continue
         children = node.children
         if name in ("ul", "ol"):
-            start = _START.search(node.attributes) if name == "ol" else None
+            start = _START.match(attributes_of(node.attributes).get("start", "")) if name == "ol" else None
             lists.append([name, int(start[1]) if start else 1])
         elif name == "li":
             kind = lists[-1] if lists else ["ul", 1]
@@ -244,8 +281,13 @@ def render(root: Node) -> str:
             out.indent.append(" " * len(out.mark))
         elif name in ("blockquote", "dd"):
             out.indent.append("  ")
-        elif name == "pre":
+        elif name in PRE:
             pre += 1
+        elif name == "svg" or name in DRAWN and drawn:
+            drawn.append(name != "svg")
+            out.gap = True
+        elif name in ("option", "optgroup") and (label := attributes_of(node.attributes).get("label")):
+            children = [label] if name == "option" else [label, Node("br"), *children]
         elif name == "table":
             tables.append((out, []))
         elif name == "tr" and tables:
@@ -269,8 +311,10 @@ def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
 
     Null or empty pages give an empty text. Spaces collapse outside pre; paragraphs, headings, lists, tables and quotes
     stand apart by an empty line, other blocks begin a line; list items carry "- " or their number and are indented by
-    depth; a table has a line for each row with its columns aligned. Scripts, styles, the head, hidden
-    elements and what browsers show only in part (select, svg, media) give no text. Extra columns are left out.
+    depth; a table has a line for each row with its columns aligned. Options of a select are lines, shown by their label where
+    they have one; objects give their fallback, svg the text it draws, math all but its annotations, xmp and plaintext their source.
+    Scripts, styles, the head, templates, hidden elements (attribute hidden, or display or visibility in the style attribute),
+    inputs, datalists, noscript, and fallback of frames, media and canvas give no text. Extra columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,6 +67,29 @@ def test_html():
     assert v("<li>lone") == "- lone" and v("</p></ul>x</table>") == "x"
 
 
+def test_html_hidden_by_name_alone():
+    v = html_text.visible_text
+    for shown in ('class="hidden md:block"', 'title="the hidden cost"', 'aria-label="Show hidden files"', "data-style='display:none'", 'title="style=display:none"', 'style="--x-display: none"', "hidden-x", 'class="a/hidden"'):
+        assert v(f"<body {shown}>a<p>b") == "a\n\nb", shown
+    for unseen in ("hidden", "HIDDEN=''", "class=a hidden", 'class="a"hidden', "style=display:none", 'style="color:red; Display : NONE !important"', "style='visibility:hidden'", 'style="display/* x */:none"', 'style="display&#58;none"'):
+        assert v(f"a<i {unseen}>b</i>c") == "ac", unseen
+    assert v("<table><tr><td data-colspan=2>a<td>b<tr><td>c<td>d</table><ol data-start=5><li>x</ol>") == "a  b\nc  d\n\n1. x"
+
+
+def test_html_shown_by_browsers():
+    v = html_text.visible_text
+    assert v("<p>x <math><semantics><mi>a</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>a=2</annotation></semantics></math> y") == "x a=2 y"
+    assert v("a<svg><title>t</title>n<defs><text>d</text></defs><style/><text>One<tspan> two</tspan></text><text>three</text><path d='M0'/></svg>b") == "a One two three b"
+    assert v("<svg><foreignObject><p>in</p></foreignObject></svg>") == "in"
+    assert v("<p>Pick <select><optgroup label=G><option>a<option label=B value=2>b</select> now</p>") == "Pick\nG\na\nB\nnow"
+    assert v("<p>x <object data=f><param name=a><em>fall</em>back</object> y") == "x fallback y"
+    assert v("<p>x<object><p>in</p></object>y</p>z") == "x\n\nin\n\ny\n\nz"
+    assert v("a<xmp><b>&amp;  c</b>\n d</xmp>e") == "a\n\n<b>&amp;  c</b>\n d\n\ne"
+    assert v("a<plaintext><b> c</plaintext>") == "a\n\n<b> c</plaintext>"
+    assert v("<map><p>m</p><area></map>") == "m"
+    assert v("a<datalist><option>d</datalist><canvas>c</canvas><noscript>n</noscript>b") == "ab"
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "k"), (2, None, None, "k"), (2, None, "", "k")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text) for r in html_text.extract(pages).collect()) == [(1, "a"), (2, ""), (2, "")]
