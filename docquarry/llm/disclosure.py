@@ -5,7 +5,8 @@ protected entity. The corpus then tells how strongly a term discloses an entity:
 term's occurrences in all texts, c(e) the entity's mentions, c(t,e) the mentions with the term
 within ``reach`` words, and N all words, the pointwise mutual information
 log(c(t,e) N / (c(t) c(e))) over the entity's information log(N / c(e)) is the share of the
-entity that the term reveals. Terms above the lower threshold are generalised to their shape,
+entity that the term reveals. One occurrence of the term away from the entity is added to c(t), so
+that a term seen once or twice claims less than one that always stands there. Terms above the lower threshold are generalised to their shape,
 those above the upper one are removed, wherever they stand beside that entity.
 """
 
@@ -45,8 +46,7 @@ class Disclosure:
     """Parameters of the corpus statistics."""
 
     reach: int = 6  #: words on either side of a mention
-    context_chars: int = 160  #: characters read on either side to find them
-    min_together: int = 3  #: c(t,e) below which nothing is claimed
+    apart: float = 1.0  #: occurrences away from the entity that are added to c(t)
     generalise_at: float = 0.75
     remove_at: float = 0.9
 
@@ -114,12 +114,19 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 def _context(mentions: DataFrame, by: Disclosure) -> DataFrame:
     """A row for each whole word within reach of a mention: (_row, kind, value, term, start, end).
 
-    Words that the cut context may have clipped, and words that touch a found span, are left out.
+    Words that touch a found span are left out.
     """
-    n, reach = by.context_chars, by.reach
-    left_from = F.greatest(F.lit(0), F.col("m.start") - n)
-    left = F.substring(F.col("_text"), left_from + 1, F.col("m.start") - left_from)
-    right = F.substring(F.col("_text"), F.col("m.end") + 1, F.lit(n))
+    reach = by.reach
+    # what touches the mention, and ``reach`` whole words of any length
+    piece = rf"^[^\x20\x09-\x0D]*+(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++){{0,{reach}}}"
+    mentions = mentions.withColumns(
+        {
+            "_left": F.reverse(F.regexp_extract(F.reverse(F.substring(F.col("_text"), F.lit(1), F.col("m.start"))), piece, 0)),
+            "_right": F.regexp_extract(F.substring(F.col("_text"), F.col("m.end") + 1, F.length("_text")), piece, 0),
+        }
+    )
+    left, right = F.col("_left"), F.col("_right")
+    left_from = F.col("m.start") - F.length(left)
 
     def located(piece: Column, offset: Column) -> Column:
         """The words of a short piece with their positions in the text."""
@@ -135,9 +142,8 @@ def _context(mentions: DataFrame, by: Disclosure) -> DataFrame:
 
         return F.aggregate(pairs, empty, step, lambda acc: acc["ws"])
 
-    edge = F.length("_text")
-    lefts = F.filter(located(left, left_from), lambda w: ((w["start"] > left_from) | (left_from == 0)) & (w["end"] < F.col("m.start")))
-    rights = F.filter(located(right, F.col("m.end")), lambda w: (w["start"] > F.col("m.end")) & ((w["end"] < F.col("m.end") + n) | (w["end"] == edge)))
+    lefts = F.filter(located(left, left_from), lambda w: w["end"] < F.col("m.start"))
+    rights = F.filter(located(right, F.col("m.end")), lambda w: w["start"] > F.col("m.end"))
     near = F.concat(F.slice(lefts, F.greatest(F.lit(1), F.size(lefts) - reach + 1), reach), F.slice(rights, 1, reach))
     term = F.regexp_replace(lower_ascii(F.col("w.w")), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     rows = mentions.select("_row", F.col("m.kind").alias("kind"), F.col("m.value").alias("value"), "_base", F.explode(near).alias("w"))
@@ -167,14 +173,15 @@ def sanitise(docs: DataFrame, text: str = "text", by: Disclosure = Disclosure())
     mentions = base.where(F.size("_base") > 0).select("_row", "_text", "_base", F.explode("_base").alias("m"))
     near = cut(_context(mentions, by))
     entities = mentions.groupBy(F.col("m.kind").alias("kind"), F.col("m.value").alias("value")).agg(F.count("*").alias("c_e"))
-    together = near.groupBy("kind", "value", "term").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= by.min_together)
+    together = near.groupBy("kind", "value", "term").agg(F.count("*").alias("c_te"))
     corpus = docs.select(F.explode(words(lower_ascii(F.col(text)))).alias("w"))
     corpus = corpus.groupBy("w").agg(F.count("*").alias("n"))
     # terms are words without outer punctuation, so distinct words are stripped and summed once more
     corpus = corpus.groupBy(F.regexp_replace("w", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("term")).agg(F.sum("n").alias("c_t"))
     total = float(base.agg(F.sum("_n_words")).first()[0] or 1)
     scored = together.join(entities, ["kind", "value"]).join(corpus, "term")
-    reveals = 1 - F.log(F.greatest(F.lit(1.0), F.col("c_t") / F.col("c_te"))) / F.log(F.lit(total) / F.col("c_e"))
+    information = F.log(F.lit(total) / F.col("c_e"))  # none, if there are no more words than mentions
+    reveals = 1 - F.log(F.greatest(F.lit(1.0), (F.col("c_t") + by.apart) / F.col("c_te"))) / F.when(information > 0, information)
     scored = scored.withColumn("reveals", reveals).where(F.col("reveals") >= by.generalise_at)
     flagged = near.join(scored.select("kind", "value", "term", "reveals"), ["kind", "value", "term"])
     # one word may stand beside several entities: its strongest disclosure counts

@@ -118,6 +118,21 @@ def test_disclosing_terms(spark):
     assert not any(rows[i].extra or rows[i].sanitised for i in range(6, 46))
 
 
+def test_disclosing_terms_of_rare_entities(spark):
+    long = " ".join(c * 60 for c in "abcde")
+    told = [f"{prose(20)} Quuxville {long} lone@x.example {long} Xyzzy\n{prose(20)}", "a@b.example,a@b.example x", f"é😀 Plugh +4915112345678 {prose(9)}"]
+    filler = [f"{prose(50)} {long}" for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(told + filler)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in disclosure.sanitise(df).collect()}
+    for i, terms in ((0, ["quuxville", "xyzzy"]), (2, ["plugh"])):
+        found = [x for x in rows[i].extra if x.value in terms]
+        assert [told[i][x.start : x.end].lower() for x in found] == terms
+        assert not any(t in rows[i].sanitised.lower() for t in terms)
+    assert not any(x.value == "a" * 60 for x in rows[0].extra)  # it stands everywhere
+    alone = spark.createDataFrame([(1, "a@b.example,a@b.example x")], "doc_id long, text string")
+    assert disclosure.sanitise(alone).first().extra == []
+
+
 @pytest.fixture(scope="module")
 def vectors():
     g = np.random.default_rng(3)
