@@ -7,9 +7,11 @@ its longer prefix reads, against the candidates left to verify when l of them ha
 Frequencies come from the packed exchange, over distinct texts: copies are put aside before, by a 64-bit hash of the text, and
 join again at the end. Only texts whose prefix holds shingles of other texts go on, and of equal sets only one.
 
-Links are found in two rounds, since only components are wanted. First each document is verified against
-pivots of each of its posting lists. What that links need not be compared again: the second round takes
-all other pairs of a list that lie in different components.
+Links are found in rounds, since only components are wanted. First each document is verified against
+pivots of each of its posting lists. What that links need not be compared again; what is left are pairs of a list that lie
+in different components. A group of near copies still has very many of those, nearly alike and just below the threshold. So
+the documents of one pivot (their home) are joined by their differences from what most of them have: prefixes again, but of
+the few shingles in which a document differs, of which partners must share nearly all. Documents of different homes are joined by their own prefixes.
 """
 
 from __future__ import annotations
@@ -119,12 +121,16 @@ def profiles(texts: DataFrame, width: int = 5, num: int = 3, den: int = 4) -> Da
     return exchange(texts, ask, _classes, finish, "doc_id long, n long, set_key binary, shared array<long>, levels array<int>, ell int", by_hash=True)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of the pairs whose sets reach the threshold: den * intersection >= num * union."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, both) of pairs of sets: their sizes and how many shingles they share."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("s_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("s_b"))
     both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    return cut(pairs.join(left, "a").join(right, "b").where(den * both >= num * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", both.alias("both"))
+
+
+def _reach(num: int, den: int) -> Column:
+    return den * F.col("both") >= num * (F.col("n_a") + F.col("n_b") - F.col("both"))
 
 
 def _fits(x: str, y: str, num: int, den: int) -> Column:
@@ -133,32 +139,120 @@ def _fits(x: str, y: str, num: int, den: int) -> Column:
     return (den * n_x >= num * n_y) & (den * n_y >= num * n_x) & ((num + den) * F.least(m_x, m_y) >= num * (n_x + n_y))
 
 
+def _to_pivots(tokens: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, by_b, n_a, n_b, both): documents against the pivots b of their lists, by_b being the pivot's share of shingles of its own.
+
+    A list has a pivot for each band of sizes, a band being as wide as the threshold: the document with the smallest share of
+    shingles that no other has, which is the least changed of a group of copies. Each document of the list is held
+    against the pivots of its own band and of the next, so that cut-off copies meet those of about their length.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
+    first = tokens.where("level = 1").withColumn("band", band)
+    least = F.min(F.struct((1 - F.col("m") / F.col("n")).alias("by"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b")))
+    pivots = cut(first.groupBy("h", "band").agg(least.alias("p")).select("h", "band", "p.*"))
+    near = first.select("doc_id", "n", "m", "h", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    pairs = near.join(pivots, ["h", "band"]).where((F.col("doc_id") != F.col("b")) & _fits("", "_b", num, den))
+    pairs = pairs.select(F.col("doc_id").alias("a"), "b", "by").distinct()
+    return cut(_compared(pairs.select("a", "b"), sets).join(pairs.withColumnRenamed("by", "by_b"), ["a", "b"]))
+
+
+def _homes(rest: DataFrame, compared: DataFrame) -> DataFrame:
+    """(doc_id, home): of the pivots that hold half of a document's shingles, and itself if it is one, the least changed; else itself."""
+    there = rest.select("doc_id").distinct()
+    held = compared.where(2 * F.col("both") >= F.col("n_a")).select(F.col("a").alias("doc_id"), F.struct(F.col("by_b").alias("by"), F.col("b").alias("home")).alias("p"))
+    itself = compared.select(F.col("b").alias("doc_id"), F.struct(F.col("by_b").alias("by"), F.col("b").alias("home")).alias("p")).distinct()
+    best = held.unionByName(itself).groupBy("doc_id").agg(F.min("p").alias("p"))
+    return there.join(best, "doc_id", "left").select("doc_id", F.coalesce("p.home", "doc_id").alias("home"))
+
+
+def _across_homes(rest: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): candidates with different homes, by their prefixes.
+
+    A document first meets the homes of a list, of which it needs the bounds alone, then the documents of those homes that may answer it.
+    The smaller set asks, by its own l; the larger one answers with its prefix for that l.
+    """
+    bounds = rest.groupBy("h", F.col("home").alias("home_b")).agg(
+        F.max("n").alias("most"), F.max("m").alias("m_most"), F.min("level").alias("lowest"), F.min("component").alias("c_low"), F.max("component").alias("c_high")
+    )
+    may = (F.col("home") != F.col("home_b")) & (F.col("level") <= F.col("ell")) & (F.col("lowest") <= F.col("ell")) & (F.col("most") >= F.col("n"))
+    may = may & ((F.col("c_low") != F.col("component")) | (F.col("c_high") != F.col("component")))
+    may = may & ((num + den) * F.least("m", "m_most") >= 2 * num * F.col("n"))
+    asking = cut(rest.join(bounds, "h").where(may).select("h", "home_b", "doc_id", "n", "m", "ell", "component"))
+    other = rest.select("h", F.col("home").alias("home_b"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("level").alias("level_b"), F.col("component").alias("component_b"))
+    meets = (F.col("component") != F.col("component_b")) & (F.struct("n", "doc_id") < F.struct("n_b", "b")) & _fits("", "_b", num, den) & (F.col("level_b") <= F.col("ell"))
+    pairs = asking.join(other, ["h", "home_b"]).where(meets)
+    return pairs.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("common"), F.first("ell").alias("ell")).where("common >= ell").select("a", "b")
+
+
+def _differences(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(doc_id, home, component, excess, away): each document as its difference from its home's majority set.
+
+    The majority set M holds the shared shingles of over half of the members. away: the shared shingles in which a document and M differ,
+    those in which few members differ first. With d all in which they differ, sets A and B have |A - B| + |B - A| = d_A + d_B - 2 common, common
+    being what their differences have in common. They reach the threshold when 2 (num + den) common >= excess_A + excess_B,
+    with excess = (num + den) d - (den - num) n.
+    """
+    own = cut(members.join(sets.select("doc_id", "n", "shared"), "doc_id"))
+    seen = own.select("home", "size", F.explode("shared").alias("h")).groupBy("home", "h").agg(F.count("*").alias("c"), F.first("size").alias("size"))
+    seen = cut(seen.select("home", "h", (2 * F.col("c") > F.col("size")).alias("usual"), F.least("c", F.col("size") - F.col("c")).alias("rare")))
+    usual = seen.where("usual").groupBy("home").agg(F.collect_list("h").alias("usual"))  # as many as a set of average size twice at most
+    apart = F.concat(F.array_except("usual", "shared"), F.array_except("shared", "usual"))
+    differing = cut(own.join(usual, "home", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<long>"))).select("doc_id", "home", "component", "n", F.size("shared").cast("long").alias("m"), apart.alias("apart")))
+    ordered = differing.select("doc_id", "home", F.explode("apart").alias("h")).join(seen.select("home", "h", "rare"), ["home", "h"])
+    ordered = ordered.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rare", "h"))).alias("away"))
+    excess = (num + den) * (F.size("apart") + F.col("n") - F.col("m")) - (den - num) * F.col("n")
+    none = F.array().cast("array<struct<rare:bigint,h:bigint>>")
+    return cut(differing.join(ordered, "doc_id", "left").select("doc_id", "home", "component", excess.alias("excess"), F.coalesce("away", none).alias("away")))
+
+
+def _within_homes(told: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): candidates with one home, by prefixes of their differences; ``told`` as _differences() has it, with components up to date.
+
+    Documents whose excess and the home's smallest add up to nothing are one component by now, so two documents of different
+    components have at least one difference in common. A document's prefix is so long that it holds the first of those which it has in common with any partner.
+    """
+    least = told.groupBy("home").agg(F.min_by(F.struct(F.col("component").alias("c"), F.col("excess").alias("e")), F.struct("excess", "doc_id")).alias("one"))
+    told = told.join(least, "home")
+    second = told.where(F.col("component") != F.col("one.c")).groupBy("home").agg(F.min("excess").alias("e2"))
+    told = told.join(second, "home")  # homes with one component drop out
+    partner = F.when(F.col("component") == F.col("one.c"), F.col("e2")).otherwise(F.col("one.e"))
+    asked = F.greatest(F.lit(1), F.ceil((F.col("excess") + partner) / (2 * (num + den)))).cast("int")
+    rows = told.select("doc_id", "home", "component", "excess", F.size("away").alias("size"), F.posexplode(F.slice("away", F.lit(1), F.greatest(F.lit(0), F.size("away") - asked + 1))).alias("at", "x"))
+    rows = cut(rows.select("home", F.col("x.h").alias("h"), "doc_id", "component", "excess", (F.col("size") - F.col("at")).alias("left")))
+    other = rows.select("home", "h", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "excess", "left")])
+    meets = (F.col("doc_id") < F.col("doc_id_b")) & (F.col("component") != F.col("component_b"))
+    meets = meets & (2 * (num + den) * F.least("left", "left_b") >= F.col("excess") + F.col("excess_b"))
+    return rows.join(other, ["home", "h"]).where(meets).select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+
+
+def _placed(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``docs`` with the component of each, by default itself."""
+    return docs.join(grouped, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
+
+
 def linked(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, component) over the distinct sets; links that the components don't need are not listed."""
     listed = F.explode(F.arrays_zip(F.slice("shared", 1, F.size("levels")).alias("h"), F.col("levels").alias("level"))).alias("t")
     tokens = cut(sets.select("doc_id", "n", F.size("shared").cast("long").alias("m"), "ell", listed).select("doc_id", "n", "m", "ell", "t.h", "t.level"))
-    # a pivot for each list and band of sizes, a band being as wide as the threshold: the document with the largest share of
-    # shingles that others have, which is the least changed of a group of copies. Each document of the list is held
-    # against the pivots of its own band and of the next, so that cut-off copies meet those of about their length.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    first = tokens.where("level = 1").withColumn("band", band)
-    least = F.min(F.struct((1 - F.col("m") / F.col("n")).alias("by"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b")))
-    pivots = cut(first.groupBy("h", "band").agg(least.alias("p")).select("h", "band", "p.b", "p.n_b", "p.m_b"))
-    both = first.select("doc_id", "n", "m", "h", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    pairs = both.join(pivots, ["h", "band"]).select(F.col("doc_id").alias("a"), "n", "m", "b", "n_b", "m_b")
-    pairs = pairs.where((F.col("a") != F.col("b")) & _fits("", "_b", num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verified(pairs, sets, num, den)
+    compared = _to_pivots(tokens, sets, num, den)
+    links = compared.where(_reach(num, den)).select("a", "b")
     grouped = cut(components(links))
     # what is left: lists that still hold more than one component
-    placed = cut(tokens.join(grouped, tokens["doc_id"] == grouped["node"], "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node"))
+    placed = cut(_placed(tokens, grouped))
     mixed = cut(placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h"))
-    rest = cut(placed.join(mixed, "h", "left_semi"))
-    other = rest.select("h", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("level").alias("level_b"), F.col("component").alias("component_b"))
-    # the smaller set asks, by its own l; the larger one answers with its prefix for that l
-    meets = (F.col("component") != F.col("component_b")) & (F.struct("n", "doc_id") < F.struct("n_b", "b")) & _fits("", "_b", num, den)
-    meets = meets & (F.col("level") <= F.col("ell")) & (F.col("level_b") <= F.col("ell"))
-    pairs = rest.join(other, "h").where(meets).groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("common"), F.first("ell").alias("ell")).where("common >= ell")
-    last = _verified(pairs.select("a", "b"), sets, num, den)
+    rest = placed.join(mixed, "h", "left_semi")
+    homes = cut(_homes(rest, compared))
+    rest = cut(rest.join(homes, "doc_id"))
+    sizes = homes.groupBy("home").agg(F.count("*").alias("size")).where("size > 1")
+    told = _differences(homes.join(sizes, "home").join(rest.select("doc_id", "component").distinct(), "doc_id"), sets, num, den)
+    # the most central document of a home: what is near enough to it is linked, whatever the differences
+    central = told.groupBy("home").agg(F.min_by(F.struct(F.col("doc_id").alias("b"), F.col("excess").alias("e")), F.struct("excess", "doc_id")).alias("one"))
+    central = told.join(central, "home").where((F.col("doc_id") != F.col("one.b")) & (F.col("excess") + F.col("one.e") <= 0)).select(F.col("doc_id").alias("a"), "one.b")
+    known = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    grouped = cut(components(known.unionByName(central)))
+    told = cut(_placed(told.drop("component"), grouped))
+    pairs = _across_homes(rest, num, den).unionByName(_within_homes(told, num, den))
+    last = cut(_compared(pairs, sets).where(_reach(num, den)).select("a", "b"))
     if last.isEmpty():
         return grouped
     return components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last))
