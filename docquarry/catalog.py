@@ -20,12 +20,12 @@ NOW = "timestamp '2024-06-01 00:00:00'"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    t = read_parquet(spark, d, "documents")
+    t = read_parquet(spark, d, "documents", spread=True)
     return search.documents(t, F.col("doc_id"), F.split_part("text", F.lit("\n"), F.lit(1)), F.col("text"), F.col("doc_id").cast("string"))
 
 
 def _kb(spark: SparkSession, d: str) -> DataFrame:
-    p = read_parquet(spark, d, "pages")
+    p = read_parquet(spark, d, "pages", spread=True)
     named = p.select("url", F.col("page_id").cast("string").alias("page_id"), html.title(F.col("html")).alias("title"), html.body(F.col("html")).alias("text"))
     return search.documents(named, F.col("url"), F.col("title"), F.col("text"), F.col("page_id"))
 
@@ -77,6 +77,20 @@ def search_page(spark: SparkSession, d: str) -> DataFrame:
     return results.page(found, 2).select("query_id", "rank", "id", "score", "total", "total_pages", "page")
 
 
+def collated_page(spark: SparkSession, d: str) -> DataFrame:
+    """The same page with titles in the order of English, not of code points."""
+    found = search.search(_docs(spark, d), _ask(spark, PHRASE))
+    return results.page(found, 2, order=results.by_score("en")).select("query_id", "rank", "id", "score", "total", "page")
+
+
+def wide_letters_search(spark: SparkSession, d: str) -> DataFrame:
+    """A query in full-width letters and documents that begin with such: both are compared in their compatibility form."""
+    t = read_parquet(spark, d, "documents", spread=True)
+    wide = F.concat(F.when(F.col("doc_id") % 5 == 0, "ＡＢＣ Ｇuide ").otherwise(""), F.coalesce("text", F.lit("")))
+    docs = search.documents(t, F.col("doc_id"), F.split_part(wide, F.lit("\n"), F.lit(1)), wide, F.col("doc_id").cast("string"))
+    return search.search(docs, _ask(spark, "Ａbc guide", "ＡＢＣ & the")).select("query_id", "id", "score", "title_match", "body_match")
+
+
 def _both(spark: SparkSession, d: str) -> DataFrame:
     asked = _ask(spark, *BATCH)
     wiki = search.search(_docs(spark, d), asked).select("query_id", F.col("id").cast("string").alias("id"), "title", "score", F.lit("wiki").alias("source"))
@@ -100,25 +114,26 @@ def merge_title_body_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, d: str) -> DataFrame:
-    t, q = read_parquet(spark, d, "documents"), F.lit("of the")
+    t, q = read_parquet(spark, d, "documents", spread=True), F.lit("of the")
     return t.select("doc_id", Q.wiki_snippet(F.col("text"), q).alias("wiki"), Q.body_snippet(F.col("text"), q).alias("body"), Q.title_snippet(F.col("text"), q).alias("title"))
 
 
 def highlight(spark: SparkSession, d: str) -> DataFrame:
-    t = read_parquet(spark, d, "documents")
+    t = read_parquet(spark, d, "documents", spread=True)
     return t.select("doc_id", F.md5(Q.highlight(F.col("text"), "of the")).alias("marked_md5"))
 
 
 def extract_titles(spark: SparkSession, d: str) -> DataFrame:
-    return read_parquet(spark, d, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+    return read_parquet(spark, d, "pages", spread=True).select("page_id", html.title(F.col("html")).alias("title"))
 
 
 def extract_bodies(spark: SparkSession, d: str) -> DataFrame:
-    return read_parquet(spark, d, "pages").select("page_id", html.body(F.col("html")).alias("body"), text.prefix(html.body(F.col("html")), 4000).alias("stored"))
+    bodies = read_parquet(spark, d, "pages", spread=True).select("page_id", html.body(F.col("html")).alias("body"))
+    return bodies.select("page_id", text.let(F.col("body"), lambda b: F.struct(b.alias("body"), text.prefix(b, 4000).alias("stored"))).alias("x")).select("page_id", "x.*")
 
 
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
-    t = read_parquet(spark, d, "documents")
+    t = read_parquet(spark, d, "documents", spread=True)
     c = F.col("text")
     return t.select(
         "doc_id", text.truncate(c, 100).alias("truncated"), F.md5(text.escape_markdown(c)).alias("markdown_md5"), F.md5(text.escape_html(c)).alias("html_md5"),
@@ -127,12 +142,14 @@ def text_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scripted(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with letters of other scripts in title or body, by id, so that the gate has something to decide."""
-    p = read_parquet(spark, d, "pages")
+    """Pages with letters of other scripts in title, body or url, by id, so that the gate has something to decide."""
+    p = read_parquet(spark, d, "pages", spread=True)
     k = F.col("page_id") % 7
-    title = F.concat(html.title(F.col("html")), F.when(k == 2, "д").otherwise(""))
-    body = F.concat(html.body(F.col("html")), F.when(k == 0, F.repeat(F.lit("가"), F.length(html.body(F.col("html"))))).when(k == 1, F.repeat(F.lit("д"), 6)).otherwise(""))
-    return p.select("page_id", "url", title.alias("title"), body.alias("body"))
+    named = p.select("page_id", "url", html.title(F.col("html")).alias("title"), html.body(F.col("html")).alias("body"))
+    title = F.concat("title", F.when(k == 2, "д").otherwise(""))
+    body = text.let(F.col("body"), lambda b: F.concat(b, F.when(k == 0, F.repeat(F.lit("가"), F.length(b))).when(k == 1, F.repeat(F.lit("д"), 6)).otherwise("")))
+    url = F.when(k == 3, "https://knowledge.example.com/%EA%B0%80").otherwise(F.col("url"))
+    return named.select("page_id", url.alias("url"), title.alias("title"), body.alias("body"))
 
 
 def script_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -142,11 +159,12 @@ def script_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def latin_gate(spark: SparkSession, d: str) -> DataFrame:
     page = [F.col("title"), F.col("body"), F.col("url")]
-    return _scripted(spark, d).select("page_id", language.is_latin_page(*page, language.TITLE).alias("by_title"), language.is_latin_page(*page, language.BODY).alias("by_body"), language.is_latin_page(*page, language.LEGACY).alias("legacy"))
+    presets = {"by_title": language.TITLE, "by_body": language.BODY, "legacy": language.LEGACY}
+    return _scripted(spark, d).select("page_id", *[language.is_latin_page(*page, by).alias(name) for name, by in presets.items()])
 
 
 def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
-    p, k = read_parquet(spark, d, "pages"), F.col("page_id") % 3
+    p, k = read_parquet(spark, d, "pages", spread=True), F.col("page_id") % 3
     number = F.col("page_id").cast("string")
     made = (
         F.when(k == 0, F.concat(F.lit("https://Knowledge.Example.com/external/article?articleId="), number, F.lit("&x=1#f")))
@@ -165,12 +183,17 @@ def _lastmod(shift: bool = False) -> Column:
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    p = read_parquet(spark, d, "pages").where("page_id % 10 <> 0")
-    return p.select("page_id", "url", _lastmod().alias("source_lastmod"), F.col("page_id").cast("string").alias("article_id"), F.concat(F.lit("title "), F.col("page_id")).alias("title"))
+    """An earlier index of all pages: every tenth stands there under an earlier url, so that it is new now and the earlier one removed."""
+    p = read_parquet(spark, d, "pages").select("page_id", "url")
+    url = F.when(F.col("page_id") % 10 == 0, F.concat("url", F.lit("/earlier"))).otherwise(F.col("url"))
+    return p.select("page_id", url.alias("url"), _lastmod().alias("source_lastmod"), F.col("page_id").cast("string").alias("article_id"), F.concat(F.lit("title "), F.col("page_id")).alias("title"))
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    return read_parquet(spark, d, "pages").where("page_id % 7 <> 0").select("page_id", "url", _lastmod(True).alias("lastmod"))
+    """A snapshot of all pages, and beside every thirteenth a url without a page, which fails to be fetched."""
+    p = read_parquet(spark, d, "pages").select("page_id", "url")
+    missing = F.when(F.col("page_id") % 13 == 0, F.concat("url", F.lit("/missing")))
+    return p.select("page_id", F.explode(F.array_compact(F.array("url", missing))).alias("url"), _lastmod(True).alias("lastmod"))
 
 
 def change_set(spark: SparkSession, d: str) -> DataFrame:
@@ -204,32 +227,43 @@ def outcome_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def failure_fallback(spark: SparkSession, d: str) -> DataFrame:
-    p = read_parquet(spark, d, "pages")
+    p = read_parquet(spark, d, "pages", spread=True)
     plan = p.select(F.concat(F.lit("https://knowledge.example.com/external/article/"), F.col("page_id"), F.lit("/the-page")).alias("url"), "page_id")
     fetched = plan.where("page_id % 3 = 0").select("url", F.lit("fetched").alias("title"), F.lit("new").alias("text"))
     previous = plan.where("page_id % 2 = 0").select("url", F.lit("earlier").alias("title"), F.lit("old").alias("text"))
     return changes.with_fallback(plan.drop("page_id"), fetched, previous)
 
 
+#: Pages of a url set, and url sets of an index, of the made sitemaps; a sitemap names 50,000 at most.
+SET, SETS = 100, 100
+
+
 def _sitemaps(spark: SparkSession, d: str) -> DataFrame:
-    """(url, xml): a root that names four url sets and a list of bare locations; the third url set is reached only through it."""
-    p = read_parquet(spark, d, "pages")
+    """(url, xml): url sets of bounded size, indexes that name them and lists of bare locations, and a root that names the indexes. Indexes
+    name the root, too."""
+    p = read_parquet(spark, d, "pages").select("page_id", "url")
     lastmod = F.coalesce(F.concat(F.lit("<lastmod>"), _lastmod(), F.lit("</lastmod>")), F.lit(""))
     entry = F.concat(F.lit("<url><loc> "), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit(" </loc>"), lastmod, F.lit("</url>"))
-    sets = p.groupBy((F.col("page_id") % 4).alias("k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda x: x["e"]), "\n").alias("xml"))
-    sets = sets.select(F.concat(F.lit("set"), F.col("k")).alias("url"), F.concat(F.lit("<urlset>"), F.col("xml"), F.lit("</urlset>")).alias("xml"))
-    bare = p.where("page_id % 50 = 0").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<loc>extra"), F.col("page_id"), F.lit("</loc>")))), "").alias("xml")).select(F.lit("bare").alias("url"), "xml")
-    nested = [("root", ["set0", "set1", "index", "bare"]), ("index", ["set2", "set3", "root"]), ("lonely", [])]
-    maps = spark.createDataFrame([(u, "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in xs) + "</sitemapindex>") for u, xs in nested], "url string, xml string")
-    return sets.unionByName(bare).unionByName(maps)
+    k, i = F.floor(F.col("page_id") / SET), F.floor(F.col("page_id") / (SET * SETS))
+    joined = lambda e: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", e.alias("e")))), lambda x: x["e"]), "\n")
+    sets = p.groupBy(F.concat(F.lit("set"), k).alias("url")).agg(F.concat(F.lit("<urlset>"), joined(entry), F.lit("</urlset>")).alias("xml"))
+    extra = F.when(F.col("page_id") % 50 == 0, F.concat(F.lit("<loc>extra"), F.col("page_id"), F.lit("</loc>")))
+    bare = p.groupBy(F.concat(F.lit("bare"), i).alias("url")).agg(joined(extra).alias("xml"))
+    named = lambda x: F.concat(F.lit("<sitemap><loc>"), x, F.lit("</loc></sitemap>"))
+    maps = p.select(i.alias("i"), F.explode(F.array(F.concat(F.lit("set"), k), F.concat(F.lit("bare"), i), F.lit("root"))).alias("map")).distinct()
+    index = lambda e: F.concat(F.lit("<sitemapindex>"), F.array_join(F.sort_array(F.collect_list(named(e))), ""), F.lit("</sitemapindex>")).alias("xml")
+    indexes = maps.groupBy(F.concat(F.lit("index"), F.col("i")).alias("url")).agg(index(F.col("map")))
+    root = maps.select("i").distinct().groupBy(F.lit("root").alias("url")).agg(index(F.concat(F.lit("index"), F.col("i"))))
+    lonely = spark.createDataFrame([("lonely", "<sitemapindex></sitemapindex>")], "url string, xml string")
+    return sets.unionByName(bare).unionByName(indexes).unionByName(root).unionByName(lonely)
 
 
 def _roots(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("lonely", 1), ("root", 2), ("index", 3)], "url string, root_rank int")
+    return spark.createDataFrame([("lonely", 1), ("root", 2), ("index0", 3)], "url string, root_rank int")
 
 
 def sitemap_reach(spark: SparkSession, d: str) -> DataFrame:
-    return sitemap.reach(sitemap.parse(_sitemaps(spark, d)), _roots(spark))
+    return sitemap.reach(sitemap.parse(_sitemaps(spark, d)), _roots(spark)).select("root", "url", "level")
 
 
 def sitemap_items(spark: SparkSession, d: str) -> DataFrame:
@@ -258,7 +292,7 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _built(spark: SparkSession, d: str) -> DataFrame:
-    pages = read_parquet(spark, d, "pages").where("page_id % 13 <> 0")
+    pages = read_parquet(spark, d, "pages", spread=True)
     return kb.build(_items(spark, d).drop("page_id"), pages, F.expr(NOW))
 
 
@@ -266,9 +300,33 @@ def kb_build(spark: SparkSession, d: str) -> DataFrame:
     return _built(spark, d).select("url", "outcome", "title", "source_lastmod", F.length("text").alias("text_length"), "in_bodies")
 
 
+def kb_from_sitemaps(spark: SparkSession, d: str) -> DataFrame:
+    """The build from sitemaps, root choice and plan included."""
+    built = kb.from_sitemaps(_sitemaps(spark, d), _roots(spark), read_parquet(spark, d, "pages", spread=True), F.expr(NOW))
+    return built.select("url", "outcome", "title", "source_lastmod", F.length("text").alias("text_length"), "in_bodies")
+
+
+def kb_build_with_reuse(spark: SparkSession, d: str) -> DataFrame:
+    """The build beside an earlier one, whose rows stand where their lastmod is the plan's."""
+    earlier = _index(spark, d).select(
+        "url", F.lit("english").alias("outcome"), "article_id", "title", F.lit("old body").alias("text"), "source_lastmod", F.lit("en").alias("language"),
+        (F.expr(NOW) - F.expr("INTERVAL 400 DAYS")).alias("checked_at"), F.lit(True).alias("in_bodies"), F.lit(0).alias("chunk_no"),
+    )
+    built = kb.build(_items(spark, d).drop("page_id"), read_parquet(spark, d, "pages", spread=True), F.expr(NOW), earlier, reuse_days=30)
+    return built.select("url", "outcome", "title", "source_lastmod", F.length("text").alias("text_length"), "in_bodies")
+
+
+def refresh_with_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The bodies after a day's refresh of titles and bodies."""
+    index = _index(spark, d).select("article_id", "title", "url", "source_lastmod", F.lit("en").alias("language"), F.expr(NOW).alias("checked_at"))
+    bodies = index.select("article_id", "title", F.lit("old body").alias("text"), "url", "checked_at", "language", F.lit(0).alias("chunk_no"))
+    new = kb.refresh_with_bodies(index, bodies, _items(spark, d).drop("page_id"), read_parquet(spark, d, "pages", spread=True), F.expr(NOW))[1]
+    return new.select("url", "title", F.length("text").alias("text_length"))
+
+
 def kb_refresh(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d).select("article_id", "title", "url", "source_lastmod", F.lit("en").alias("language"), F.expr(NOW).alias("checked_at"))
-    pages = read_parquet(spark, d, "pages").where("page_id % 13 <> 0")
+    pages = read_parquet(spark, d, "pages", spread=True)
     return kb.refresh(index, _items(spark, d).drop("page_id"), pages, F.expr(NOW))[0].select("url", "title", "source_lastmod")
 
 
@@ -280,7 +338,7 @@ def _forest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flatten_blocks(spark: SparkSession, d: str) -> DataFrame:
-    walked = blocks.preorder(_forest(spark, d), max_depth=5, max_blocks=4)
+    walked = blocks.preorder(_forest(spark, d), max_depth=5)
     return blocks.page_texts(walked).select("page_id", F.md5("text").alias("text_md5"), "text_length")
 
 
@@ -295,14 +353,14 @@ def block_text(spark: SparkSession, d: str) -> DataFrame:
 
 def page_title(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose title stands in a property, in the title parts, in the name, or nowhere."""
-    b, k = read_parquet(spark, d, "documents"), F.col("doc_id") % 4
+    b, k = read_parquet(spark, d, "documents", spread=True), F.col("doc_id") % 4
     raw = F.concat(F.lit('{"object":"page","properties":{"N":{"type":"title","title":[{"plain_text":"'), F.when(k == 0, F.concat(F.lit("doc "), F.col("doc_id"))).otherwise(""), F.lit('"}]}},"name":"'), F.when(k == 1, "the name").otherwise(""), F.lit('"}'))
     parsed = F.from_json(raw, "object string, name string, properties map<string,struct<type:string,title:" + blocks.RICH + ">>")
     return b.select("doc_id", blocks.page_title(parsed["properties"], F.lit(None).cast(blocks.RICH), parsed["name"]).alias("title"))
 
 
 def chunk_assign(spark: SparkSession, d: str) -> DataFrame:
-    p = read_parquet(spark, d, "pages").select("page_id", "url")
+    p = read_parquet(spark, d, "pages", spread=True).select("page_id", "url")
     return chunks.by_position(p, 50, F.col("url"))
 
 
@@ -333,15 +391,16 @@ def local_time(spark: SparkSession, d: str) -> DataFrame:
 def query_parse(spark: SparkSession, d: str) -> DataFrame:
     """Leading words of benchmark items as queries with operators, parsed."""
     word = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
-    raw = F.concat(word(1), F.lit(" & "), word(2), F.lit("| "), word(3), F.when(F.col("item_id") % 2 == 0, " & ").otherwise(""))
+    k = F.col("item_id") % 4
+    raw = F.concat(word(1), F.when(k < 2, " & ").otherwise(" "), word(2), F.when(k % 2 == 0, "| ").otherwise(" "), word(3), F.when(k == 0, " & ").otherwise(""))
     b = read_parquet(spark, d, "benchmark").select("item_id", raw.alias("raw"))
     return b.select("item_id", Q.mode(F.col("raw")).alias("mode"), F.array_join(F.transform(Q.groups(F.col("raw")), lambda g: F.array_join(g, "+")), "/").alias("groups"))
 
 
 _ALL = [
-    phrase_search, boolean_search, token_fallback_search, id_boolean_search, body_search, weighted_token_search, multi_group_boolean_search, batch_search_topk, search_page,
+    phrase_search, boolean_search, token_fallback_search, id_boolean_search, body_search, weighted_token_search, multi_group_boolean_search, batch_search_topk, search_page, collated_page, wide_letters_search,
     source_counts, digest, merge_title_body_hits, snippets, highlight, extract_titles, extract_bodies, text_functions, script_profile, latin_gate, canonical_urls, change_set,
-    unchanged_urls, reuse_or_refetch, apply_changes, outcome_counters, failure_fallback, sitemap_reach, sitemap_items, root_choice, dedupe_first, dedupe_last, index_stats, kb_build,
+    unchanged_urls, reuse_or_refetch, apply_changes, outcome_counters, failure_fallback, sitemap_reach, sitemap_items, root_choice, dedupe_first, dedupe_last, index_stats, kb_build, kb_from_sitemaps, kb_build_with_reuse, refresh_with_bodies,
     kb_refresh, flatten_blocks, block_text, page_title, chunk_assign, chunk_counts, chunk_tokens, chunk_prune, local_time, query_parse,
 ]
 

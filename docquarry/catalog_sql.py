@@ -104,8 +104,8 @@ def _hits(table: str, source: str, kind: str) -> str:
 
 _LASTMOD = "CASE WHEN page_id % 11 <> 0 THEN '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') END"
 _SHIFTED = "CASE WHEN page_id % 11 <> 0 THEN CASE WHEN page_id % 5 = 0 THEN '2024-02-01' ELSE '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') END END"
-INDEX = f"idx AS (SELECT page_id, url, {_LASTMOD} AS source_lastmod, page_id::VARCHAR AS article_id, 'title ' || page_id AS title FROM pages WHERE page_id % 10 <> 0)"
-ITEMS = f"items AS (SELECT page_id, url, {_SHIFTED} AS lastmod FROM pages WHERE page_id % 7 <> 0)"
+INDEX = f"idx AS (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN url || '/earlier' ELSE url END AS url, {_LASTMOD} AS source_lastmod, page_id::VARCHAR AS article_id, 'title ' || page_id AS title FROM pages)"
+ITEMS = f"items AS (SELECT page_id, url, {_SHIFTED} AS lastmod FROM pages UNION ALL SELECT page_id, url || '/missing', {_SHIFTED} FROM pages WHERE page_id % 13 = 0)"
 CHANGES = f"""{INDEX}, {ITEMS},
 ch AS (
   SELECT coalesce(i.url, x.url) AS url, i.lastmod, CASE WHEN i.url IS NULL THEN x.article_id END AS article_id,
@@ -141,7 +141,7 @@ BUILT = f"""{ITEMS}, {PAGE},
 built AS (
   SELECT i.url, CASE WHEN p.url IS NULL THEN 'failed' WHEN {_BY_TITLE} THEN 'english' ELSE 'skipped' END AS outcome, p.title, i.lastmod AS source_lastmod,
          length(substr(p.body, 1, 4000))::INTEGER AS text_length, coalesce({_BY_TITLE} AND {_BY_BODY}, false) AS in_bodies
-  FROM items i LEFT JOIN (SELECT * FROM page WHERE page_id % 13 <> 0) p ON i.url = p.url)"""
+  FROM items i LEFT JOIN page p ON i.url = p.url)"""
 
 
 def snippet(text: str, found: str, q: str, before: int, after: int, fallback: str, token: str | None = None) -> str:
@@ -157,15 +157,22 @@ walk AS (
   UNION ALL SELECT b.conv_id, b.turn, depth + 1, list_append(path, b.turn), b.text FROM walk JOIN b ON b.conv_id = walk.conv_id AND b.parent = walk.turn WHERE depth < 5)"""
 #: Sitemaps by name: their pages, and the sitemaps they name.
 _MAPS = f"""
-e AS (SELECT 'set' || (page_id % 4) AS m, url AS loc, {_LASTMOD} AS lastmod FROM pages UNION ALL SELECT 'bare', 'extra' || page_id, NULL FROM pages WHERE page_id % 50 = 0),
-g AS (SELECT * FROM (VALUES ('root', 'set0'), ('root', 'set1'), ('root', 'index'), ('root', 'bare'), ('index', 'set2'), ('index', 'set3'), ('index', 'root')) t(a, b)),
-r AS (SELECT x AS root, x AS url, 0 AS level FROM (VALUES ('lonely'), ('root'), ('index')) t(x) UNION SELECT r.root, g.b, r.level + 1 FROM r JOIN g ON g.a = r.url WHERE r.level < 4),
+e AS (SELECT 'set' || (page_id // 100) AS m, url AS loc, {_LASTMOD} AS lastmod FROM pages UNION ALL SELECT 'bare' || (page_id // 10000), 'extra' || page_id, NULL FROM pages WHERE page_id % 50 = 0),
+g AS (SELECT DISTINCT 'root' AS a, 'index' || (page_id // 10000) AS b FROM pages
+      UNION SELECT 'index' || (page_id // 10000), 'set' || (page_id // 100) FROM pages
+      UNION SELECT 'index' || (page_id // 10000), 'bare' || (page_id // 10000) FROM pages UNION SELECT 'index' || (page_id // 10000), 'root' FROM pages),
+r AS (SELECT x AS root, x AS url, 0 AS level FROM (VALUES ('lonely'), ('root'), ('index0')) t(x) UNION SELECT r.root, g.b, r.level + 1 FROM r JOIN g ON g.a = r.url WHERE r.level < 4),
 reach AS (SELECT root, url, min(level)::INTEGER AS level FROM r GROUP BY root, url),
 found AS (SELECT root, loc AS url, max(lastmod) AS lastmod FROM e JOIN reach ON reach.url = e.m GROUP BY root, loc)"""
 _RANKED = f"WITH {DOCS}, h AS ({_hits('d', 'wiki', 'wiki')})"
 _BOTH = f"WITH {DOCS}, {KB}, h AS ({_hits('d', 'wiki', 'wiki')} UNION ALL {_hits('k', 'kb', 'title')})"
 _ONE = f"WITH {DOCS}, h AS (SELECT id, title, {phrase('of the', 2400, 1600)} AS score FROM d WHERE {has('tn', 'of the')} OR {has('bn', 'of the')})"
-_JSON_KIND = "turn % 4"
+#: The plan of the sitemaps' root and what a build makes of it.
+_FROM_MAPS = f"""{_MAPS}, {PAGE},
+built AS (
+  SELECT i.url, CASE WHEN p.url IS NULL THEN 'failed' WHEN {_BY_TITLE} THEN 'english' ELSE 'skipped' END AS outcome, p.title, i.lastmod AS source_lastmod,
+         length(substr(p.body, 1, 4000))::INTEGER AS text_length, coalesce({_BY_TITLE} AND {_BY_BODY}, false) AS in_bodies
+  FROM (SELECT * FROM found WHERE root = 'root') i LEFT JOIN page p ON i.url = p.url)"""
 _PLAIN = "regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
@@ -191,6 +198,11 @@ def oracle_sql() -> dict[str, str]:
         "multi_group_boolean_search": f"""WITH {DOCS} SELECT id, score::INTEGER AS score FROM (SELECT id, {first(lambda g: group(g, 700, 350, 400 if len(g) > 1 else 0))} + 100 * ({' + '.join(n(all_of(g), 1) for g in groups3)}) AS score FROM d) WHERE score IS NOT NULL""",
         "batch_search_topk": f"{_RANKED}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, id::BIGINT) AS rank, id::BIGINT AS id, score FROM h) SELECT * FROM r WHERE rank <= 5",
         "search_page": f"{_ONE}, r AS (SELECT 1 AS query_id, row_number() OVER (ORDER BY score DESC, title, id) AS rank, id, score, count(*) OVER () AS total FROM h), p AS (SELECT *, greatest(1, ceil(total / 10.0))::INTEGER AS total_pages FROM r), s AS (SELECT *, least(2, total_pages) AS page FROM p) SELECT * FROM s WHERE rank > (page - 1) * 10 AND rank <= page * 10",
+        "collated_page": f"{_ONE}, r AS (SELECT 1 AS query_id, row_number() OVER (ORDER BY score DESC, title COLLATE en, id) AS rank, id, score, count(*) OVER () AS total FROM h), s AS (SELECT *, least(2, greatest(1, ceil(total / 10.0)))::INTEGER AS page FROM r) SELECT * FROM s WHERE rank > (page - 1) * 10 AND rank <= page * 10",
+        "wide_letters_search": f"""WITH w AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'abc guide ' ELSE '' END || coalesce(text, '') AS t FROM documents),
+            d0 AS (SELECT id, split_part(t, chr(10), 1) AS title, t AS text FROM w), d AS (SELECT id, title, {normal("title")} AS tn, {normal("text")} AS bn FROM d0)
+            SELECT 1 AS query_id, id, ({phrase('abc guide', 2400, 1600)})::INTEGER AS score, {has('tn', 'abc guide')} AS title_match, {has('bn', 'abc guide')} AS body_match FROM d WHERE {any_in('tn', ['abc guide'])} OR {any_in('bn', ['abc guide'])}
+            UNION ALL SELECT 2, id, score, title_match, body_match FROM (SELECT id, {boolean([['abc', 'the']], 1200, 700, 250)} FROM d) WHERE score IS NOT NULL""",
         "source_counts": f"{_BOTH} SELECT query_id, source, count(*) AS n FROM h GROUP BY ALL UNION ALL SELECT query_id, 'all', count(*) FROM h GROUP BY query_id",
         "digest": f"""{_BOTH}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, title, id) AS rank, count(*) OVER (PARTITION BY query_id, source) AS total FROM h)
             SELECT query_id, source, total, string_agg(rank || '. [' || source || '] [' || regexp_replace(title, '([\\\\`*_\\[\\]()])', '\\\\\\1', 'g') || '](' || id || ')', chr(10) ORDER BY rank) AS lines FROM r WHERE rank <= 5 GROUP BY ALL""",
@@ -207,7 +219,7 @@ def oracle_sql() -> dict[str, str]:
             md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS html_md5, md5({normal('text')}) AS normal_md5,
             len(list_distinct(list_filter(regexp_split_to_array({normal('text')}, '\\s+'), lambda x: length(x) >= 2)))::INTEGER AS n_tokens FROM documents""",
         "script_profile": f"WITH {SCRIPTED} SELECT page_id, {_count('body', '[A-Za-z]')}::INTEGER AS latin, {_count('body', _LOCALIZED)}::INTEGER AS localized, regexp_matches(title, '{_LOCALIZED}') AS title_localized FROM s",
-        "latin_gate": f"WITH {SCRIPTED} SELECT page_id, {_BY_TITLE} AS by_title, {_BY_BODY} AS by_body, {_LEGACY} AS legacy FROM s",
+        "latin_gate": f"WITH {SCRIPTED} SELECT page_id, {_BY_TITLE} AND page_id % 7 <> 3 AS by_title, {_BY_BODY} AND page_id % 7 <> 3 AS by_body, {_LEGACY} AND page_id % 7 <> 3 AS legacy FROM s",
         "canonical_urls": """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://knowledge.example.com/external/article/' || page_id WHEN 1 THEN 'https://knowledge.example.com/external/article/' || page_id || '/how-to_fix.html' END AS canonical,
             CASE WHEN page_id % 3 < 2 THEN page_id::VARCHAR ELSE '' END AS article_id, CASE WHEN page_id % 3 = 1 THEN 'How to fix' END AS title FROM pages""",
         "change_set": f"WITH {CHANGES} SELECT * FROM ch WHERE reason IS NOT NULL",
@@ -215,7 +227,7 @@ def oracle_sql() -> dict[str, str]:
         "reuse_or_refetch": f"""WITH {INDEX}, {ITEMS} SELECT i.url, x.url IS NOT NULL AND x.page_id % 60 < 30 AND i.page_id % 4 <> 0 AS by_age,
             x.url IS NOT NULL AND CASE WHEN i.lastmod IS NOT NULL AND x.source_lastmod IS NOT NULL THEN i.lastmod = x.source_lastmod ELSE x.page_id % 60 < 7 END AS by_lastmod FROM items i LEFT JOIN idx x ON i.url = x.url""",
         "apply_changes": f"WITH {CHANGES} SELECT url, source_lastmod, article_id, title FROM idx WHERE url NOT IN (SELECT url FROM ch WHERE reason IS NOT NULL) UNION ALL SELECT url, lastmod, '', 'fetched' FROM ch WHERE reason IN ('new', 'lastmod')",
-        "outcome_counters": f"""WITH {SCRIPTED}, o AS (SELECT CASE WHEN page_id % 13 = 0 THEN 'failed' WHEN {_BY_TITLE} THEN 'english' ELSE 'skipped' END AS o FROM s)
+        "outcome_counters": f"""WITH {SCRIPTED}, o AS (SELECT CASE WHEN page_id % 13 = 0 THEN 'failed' WHEN {_BY_TITLE} AND page_id % 7 <> 3 THEN 'english' ELSE 'skipped' END AS o FROM s)
             SELECT count(*) FILTER (o = 'english') AS english, count(*) FILTER (o = 'skipped') AS skipped, count(*) FILTER (o = 'failed') AS failed, count(*) AS total, round(count(*) FILTER (o <> 'failed') / count(*) * 100, 1) AS progress FROM o""",
         "failure_fallback": """SELECT 'https://knowledge.example.com/external/article/' || page_id || '/the-page' AS url, CASE WHEN page_id % 3 = 0 THEN 'fetched' WHEN page_id % 2 = 0 THEN 'earlier' ELSE 'The page' END AS title,
             CASE WHEN page_id % 3 = 0 THEN 'new' WHEN page_id % 2 = 0 THEN 'old' ELSE '' END AS text, CASE WHEN page_id % 3 = 0 THEN 'fetched' WHEN page_id % 2 = 0 THEN 'previous' ELSE 'stub' END AS origin FROM pages""",
@@ -226,9 +238,16 @@ def oracle_sql() -> dict[str, str]:
         "dedupe_last": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_min(event_id, (ts, event_id)) AS first_event_id FROM events GROUP BY user_id",
         "index_stats": f"WITH {BUILT} SELECT count(*) AS pages, count(*) FILTER (in_bodies) AS bodies, true AS has_chunks, TIMESTAMP '2024-06-01 00:00:00' AS latest FROM built WHERE outcome = 'english'",
         "kb_build": f"WITH {BUILT} SELECT * FROM built",
-        "kb_refresh": f"""WITH {CHANGES}, {PAGE}, c AS (SELECT ch.url, ch.lastmod, p.title, CASE WHEN p.url IS NULL THEN 'keep' WHEN {_BY_TITLE} THEN 'upsert' ELSE 'remove' END AS o FROM (SELECT * FROM ch WHERE reason IN ('new', 'lastmod')) ch LEFT JOIN (SELECT * FROM page WHERE page_id % 13 <> 0) p ON p.url = ch.url)
+        "kb_from_sitemaps": f"WITH RECURSIVE {_FROM_MAPS} SELECT * FROM built",
+        "kb_build_with_reuse": f"""WITH {INDEX}, {BUILT}, old AS (SELECT b.*, x.title AS was, x.source_lastmod AS was_lastmod FROM built b LEFT JOIN idx x ON x.url = b.url)
+            SELECT url, CASE WHEN source_lastmod = was_lastmod THEN 'reused' ELSE outcome END AS outcome, CASE WHEN source_lastmod = was_lastmod OR outcome = 'failed' THEN was ELSE title END AS title, source_lastmod,
+                   CASE WHEN source_lastmod = was_lastmod OR outcome = 'failed' AND was IS NOT NULL THEN 8 ELSE text_length END AS text_length, in_bodies OR coalesce(source_lastmod = was_lastmod, false) AS in_bodies FROM old""",
+        "refresh_with_bodies": f"""WITH {CHANGES}, {PAGE}, c AS (SELECT ch.url, p.title, p.body, CASE WHEN p.url IS NULL THEN 'keep' WHEN {_BY_TITLE} THEN 'upsert' ELSE 'remove' END AS o FROM (SELECT * FROM ch WHERE reason IN ('new', 'lastmod')) ch LEFT JOIN page p ON p.url = ch.url)
+            SELECT url, title, 8 AS text_length FROM idx WHERE url NOT IN (SELECT url FROM c WHERE o <> 'keep') AND url NOT IN (SELECT url FROM ch WHERE reason = 'removed')
+            UNION ALL SELECT url, title, length(substr(body, 1, 4000))::INTEGER FROM c WHERE o = 'upsert' AND {_BY_BODY}""",
+        "kb_refresh": f"""WITH {CHANGES}, {PAGE}, c AS (SELECT ch.url, ch.lastmod, p.title, CASE WHEN p.url IS NULL THEN 'keep' WHEN {_BY_TITLE} THEN 'upsert' ELSE 'remove' END AS o FROM (SELECT * FROM ch WHERE reason IN ('new', 'lastmod')) ch LEFT JOIN page p ON p.url = ch.url)
             SELECT url, title, source_lastmod FROM idx WHERE url NOT IN (SELECT url FROM c WHERE o <> 'keep') AND url NOT IN (SELECT url FROM ch WHERE reason = 'removed') UNION ALL SELECT url, title, lastmod FROM c WHERE o = 'upsert'""",
-        "flatten_blocks": f"""WITH {_TREE}, c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS k FROM walk), j AS (SELECT conv_id AS page_id, string_agg(text, chr(10) ORDER BY path) FILTER (text <> '') AS text FROM c WHERE k <= 4 GROUP BY conv_id)
+        "flatten_blocks": f"""WITH {_TREE}, c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS k FROM walk), j AS (SELECT conv_id AS page_id, string_agg(text, chr(10) ORDER BY path) FILTER (text <> '') AS text FROM c WHERE k <= 500 GROUP BY conv_id)
             SELECT page_id, md5(coalesce({_PLAIN}, '')) AS text_md5, length(coalesce({_PLAIN}, ''))::INTEGER AS text_length FROM j""",
         "block_text": f"SELECT conv_id, turn, md5(CASE turn % 4 WHEN 0 THEN {_PLAIN} WHEN 1 THEN trim({_PLAIN} || ' ' || {_PLAIN}) WHEN 2 THEN 'https://e.example/x' ELSE {_PLAIN} END) AS text_md5 FROM conversations",
         "page_title": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'doc ' || doc_id WHEN 1 THEN 'the name' ELSE '제목 없음' END AS title FROM documents",
@@ -237,5 +256,6 @@ def oracle_sql() -> dict[str, str]:
         "chunk_tokens": f"""WITH {KB}, t AS (SELECT (number::INTEGER % 16) AS chunk_no, unnest(list_filter(regexp_split_to_array(tn || chr(10) || bn, '[^a-z0-9._+-]+'), lambda x: length(x) BETWEEN 2 AND 64)[1:3000]) AS token FROM k)
             SELECT chunk_no, count(DISTINCT token) AS n_tokens FROM t GROUP BY chunk_no""",
         "local_time": """SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y. %m. %d. ') || CASE WHEN hour(ts + INTERVAL 9 HOUR) < 12 THEN '오전' ELSE '오후' END || strftime(ts + INTERVAL 9 HOUR, ' %I:%M:%S') AS long, strftime(ts + INTERVAL 9 HOUR, '%m.%d %H:%M') AS short FROM events""",
-        "query_parse": """SELECT item_id, 'AND·OR' AS mode, split_part(text, ' ', 1) || '+' || split_part(text, ' ', 2) || '/' || split_part(text, ' ', 3) AS groups FROM benchmark""",
+        "query_parse": """SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'AND·OR' WHEN 1 THEN 'AND' WHEN 2 THEN 'OR' ELSE 'plain' END AS mode,
+            split_part(text, ' ', 1) || CASE WHEN item_id % 4 < 2 THEN '+' ELSE ' ' END || split_part(text, ' ', 2) || CASE WHEN item_id % 2 = 0 THEN '/' ELSE ' ' END || split_part(text, ' ', 3) AS groups FROM benchmark""",
     }

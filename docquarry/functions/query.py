@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapse, normalize_space, or_empty, tokens, trim, truncate
+from .text import collapse, let, normalize_space, or_empty, tokens, trim, truncate
 
 
 def cleaned(raw: Column) -> Column:
@@ -29,35 +29,48 @@ def mode(raw: Column) -> Column:
     return F.when(both & either, "AND·OR").when(both, "AND").when(either, "OR").otherwise("plain")
 
 
-def snippet(text: Column, found_in: Column, needles: list[Column], before: int = 80, after: int = 180, fallback: Column | None = None) -> Column:
-    """The text around the first needle that ``found_in`` (its normal form) holds, with dots where it is cut.
+def around(text: Column, at: Column, needle: int | Column, before: int, after: int) -> Column:
+    """The text from ``before`` the position to ``after`` behind the needle, with dots where it is cut."""
 
-    The window starts ``before`` the hit and ends ``after`` behind the first needle's length. Without a hit: ``fallback``.
+    def cut(span: Column) -> Column:
+        dots = lambda when: F.when(when, "…").otherwise("")
+        return F.concat(dots(span["a"] > 0), F.substring(text, span["a"] + 1, span["b"] - span["a"]), dots(span["b"] < F.length(text)))
+
+    start, end = F.greatest(F.lit(0), at - before), F.least(F.length(text), at + F.greatest(needle, F.lit(1)) + after)
+    return let(F.struct(start.alias("a"), end.alias("b")), cut)
+
+
+def snippet(source: Column, query: Column, words: bool, before: int, after: int, fallback) -> Column:
+    """The text around the query, else with ``words`` around its first word that occurs, else ``fallback(text)``.
+
+    ``source`` is evaluated once, and so are its lower case and the position of the hit.
     """
-    at = F.coalesce(*[F.when((n != "") & (F.instr(found_in, n) > 0), F.instr(found_in, n) - 1) for n in needles])
-    start = F.greatest(F.lit(0), at - before)
-    end = F.least(F.length(text), at + F.greatest(F.length(needles[0]), F.lit(1)) + after)
-    dots = lambda when: F.when(when, "…").otherwise("")
-    cut = F.concat(dots(start > 0), F.substring(text, start + 1, end - start), dots(end < F.length(text)))
-    return F.when(at.isNull(), fallback if fallback is not None else F.lit("")).otherwise(cut)
+    q = F.lower(normalize_space(query))
+
+    def shown(text: Column) -> Column:
+        def placed(low: Column) -> Column:
+            at = F.when(q != "", F.instr(low, q)).otherwise(0)
+            if words:
+                first = F.get(F.filter(F.transform(tokens(q), lambda t: F.instr(low, t)), lambda i: i > 0), F.lit(0))
+                at = F.when(at > 0, at).otherwise(F.coalesce(first, F.lit(0)))
+            return at
+
+        return let(let(F.lower(text), placed), lambda at: F.when(at > 0, around(text, at - 1, F.length(q), before, after)).otherwise(fallback(text)))
+
+    return let(source, shown)
 
 
 def wiki_snippet(text: Column, query: Column) -> Column:
     """Around the query, else around its first word that occurs, else the first 220 characters."""
-    source = normalize_space(text)
-    q = F.lower(normalize_space(query))
-    hit = F.get(F.filter(tokens(q), lambda t: F.contains(F.lower(source), t)), F.lit(0))
-    return snippet(source, F.lower(source), [q, F.coalesce(hit, F.lit(""))], 80, 180, truncate(source, 220))
+    return snippet(normalize_space(text), query, True, 80, 180, lambda t: truncate(t, 220))
 
 
 def body_snippet(text: Column, query: Column) -> Column:
-    source = collapse(text)
-    return snippet(source, F.lower(source), [F.lower(normalize_space(query))], 100, 180, F.substring(source, 1, 260))
+    return snippet(collapse(text), query, False, 100, 180, lambda t: F.substring(t, 1, 260))
 
 
 def title_snippet(text: Column, query: Column) -> Column:
-    source = collapse(text)
-    return snippet(source, F.lower(source), [F.lower(normalize_space(query))], 110, 110, F.substring(source, 1, 220))
+    return snippet(collapse(text), query, False, 110, 110, lambda t: F.substring(t, 1, 220))
 
 
 def first_term_snippet(text: Column, terms: list[Column]) -> Column:

@@ -40,15 +40,16 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
 
 
-def nfkc(text: Column) -> Column:
-    """Unicode's compatibility composition, over Arrow batches."""
-    return F.pandas_udf(_nfkc, "string")(text)
+def nfkc(text: Column, made_of: Column | None = None) -> Column:
+    """Unicode's compatibility composition, over Arrow batches. Texts made of ASCII stay within the JVM; ``made_of`` is what ``text`` is computed from, if cheaper to look at."""
+    source = text if made_of is None else made_of
+    return F.coalesce(F.pandas_udf(_nfkc, "string")(F.when(F.octet_length(source) != F.length(source), text)), text)
 
 
 def normalize_for_search(text: Column, with_nfkc: bool = True) -> Column:
     """normalize_space, then NFKC, then lower case. Without NFKC it stays within the JVM."""
     spaced = normalize_space(text)
-    return F.lower(nfkc(spaced) if with_nfkc else spaced)
+    return F.lower(nfkc(spaced, or_empty(text)) if with_nfkc else spaced)
 
 
 def tokens(normal: Column, min_length: int = 2) -> Column:
@@ -82,7 +83,7 @@ def strip_tags(text: Column) -> Column:
 def clean(text: Column, with_nfkc: bool = False) -> Column:
     """Tags to spaces, white space to single spaces, entities decoded, trimmed."""
     out = decode_entities(F.regexp_replace(strip_tags(or_empty(text)), f"{SPACE}+", " "))
-    return trim(nfkc(out) if with_nfkc else out)
+    return trim(nfkc(out, or_empty(text)) if with_nfkc else out)
 
 
 def clean_lines(text: Column) -> Column:
@@ -95,7 +96,7 @@ def clean_lines(text: Column) -> Column:
 def language_text(text: Column, with_nfkc: bool = False) -> Column:
     """Entities decoded, white space collapsed: what the language gate reads."""
     out = decode_entities(or_empty(text))
-    return collapse(nfkc(out) if with_nfkc else out)
+    return collapse(nfkc(out, or_empty(text)) if with_nfkc else out)
 
 
 def prefix(text: Column, most: int) -> Column:
@@ -138,3 +139,10 @@ def local_time(ts: Column, zone: str = "Asia/Seoul") -> Column:
 def short_time(ts: Column, zone: str = "Asia/Seoul") -> Column:
     """Month, day and minute; a dash for null."""
     return F.coalesce(F.date_format(F.from_utc_timestamp(ts, zone), "MM.dd HH:mm"), F.lit("-"))
+
+
+def web_time(ts: Column, zone: str = "Asia/Seoul") -> Column:
+    """Date and minute by the twelve-hour clock; a dash for null."""
+    at = F.from_utc_timestamp(ts, zone)
+    half = F.when(F.hour(at) < 12, "오전").otherwise("오후")
+    return F.coalesce(F.concat(F.date_format(at, "yyyy. MM. dd. "), half, F.date_format(at, " hh:mm")), F.lit("-"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import html, urls
 from docquarry.functions.language import BODY, TITLE, is_latin_page
-from docquarry.operators import changes, chunks
+from docquarry.operators import changes, chunks, sitemap
+from docquarry.sources import tables
+from docquarry.sources.tables import written
 
 #: Changed urls up to this number are broadcast to the pages; more go through an ordinary join.
 BROADCAST_URLS = 100_000
@@ -20,12 +22,22 @@ def extract(pages: DataFrame) -> DataFrame:
     return named.select("url", "article_id", "title", F.substring("_body", 1, 8000).alias("sample"), F.substring("_body", 1, 4000).alias("text"))
 
 
-def build(items: DataFrame, pages: DataFrame, now: Column, previous: DataFrame | None = None, n_chunks: int = 64) -> DataFrame:
+BUILT = ["url", "outcome", "article_id", "title", "text", "source_lastmod", "language", "checked_at", "in_bodies", "chunk_no"]
+
+
+def build(items: DataFrame, pages: DataFrame, now: Column, previous: DataFrame | None = None, n_chunks: int = 64, reuse_days: int | None = None) -> DataFrame:
     """Every planned url with its outcome: titles and bodies in one pass.
 
-    ``items``: url, lastmod, one row each. Columns: url, outcome (english, skipped, failed), article_id, title, text, source_lastmod,
-    language, checked_at, in_bodies, chunk_no. A failed page falls back on ``previous`` (url, title, text) if it is there.
+    ``items``: url, lastmod; rows without a url drop out. Columns: BUILT; outcome is english, skipped, failed or reused. A failed page falls back on
+    ``previous`` (url, title, text) if it is there. With ``reuse_days``, rows of ``previous`` (BUILT) that are still fresh stand for their pages,
+    which are not read: those with the plan's lastmod or, where one is missing, checked less than so many days ago.
     """
+    items = changes.filled(items.select("url", "lastmod"))
+    kept = None
+    if previous is not None and reuse_days is not None:
+        plan = written(changes.reuse(items.withColumn("title", F.lit(None).cast("string")), previous, now, reuse_days, by_lastmod=True))
+        kept = previous.join(plan.where("reuse").select("url"), "url", "left_semi").withColumn("outcome", F.lit("reused")).select(*BUILT)
+        items = plan.where(~F.col("reuse")).select("url", "lastmod")
     got = extract(pages.join(items.select("url"), "url", "left_semi"))
     joined = items.join(got, "url", "left")
     outcome = F.when(F.col("title").isNull(), "failed").when(is_latin_page(F.col("title"), F.col("sample"), F.col("url"), TITLE), "english").otherwise("skipped")
@@ -34,10 +46,37 @@ def build(items: DataFrame, pages: DataFrame, now: Column, previous: DataFrame |
         old = previous.select("url", F.col("title").alias("_title"), F.col("text").alias("_text"))
         failed = F.col("outcome") == "failed"
         out = out.join(old, "url", "left").withColumns({"title": F.when(failed, F.col("_title")).otherwise(F.col("title")), "text": F.when(failed, F.col("_text")).otherwise(F.col("text"))})
-    return out.select(
+    out = out.select(
         "url", "outcome", F.coalesce("article_id", urls.article_id(F.col("url"))).alias("article_id"), "title", "text", F.col("lastmod").alias("source_lastmod"),
         F.lit("en").alias("language"), now.alias("checked_at"), F.coalesce("in_bodies", F.lit(False)).alias("in_bodies"), chunks.by_hash(F.col("url"), n_chunks).alias("chunk_no"),
     )
+    return out if kept is None else out.unionByName(kept)
+
+
+def plan_of(sitemaps: DataFrame, roots: DataFrame, extras: DataFrame | None = None, most: int | None = None, canonical=lambda c: c) -> DataFrame:
+    """(url, lastmod) to build: the articles of the first root that has any, and extra urls beside them.
+
+    ``sitemaps``: url, xml; ``roots``: url, root_rank. ``most``: the cap of the plan, in reading order, if one is wanted (none by default).
+    """
+    entries = written(sitemap.parse(sitemaps))
+    found = sitemap.choose_root(written(sitemap.items(entries, sitemap.reach(entries, roots), canonical)), roots)
+    plan = (found.orderBy("ord").limit(most) if most else found).select("url", "lastmod")
+    return changes.add_extras(plan, extras) if extras is not None else plan
+
+
+def from_sitemaps(sitemaps: DataFrame, roots: DataFrame, pages: DataFrame, now: Column, extras: DataFrame | None = None, most: int | None = None, canonical=lambda c: c, **options) -> DataFrame:
+    """The whole build: sitemaps to a plan, the plan to titles and bodies."""
+    return build(plan_of(sitemaps, roots, extras, most, canonical), pages, now, **options)
+
+
+def publish(built: DataFrame, path: str, created_at, collation: str | None = "en_CI_AI") -> None:
+    """Titles in title order and bodies by chunk under ``path``, each with its header; failed pages are counted."""
+    built = written(built)
+    failed = built.where("outcome = 'failed'").count()
+    good = built.where("outcome in ('english', 'reused')")
+    titles = good.select("article_id", "title", "url", "source_lastmod", "language", "checked_at")
+    tables.publish(in_title_order(titles, collation), f"{path}/titles", failed, created_at)
+    tables.publish(good.where("in_bodies").select("article_id", "title", "text", "url", "checked_at", "language", "chunk_no"), f"{path}/bodies", failed, created_at)
 
 
 def in_title_order(index: DataFrame, collation: str | None = "en_CI_AI") -> DataFrame:
@@ -45,26 +84,56 @@ def in_title_order(index: DataFrame, collation: str | None = "en_CI_AI") -> Data
     return index.orderBy(F.collate(F.col("title"), collation) if collation else F.col("title"), "url")
 
 
-def refresh(index: DataFrame, items: DataFrame, pages: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(new index, outcomes by url) after one day's snapshot of items.
+def first_titles(index: DataFrame, n: int = 10) -> DataFrame:
+    """The first titles of the published order, for a look at an index."""
+    return in_title_order(index).limit(n).select("title")
 
-    The change set meets the pages by broadcast if it is small. A changed page that can't be read keeps its old row; one that
-    fails the gate is removed; urls that left the sitemap go.
-    """
-    plan = changes.change_set(items, index).cache()
-    fetch, removed = plan.where("reason <> 'removed'"), plan.where("reason = 'removed'")
+
+def _checked(index: DataFrame, items: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changed urls with what their pages hold and an outcome, removed urls)."""
+    plan = written(changes.change_set(items, index))
+    fetch, removed = plan.where("reason <> 'removed'"), plan.where("reason = 'removed'").select("url")
     wanted = fetch.select("url")
     wanted = F.broadcast(wanted) if plan.count() <= BROADCAST_URLS else wanted
     got = extract(pages.join(wanted, "url", "left_semi"))
-    checked = fetch.join(got.withColumnRenamed("article_id", "_id"), "url", "left")
+    checked = fetch.drop("article_id").join(got, "url", "left")
     latin = is_latin_page(F.col("title"), F.col("sample"), F.col("url"), TITLE)
     checked = checked.withColumn("outcome", F.when(F.col("title").isNull(), "keep").when(latin, "upsert").otherwise("remove"))
-    upserts = checked.where("outcome = 'upsert'").select(
-        F.col("_id").alias("article_id"), "title", "url", F.col("lastmod").alias("source_lastmod"), F.lit("en").alias("language"), now.alias("checked_at")
-    )
-    gone = removed.select("url").unionByName(checked.where("outcome = 'remove'").select("url"))
-    told = checked.select("url", "outcome").unionByName(removed.select("url", F.lit("removed").alias("outcome")))
-    return changes.apply_changes(index.select(*upserts.columns), upserts, gone), told
+    return written(checked), removed
+
+
+def _upserts(checked: DataFrame, now: Column) -> DataFrame:
+    made = {"source_lastmod": F.col("lastmod"), "language": F.lit("en"), "checked_at": now}
+    return checked.where("outcome = 'upsert'").withColumns(made)
+
+
+def refresh(index: DataFrame, items: DataFrame, pages: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(new index, outcomes by url) after one day's snapshot of items.
+
+    The change set meets the pages by broadcast if it is small. A changed page that can't be read keeps its old row; one that
+    fails the gate is removed; urls that left the sitemap go.
+    """
+    titles, _, told = refresh_with_bodies(index, None, items, pages, now)
+    return titles, told
+
+
+def refresh_with_bodies(index: DataFrame, bodies: DataFrame | None, items: DataFrame, pages: DataFrame, now: Column, n_chunks: int = 64) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(new index, new bodies, outcomes by url): the same for titles and bodies (article_id, title, text, url, checked_at, language, chunk_no) at once.
+
+    A page that passes the title's gate and not the body's stays in the index and leaves the bodies.
+    """
+    checked, removed = _checked(index, items, pages)
+    upserts = _upserts(checked, now)
+    gone = removed.unionByName(checked.where("outcome = 'remove'").select("url"))
+    told = checked.select("url", "outcome").unionByName(removed.withColumn("outcome", F.lit("removed")))
+    titles = ["article_id", "title", "url", "source_lastmod", "language", "checked_at"]
+    new = changes.apply_changes(index.select(*titles), upserts.select(*titles), gone)
+    if bodies is None:
+        return new, None, told
+    fits = is_latin_page(F.col("title"), F.col("sample"), F.col("url"), BODY)
+    read = upserts.withColumn("chunk_no", chunks.by_hash(F.col("url"), n_chunks))
+    without = gone.unionByName(read.where(~fits).select("url"))
+    return new, changes.apply_changes(bodies, read.where(fits).select(*bodies.columns), without), told
 
 
 def statistics(index: DataFrame) -> DataFrame:

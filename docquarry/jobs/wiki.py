@@ -10,13 +10,16 @@ from docquarry.operators import blocks, dedupe
 
 
 def listing(raw: DataFrame, most: int | None = None) -> DataFrame:
-    """(id, title, url, last_edited) of raw page objects, one for each id; other objects and rows without an id drop out."""
+    """(id, title, url, last_edited) of raw page objects, one for each id; other objects and rows without an id drop out.
+
+    ``ord``, if there is one, is the place in the listing and decides among pages of one date.
+    """
     pages = raw.where("object = 'page'").select(
         "id",
         blocks.page_title(F.col("properties"), F.col("title"), F.col("name")).alias("title"),
         F.coalesce("url", wiki_url(F.col("id"))).alias("url"),
         F.col("last_edited_time").alias("last_edited"),
-        F.monotonically_increasing_id().alias("ord"),
+        F.col("ord") if "ord" in raw.columns else F.lit(0).alias("ord"),
     )
     return dedupe.first_in_listing(pages, most).drop("ord")
 

@@ -13,11 +13,20 @@ def _filled(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) != ""
 
 
+def filled(df: DataFrame) -> DataFrame:
+    """Rows with a url, one for each: of several, the one whose other columns are largest."""
+    others = [c for c in df.columns if c != "url"]
+    kept = df.where(_filled("url"))
+    return kept.groupBy("url").agg(*[F.max(F.struct(*others)).alias("_row")]).select("url", "_row.*") if others else kept.distinct()
+
+
 def change_set(items: DataFrame, index: DataFrame) -> DataFrame:
     """(url, lastmod, article_id, reason) of new, changed (lastmod) and removed URLs, in one full outer join on url.
 
-    ``items``: url, lastmod. ``index``: url, source_lastmod, article_id. A lastmod missing on either side is no change.
+    ``items``: url, lastmod. ``index``: url, source_lastmod, article_id. A lastmod missing on either side is no change. Rows without a url are
+    left out, and repeated urls are one row.
     """
+    items, index = filled(items), filled(index)
     i, x = items.select("url", "lastmod"), index.select(F.col("url").alias("_url"), F.col("source_lastmod").alias("_was"), "article_id")
     reason = (
         F.when(F.col("_url").isNull(), "new")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.text import escape_markdown
 
+from .chunks import ordinals
+
 
 def by_score(collation: str | None = None) -> list[Column]:
     """Score first, then title (under a collation if given), then id, so that ranks are fixed."""
@@ -36,12 +38,16 @@ def page_of(page: int, total: Column, per_page: int) -> tuple[Column, Column]:
 
 
 def page(hits: DataFrame, number: int, per_page: int = 10, order: list[Column] | None = None) -> DataFrame:
-    """One page of each query's ranked hits, with total, total_pages and page. per_page is 10 or 20; pages past the end show the last."""
+    """One page of each query's ranked hits, with total, total_pages and page. per_page is 10 or 20; pages past the end show the last.
+
+    Hits are dealt by ranges of the order, so that the hits of one query needn't meet in one task.
+    """
     per_page = 20 if per_page == 20 else 10
-    totals = hits.groupBy("query_id").agg(F.count("*").alias("total"))
+    placed = ordinals(hits, F.col("query_id"), *(order or by_score()))
+    totals = placed.groupBy("query_id").agg(F.count("*").alias("total"), F.min("ordinal").alias("_first"))
     pages, shown = page_of(number, F.col("total"), per_page)
     totals = totals.withColumns({"total_pages": pages, "page": shown})
-    last = ranked(hits, order).join(totals, "query_id")
+    last = placed.join(totals, "query_id").withColumn("rank", (F.col("ordinal") - F.col("_first") + 1).cast("int")).drop("ordinal", "_first")
     return last.where((F.col("rank") > (F.col("page") - 1) * per_page) & (F.col("rank") <= F.col("page") * per_page))
 
 

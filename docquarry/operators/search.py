@@ -50,22 +50,20 @@ def documents(df: DataFrame, doc_id: Column, title: Column, text: Column, articl
     return base.withColumn("whole_norm", F.concat_ws("\n", "title_norm", "body_norm"))
 
 
-def parsed(queries: DataFrame, with_nfkc: bool = False) -> DataFrame:
+def parsed(queries: DataFrame, with_nfkc: bool = True) -> DataFrame:
     """(query_id, raw, q, has_ops, groups, norms, words) of (query_id, raw); queries that are empty after clean-up drop out.
 
-    Terms are normalized within the JVM; NFKC, where it matters, is applied to ``raw`` beforehand.
+    Operators are those written in the query; its terms get the normal form of the documents, NFKC included.
     """
-    clean = queries.select("query_id", Q.cleaned(normalize_for_search(F.col("raw")) if with_nfkc else F.col("raw")).alias("raw")).where("raw <> ''")
-    norm = lambda t: normalize_for_search(t, with_nfkc=False)
-    return clean.select(
-        "query_id",
-        "raw",
-        norm(F.col("raw")).alias("q"),
-        Q.has_operators(F.col("raw")).alias("has_ops"),
-        Q.groups(F.col("raw")).alias("groups"),
-        F.transform(Q.groups(F.col("raw")), lambda g: F.transform(g, norm)).alias("norms"),
-        tokens(norm(F.col("raw"))).alias("words"),
-    )
+    clean = queries.select("query_id", Q.cleaned(F.col("raw")).alias("raw")).where("raw <> ''")
+    clean = clean.withColumns({"q": normalize_for_search(F.col("raw"), with_nfkc), "has_ops": Q.has_operators(F.col("raw")), "groups": Q.groups(F.col("raw"))})
+    # a Python function can't stand within a lambda: terms are rows for it
+    terms = clean.select("query_id", F.posexplode("groups").alias("g", "terms")).select("query_id", "g", F.posexplode("terms").alias("t", "term"))
+    terms = terms.select("query_id", "g", "t", normalize_for_search(F.col("term"), with_nfkc).alias("term"))
+    in_order = lambda name: F.transform(F.sort_array(F.collect_list(F.struct(*name))), lambda x: x[name[-1]])
+    terms = terms.groupBy("query_id", "g").agg(in_order(("t", "term")).alias("norm")).groupBy(F.col("query_id").alias("_id")).agg(in_order(("g", "norm")).alias("norms"))
+    out = clean.join(terms, F.col("query_id") == F.col("_id"), "left").drop("_id")
+    return out.select("query_id", "raw", "q", "has_ops", "groups", F.coalesce("norms", F.array().cast("array<array<string>>")).alias("norms"), tokens(F.col("q")).alias("words"))
 
 
 def query_table(spark: SparkSession, raw: list[str]) -> DataFrame:

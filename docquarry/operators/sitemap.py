@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,24 +33,25 @@ def parse(sitemaps: DataFrame) -> DataFrame:
 
 
 def reach(entries: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
-    """(root, url, level): the sitemaps that each root reaches within ``depth`` levels, each once, at its first level.
+    """(root, url, level, path): the sitemaps that each root reaches within ``depth`` levels, each once.
 
-    Cycles end because a sitemap seen is not visited again. One equi-join for each level.
+    level: the first at which it is reached; path: the places at which sitemaps are named on the way, the first such path in reading order, which
+    takes a sitemap's own entries and then its nested sitemaps one after the other. Cycles end at the depth. One equi-join for each level.
     """
-    edges = written(entries.where("kind = 'sitemap'").select(F.col("url").alias("_from"), F.col("loc").alias("_to")))
-    frontier = roots.select(F.col("url").alias("root"), "url", F.lit(0).alias("level"))
+    edges = written(entries.where("kind = 'sitemap'").groupBy(F.col("url").alias("_from"), F.col("loc").alias("_to")).agg(F.min("pos").alias("_pos")))
+    frontier = roots.select(F.col("url").alias("root"), "url", F.lit(0).alias("level"), F.array().cast("array<int>").alias("path"))
     seen = frontier
     for level in range(1, depth + 1):
-        step = frontier.join(edges, F.col("url") == F.col("_from")).select("root", F.col("_to").alias("url"), F.lit(level).alias("level")).distinct()
-        frontier = written(step.join(seen.select("root", "url"), ["root", "url"], "left_anti"))
+        step = frontier.join(edges, F.col("url") == F.col("_from")).groupBy("root", F.col("_to").alias("url"))
+        frontier = written(step.agg(F.min(F.concat("path", F.array("_pos"))).alias("path")).select("root", "url", F.lit(level).alias("level"), "path"))
         seen = seen.unionByName(frontier)
-    return seen
+    return seen.groupBy("root", "url").agg(F.min("level").alias("level"), F.min("path").alias("path"))
 
 
 def items(entries: DataFrame, reached: DataFrame, canonical=lambda c: c) -> DataFrame:
     """(root, url, lastmod, ord): articles in reading order, the last entry of each canonical url at its first place."""
-    found = entries.where("kind = 'page'").join(reached.select("root", F.col("url").alias("_map"), "level"), F.col("url") == F.col("_map"))
-    listed = found.select("root", canonical(F.col("loc")).alias("url"), "lastmod", F.struct("level", "_map", "pos").alias("at")).where("url is not null")
+    found = entries.where("kind = 'page'").join(reached.select("root", F.col("url").alias("_map"), "path"), F.col("url") == F.col("_map"))
+    listed = found.select("root", canonical(F.col("loc")).alias("url"), "lastmod", F.struct("path", "pos").alias("at")).where("url is not null")
     key = listed.withColumn("k", F.struct("root", "url")).drop("root", "url")
     return keep_last(key, "k", F.col("at")).select("k.root", "k.url", "lastmod", F.col("first_at").alias("ord"))
 
@@ -68,7 +67,3 @@ def extra_urls(spark, text: str, canonical=lambda c: c) -> DataFrame:
     """(url) from a list separated by commas and line feeds."""
     one = spark.range(1).select(F.explode(F.split(F.lit(text), r"[\n,]")).alias("u"))
     return one.select(canonical(trim(F.col("u"))).alias("url")).where("url <> ''").distinct()
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

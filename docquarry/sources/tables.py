@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,15 +20,20 @@ WIKI_INDEX = "id string, title string, url string, last_edited string, text stri
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder; tests without one get a local folder."""
+    """``df`` written once to the shared checkpoint folder; only a local master (tests) may do without one and gets a local folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
-def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def read_parquet(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of a folder. ``spread``: over all cores where its files give fewer partitions; large tables stay as they are read."""
+    df, cores = spark.read.parquet(f"{folder}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -41,6 +47,22 @@ def _colons(schema: str) -> list[str]:
     return [f"`{f.name}`: {f.dataType.simpleString()}" for f in StructType.fromDDL(schema).fields]
 
 
+def write_records(df: DataFrame, path: str) -> None:
+    """Plain JSON artifacts, one object with an array ``records`` for each chunk_no, in a folder of its own; chunks are of bounded size."""
+    columns = [F.col(c) for c in df.columns if c != "chunk_no"]
+    df.groupBy("chunk_no").agg(F.collect_list(F.struct(*columns)).alias("records")).write.mode("overwrite").partitionBy("chunk_no").json(path)
+
+
+def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Page objects, one JSON line each, with ``ord``, their place in the listing, where the lines have one."""
+    return spark.read.schema(f"{WIKI_PAGES}, ord long").json(path)
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of wiki pages, one JSON line each; the payload stays text."""
+    return spark.read.schema(BLOCKS).json(path)
+
+
 def write_chunks(df: DataFrame, path: str) -> None:
     """One gzipped JSON line for each record, in a folder for each chunk_no."""
     df.write.mode("overwrite").option("compression", "gzip").partitionBy("chunk_no").json(path)
