@@ -14,11 +14,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
-from .exchange import exchange, pack_lists, pack_words, unpack_lists, unpack_words
-from .wordarrays import binary_array, text_bytes
+from .exchange import exchange, from_planes, pack_words, packed, planes, unpack_words, unpacked
+from .wordarrays import binary_array, text_bytes, word_buckets
 
 #: White space outside ASCII, and separators that engines class differently.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -76,18 +75,18 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
         data, starts, firsts = split_units(table.column("text"))
         found = binary_array(data, starts).dictionary_encode()
         words = found.dictionary
-        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words)) % np.uint64(buckets)
+        bucket = word_buckets(words, buckets)
         by_word = pa.compute.sort_indices(words).to_numpy()  # neighbours in order compress well
         order = by_word[np.argsort(bucket[by_word], kind="stable")].astype(np.int64)
-        groups = np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets, dtype=np.uint64)))
+        groups = np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets)))
         return found.indices.to_numpy(), words, groups, firsts
 
     def ask(table: pa.Table, buckets: int) -> list[bytes]:
         _, words, groups, _ = dictionary(table, buckets)
-        return [pack_words(words.take(pa.array(g))) if len(g) else b"" for g in groups]
+        return [packed(*pack_words(words.take(pa.array(g))), level=3) if len(g) else b"" for g in groups]
 
     def answer(payloads: list[bytes]) -> list[bytes]:
-        lists = [unpack_words(x) for x in payloads]
+        lists = [unpack_words(*unpacked(x)) for x in payloads]
         everything = pa.concat_arrays(lists).dictionary_encode()
         distinct = [w.decode() for w in everything.dictionary.to_pylist()]
         tokenizer, step = _tokenizer(shared.value), 20_000
@@ -95,11 +94,11 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
         table = pa.array(ids, pa.list_(pa.int32()))
         at = np.cumsum([0] + [len(x) for x in lists])
         answers = (table.take(everything.indices.slice(a, b - a)) for a, b in zip(at[:-1], at[1:], strict=True))
-        return [pack_lists(x.value_lengths().to_numpy(), x.flatten().to_numpy()) for x in answers]
+        return [packed(planes(x.value_lengths().to_numpy().astype(np.uint32)), planes(x.flatten().to_numpy().astype(np.uint32)), level=3) for x in answers]
 
     def finish(table: pa.Table, answers: list[bytes]) -> pa.Table:
         codes, words, groups, firsts = dictionary(table, len(answers))
-        got = [unpack_lists(x) for g, x in zip(groups, answers, strict=True) if len(g)]
+        got = [[from_planes(y, "<u4") for y in unpacked(x)] for g, x in zip(groups, answers, strict=True) if len(g)]
         place = np.zeros(len(words), np.int64)
         place[np.concatenate([*groups, np.zeros(0, np.int64)]).astype(np.int64)] = np.arange(len(words))
         sizes, values = (np.concatenate([*x, np.zeros(0, np.uint32)]) for x in (zip(*got, strict=True) if got else ((), ())))
@@ -108,7 +107,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
         at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(), dtype=np.int64)])[firsts]
         return pa.table({"doc_id": table.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), ids.flatten())})
 
-    return exchange(docs, ask, answer, finish, "doc_id long, ids array<int>", text, per_partition=4)
+    return exchange(docs, ask, answer, finish, "doc_id long, ids array<int>", text, chunk_bytes=2_500_000)
 
 
 def pieces(vocabulary: str) -> list[bytes]:
@@ -127,8 +126,9 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """Append ``decoded`` to rows with ``ids``: each id joined with its piece in the broadcast table of pieces (one
     row for each id of the vocabulary, a fixed bound), the pieces put together in order. Other columns pass through.
 
-    Null ids give a null text. Bytes that are no UTF-8 become U+FFFD.
+    Null ids give a null text. Bytes that are no UTF-8 become U+FFFD. A column named decoded is replaced.
     """
+    encoded = encoded.drop("decoded")
     shared = encoded.sparkSession.sparkContext.broadcast(pieces(vocabulary))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,17 +5,19 @@ distinct hashes, or its distinct words) to *buckets* by hash range, packed into
 bucket; a bucket sees everything with its hashes, and answers each chunk in the order in which the chunk
 sent; the answers meet the chunk's documents again. Spark deals, shuffles and groups the packed rows.
 A key that is everywhere costs one entry in each chunk, however often it occurs, so no task grows with a
-hot key. Chunks hold equal shares of the rows and buckets equal shares of the hash range; their number
-follows spark.sql.shuffle.partitions, which is to be set to what fits a task, as for any shuffle.
+hot key. Chunks hold about as many bytes of text each, however long the input is; buckets hold equal shares of the hash range, and
+there are as many as shuffle partitions, which are to be set to what fits a task, as for any shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import cut, shuffle_partitions
@@ -28,68 +30,68 @@ Answer = Callable[..., list[bytes]]
 Finish = Callable[[pa.Table, list[bytes]], pa.Table]
 
 
-def packed(table: pa.Table | pa.RecordBatch, level: int = 1) -> bytes:
-    """Columns as one compressed binary."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as out:
-        out.write(table)
-    return sink.getvalue().to_pybytes()
-
+@cache
+def _compressor(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
 
-def unpacked(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
 
+def packed(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """Arrays as one binary: a line of types, sizes and compressed sizes, then each array compressed by itself."""
+    frames = [_compressor(level).compress(np.ascontiguousarray(x).data) for x in arrays]
+    head = " ".join(f"{x.dtype.str},{len(x)},{len(f)}" for x, f in zip(arrays, frames, strict=True))
+    return b"".join([head.encode(), b"\n", *frames])
 
-def pack_array(values: np.ndarray) -> bytes:
-    return packed(pa.record_batch([pa.array(values)], ["x"]))
 
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    at = blob.index(b"\n") + 1
+    out, decompressor = [], zstandard.ZstdDecompressor()
+    for kind, n, size in (x.split(",") for x in blob[: at - 1].decode().split()):
+        out.append(np.frombuffer(decompressor.decompress(blob[at : at + int(size)]), kind, int(n)))
+        at += int(size)
+    return out
 
-def unpack_array(blob: bytes) -> np.ndarray:
-    return unpacked(blob).column(0).to_numpy()
 
-
-def _planes(values: np.ndarray, dtype: str) -> bytes:
-    """Numbers as bytes, all lowest bytes first."""
-    v = values.astype(dtype)
-    return np.ascontiguousarray(v.view(np.uint8).reshape(-1, v.itemsize).T).tobytes()
+def packed_table(table: pa.Table, level: int = 6) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return _compressor(level).compress(sink.getvalue())
 
 
-def _from_planes(data: bytes, dtype: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1)
+def unpacked_table(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
 
 
-def pack_words(words: pa.Array) -> bytes:
-    """Byte strings (large_binary): lengths and bytes apart, which compress better than offsets."""
-    w = pa.concat_arrays([words])
-    at = np.frombuffer(w.buffers()[1], np.int64)[w.offset : w.offset + len(w) + 1]
-    data = w.buffers()[2].to_pybytes()[at[0] : at[-1]] if w.buffers()[2] else b""
-    return packed(pa.record_batch([pa.array([_planes(np.diff(at), "<u4")], pa.binary()), pa.array([data], pa.large_binary())], ["n", "data"]), 3)
+def planes(values: np.ndarray) -> np.ndarray:
+    """Numbers as bytes, all lowest bytes first, so that equal high bytes compress."""
+    little = values.astype(values.dtype.newbyteorder("<"))
+    return np.ascontiguousarray(little.view(np.uint8).reshape(-1, little.itemsize).T).reshape(-1)
 
 
-def unpack_words(blob: bytes) -> pa.Array:
-    table = unpacked(blob)
-    at = np.concatenate([[0], np.cumsum(_from_planes(table.column("n")[0].as_py(), "<u4"), dtype=np.int64)])
-    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(table.column("data")[0].as_py())])
+def from_planes(data: np.ndarray, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1)
 
 
-def pack_lists(sizes: np.ndarray, values: np.ndarray) -> bytes:
-    """Lists of non-negative numbers, given as their sizes and all values."""
-    return packed(pa.record_batch([pa.array([_planes(sizes, "<u4")], pa.binary()), pa.array([_planes(values, "<u4")], pa.binary())], ["n", "values"]), 3)
+def pack_words(words: pa.Array) -> list[np.ndarray]:
+    """Byte strings (large_binary) as arrays: lengths and bytes apart, which compress better than offsets."""
+    w = pa.concat_arrays([words])
+    at = np.frombuffer(w.buffers()[1], np.int64)[w.offset : w.offset + len(w) + 1]
+    data = np.frombuffer(w.buffers()[2], np.uint8)[at[0] : at[-1]] if w.buffers()[2] else np.zeros(0, np.uint8)
+    return [planes(np.diff(at).astype(np.uint32)), data]
 
 
-def unpack_lists(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    table = unpacked(blob)
-    return _from_planes(table.column("n")[0].as_py(), "<u4"), _from_planes(table.column("values")[0].as_py(), "<u4")
+def unpack_words(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(from_planes(sizes, "<u4"), dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def pack_sorted(hashes: np.ndarray) -> np.ndarray:
-    """Ascending 64-bit numbers as bytes: their steps, all lowest bytes first, so that equal high bytes compress."""
-    steps = np.diff(hashes, prepend=np.uint64(0)).astype("<u8")
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).reshape(-1)
+    """Ascending 64-bit numbers as the bytes of their steps."""
+    return planes(np.diff(hashes, prepend=np.uint64(0)))
 
 
-def unpack_sorted(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
+def unpack_sorted(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(from_planes(steps, "<u8"), dtype=np.uint64)
 
 
 def bucket_bounds(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -105,24 +107,34 @@ def _in_order(table: pa.Table) -> pa.Table:
     return table.take(pa.compute.sort_indices(key, [("n", "ascending"), ("i", "ascending"), ("t", "ascending")])) if len(table) else table
 
 
-def number_of_chunks(docs: DataFrame, per_partition: int) -> int:
-    """So many for each shuffle partition, fewer where a chunk would have under 250 rows."""
-    return max(1, min(per_partition * shuffle_partitions(docs.sparkSession), 1 + docs.select("doc_id").count() // 250))
+def chunk_edges(docs: DataFrame, text: Column, chunk_bytes: int) -> np.ndarray:
+    """Ids that part chunks of about ``chunk_bytes`` of text, from a bounded sample; it decides the balance and no result."""
+    told = docs.select("doc_id", F.octet_length(text).cast("long").alias("size"))
+    rows, size = told.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n = max(1, -(-size // chunk_bytes))
+    if n == 1:
+        return np.zeros(0, np.int64)
+    sample = told.sample(min(1.0, max(100_000, 20 * n) / rows), seed=1) if rows > 100_000 else told
+    found = sample.where("doc_id is not null").toPandas().sort_values("doc_id")
+    upto = found["size"].cumsum().to_numpy()
+    at = np.searchsorted(upto, upto[-1:] * np.arange(1, n) / n) if len(found) else np.zeros(0, np.int64)
+    return np.unique(found["doc_id"].to_numpy(np.int64)[at])
 
 
-def exchange(docs: DataFrame, ask: Ask, answer: Answer, finish: Finish, schema: str, text: str = "text", per_partition: int = 2, by_hash: bool = False, beside: Callable[[int], DataFrame] | None = None) -> DataFrame:
+def exchange(docs: DataFrame, ask: Ask, answer: Answer, finish: Finish, schema: str, text: str = "text", chunk_bytes: int = 5_000_000, by_hash: bool = False, beside: Callable[[int], DataFrame] | None = None) -> DataFrame:
     """Run the three steps over (doc_id, text); null texts count as empty. Rows of ``schema`` come from ``finish``.
 
-    ``per_partition``: chunks for each shuffle partition; more make them smaller. ``by_hash``: doc_id is a 64-bit hash of the
-    text, evenly spread; each of them then counts once, and a task sends a text that it sees again not again.
+    ``chunk_bytes``: text in a chunk, which a task holds several times over. Buckets are as many as shuffle partitions. ``by_hash``: doc_id is a 64-bit
+    hash of the text, evenly spread; each of them then counts once, and a task sends a text that it sees again not again.
     ``beside``: number of buckets -> a table with a column bucket (int), of which each bucket sees its rows.
     """
-    n = number_of_chunks(docs, per_partition)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    buckets = shuffle_partitions(docs.sparkSession)
     if by_hash:
+        n = max(1, -(-(docs.agg(F.sum(F.octet_length(whole).cast("long"))).first()[0] or 0) // chunk_bytes))
         edges = np.array([(i << 64) // n - (1 << 63) for i in range(1, n)], np.int64)
     else:
-        cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-        edges = np.array(sorted(set(cuts)), np.int64)
+        edges = chunk_edges(docs, whole, chunk_bytes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -135,11 +147,11 @@ def exchange(docs: DataFrame, ask: Ask, answer: Answer, finish: Finish, schema:
             order = np.argsort(chunk, kind="stable")
             batch, chunk = batch.take(pa.array(order)), chunk[order]
             at = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]]) if len(chunk) else [0]
-            parts = [(int(chunk[a]), packed(pa.Table.from_batches([batch.slice(a, b - a)]).combine_chunks(), 6)) for a, b in zip(at[:-1], at[1:], strict=True)]
+            parts = [(int(chunk[a]), packed_table(pa.Table.from_batches([batch.slice(a, b - a)]).combine_chunks())) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.record_batch([pa.array([c for c, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["chunk", "docs"])
 
     def documents_of(table: pa.Table) -> pa.Table:
-        found = _in_order(pa.concat_tables([unpacked(x.as_py()) for x in table.column("docs")]).combine_chunks())
+        found = _in_order(pa.concat_tables([unpacked_table(x.as_py()) for x in table.column("docs")]).combine_chunks())
         if by_hash and len(found):
             ids = found.column("doc_id").to_numpy()
             found = found.filter(pa.array(np.concatenate([[True], ids[1:] != ids[:-1]])))
@@ -147,7 +159,7 @@ def exchange(docs: DataFrame, ask: Ask, answer: Answer, finish: Finish, schema:
 
     def asking(key, table):
         pa.default_memory_pool().release_unused()  # what the group before left
-        asked = ask(documents_of(table), n)
+        asked = ask(documents_of(table), buckets)
         some = [b for b, x in enumerate(asked) if x]
         return pa.table({"bucket": pa.array(some, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(some), pa.int32()), "asked": pa.array([asked[b] for b in some], pa.binary())})
 
@@ -165,13 +177,13 @@ def exchange(docs: DataFrame, ask: Ask, answer: Answer, finish: Finish, schema:
     def finishing(key, left, right):
         pa.default_memory_pool().release_unused()
         got = dict(zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist(), strict=True))
-        return finish(documents_of(left), [got.get(b, b"") for b in range(n)])
+        return finish(documents_of(left), [got.get(b, b"") for b in range(buckets)])
 
-    dealt = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(deal, "chunk int, docs binary")
+    dealt = docs.select("doc_id", whole.alias("text")).mapInArrow(deal, "chunk int, docs binary")
     asked = dealt.groupBy("chunk").applyInArrow(asking, "bucket int, chunk int, asked binary")
     answered = asked.groupBy("bucket")
     if beside is not None:
-        answered = answered.cogroup(beside(n).groupBy("bucket")).applyInArrow(answering_beside, "chunk int, bucket int, answer binary")
+        answered = answered.cogroup(beside(buckets).groupBy("bucket")).applyInArrow(answering_beside, "chunk int, bucket int, answer binary")
     else:
         answered = answered.applyInArrow(answering, "chunk int, bucket int, answer binary")
     return dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(finishing, schema)

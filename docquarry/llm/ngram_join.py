@@ -22,13 +22,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, own_columns
 from .components import components, small
-from .exchange import bucket_bounds, exchange, pack_array, pack_sorted, packed, unpack_array, unpack_sorted, unpacked
+from .exchange import bucket_bounds, exchange, pack_sorted, packed, unpack_sorted, unpacked
 from .wordarrays import Words, inside_documents, window_hashes
 
 #: Longest extension of a prefix, and what it costs to verify a candidate, in postings read.
 MOST_MATCHES, VERIFY_COST = 4, 20.0
+#: Documents of a home that meet its majority set in one group.
+SALT = 256
 
 
 def shingles(docs: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,12 +58,11 @@ def shingles(docs: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
 def _classes(payloads: list[bytes]) -> list[bytes]:
     """For each chunk's hashes in a bucket: 0 if one document has it, else a class that grows with the documents."""
     tables = [unpacked(x) for x in payloads]
-    lists = [unpack_sorted(unpack_array(t.column("h")[0].as_py())) for t in tables]
-    counts = np.concatenate([unpack_array(t.column("n")[0].as_py()) for t in tables])
+    lists, counts = [unpack_sorted(h) for h, _ in tables], np.concatenate([n for _, n in tables])
     _, place = np.unique(np.concatenate(lists), return_inverse=True)
     total = np.bincount(place, counts)
     grade = np.where(total <= 1, 0, 1 + np.minimum(253, (6 * np.log2(np.maximum(total, 1))).astype(np.int64))).astype(np.uint8)
-    return [pack_array(x) for x in np.split(grade[place], np.cumsum([len(x) for x in lists])[:-1])]
+    return [packed(x) for x in np.split(grade[place], np.cumsum([len(x) for x in lists])[:-1])]
 
 
 def _least_overlap(n: np.ndarray | int, num: int, den: int):
@@ -96,11 +97,11 @@ def profiles(texts: DataFrame, width: int = 5, num: int = 3, den: int = 4) -> Da
         _, _, distinct, place = sets(table)
         n = np.bincount(place, minlength=len(distinct)).astype(np.uint32)
         at = bucket_bounds(distinct, buckets)
-        return [packed(pa.record_batch([pa.array([pack_array(pack_sorted(distinct[a:b]))], pa.binary()), pa.array([pack_array(n[a:b])], pa.binary())], ["h", "n"])) if b > a else b"" for a, b in zip(at[:-1], at[1:], strict=True)]
+        return [packed(pack_sorted(distinct[a:b]), n[a:b]) if b > a else b"" for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def finish(table: pa.Table, answers: list[bytes]) -> pa.Table:
         hashes, at, _, place = sets(table)
-        grades = np.concatenate([*[unpack_array(x) for x in answers if x], np.zeros(0, np.uint8)])[place]
+        grades = np.concatenate([*[unpacked(x)[0] for x in answers if x], np.zeros(0, np.uint8)])[place]
         known, rows = set(), []
         for a, b in zip(at[:-1], at[1:], strict=True):
             n = int(b - a)
@@ -196,8 +197,12 @@ def _differences(members: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     seen = own.select("home", "size", F.explode("shared").alias("h")).groupBy("home", "h").agg(F.count("*").alias("c"), F.first("size").alias("size"))
     seen = cut(seen.select("home", "h", (2 * F.col("c") > F.col("size")).alias("usual"), F.least("c", F.col("size") - F.col("c")).alias("rare")))
     usual = seen.where("usual").groupBy("home").agg(F.collect_list("h").alias("usual"))  # as many as a set of average size twice at most
+    # a home may hold a third of all documents: they meet their majority set in parts of about SALT documents
+    parts = F.ceil(F.col("size") / SALT).cast("int")
+    usual = members.select("home", parts.alias("parts")).distinct().join(usual, "home").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    own = own.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
     apart = F.concat(F.array_except("usual", "shared"), F.array_except("shared", "usual"))
-    differing = cut(own.join(usual, "home", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<long>"))).select("doc_id", "home", "component", "n", F.size("shared").cast("long").alias("m"), apart.alias("apart")))
+    differing = cut(own.join(usual, ["home", "part"], "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<long>"))).select("doc_id", "home", "component", "n", F.size("shared").cast("long").alias("m"), apart.alias("apart")))
     ordered = differing.select("doc_id", "home", F.explode("apart").alias("h")).join(seen.select("home", "h", "rare"), ["home", "h"])
     ordered = ordered.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rare", "h"))).alias("away"))
     excess = (num + den) * (F.size("apart") + F.col("n") - F.col("m")) - (den - num) * F.col("n")
@@ -212,9 +217,9 @@ def _within_homes(told: DataFrame, num: int, den: int) -> DataFrame:
     components have at least one difference in common. A document's prefix is so long that it holds the first of those which it has in common with any partner.
     """
     least = told.groupBy("home").agg(F.min_by(F.struct(F.col("component").alias("c"), F.col("excess").alias("e")), F.struct("excess", "doc_id")).alias("one"))
-    told = told.join(least, "home")
+    told = told.join(small(cut(least)), "home")
     second = told.where(F.col("component") != F.col("one.c")).groupBy("home").agg(F.min("excess").alias("e2"))
-    told = told.join(second, "home")  # homes with one component drop out
+    told = told.join(small(cut(second)), "home")  # homes with one component drop out
     partner = F.when(F.col("component") == F.col("one.c"), F.col("e2")).otherwise(F.col("one.e"))
     asked = F.greatest(F.lit(1), F.ceil((F.col("excess") + partner) / (2 * (num + den)))).cast("int")
     rows = told.select("doc_id", "home", "component", "excess", F.size("away").alias("size"), F.posexplode(F.slice("away", F.lit(1), F.greatest(F.lit(0), F.size("away") - asked + 1))).alias("at", "x"))
@@ -244,10 +249,10 @@ def linked(sets: DataFrame, num: int, den: int) -> DataFrame:
     homes = cut(_homes(rest, compared))
     rest = cut(rest.join(homes, "doc_id"))
     sizes = homes.groupBy("home").agg(F.count("*").alias("size")).where("size > 1")
-    told = _differences(homes.join(sizes, "home").join(rest.select("doc_id", "component").distinct(), "doc_id"), sets, num, den)
+    told = _differences(homes.join(small(cut(sizes)), "home").join(rest.select("doc_id", "component").distinct(), "doc_id"), sets, num, den)
     # the most central document of a home: what is near enough to it is linked, whatever the differences
     central = told.groupBy("home").agg(F.min_by(F.struct(F.col("doc_id").alias("b"), F.col("excess").alias("e")), F.struct("excess", "doc_id")).alias("one"))
-    central = told.join(central, "home").where((F.col("doc_id") != F.col("one.b")) & (F.col("excess") + F.col("one.e") <= 0)).select(F.col("doc_id").alias("a"), "one.b")
+    central = told.join(small(cut(central)), "home").where((F.col("doc_id") != F.col("one.b")) & (F.col("excess") + F.col("one.e") <= 0)).select(F.col("doc_id").alias("a"), "one.b")
     known = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
     grouped = cut(components(known.unionByName(central)))
     told = cut(_placed(told.drop("component"), grouped))
@@ -284,7 +289,8 @@ def groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, text: st
 
 
 def keep_first(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component, with their own columns. A null doc_id stays."""
-    columns = docs.columns
-    gone = groups(docs, text=text, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(cut(gone)), F.col("doc_id") == F.col("_gone"), "left_anti").select(*columns)
+    """The rows of ``docs`` whose doc_id is the smallest of their component, with their own columns, whatever their names. A null doc_id stays."""
+    gone = groups(docs.select("doc_id", F.col(text).alias("text")), **options).where("component_id <> doc_id").select("doc_id").distinct()
+    mine = docs.select("doc_id", own_columns(docs).alias("own"))
+    kept = mine.join(small(cut(gone)), "doc_id", "left_anti")
+    return kept.select(*[F.col(f"own.`{c}`").alias(c) for c in docs.columns])

@@ -10,17 +10,12 @@ distinct grams up by exchange.
 
 A gram's shorter grams are at least as frequent, so each context's symbols are among those of the
 context shorter by one byte, and what exclusion leaves is a difference of sums.
-
-``train`` and ``code_lengths`` are the same model as two dense tables on one machine, the log probability and the next context for
-each (context, symbol). They keep the grams seen at least ``t`` times, t the smallest power of two for which
-contexts times symbols fit ``cells``. No query uses them.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +24,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .base import cut
-from .exchange import exchange, pack_sorted, packed, unpack_sorted, unpacked
-from .wordarrays import _LOWER, Words, text_bytes
+from .exchange import exchange, from_planes, pack_sorted, pack_words, packed, planes, unpack_sorted, unpack_words, unpacked
+from .wordarrays import _LOWER, Words, text_bytes, word_buckets
 
 #: Symbols: bytes, and the end of a text, which also stands before its beginning.
 END, SYMBOLS = 256, 257
 
 
-@dataclass(frozen=True)
-class Model:
-    """Tables over (context, column); columns are the known symbols and, last, all others."""
-
-    column: np.ndarray  #: of each symbol
-    log10: np.ndarray  #: float32, row by row
-    goto: np.ndarray  #: int32, row by row: the next context times the number of columns
-    start: int  #: the context before a text, times the number of columns
-    order: int
-
-
 def is_training(doc_id: Column, folds: int = 10) -> Column:
     """Whether crc32 of the id as text isn't 0 modulo ``folds``; a null id counts as empty text, which is held out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds != 0
@@ -76,7 +60,7 @@ def _grams(texts: pa.Array | pa.ChunkedArray, order: int) -> tuple[np.ndarray, n
 
 
 def _gram_rows(docs: DataFrame, order: int, text: str) -> DataFrame:
-    """(gram long, n long): counts of count_grams() in parts, several rows for a gram."""
+    """(gram long, n long): every gram of order + 1 symbols, in base 257, that ends within a text or at its end, with counts in parts, several rows for a gram."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_g, held_n = [], []
@@ -88,9 +72,9 @@ def _gram_rows(docs: DataFrame, order: int, text: str) -> DataFrame:
         for batch in batches:
             size = max(1, int(len(batch) * 4e6 // max(1, batch.nbytes)))
             for i in range(0, len(batch), size):  # pieces of about 4 MB
-                g, n = np.unique(_grams(batch.column(0).slice(i, size), order)[0], return_counts=True)
-                held_g.append(g)
-                held_n.append(n.astype(np.float64))
+                found = pa.array(_grams(batch.column(0).slice(i, size), order)[0]).dictionary_encode()
+                held_g.append(found.dictionary.to_numpy())
+                held_n.append(np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)).astype(np.float64))
                 if sum(map(len, held_g)) > 4_000_000:  # bounded memory: what is summed so far goes out
                     g, n = merged()
                     held_g, held_n = [g], [n.astype(np.float64)]
@@ -103,11 +87,6 @@ def _gram_rows(docs: DataFrame, order: int, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(count, "gram long, n long")
 
 
-def count_grams(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
-    """(gram long, n long): every gram of order + 1 symbols that ends within a text or at its end, in base 257."""
-    return _gram_rows(docs, order, text).groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def gram_scores(docs: DataFrame, learns: Column, order: int = 5, text: str = "text") -> DataFrame:
     """(gram, worth): log10 probability of the last symbol of each gram of ``docs`` after the others, trained where ``learns``.
 
@@ -139,105 +118,6 @@ def gram_scores(docs: DataFrame, learns: Column, order: int = 5, text: str = "te
     return level.select(g.alias("gram"), "worth")
 
 
-def train(docs: DataFrame, order: int = 5, cells: int = 12_000_000, text: str = "text") -> Model:
-    """The model of all ``docs``. Without documents every symbol is as likely as any other."""
-    grams = cut(count_grams(docs, order, text))
-    suffixes = F.transform(F.sequence(F.lit(0), F.lit(order)), lambda k: F.struct(k.alias("k"), (F.col("gram") % F.pow(F.lit(SYMBOLS), k + 1).cast("long")).alias("g")))
-    nodes = grams.select(F.explode(suffixes).alias("s"), "n").groupBy("s.k", "s.g").agg(F.sum("n").alias("n"))
-    nodes = cut(nodes)
-    context = F.floor(F.col("g") / SYMBOLS).cast("long")
-    grades = nodes.groupBy("k", context.alias("c")).agg(F.floor(F.log2(F.max("n").cast("double"))).cast("int").alias("grade")).groupBy("grade").count().collect()
-    columns = nodes.where("k = 0").count() + 1
-    grade = 0
-    while sum(x["count"] for x in grades if x.grade >= grade) * columns > cells:
-        grade += 1
-    kept = nodes.where(F.col("n") >= 2**grade).toPandas()  # at most ``cells`` rows, one for each filled cell
-    return _model(kept.k.to_numpy(np.int64), kept.g.to_numpy(np.int64), kept.n.to_numpy(np.float64), order)
-
-
-def _model(k: np.ndarray, g: np.ndarray, n: np.ndarray, order: int) -> Model:
-    """Tables from grams: their order k, code g and count n."""
-    known = np.sort(g[k == 0])
-    width = len(known) + 1
-    column = np.full(SYMBOLS, width - 1, np.int32)
-    column[known] = np.arange(len(known))
-    contexts = [np.unique(g[k == j] // SYMBOLS) for j in range(order + 1)]
-    contexts[0] = np.zeros(1, np.int64)
-    first = np.cumsum([0] + [len(c) for c in contexts])  # the row of the first context of each length
-    counts = np.zeros((first[-1], width), np.float32)
-    rows = np.zeros(len(g), np.int64)
-    for j in range(order + 1):
-        some = k == j
-        rows[some] = first[j] + np.searchsorted(contexts[j], g[some] // SYMBOLS)
-    counts[rows, column[g % SYMBOLS]] = n
-    total, kinds = counts.sum(1, dtype=np.float64), (counts > 0).sum(1).astype(float)
-    log10 = np.zeros((first[-1], width), np.float32)  # first: of what is left after an escape
-    log10[0] = -np.log10(max(1, SYMBOLS - kinds[0]))
-    parents = [np.zeros(1, np.int64)]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for j in range(1, order + 1):
-            a, b = first[j], first[j + 1]
-            parent = first[j - 1] + np.searchsorted(contexts[j - 1], contexts[j] % SYMBOLS ** (j - 1))
-            parents.append(parent)
-            for s in range(a, b, 50_000):
-                e = min(b, s + 50_000)
-                up = parent[s - a : e - a]
-                fresh = np.where(counts[s:e] > 0, np.float32(0), counts[up])
-                left, open_kinds = fresh.sum(1, dtype=np.float64), kinds[up] - kinds[s:e]
-                escape = np.where(open_kinds > 0, np.log10(open_kinds / (left + open_kinds)), 0.0)
-                log10[s:e] = np.where(fresh > 0, np.log10(fresh / (left + open_kinds)[:, None]), escape[:, None] + log10[up])
-        for s in range(0, first[-1], 50_000):
-            c, t, d = counts[s : s + 50_000], total[s : s + 50_000, None], kinds[s : s + 50_000, None]
-            escape = np.where(d > 0, np.log10(d / (t + d)), 0.0)
-            if s == 0 and kinds[0] >= SYMBOLS:  # the empty context knows all symbols and never escapes
-                t[0], d[0] = t[0], 0.0
-            log10[s : s + 50_000] = np.where(c > 0, np.log10(c / (t + d)), escape + log10[s : s + 50_000])
-    goto = np.zeros((first[-1], width), np.int32)
-    symbol = np.append(known, 0)
-    for j in range(order + 1):
-        a, b = first[j], first[j + 1]
-        for s in range(a, b, 50_000):
-            e = min(b, s + 50_000)
-            goto[s:e] = 0 if j == 0 else goto[parents[j][s - a : e - a]]
-            if j < order and len(contexts[j + 1]):
-                code = contexts[j][s - a : e - a, None] * SYMBOLS + symbol[None]
-                at = np.minimum(np.searchsorted(contexts[j + 1], code), len(contexts[j + 1]) - 1)
-                hit = contexts[j + 1][at] == code
-                hit[:, -1] = False
-                goto[s:e] = np.where(hit, first[j + 1] + at, goto[s:e])
-    state = 0
-    for _ in range(order):
-        state = goto[state, column[END]]
-    goto *= np.int32(width)
-    return Model(column, log10.reshape(-1), goto.reshape(-1), int(state) * width, order)
-
-
-def code_lengths(model: Model, texts: pa.Array | pa.ChunkedArray, piece: int = 512) -> np.ndarray:
-    """log10 probability of each text, its end included."""
-    k = model.order
-    symbols, own = _symbols(texts, k)
-    columns = model.column[symbols]
-    sizes = np.diff(own) - k
-    parts = -(-sizes // piece)
-    doc = np.repeat(np.arange(len(sizes)), parts)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = own[doc] + k + nth * piece
-    length = np.minimum(piece, own[doc + 1] - begin)
-    order = np.argsort(-length, kind="stable")
-    doc, begin, length = doc[order], begin[order], length[order]
-    state = np.zeros(len(doc), np.int64)
-    for step in range(k, 0, -1):  # the bytes before a piece, or the ends before a text
-        state = model.goto[state + columns[begin - step]].astype(np.int64)
-    total = np.zeros(len(doc))
-    active = np.searchsorted(-length, -np.arange(piece), side="left")  # pieces longer than each step
-    for step in range(int(length.max(initial=0))):
-        n = active[step]
-        cell = state[:n] + columns[begin[:n] + step]
-        total[:n] += model.log10[cell]
-        state[:n] = model.goto[cell]
-    return np.bincount(doc, total, minlength=len(sizes))
-
-
 def _bucket(gram, buckets: int):
     """A gram's bucket; the same over numpy arrays and over columns."""
     return gram % 2_147_483_647 % buckets
@@ -261,17 +141,18 @@ def score(docs: DataFrame, order: int = 5, folds: int = 10, text: str = "text")
         codes, distinct = found.codes()
         # the end is a word that no text can hold
         distinct = pa.concat_arrays([distinct.cast(pa.large_binary()), pa.array([b"\n"], pa.large_binary())])
-        bucket = np.fromiter((zlib.crc32(w) for w in distinct.to_pylist()), np.int64, len(distinct)) % buckets
+        bucket = word_buckets(distinct, buckets)
         by_bucket = np.argsort(bucket, kind="stable")
         return found, codes, distinct, by_bucket, np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
 
     def grams(table: pa.Table, buckets: int):
-        """All grams, how many each text has, and the distinct ones, ascending, with their order by bucket."""
+        """Each gram's number, how many each text has, and the distinct ones with their order by bucket and value."""
         gram, sizes = _grams(table.column("text"), order)
-        distinct = np.unique(gram)
+        coded = pa.array(gram).dictionary_encode()
+        distinct = coded.dictionary.to_numpy()
         bucket = _bucket(distinct, buckets)
-        by_bucket = np.argsort(bucket, kind="stable")
-        return gram, sizes, distinct, by_bucket, np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+        by_bucket = np.lexsort((distinct, bucket))
+        return coded.indices.to_numpy(), sizes, distinct, by_bucket, np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
 
     def ask(table: pa.Table, buckets: int) -> list[bytes]:
         found, codes, distinct, by_bucket, at = words(table, buckets)
@@ -283,47 +164,43 @@ def score(docs: DataFrame, order: int = 5, folds: int = 10, text: str = "text")
 
         def payload(k: int) -> bytes:
             some = by_bucket[at[k] : at[k + 1]]
-            columns = [distinct.take(pa.array(some)), pa.array(n[some]), pa.array(pack_sorted(gram[grams_at[k] : grams_at[k + 1]]))]
-            return packed(pa.record_batch([pa.array([x], pa.large_list(x.type)) for x in columns], ["w", "n", "grams"]))
+            return packed(*pack_words(distinct.take(pa.array(some))), planes(n[some]), pack_sorted(gram[grams_at[k] : grams_at[k + 1]]))
 
         return [payload(k) for k in range(buckets)]  # every bucket is asked, if only for its totals
 
     def answer(payloads: list[bytes], scored: pa.Table) -> list[bytes]:
-        tables = [unpacked(x) for x in payloads]
-        words_of = [pa.table({"w": t.column("w").combine_chunks().flatten(), "n": t.column("n").combine_chunks().flatten()}) for t in tables]
-        whole = pa.concat_tables(words_of).combine_chunks()
-        codes = whole.column("w").combine_chunks().dictionary_encode().indices.to_numpy()
-        total = np.bincount(codes, whole.column("n").to_numpy()).astype(np.int64) if len(whole) else np.zeros(0, np.int64)
+        asked = [unpacked(x) for x in payloads]
+        whole = pa.concat_arrays([unpack_words(sizes, data) for sizes, data, _, _ in asked])
+        codes = whole.dictionary_encode().indices.to_numpy()
+        total = np.bincount(codes, np.concatenate([from_planes(n, "<u4") for _, _, n, _ in asked])).astype(np.int64) if len(whole) else np.zeros(0, np.int64)
         sums = [int(total.sum()), int((total > 0).sum())]
-        parts = np.split(total[codes], np.cumsum([len(t) for t in words_of])[:-1])
+        parts = np.split(total[codes], np.cumsum([len(n) // 4 for _, _, n, _ in asked])[:-1])
         gram, worth = scored.column("gram").to_numpy(), scored.column("worth").to_numpy()
         by_gram = np.argsort(gram)
         gram, worth = gram[by_gram], worth[by_gram].astype(np.float32)
         out = []
-        for t, x in zip(tables, parts, strict=True):
-            asked = unpack_sorted(t.column("grams").combine_chunks().flatten().to_numpy()).astype(np.int64)
-            at = np.searchsorted(gram, asked)
-            if not np.array_equal(gram[at], asked):
+        for (_, _, _, steps), counts in zip(asked, parts, strict=True):
+            wanted = unpack_sorted(steps).astype(np.int64)
+            at = np.searchsorted(gram, wanted)
+            if not np.array_equal(gram[at], wanted):
                 raise ValueError("a gram of the documents was not scored")
-            columns = [pa.array(np.concatenate([sums, x]).astype(np.int64)), pa.array(worth[at])]
-            out.append(packed(pa.record_batch([pa.array([c], pa.large_list(c.type)) for c in columns], ["words", "worth"])))
+            out.append(packed(planes(np.concatenate([sums, counts]).astype(np.int64)), planes(worth[at])))
         return out
 
     def finish(table: pa.Table, answers: list[bytes]) -> pa.Table:
         found, codes, distinct, by_bucket, _ = words(table, len(answers))
-        answered = [unpacked(x) for x in answers]
-        got = [t.column("words").combine_chunks().flatten().to_numpy() for t in answered]
-        tokens, kinds = sum(int(x[0]) for x in got), sum(int(x[1]) for x in got)
+        answered = [(from_planes(c, "<i8"), from_planes(w, "<f4")) for c, w in map(unpacked, answers)]
+        tokens, kinds = sum(int(x[0]) for x, _ in answered), sum(int(x[1]) for x, _ in answered)
         c = np.zeros(len(distinct), np.int64)
-        c[by_bucket] = np.concatenate([x[2:] for x in got])
+        c[by_bucket] = np.concatenate([x[2:] for x, _ in answered])
         worth = np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
         doc = np.repeat(np.arange(len(table)), np.diff(found.docs))
         base = np.bincount(doc, worth[codes], minlength=len(table)) + worth[-1]
         known = np.bincount(doc, c[codes] > 0, minlength=len(table)).astype(np.int64) + int(c[-1] > 0)
-        gram, sizes, kinds_of, grams_by_bucket, _ = grams(table, len(answers))
+        gram_codes, sizes, kinds_of, grams_by_bucket, _ = grams(table, len(answers))
         of_gram = np.zeros(len(kinds_of), np.float32)
-        of_gram[grams_by_bucket] = np.concatenate([t.column("worth").combine_chunks().flatten().to_numpy() for t in answered])
-        scores = np.bincount(np.repeat(np.arange(len(table)), sizes), of_gram[np.searchsorted(kinds_of, gram)], minlength=len(table))
+        of_gram[grams_by_bucket] = np.concatenate([x for _, x in answered])
+        scores = np.bincount(np.repeat(np.arange(len(table)), sizes), of_gram[gram_codes], minlength=len(table))
         return pa.table(
             {
                 "doc_id": table.column("doc_id"),
@@ -338,4 +215,4 @@ def score(docs: DataFrame, order: int = 5, folds: int = 10, text: str = "text")
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     beside = lambda buckets: worths.withColumn("bucket", _bucket(F.col("gram"), buckets).cast("int"))
-    return exchange(docs, ask, answer, finish, schema, text, per_partition=4, beside=beside)
+    return exchange(docs, ask, answer, finish, schema, text, chunk_bytes=2_500_000, beside=beside)

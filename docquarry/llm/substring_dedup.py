@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .exchange import bucket_bounds, exchange, pack_array, pack_sorted, unpack_array, unpack_sorted
+from .exchange import bucket_bounds, exchange, pack_sorted, packed, unpack_sorted, unpacked
 from .wordarrays import Words, inside_documents, window_hashes
 
 
@@ -20,13 +20,13 @@ def _windows(docs: pa.Table, width: int) -> tuple[Words, np.ndarray, np.ndarray]
 
 def seen_earlier(payloads: list[bytes]) -> list[bytes]:
     """For each chunk's hashes in a bucket, bits that say whether an earlier chunk has the hash too."""
-    lists = [unpack_sorted(unpack_array(x)) for x in payloads]
+    lists = [unpack_sorted(unpacked(x)[0]) for x in payloads]
     everything = np.concatenate(lists)
     order = np.argsort(everything, kind="stable")  # equal hashes stay in the order of chunks
     ordered = everything[order]
     seen = np.zeros(len(everything), bool)
     seen[order[1:]] = ordered[1:] == ordered[:-1]
-    return [pack_array(np.packbits(x)) for x in np.split(seen, np.cumsum([len(x) for x in lists])[:-1])]
+    return [packed(np.packbits(x)) for x in np.split(seen, np.cumsum([len(x) for x in lists])[:-1])]
 
 
 def joined(words: Words, keep: np.ndarray) -> pa.Array:
@@ -57,13 +57,13 @@ def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text") -> Data
     def ask(table: pa.Table, buckets: int) -> list[bytes]:
         distinct = np.unique(_windows(table, width)[2])
         at = bucket_bounds(distinct, buckets)
-        return [pack_array(pack_sorted(distinct[a:b])) if b > a else b"" for a, b in zip(at[:-1], at[1:], strict=True)]
+        return [packed(pack_sorted(distinct[a:b])) if b > a else b"" for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def finish(table: pa.Table, answers: list[bytes]) -> pa.Table:
         words, starts, hashes = _windows(table, width)
         distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
         at = bucket_bounds(distinct, len(answers))
-        bits = [np.unpackbits(unpack_array(x), count=b - a) for a, b, x in zip(at[:-1], at[1:], answers, strict=True) if b > a]
+        bits = [np.unpackbits(unpacked(x)[0], count=b - a) for a, b, x in zip(at[:-1], at[1:], answers, strict=True) if b > a]
         earlier = np.concatenate([*bits, np.zeros(0, np.uint8)]).astype(bool)
         repeated = starts[earlier[place] | (first[place] != np.arange(len(place)))]
         cover = np.zeros(len(words) + 1, np.int32)

@@ -28,6 +28,19 @@ def binary_array(data: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def word_buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    """A bucket for each byte string (large_binary, none empty), by a polynomial of its bytes."""
+    w = pa.concat_arrays([words])
+    at = np.frombuffer(w.buffers()[1], np.int64)[w.offset : w.offset + len(w) + 1] if len(w) else np.zeros(1, np.int64)
+    if len(at) == 1:
+        return np.zeros(0, np.int64)
+    data = np.frombuffer(w.buffers()[2], np.uint8)[at[0] : at[-1]]
+    sizes, first = np.diff(at), at[:-1] - at[0]
+    powers = np.cumprod(np.full(int(sizes.max()), _BASE, np.uint64), dtype=np.uint64)
+    mixed = _mixed(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(first, sizes)], first))
+    return (mixed % np.uint64(buckets)).astype(np.int64)
+
+
 @dataclass
 class Words:
     """The words of some documents, one after the other."""
