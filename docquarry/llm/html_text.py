@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,8 +51,12 @@ _ATTRIBUTE = re.compile(r"([^\s/=][^\s/=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^
 _MAY_HIDE = re.compile(r"hidden|style", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_SPAN = re.compile(r"\s*(\d{1,3})")
-_START = re.compile(r"\s*(-?\d{1,9})")
+_NUMBER = re.compile(r"\s*(-?\d{1,12})")
+
+#: Fixed: the largest spans of a cell that HTML knows.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+#: Padding of a cell and indentation of a line stop here, so that a page's text is no longer than a multiple of its source. Text is never cut.
+WIDEST, DEEPEST = 60, 40
 
 
 class Node:
@@ -179,8 +184,8 @@ class _Out:
             if self.blank and self.lines:
                 self.lines.append("")
             self.blank = False
-            indent = "".join(self.indent)
-            self.line.append(indent[: len(indent) - len(self.mark)] + self.mark if self.mark else indent)
+            indent = "".join(self.indent[:DEEPEST])[:DEEPEST]
+            self.line.append(indent[: max(0, len(indent) - len(self.mark))] + self.mark if self.mark else indent)
             self.mark = ""
 
     def end(self, force: bool = False) -> None:
@@ -195,26 +200,66 @@ class _Out:
         return "\n".join(self.lines)
 
 
-def _table(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (cell, columns it spans) with columns aligned, two spaces apart."""
-    widths: list[int] = []
-    for row in rows:
-        at = 0
-        for cell, span in row:
-            widths += [0] * (at + span - len(widths))
-            if span == 1:
-                widths[at] = max(widths[at], len(cell))
-            at += span
-    out = []
-    for row in rows:
-        at, line = 0, ""
-        for cell, span in row:
-            line += cell.ljust(sum(widths[at : at + span]) + 2 * (span - 1)) + "  "
-            at += span
-        out.append(line.rstrip())
+def _number(node: Node, attribute: str) -> int | None:
+    m = _NUMBER.match(attributes_of(node.attributes).get(attribute, "")) if node.attributes else None
+    return int(m[1]) if m else None
+
+
+def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, str]]]:
+    """Rows of (cell, columns, rows it spans; 0 rows: all that follow) as rows of (first column, columns, cell); cells from rows above keep their columns."""
+    out, above, until = [], [], 0  # above: (first column, end, first row below), by column; until: the least of those rows
+    for nth, row in enumerate(rows):
+        if above and nth >= until:
+            above = [x for x in above if x[2] > nth]
+            until = min((x[2] for x in above), default=0)
+        line, mine, at, k = [], [], 0, 0
+        for cell, columns, deep in row:
+            while k < len(above) and above[k][0] < at + 1:
+                at, k = max(at, above[k][1]), k + 1
+            line.append((at, columns, cell))
+            if deep != 1:
+                mine.append((at, at + columns, nth + (deep or MOST_ROWS)))
+            at += columns
+        if mine:
+            above = sorted(above + mine)
+            until = min(x[2] for x in above)
+        out.append(line)
     return out
 
 
+def _table(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Rows of (cell, columns, rows it spans) with columns aligned, two spaces apart.
+
+    A column is as wide as its widest cell of up to WIDEST characters; longer cells are written whole and push the rest of their line on.
+    """
+    placed = _placed(rows)
+    widths: dict[int, int] = {}
+    for row in placed:
+        for at, columns, cell in row:
+            if columns == 1 and len(cell) <= WIDEST:
+                widths[at] = max(widths.get(at, 0), len(cell))
+    known = sorted(c for c in widths if widths[c])
+    upto = [0]
+    for c in known:
+        upto.append(upto[-1] + widths[c] + 2)
+
+    def between(a: int, b: int) -> int:
+        return upto[bisect_left(known, b)] - upto[bisect_left(known, a)]
+
+    out = []
+    for row in placed:
+        line, end = [], 0
+        for at, columns, cell in row:
+            if not cell and columns > 1:
+                continue
+            if at > end:  # columns without a cell here
+                line.append(" " * min(between(end, at), WIDEST))
+            line.append(cell.ljust(min(max(between(at, at + columns) - 2, 0), WIDEST)) + "  ")
+            end = at + columns
+        out.append("".join(line).rstrip(" "))
+    return [x for x in out if x]
+
+
 def render(root: Node) -> str:
     """The tree's visible text."""
     out = _Out()
@@ -248,12 +293,13 @@ def render(root: Node) -> str:
                 out.gap = True
             elif name in ("td", "th") and tables:
                 cell = " ".join(x.strip() for x in out.text().split("\n") if x.strip())
-                span = _SPAN.match(attributes_of(node.attributes).get("colspan", ""))
-                tables[-1][1][-1].append((cell, max(1, int(span[1])) if span else 1))
+                columns, deep = _number(node, "colspan"), _number(node, "rowspan")
+                columns = min(columns, MOST_COLUMNS) if columns and columns > 0 else 1
+                tables[-1][1][-1].append((cell, columns, min(deep, MOST_ROWS) if deep is not None and deep >= 0 else 1))
                 out = node.children  # the output that the cell set aside
             elif name == "table" and tables:
                 _, rows = tables.pop()
-                for line in _table([r for r in rows if any(c for c, _ in r)]):
+                for line in _table(rows):
                     out.put(line, keep=True)
                     out.end()
             if name in BLOCK:
@@ -272,10 +318,12 @@ def render(root: Node) -> str:
             continue
         children = node.children
         if name in ("ul", "ol"):
-            start = _START.match(attributes_of(node.attributes).get("start", "")) if name == "ol" else None
-            lists.append([name, int(start[1]) if start else 1])
+            start = _number(node, "start") if name == "ol" else None
+            lists.append([name, 1 if start is None else start])
         elif name == "li":
             kind = lists[-1] if lists else ["ul", 1]
+            given = _number(node, "value") if kind[0] == "ol" else None
+            kind[1] = kind[1] if given is None else given
             out.mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
             kind[1] += 1
             out.indent.append(" " * len(out.mark))
@@ -311,7 +359,8 @@ def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
 
     Null or empty pages give an empty text. Spaces collapse outside pre; paragraphs, headings, lists, tables and quotes
     stand apart by an empty line, other blocks begin a line; list items carry "- " or their number and are indented by
-    depth; a table has a line for each row with its columns aligned. Options of a select are lines, shown by their label where
+    depth; a table has a line for each row with its columns aligned, row spans included. Padding and indentation stop at WIDEST and DEEPEST characters, so that
+    an element adds a bounded number of characters to the page's text. Options of a select are lines, shown by their label where
     they have one; objects give their fallback, svg the text it draws, math all but its annotations, xmp and plaintext their source.
     Scripts, styles, the head, templates, hidden elements (attribute hidden, or display or visibility in the style attribute),
     inputs, datalists, noscript, and fallback of frames, media and canvas give no text. Extra columns are left out.
