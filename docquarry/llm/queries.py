@@ -20,6 +20,7 @@ def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         *[count(k).alias(f"n_{k}") for k in disclosure.KINDS],
+        F.size("base").cast("long").alias("n_found"),
         F.sha2(base, 256).alias("base_sha256"),
         F.when(F.size("extra") == 0, base).otherwise(F.concat_ws(",", base, extra)).alias("spans"),
         count_extra("general").alias("n_general"),
@@ -158,12 +159,14 @@ f AS (
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_upper, len(ls)::BIGINT AS n_lines,
          (len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
-         coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+         coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+         len(list_distinct(list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))))::BIGINT AS n_distinct
   FROM d LEFT JOIN rep ON d.r = rep.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 50 * n_lines
-            OR 100 * n_upper > 50 * word_chars OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+            OR 100 * n_upper > 50 * word_chars OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+            OR 100 * n_distinct < 5 * least(n_words, 1000)) AS kept
 FROM f
 """
 

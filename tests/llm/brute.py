@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -78,7 +79,7 @@ def quality(text):
     symbols, upper = sum(t.count(c) for c in "#*$%&|<>"), len(re.findall("[A-Z]", t))
     dup = len(wordy) - len(set(wordy))
     failed = n < 20 or 100 * len(covered) > 30 * n
-    bad = failed or 100 * symbols > 30 * n or 100 * dup > 50 * len(lines) or 100 * upper > 50 * chars or chars < 2 * n or chars > 15 * n
+    bad = failed or 100 * symbols > 30 * n or 100 * dup > 50 * len(lines) or 100 * upper > 50 * chars or chars < 2 * n or chars > 15 * n or 100 * len(set(words(text, True))) < 5 * min(n, 1000)
     return n, chars, symbols, dup, len(covered), failed, not bad
 
 
@@ -161,3 +162,74 @@ def mix(rows, weights=(5.0, 2.0, 1.0), share=1.5, cap=2):
             if x == s:
                 copies[i] = passes + (place(i) <= limit)
     return copies
+
+
+def disclosing(docs, reach=6, apart=1.0, generalise_at=0.75, remove_at=0.9):
+    """doc_id -> sorted (kind, start, end) of the words that reveal an entity beside them."""
+    strip = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w.translate(LOWER))
+    total, c_t, c_e, c_te, near = 0, Counter(), Counter(), Counter(), []
+    for i, t in docs.items():
+        t = t or ""
+        ws = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        total += len(ws)
+        c_t.update(strip(t[a:b]) for a, b in ws)
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in pii(t))]
+        for kind, a, b in spans:
+            entity = (kind, t[a:b])
+            c_e[entity] += 1
+            left, right = [w for w in ws if w[1] < a][-reach:], [w for w in ws if w[0] > b][:reach]
+            for x, y in left + right:
+                term = strip(t[x:y])
+                if term and not any(p < y and x < q for _, p, q in spans):
+                    c_te[entity, term] += 1
+                    near.append((i, x, y, entity, term))
+    best = {}
+    for i, x, y, entity, term in near:
+        information = math.log(total / c_e[entity])
+        if information > 0:
+            share = 1 - math.log(max(1.0, (c_t[term] + apart) / c_te[entity, term])) / information
+            if share >= generalise_at:
+                best[i, x, y] = max(best.get((i, x, y), 0), share)
+    out = defaultdict(list)
+    for (i, x, y), share in best.items():
+        out[i].append(("removed" if share >= remove_at else "general", x, y))
+    return {i: sorted(v, key=lambda s: s[1]) for i, v in out.items()}
+
+
+class _Visible(HTMLParser):
+    """Words between tags that no unseen or hidden element holds; for well-formed pages."""
+
+    UNSEEN = frozenset("head title script style template noscript iframe canvas audio video datalist".split())
+    VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+    INLINE = frozenset("a abbr b bdi bdo cite code em font i kbd mark q s samp small span strong sub sup time tt u var".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.text = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.INLINE:
+            self.text.append(" ")
+        if tag not in self.VOID:
+            attrs = dict(reversed(attrs))
+            style = re.sub(r"\s", "", (attrs.get("style") or "").lower())
+            self.open.append((tag, tag in self.UNSEEN or "hidden" in attrs or "display:none" in style or "visibility:hidden" in style))
+
+    def handle_endtag(self, tag):
+        if tag not in self.INLINE:
+            self.text.append(" ")
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+
+    def handle_data(self, data):
+        if not any(unseen for _, unseen in self.open):
+            self.text.append(data)
+
+
+def visible_words(source):
+    parser = _Visible()
+    parser.feed(source or "")
+    parser.close()
+    return Counter("".join(parser.text).split())
