@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, lower_ascii, shuffle_partitions
+from .base import cut, lower_ascii, own_columns, shuffle_partitions
 
 _SPACES = " \t\n\x0b\x0c\r"
 _ROW = ["h1", "h2", "doc_id", "tag", "pos"]
@@ -129,14 +129,19 @@ def _kept_lines(text: pd.Series, keep: pd.Series) -> pd.Series:
     return pd.Series([one(t, b) for t, b in zip(text, keep, strict=True)], dtype=object)
 
 
-def drop_repeated(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, text: str = "text") -> DataFrame:
-    """``docs`` with its columns, ``text`` without the repeated lines, and n_lines and n_dropped (long).
+def drop_repeated(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, text: str = "text", counts: bool = True) -> DataFrame:
+    """``docs`` with its columns, ``text`` without the repeated lines, and with ``counts`` n_lines and n_dropped (long).
 
-    Null and empty texts have one empty line and stay as they are. Extra columns pass through.
+    Null and empty texts have one empty line and stay as they are; rows without a doc_id lose nothing. Extra columns pass through, whatever
+    their names; only with ``counts``, columns named n_lines and n_dropped are replaced. An empty table gives no rows.
     """
-    maps = repeated_lines(docs, min_chars, min_docs, text).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag2"), F.col("n_dropped").alias("_gone"), F.col("keep").alias("_keep"))
-    t = F.coalesce(F.col(text), F.lit(""))
-    joined = docs.withColumn("_tag", _tag(t)).join(maps, (F.col("doc_id") == F.col("_id")) & (F.col("_tag") == F.col("_tag2")), "left")
-    changed = F.pandas_udf(_kept_lines, "string")(F.when(F.col("_keep").isNotNull(), F.col(text)), F.col("_keep"))
-    out = joined.withColumns({"n_lines": F.size(F.split(t, "\n", -1)).cast("long"), "n_dropped": F.coalesce("_gone", F.lit(0).cast("long")), "_new": changed})
-    return out.withColumn(text, F.coalesce("_new", F.col(text))).drop("_id", "_tag", "_tag2", "_gone", "_keep", "_new")
+    maps = repeated_lines(docs, min_chars, min_docs, text).select(F.col("doc_id").alias("id_b"), F.col("tag").alias("tag_b"), F.col("n_dropped").alias("gone"), "keep")
+    t = F.coalesce(F.col("text"), F.lit(""))
+    mine = docs.select("doc_id", F.col(text).alias("text"), own_columns(docs, ("doc_id", text)).alias("own")).withColumn("tag", _tag(t))
+    joined = mine.join(maps, (F.col("doc_id") == F.col("id_b")) & (F.col("tag") == F.col("tag_b")), "left")
+    changed = F.pandas_udf(_kept_lines, "string")(F.when(F.col("keep").isNotNull(), F.col("text")), F.col("keep"))
+    joined = joined.withColumn("new", changed)
+    told = {"n_lines": F.size(F.split(t, "\n", -1)).cast("long"), "n_dropped": F.coalesce("gone", F.lit(0).cast("long"))} if counts else {}
+    own = {"doc_id": F.col("doc_id"), text: F.coalesce("new", "text")}
+    columns = [(own[c] if c in own else F.col(f"own.`{c}`")).alias(c) for c in docs.columns if c not in told]
+    return joined.select(*columns, *[x.alias(c) for c, x in told.items()])

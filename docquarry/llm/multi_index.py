@@ -118,8 +118,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, index: Index =
     """
     spark = vectors.sparkSession
     doubles = F.transform("embedding", lambda x: x.cast("double"))
-    squares = F.aggregate(doubles, F.lit(0.0), lambda a, x: a + x * x)
-    usable = F.coalesce(F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & (squares > 0) & (squares != float("inf")), F.lit(False))
+    # vectors are scaled by their largest component before anything is squared
+    usable = F.coalesce(F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(doubles, lambda x: x != 0), F.lit(False))
     rows = cut(vectors.select("vec_id", F.when(usable, doubles).alias("v")))
     # equal vectors are counted before they meet; the key is a 128-bit hash of the components
     key = F.struct(F.xxhash64("v").alias("x"), F.xxhash64(F.lit(1), "v").alias("y"))
@@ -146,6 +146,7 @@ def _search(distinct: DataFrame, threshold: float, index: Index) -> DataFrame:
     spark = distinct.sparkSession
     sample = distinct.orderBy(F.xxhash64("id")).limit(index.sample).select("v").toPandas()["v"]
     x = np.stack(sample.to_numpy())
+    x = x / np.abs(x).max(1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     half = x.shape[1] // 2
     k = index.centroids or max(8, round((distinct.count() / 100) ** (1 / 3)))
