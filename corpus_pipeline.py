@@ -1,7 +1,7 @@
 """Raw documents to encoded training data, in five stages.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns a DataFrame; all but the
-last return the columns of documents. Between stages the result is written and read again.
+last return the columns of documents. Between stages the result is written as Parquet and read again.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import bpe, line_dedup, mixing, ngram_join, quality
-from docquarry.llm.base import cut, documents
+from docquarry.llm.base import documents, own_columns, stored
 from docquarry.llm.queries import vocabulary
 
 
@@ -21,9 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that three or more share; n_chars follows the text."""
-    kept = line_dedup.drop_repeated(docs)
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", n_chars).select(*docs.columns)
+    kept = line_dedup.drop_repeated(docs.select("doc_id", "text", own_columns(docs, ("doc_id", "text")).alias("own")))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("own.n_chars"))}
+    return kept.select(*[(new[c] if c in new else F.col(f"own.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): every document as token ids."""
-    return bpe.encode(docs, vocabulary()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """(doc_id, n_tokens, ids, decoded_sha256): every document as token ids, with a digest of what they decode to."""
+    coded = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -46,7 +47,7 @@ STAGES = [
     ("line dedup", line_deduplication),
     ("n-gram Jaccard join", near_duplicates),
     ("mixing sources", source_mixing),
-    ("BPE encoding", encoding),
+    ("BPE encoding and decoding", encoding),
 ]
 
 #: SQL can't express the encoding; tests hold the pipeline against a brute-force version.
@@ -57,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after the other, over documents."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
