@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import html, language, text, urls
 from docquarry.functions import query as Q
-from docquarry.jobs import kb
+from docquarry.jobs import answers, kb, wiki
 from docquarry.operators import blocks, changes, chunks, dedupe, results, search, sitemap
-from docquarry.sources.tables import read_parquet
+from docquarry.sources.tables import ITEMS, new_folder, read_chunks, read_parquet, read_records, read_wiki_pages, write_chunks, write_records
+from docquarry.streaming import refresh
 
 PHRASE, BOOLEAN, WORDS = "of the", "with & license | of & them", "the license"
 SEVERAL = "of & the | with & and | license"
@@ -397,11 +398,129 @@ def query_parse(spark: SparkSession, d: str) -> DataFrame:
     return b.select("item_id", Q.mode(F.col("raw")).alias("mode"), F.array_join(F.transform(Q.groups(F.col("raw")), lambda g: F.array_join(g, "+")), "/").alias("groups"))
 
 
+def record_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The gates over stored records: by title alone, and by title and text."""
+    s = _scripted(spark, d)
+    return s.select("page_id", language.is_latin_title(F.col("title")).alias("by_title"), language.is_latin_record(F.col("title"), F.col("body")).alias("by_record"))
+
+
+def result_projection(spark: SparkSession, d: str) -> DataFrame:
+    """The five best of one source for each query, with the fields of a result and their defaults."""
+    hits = results.of_source(_both(spark, d), "kb").withColumns({"url": F.col("id"), "snippet": F.lit(None).cast("string"), "title_match": F.lit(None).cast("boolean"), "body_match": F.col("score") > 2000})
+    return results.project(results.top(hits, 5))
+
+
+def dated_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty best by score, then by the date of the last edit; what is no date comes last."""
+    found = search.search(_docs(spark, d), _ask(spark, PHRASE))
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0"))
+    dated = found.withColumn("last_edited", F.when(F.col("id") % 5 == 0, "unknown").otherwise(day))
+    return results.top(dated, 20, results.by_date()).select("rank", "id", "score", "last_edited")
+
+
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The batch over a stored index: normal forms are made once and read by both rankers."""
+    path = new_folder(spark, "index")
+    answers.store(_docs(spark, d), path)
+    docs, asked = answers.load(spark, path), _ask(spark, *BATCH)
+    found = search.search(docs, asked).select("query_id", "id", "score").withColumn("ranker", F.lit("wiki"))
+    return found.unionByName(search.search(docs, asked, search.KB_BODY).select("query_id", "id", "score").withColumn("ranker", F.lit("body")))
+
+
+def wiki_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as raw page objects in JSON, read back and listed: one row for each id, other objects and empty ids left out."""
+    t, i = read_parquet(spark, d, "documents"), F.col("doc_id")
+    raw = t.select(
+        F.when(i % 6 == 0, "database").otherwise("page").alias("object"), F.when(i % 10 == 9, "").otherwise(F.concat(F.lit("p-"), F.floor(i / 2), F.lit("-x"))).alias("id"),
+        F.when(i % 3 == 0, F.concat(F.lit("https://e.example/"), i)).alias("url"), F.concat(F.lit("2024-01-"), F.lpad((i * 7 % 28 + 1).cast("string"), 2, "0")).alias("last_edited_time"),
+        F.concat(F.lit("doc "), i).alias("name"), i.alias("ord"),
+    )
+    path = new_folder(spark, "listing")
+    raw.write.json(path)
+    return wiki.listing(read_wiki_pages(spark, path))
+
+
+def legacy_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by the earlier clean-up, and as articles."""
+    p = read_parquet(spark, d, "pages", spread=True)
+    h = F.col("html")
+    made = p.select("page_id", text.clean_lines(h).alias("lines"), text.language_text(h).alias("plain"), html.title(h, meta_name=True).alias("title"), html.article(h, F.lit(""), F.col("page_id").cast("string")).alias("a"))
+    return made.select("page_id", F.md5("lines").alias("lines_md5"), F.md5("plain").alias("plain_md5"), "title", F.col("a.title").alias("article"), F.md5("a.text").alias("text_md5"))
+
+
+def term_snippets(spark: SparkSession, d: str) -> DataFrame:
+    t = read_parquet(spark, d, "documents", spread=True)
+    return t.select("doc_id", Q.first_term_snippet(F.col("text"), [F.lit("license"), F.lit("of the")]).alias("snippet"))
+
+
+def event_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Times of the web page, date values of text that may be no date, and clamped numbers."""
+    e = read_parquet(spark, d, "events")
+    told = F.when(F.col("event_id") % 4 == 0, "no date").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return e.select("event_id", text.web_time(F.col("ts")).alias("web"), text.date_value(told).alias("millis"), text.clamp(F.col("event_id") / 7, 3, 50).alias("clamped"))
+
+
+def plan_with_extras(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of the sitemaps, with extra urls that it doesn't have."""
+    return kb.plan_of(_sitemaps(spark, d), _roots(spark), sitemap.extra_urls(spark, "extra0, more\nmore, other"))
+
+
+def capped_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The first 120 urls of the plan in reading order."""
+    return kb.plan_of(_sitemaps(spark, d), _roots(spark), most=120).select("url")
+
+
+def artifact_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Items as JSON artifacts and back."""
+    path = new_folder(spark, "artifacts")
+    p = read_parquet(spark, d, "pages")
+    write_records(p.select("url", _lastmod().alias("lastmod"), F.floor(F.col("page_id") / SET).alias("chunk_no")), path)
+    return read_records(spark, path, ITEMS)
+
+
+def chunk_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies as gzipped chunks and back, none missing."""
+    path, p = new_folder(spark, "chunks"), read_parquet(spark, d, "pages", spread=True)
+    bodies = p.select("url", html.body(F.col("html"), most=4000).alias("text"), F.floor(F.col("page_id") / SET).cast("int").alias("chunk_no"))
+    write_chunks(bodies, path)
+    back = read_chunks(spark, path, "url string, text string, chunk_no int", p.select(F.floor(F.col("page_id") / SET)).distinct().count())
+    return back.select("url", F.md5("text").alias("text_md5"), "chunk_no")
+
+
+def published_headers(spark: SparkSession, d: str) -> DataFrame:
+    path = new_folder(spark, "published")
+    kb.publish(_built(spark, d), path, "2024-06-01")
+    heads = [spark.read.parquet(f"{path}/{name}/header").withColumn("name", F.lit(name)) for name in ("titles", "bodies")]
+    return heads[0].unionByName(heads[1])
+
+
+def title_places(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each title in the published order."""
+    good = _built(spark, d).where("outcome = 'english'").select("title", "url")
+    return chunks.ordinals(good, *kb.title_order("en")).select("url", "ordinal")
+
+
+def first_titles(spark: SparkSession, d: str) -> DataFrame:
+    return kb.first_titles(read_parquet(spark, d, "pages", spread=True).select("url", html.title(F.col("html")).alias("title")), 10, "en")
+
+
+def streamed_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Two drops of pages taken as a stream: all pages, then a change of every fifth and a failed fetch of every third."""
+    folder = new_folder(spark, "stream")
+    p = read_parquet(spark, d, "pages")
+    day = lambda n: F.expr(f"timestamp '2024-06-0{n} 00:00:00'").alias("seen_at")
+    p.select("url", "html", day(1)).write.parquet(f"{folder}/drops/1")
+    changed = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("<h1>New "), F.col("page_id"), F.lit("</h1><article>"), F.repeat(F.lit("word "), 60), F.lit("</article>")))
+    p.where("page_id % 3 = 0 or page_id % 5 = 0").select("url", changed.alias("html"), day(2)).write.parquet(f"{folder}/drops/2")
+    return refresh.run(spark, f"{folder}/drops/*", f"{folder}/index", f"{folder}/cursor").select("url", "title")
+
+
 _ALL = [
     phrase_search, boolean_search, token_fallback_search, id_boolean_search, body_search, weighted_token_search, multi_group_boolean_search, batch_search_topk, search_page, collated_page, wide_letters_search,
     source_counts, digest, merge_title_body_hits, snippets, highlight, extract_titles, extract_bodies, text_functions, script_profile, latin_gate, canonical_urls, change_set,
     unchanged_urls, reuse_or_refetch, apply_changes, outcome_counters, failure_fallback, sitemap_reach, sitemap_items, root_choice, dedupe_first, dedupe_last, index_stats, kb_build, kb_from_sitemaps, kb_build_with_reuse, refresh_with_bodies,
-    kb_refresh, flatten_blocks, block_text, page_title, chunk_assign, chunk_counts, chunk_tokens, chunk_prune, local_time, query_parse,
+    kb_refresh, record_gate, result_projection, dated_hits, indexed_search, wiki_listing, legacy_texts, term_snippets, event_fields, plan_with_extras, capped_plan, artifact_round_trip,
+    chunk_round_trip, published_headers, title_places, first_titles, streamed_refresh, flatten_blocks, block_text, page_title, chunk_assign, chunk_counts, chunk_tokens, chunk_prune, local_time, query_parse,
 ]
 
 

@@ -132,6 +132,7 @@ def _gate(read: str, reject: tuple, latin: bool = True) -> str:
 _TITLE_OK = f"(title <> '' AND NOT regexp_matches(title, '%[0-9A-Fa-f]{{2}}') AND NOT regexp_matches(title, '{_LOCALIZED}'))"
 _TB = "substr(regexp_replace(title || chr(10) || substr(body, 1, 8000), 'https?://\\S+', ' ', 'g'), 1, 8000)"
 _TBH = "substr(regexp_replace(regexp_replace(title || chr(10) || substr(body, 1, 8000), 'https?://\\S+', ' ', 'g'), '\\b[A-Fa-f0-9]{16,}\\b', ' ', 'g'), 1, 8000)"
+_RECORD = "substr(regexp_replace(regexp_replace(title || chr(10) || substr(body, 1, 6000), 'https?://\\S+', ' ', 'g'), '\\b[A-Fa-f0-9]{16,}\\b', ' ', 'g'), 1, 8000)"
 _BY_TITLE = f"({_TITLE_OK} AND {_gate(_TB, ((12, 0.08), (5, 0.2)))})"
 _BY_BODY = f"({_TITLE_OK} AND {_gate('substr(body, 1, 8000)', ((12, 0.08),))})"
 _LEGACY = f"({_TITLE_OK} AND {_gate(_TBH, ((12, 0.08), (5, 0.2)))})"
@@ -167,6 +168,8 @@ found AS (SELECT root, loc AS url, max(lastmod) AS lastmod FROM e JOIN reach ON
 _RANKED = f"WITH {DOCS}, h AS ({_hits('d', 'wiki', 'wiki')})"
 _BOTH = f"WITH {DOCS}, {KB}, h AS ({_hits('d', 'wiki', 'wiki')} UNION ALL {_hits('k', 'kb', 'title')})"
 _ONE = f"WITH {DOCS}, h AS (SELECT id, title, {phrase('of the', 2400, 1600)} AS score FROM d WHERE {has('tn', 'of the')} OR {has('bn', 'of the')})"
+#: Entries by index, then by the name of their map.
+_NAMED = "e AS (SELECT page_id // 10000 AS i, 'set' || (page_id // 100) AS m, page_id, url AS loc FROM pages UNION ALL SELECT page_id // 10000, 'bare' || (page_id // 10000), page_id, 'extra' || page_id FROM pages WHERE page_id % 50 = 0)"
 #: The plan of the sitemaps' root and what a build makes of it.
 _FROM_MAPS = f"""{_MAPS}, {PAGE},
 built AS (
@@ -253,8 +256,33 @@ def oracle_sql() -> dict[str, str]:
         "page_title": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'doc ' || doc_id WHEN 1 THEN 'the name' ELSE '제목 없음' END AS title FROM documents",
         "chunk_assign": "SELECT page_id, url, (floor((row_number() OVER (ORDER BY url) - 1) / 50) + 1)::INTEGER AS chunk_no FROM pages",
         "chunk_counts": "SELECT chunk_no, count(*) AS n FROM (SELECT (floor((row_number() OVER (ORDER BY url) - 1) / 50) + 1)::INTEGER AS chunk_no FROM pages) GROUP BY chunk_no",
-        "chunk_tokens": f"""WITH {KB}, t AS (SELECT (number::INTEGER % 16) AS chunk_no, unnest(list_filter(regexp_split_to_array(tn || chr(10) || bn, '[^a-z0-9._+-]+'), lambda x: length(x) BETWEEN 2 AND 64)[1:3000]) AS token FROM k)
+        "chunk_tokens": f"""WITH {KB}, t AS (SELECT (number::INTEGER % 16) AS chunk_no, unnest(list_filter(regexp_split_to_array(tn || chr(10) || bn, '[^a-z0-9._+-]+'), lambda x: length(x) BETWEEN 2 AND 64)) AS token FROM k)
             SELECT chunk_no, count(DISTINCT token) AS n_tokens FROM t GROUP BY chunk_no""",
+        "record_gate": f"WITH {SCRIPTED} SELECT page_id, {_TITLE_OK} AS by_title, {_TITLE_OK} AND {_gate(_RECORD, ((12, 0.08), (5, 0.2)))} AS by_record FROM s",
+        "result_projection": f"""{_BOTH}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, id) AS rank FROM h WHERE source = 'kb')
+            SELECT query_id, rank, id, title, id AS url, '' AS snippet, false AS title_match, score > 2000 AS body_match, score, source FROM r WHERE rank <= 5""",
+        "dated_hits": f"""{_ONE}, e AS (SELECT id, score, CASE WHEN id % 5 = 0 THEN 'unknown' ELSE '2024-01-' || lpad((id % 28 + 1)::VARCHAR, 2, '0') END AS last_edited FROM h),
+            r AS (SELECT row_number() OVER (ORDER BY score DESC, coalesce(epoch_ms(try_cast(last_edited AS TIMESTAMP)), 0) DESC, id) AS rank, * FROM e) SELECT * FROM r WHERE rank <= 20""",
+        "indexed_search": f"WITH {DOCS} SELECT query_id, id::BIGINT AS id, score, 'wiki' AS ranker FROM ({_hits('d', 'w', 'wiki')}) UNION ALL SELECT query_id, id::BIGINT, score, 'body' FROM ({_hits('d', 'b', 'body')})",
+        "wiki_listing": """WITH w AS (SELECT doc_id AS i, CASE WHEN doc_id % 10 = 9 THEN '' ELSE 'p-' || (doc_id // 2) || '-x' END AS id, '2024-01-' || lpad((doc_id * 7 % 28 + 1)::VARCHAR, 2, '0') AS last_edited FROM documents WHERE doc_id % 6 <> 0),
+            r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_edited DESC, i) AS k FROM w WHERE id <> '')
+            SELECT id, 'doc ' || i AS title, CASE WHEN i % 3 = 0 THEN 'https://e.example/' || i ELSE 'https://wiki.example.com/' || replace(id, '-', '') END AS url, last_edited FROM r WHERE k = 1""",
+        "legacy_texts": f"""WITH {PAGE}, b AS (SELECT page_id, regexp_replace(html, '<br\\s*/?>|</p>|</li>', chr(10), 'gi') AS x, html FROM pages),
+            t AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS x FROM b)
+            SELECT t.page_id, md5(regexp_replace({entities('x')}, '^\\s+|\\s+$', '', 'g')) AS lines_md5, md5(trim(regexp_replace({entities('html')}, '\\s+', ' ', 'g'))) AS plain_md5,
+                   title, title AS article, md5(substr(body, 1, 4000)) AS text_md5 FROM t JOIN page ON page.page_id = t.page_id""",
+        "term_snippets": f"SELECT doc_id, {snippet(source, low, 'license', 80, 180, cut220)} AS snippet FROM documents",
+        "event_fields": """SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y. %m. %d. ') || CASE WHEN hour(ts + INTERVAL 9 HOUR) < 12 THEN '오전' ELSE '오후' END || strftime(ts + INTERVAL 9 HOUR, ' %I:%M') AS web,
+            CASE WHEN event_id % 4 = 0 THEN 0 ELSE epoch_ms(date_trunc('second', ts)) END AS millis, least(greatest(event_id // 7, 3), 50) AS clamped FROM events""",
+        "plan_with_extras": f"WITH RECURSIVE {_MAPS} SELECT url, lastmod FROM found WHERE root = 'root' UNION ALL SELECT u, NULL FROM (VALUES ('more'), ('other')) t(u)",
+        "capped_plan": f"WITH {_NAMED} SELECT loc AS url FROM e ORDER BY i::VARCHAR, m, page_id LIMIT 120",
+        "artifact_round_trip": f"SELECT url, {_LASTMOD} AS lastmod FROM pages",
+        "chunk_round_trip": f"WITH {PAGE} SELECT url, md5(substr(body, 1, 4000)) AS text_md5, (page_id // 100)::INTEGER AS chunk_no FROM page",
+        "published_headers": f"""WITH {BUILT}, h AS (SELECT count(*) FILTER (outcome = 'english') AS titles, count(*) FILTER (in_bodies) AS bodies, (count(*) FILTER (outcome = 'failed'))::INTEGER AS failed FROM built)
+            SELECT 'titles' AS name, 1 AS version, 'en' AS language, '2024-06-01' AS created_at, titles AS page_count, failed AS failed_count FROM h UNION ALL SELECT 'bodies', 1, 'en', '2024-06-01', bodies, failed FROM h""",
+        "title_places": f"WITH {BUILT} SELECT url, row_number() OVER (ORDER BY title COLLATE en, url) - 1 AS ordinal FROM built WHERE outcome = 'english'",
+        "first_titles": f"WITH {PAGE} SELECT title FROM page ORDER BY title COLLATE en, url LIMIT 10",
+        "streamed_refresh": f"WITH {PAGE} SELECT url, CASE WHEN page_id % 5 = 0 AND page_id % 3 <> 0 THEN 'New ' || page_id ELSE title END AS title FROM page WHERE {_BY_TITLE} OR (page_id % 5 = 0 AND page_id % 3 <> 0)",
         "local_time": """SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y. %m. %d. ') || CASE WHEN hour(ts + INTERVAL 9 HOUR) < 12 THEN '오전' ELSE '오후' END || strftime(ts + INTERVAL 9 HOUR, ' %I:%M:%S') AS long, strftime(ts + INTERVAL 9 HOUR, '%m.%d %H:%M') AS short FROM events""",
         "query_parse": """SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'AND·OR' WHEN 1 THEN 'AND' WHEN 2 THEN 'OR' ELSE 'plain' END AS mode,
             split_part(text, ' ', 1) || CASE WHEN item_id % 4 < 2 THEN '+' ELSE ' ' END || split_part(text, ' ', 2) || CASE WHEN item_id % 2 = 0 THEN '/' ELSE ' ' END || split_part(text, ' ', 3) AS groups FROM benchmark""",

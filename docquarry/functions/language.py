@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean, let, or_empty
+from .text import clean, language_text, let, or_empty
 from .urls import decoded_path
 
 #: Fixed: Kana, CJK, Hangul and Cyrillic.
@@ -32,7 +32,7 @@ class Preset:
 TITLE = Preset()
 BODY = Preset(drop_urls=False, reject=((12, 0.08),), count_title=False, empty_title=True)
 LEGACY = Preset(drop_hex=True, valid_url=True)
-RECORD = Preset(sample=6000, drop_hex=True)
+RECORD = Preset(sample=6000)
 
 
 def has_localized(text: Column) -> Column:
@@ -76,3 +76,9 @@ def is_latin_page(title: Column, text: Column, url: Column, by: Preset = TITLE)
     """The gate over a page's title, body and URL."""
     read = F.concat_ws("\n", clean(title), F.substring(or_empty(text), 1, by.sample)) if by.count_title else F.substring(or_empty(text), 1, by.sample)
     return is_latin_title(title, by.empty_title) & is_latin_url(url, not by.valid_url) & latin_dominant(read, by)
+
+
+def is_latin_record(title: Column, text: Column) -> Column:
+    """The gate over a stored record: its title, and what it begins with."""
+    read = F.concat_ws("\n", language_text(title), F.substring(language_text(text), 1, RECORD.sample))
+    return is_latin_title(title) & latin_dominant(read, LEGACY)

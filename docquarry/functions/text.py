@@ -57,13 +57,10 @@ def tokens(normal: Column, min_length: int = 2) -> Column:
     return F.array_distinct(F.filter(F.split(normal, f"{SPACE}+"), lambda x: F.length(x) >= min_length))
 
 
-def index_tokens(normal: Column, most: int = 3000) -> Column:
-    """Distinct tokens of a-z, 0-9 and ._+- with 2 to 64 characters among the first ``most`` of a normalized text.
-
-    ``most`` bounds the optional sketch of a chunk, as the feature has it; search never uses it.
-    """
+def index_tokens(normal: Column, most: int | None = None) -> Column:
+    """Distinct tokens of a-z, 0-9 and ._+- with 2 to 64 characters of a normalized text; ``most``: among so many first ones."""
     found = F.filter(F.split(normal, "[^a-z0-9._+-]+"), lambda x: F.length(x).between(2, 64))
-    return F.array_distinct(F.slice(found, 1, most))
+    return F.array_distinct(F.slice(found, 1, most) if most else found)
 
 
 #: Fixed: the six entities, in the order in which they are replaced.

@@ -79,14 +79,18 @@ def publish(built: DataFrame, path: str, created_at, collation: str | None = "en
     tables.publish(good.where("in_bodies").select("article_id", "title", "text", "url", "checked_at", "language", "chunk_no"), f"{path}/bodies", failed, created_at)
 
 
+def title_order(collation: str | None = "en_CI_AI") -> list[Column]:
+    return [F.collate(F.col("title"), collation) if collation else F.col("title"), F.col("url")]
+
+
 def in_title_order(index: DataFrame, collation: str | None = "en_CI_AI") -> DataFrame:
     """The published order: by title under a collation, then url, dealt by range."""
-    return index.orderBy(F.collate(F.col("title"), collation) if collation else F.col("title"), "url")
+    return index.orderBy(*title_order(collation))
 
 
-def first_titles(index: DataFrame, n: int = 10) -> DataFrame:
+def first_titles(index: DataFrame, n: int = 10, collation: str | None = "en_CI_AI") -> DataFrame:
     """The first titles of the published order, for a look at an index."""
-    return in_title_order(index).limit(n).select("title")
+    return in_title_order(index, collation).limit(n).select("title")
 
 
 def _checked(index: DataFrame, items: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:

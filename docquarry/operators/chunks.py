@@ -41,8 +41,8 @@ def counts(df: DataFrame) -> DataFrame:
     return df.groupBy("chunk_no").agg(F.count("*").alias("n"))
 
 
-def token_rows(df: DataFrame, most: int = 3000) -> DataFrame:
-    """(chunk_no, token), each once: the exact form of a chunk's sketch. ``df``: chunk_no, normal (text)."""
+def token_rows(df: DataFrame, most: int | None = None) -> DataFrame:
+    """(chunk_no, token), each once: the exact form of a chunk's sketch. ``df``: chunk_no, normal (text). ``most`` bounds the tokens of a document, if wanted."""
     return df.select("chunk_no", F.explode(index_tokens(F.col("normal"), most)).alias("token")).distinct()
 
 

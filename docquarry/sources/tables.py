@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,24 @@ BLOCKS = "page_id string, block_id string, parent_id string, pos int, type strin
 WIKI_INDEX = "id string, title string, url string, last_edited string, text string, text_length int, error string"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder; only a local master (tests) may do without one and gets a local folder."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's folder under the shared checkpoint folder; only a local master (tests) may do without one and gets a local folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -83,7 +94,7 @@ def read_sitemap_items(spark: SparkSession, path: str) -> DataFrame:
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     """(url, html): a file for each page, named by its path."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
 
 def publish(index: DataFrame, path: str, failed: int, created_at, version: int = 1, language: str = "en") -> None:

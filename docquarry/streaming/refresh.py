@@ -16,8 +16,8 @@ INDEX = "article_id string, title string, url string, checked_at timestamp"
 
 def merge_batch(index: DataFrame, drop: DataFrame) -> DataFrame:
     """The index after a drop of (url, html, seen_at): the last page of each url replaces its row, or removes it if it fails the gate; a
-    page without HTML is a failed fetch and keeps it."""
-    last = keep_last(drop.where(F.coalesce("url", F.lit("")) != ""), "url", F.col("seen_at")).where(F.col("html").isNotNull())
+    page without HTML is a failed fetch, which changes nothing."""
+    last = keep_last(drop.where((F.coalesce("url", F.lit("")) != "") & F.col("html").isNotNull()), "url", F.col("seen_at"))
     read = extract(last).join(last.select("url", "seen_at"), "url")
     read = read.withColumn("ok", is_latin_page(F.col("title"), F.col("sample"), F.col("url"), TITLE))
     upserts = read.where("ok").select("article_id", "title", "url", F.col("seen_at").alias("checked_at"))
@@ -37,3 +37,14 @@ def start(spark: SparkSession, drops: str, index: str, checkpoint: str, files_pe
         merge_batch(old, batch).write.mode("overwrite").parquet(f"{index}/version={batch_id}")
 
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run(spark: SparkSession, drops: str, index: str, checkpoint: str, files_per_batch: int = 100) -> DataFrame:
+    """Take what there is of drops, and return the index as it is then."""
+    query = start(spark, drops, index, checkpoint, files_per_batch)
+    query.awaitTermination()
+    done = [p.batchId for p in query.recentProgress if p.numInputRows > 0]
+    if not done:  # nothing new
+        every = spark.read.schema(f"{INDEX}, version long").parquet(index)
+        return every.join(every.agg(F.max("version").alias("version")), "version", "left_semi").drop("version")
+    return spark.read.schema(INDEX).parquet(f"{index}/version={max(done)}")

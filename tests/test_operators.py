@@ -185,6 +185,12 @@ def test_tables_round_trip(spark, tmp_path):
     assert tables.read_records(spark, str(tmp_path / "r.json"), tables.ITEMS).first().url == "x"
     (tmp_path / "s.xml").write_text("<urlset><url><loc>a</loc><lastmod>2024-01-01</lastmod></url></urlset>")
     assert tuple(tables.read_sitemap_items(spark, str(tmp_path / "s.xml")).first()) == ("a", "2024-01-01")
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "1.html").write_text("<p>a\nb</p>")
+    read = tables.read_html_files(spark, str(tmp_path / "p")).first()
+    assert read.url.endswith("1.html") and read.html == "<p>a\nb</p>"
+    (tmp_path / "b.json").write_text('{"page_id": "p", "block_id": "1", "pos": 0, "type": "paragraph", "payload": "{}"}\n')
+    assert tables.read_blocks(spark, str(tmp_path / "b.json")).first().block_id == "1"
     tables.publish(df, str(tmp_path / "i"), 3, "2024-01-01")
     assert spark.read.parquet(str(tmp_path / "i/header")).first().page_count == 2
 
@@ -215,3 +221,48 @@ def test_answers_job(spark):
     rows = answers.page(made, made, asked).orderBy("rank").collect()
     assert [(r["rank"], r.id, r.source, r.score) for r in rows] == [(1, "1", "wiki", 2400), (2, "1", "kb", 2200), (3, "2", "kb", 1850), (4, "2", "wiki", 1600)]
     assert all(r.snippet for r in rows)
+
+
+def test_queries_and_documents_meet_in_compatibility_form(hits):
+    wide = "".join(chr(0xFF21 + k) for k in range(3))  # full-width ABC
+    assert hits(f"{wide} guide", "x", wide)[0].score == hits(f"{wide} guide", "x", "abc")[0].score == 2400
+    assert hits("o\ufb03ce", "x", "office") and hits("\uac00", "x", "\u1100\u1161")  # a ligature; Hangul letters
+    assert hits(f"{wide} | x", "the", f"{wide} & the")[0].matched_terms == [wide, "the"]
+
+
+def test_reading_order_of_sitemaps(spark):
+    """Two maps list a url with different dates: the one read last counts, however deep it lies."""
+    xml = {
+        "root": "<sitemapindex><sitemap><loc>a</loc></sitemap><sitemap><loc>z</loc></sitemap></sitemapindex>",
+        "a": "<sitemapindex><sitemap><loc>deep</loc></sitemap></sitemapindex>",
+        "deep": "<urlset><url><loc>u</loc><lastmod>deep</lastmod></url><url><loc>v</loc></url></urlset>",
+        "z": "<urlset><url><loc>w</loc></url><url><loc>u</loc><lastmod>late</lastmod></url></urlset>",
+    }
+    entries = sitemap.parse(spark.createDataFrame(list(xml.items()), "url string, xml string"))
+    found = sitemap.items(entries, sitemap.reach(entries, spark.createDataFrame([("root",)], "url string")))
+    assert [(r.url, r.lastmod) for r in found.orderBy("ord").collect()] == [("u", "late"), ("v", None), ("w", None)]
+
+
+def test_change_set_without_urls_and_repeated(spark):
+    items = spark.createDataFrame([(None, "1"), ("", "1"), ("a", "1"), ("a", "2")], "url string, lastmod string")
+    index = spark.createDataFrame([("b", "1", "7"), ("b", "1", "7"), (None, "1", "8")], "url string, source_lastmod string, article_id string")
+    assert sorted((r.url, r.lastmod, r.reason) for r in changes.change_set(items, index).collect()) == [("a", "2", "new"), ("b", None, "removed")]
+
+
+def test_extras_and_candidate_chunks(spark):
+    plan = spark.createDataFrame([("a", "1")], "url string, lastmod string")
+    extras = spark.createDataFrame([("a",), ("b",), ("b",)], "url string")
+    assert sorted((r.url, r.lastmod) for r in changes.add_extras(plan, extras).collect()) == [("a", "1"), ("b", None)]
+    words = spark.createDataFrame([(k, "license") for k in range(5)], "chunk_no int, normal string")
+    sketch = chunks.sketches(chunks.token_rows(words))
+    assert sorted(r.chunk_no for r in chunks.prune(words, sketch, ["license"], most=2).collect()) == [0, 1]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from docquarry.sources import tables
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=lambda x: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.checkpoint_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
