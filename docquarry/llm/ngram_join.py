@@ -4,7 +4,7 @@ Shingles are ordered by document frequency (classes of it, then the hash), rare
 only come first of all and can match nothing. Two sets that reach the threshold share at least c tokens, so they
 share at least l tokens within their first n - c + l. Each document takes the l that costs least: the postings
 its longer prefix reads, against the candidates left to verify when l of them have to agree.
-Frequencies come from the packed exchange, over distinct texts: copies are put aside before, by a 64-bit hash of the text, and
+Frequencies come from the packed exchange, over distinct texts: copies are put aside before, by a key of the text, and
 join again at the end. Only texts whose prefix holds shingles of other texts go on, and of equal sets only one.
 
 Links are found in rounds, since only components are wanted. First each document is verified against
@@ -263,6 +263,14 @@ def linked(sets: DataFrame, num: int, den: int) -> DataFrame:
     return components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last))
 
 
+def text_key(docs: DataFrame, text: Column) -> Column:
+    """A 64-bit key that tells all texts of ``docs`` apart: where texts of one hash differ by a second one, which takes billions of texts, they take a third."""
+    first, second = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    alike = docs.select(first.alias("k"), second.alias("l")).groupBy("k").agg(F.min("l").alias("low"), F.max("l").alias("high"))
+    clashing = [r.k for r in alike.where("low <> high").select("k").collect()]  # some three among 10^10 texts
+    return F.when(first.isin(clashing), F.xxhash64(F.lit(2), text)).otherwise(first) if clashing else first
+
+
 def groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``docs``.
 
@@ -272,8 +280,9 @@ def groups(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, text: st
     unless its set equals or reaches another's. Repeated rows are equal sets. An empty table gives no rows.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    keyed = cut(docs.select("doc_id", F.xxhash64(t).alias("key")))
-    texts = cut(profiles(docs.select(F.xxhash64(t).alias("doc_id"), t.alias("text")), width, num, den))
+    key = text_key(docs, t)
+    keyed = cut(docs.select("doc_id", key.alias("key")))
+    texts = cut(profiles(docs.select(key.alias("doc_id"), t.alias("text")), width, num, den))
     # different texts of one set: the one with the smallest key stands for all
     alike = texts.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
     alike = small(cut(alike.where("size > 1").select("set_key", "first")))
