@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: Fixed: the white space that trimming and collapsing know, beyond Java's own class.
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Every run of white space that isn't one space: single spaces, which are most, need no replacement.
+_RUNS = rf"{SPACE}{{2,}}|[{SPACE[1:-1]}&&[^ ]]"
 
 
 def or_empty(text: Column) -> Column:
@@ -22,18 +25,23 @@ def let(value: Column, then) -> Column:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(_SPACES))
+
+
+def one_space(text: Column) -> Column:
+    """Every run of white space as one space."""
+    return F.regexp_replace(text, _RUNS, " ")
 
 
 def collapse(text: Column) -> Column:
     """Every run of white space as one space, none at the ends."""
-    return trim(F.regexp_replace(or_empty(text), f"{SPACE}+", " "))
+    return trim(one_space(or_empty(text)))
 
 
 def normalize_space(text: Column) -> Column:
     """No-break spaces and tabs to single spaces, three or more line feeds to two, trimmed; single line feeds stay."""
-    one = F.regexp_replace(or_empty(text), "\u00a0", " ")
-    return trim(F.regexp_replace(F.regexp_replace(one, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    one = F.replace(F.replace(or_empty(text), F.lit("\u00a0"), F.lit(" ")), F.lit("\t"), F.lit(" "))
+    return trim(F.regexp_replace(F.regexp_replace(one, " {2,}", " "), r"\n{3,}", "\n\n"))
 
 
 def _nfkc(texts: pd.Series) -> pd.Series:
@@ -79,7 +87,7 @@ def strip_tags(text: Column) -> Column:
 
 def clean(text: Column, with_nfkc: bool = False) -> Column:
     """Tags to spaces, white space to single spaces, entities decoded, trimmed."""
-    out = decode_entities(F.regexp_replace(strip_tags(or_empty(text)), f"{SPACE}+", " "))
+    out = decode_entities(one_space(strip_tags(or_empty(text))))
     return trim(nfkc(out, or_empty(text)) if with_nfkc else out)
 
 
