@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, let, lower_ascii, own_columns, words
+from .base import cut, let, own_columns, words
 
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -94,7 +94,7 @@ def features(t: Column, ws: Column, limits: Limits = Limits()) -> dict[str, Colu
         "n_repeat_words": repeated_words(ws, limits.window),
         "n_lines": F.size(lines),
         "n_upper": F.length(t) - _length_without(t, _UPPER),
-        "n_distinct": F.size(F.array_distinct(F.transform(ws, lower_ascii))),
+        "n_distinct": F.size(F.array_distinct(ws)),
     }
     return {k: x.cast("long") for k, x in found.items()}
 

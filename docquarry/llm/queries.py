@@ -160,7 +160,7 @@ f AS (
          len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_upper, len(ls)::BIGINT AS n_lines,
          (len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
          coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-         len(list_distinct(list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))))::BIGINT AS n_distinct
+         len(list_distinct(w))::BIGINT AS n_distinct
   FROM d LEFT JOIN rep ON d.r = rep.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,

@@ -79,7 +79,7 @@ def quality(text):
     symbols, upper = sum(t.count(c) for c in "#*$%&|<>"), len(re.findall("[A-Z]", t))
     dup = len(wordy) - len(set(wordy))
     failed = n < 20 or 100 * len(covered) > 30 * n
-    bad = failed or 100 * symbols > 30 * n or 100 * dup > 50 * len(lines) or 100 * upper > 50 * chars or chars < 2 * n or chars > 15 * n or 100 * len(set(words(text, True))) < 5 * min(n, 1000)
+    bad = failed or 100 * symbols > 30 * n or 100 * dup > 50 * len(lines) or 100 * upper > 50 * chars or chars < 2 * n or chars > 15 * n or 100 * len(set(w)) < 5 * min(n, 1000)
     return n, chars, symbols, dup, len(covered), failed, not bad
 
 
