@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import html, urls
 from docquarry.functions.language import BODY, TITLE, is_latin_page
+from docquarry.functions.text import nfkc, or_empty, trim
 from docquarry.operators import changes, chunks, sitemap
 from docquarry.sources import tables
 from docquarry.sources.tables import written
@@ -16,9 +17,10 @@ BROADCAST_URLS = 100_000
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(url, article_id, title, sample, text): every page's title, gate sample and stored body out of one projection."""
-    body = html.body(F.col("html"))
-    named = pages.select("url", urls.article_id(F.col("url")).alias("article_id"), html.title(F.col("html")).alias("title"), body.alias("_body"))
+    """(url, article_id, title, sample, text): every page's title, gate sample and stored body out of one projection, in compatibility form."""
+    h = or_empty(F.col("html"))
+    composed = lambda c: trim(nfkc(c, h))
+    named = pages.select("url", urls.article_id(F.col("url")).alias("article_id"), composed(html.title(h)).alias("title"), composed(html.body(h)).alias("_body"))
     return named.select("url", "article_id", "title", F.substring("_body", 1, 8000).alias("sample"), F.substring("_body", 1, 4000).alias("text"))
 
 

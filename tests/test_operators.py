@@ -266,3 +266,12 @@ def test_a_cluster_needs_a_shared_folder():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=lambda x: None)
     with pytest.raises(ValueError, match="checkpoint"):
         tables.checkpoint_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def test_extracted_texts_are_composed(spark):
+    from docquarry.jobs import kb
+
+    wide = "".join(chr(0xFF21 + k) for k in range(3))
+    pages = spark.createDataFrame([("u", f"<h1>{wide}</h1><p>o\ufb03ce</p>"), ("v", None), ("w", "<h1>A</h1>")], "url string, html string")
+    got = {r.url: (r.title, r.text) for r in kb.extract(pages).collect()}
+    assert got == {"u": ("ABC", "ABC office"), "v": ("", ""), "w": ("A", "A")}
