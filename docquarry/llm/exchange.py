@@ -107,14 +107,18 @@ def _in_order(table: pa.Table) -> pa.Table:
     return table.take(pa.compute.sort_indices(key, [("n", "ascending"), ("i", "ascending"), ("t", "ascending")])) if len(table) else table
 
 
+#: Ids (and sizes) that the driver looks at to part chunks.
+SAMPLED = 2_000_000
+
+
 def chunk_edges(docs: DataFrame, text: Column, chunk_bytes: int) -> np.ndarray:
-    """Ids that part chunks of about ``chunk_bytes`` of text, from a bounded sample; it decides the balance and no result."""
+    """Ids that part chunks of about ``chunk_bytes`` of text, from a sample of SAMPLED ids at most; it decides the balance and no result."""
     told = docs.select("doc_id", F.octet_length(text).cast("long").alias("size"))
     rows, size = told.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n = max(1, -(-size // chunk_bytes))
     if n == 1:
         return np.zeros(0, np.int64)
-    sample = told.sample(min(1.0, max(100_000, 20 * n) / rows), seed=1) if rows > 100_000 else told
+    sample = told.sample(min(1.0, min(max(100_000, 20 * n), SAMPLED) / rows), seed=1) if rows > 100_000 else told
     found = sample.where("doc_id is not null").toPandas().sort_values("doc_id")
     upto = found["size"].cumsum().to_numpy()
     at = np.searchsorted(upto, upto[-1:] * np.arange(1, n) / n) if len(found) else np.zeros(0, np.int64)
