@@ -169,20 +169,27 @@ def _homes(rest: DataFrame, compared: DataFrame) -> DataFrame:
 def _across_homes(rest: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): candidates with different homes, by their prefixes.
 
-    A document first meets the homes of a list, of which it needs the bounds alone, then the documents of those homes that may answer it.
-    The smaller set asks, by its own l; the larger one answers with its prefix for that l.
+    The homes of a list meet first, by bounds of what they hold; then the documents of the home that has fewer in the list are
+    held against those of the other. Of two documents the smaller set asks, by its own l, and the larger one answers with its prefix for that l.
     """
-    bounds = rest.groupBy("h", F.col("home").alias("home_b")).agg(
-        F.max("n").alias("most"), F.max("m").alias("m_most"), F.min("level").alias("lowest"), F.min("component").alias("c_low"), F.max("component").alias("c_high")
-    )
-    may = (F.col("home") != F.col("home_b")) & (F.col("level") <= F.col("ell")) & (F.col("lowest") <= F.col("ell")) & (F.col("most") >= F.col("n"))
-    may = may & ((F.col("c_low") != F.col("component")) | (F.col("c_high") != F.col("component")))
-    may = may & ((num + den) * F.least("m", "m_most") >= 2 * num * F.col("n"))
-    asking = cut(rest.join(bounds, "h").where(may).select("h", "home_b", "doc_id", "n", "m", "ell", "component"))
-    other = rest.select("h", F.col("home").alias("home_b"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("level").alias("level_b"), F.col("component").alias("component_b"))
-    meets = (F.col("component") != F.col("component_b")) & (F.struct("n", "doc_id") < F.struct("n_b", "b")) & _fits("", "_b", num, den) & (F.col("level_b") <= F.col("ell"))
-    pairs = asking.join(other, ["h", "home_b"]).where(meets)
-    return pairs.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("common"), F.first("ell").alias("ell")).where("common >= ell").select("a", "b")
+    bounds = rest.groupBy("h", "home").agg(
+        F.count("*").alias("size"), F.min("n").alias("n"), F.max("n").alias("n_most"), F.max("m").alias("m"), F.max("ell").alias("ell"),
+        F.min("level").alias("level"), F.min("component").alias("low"), F.max("component").alias("high"),
+    )
+    bounds = cut(bounds)
+    other = bounds.select("h", *[F.col(c).alias(f"{c}_b") for c in bounds.columns if c != "h"])
+    may = F.struct("size", "home") < F.struct("size_b", "home_b")
+    may = may & (den * F.col("n_most") >= num * F.col("n_b")) & (den * F.col("n_most_b") >= num * F.col("n")) & ((num + den) * F.least("m", "m_b") >= num * (F.col("n") + F.col("n_b")))
+    may = may & ((F.col("low") != F.col("high_b")) | (F.col("high") != F.col("low_b"))) & (F.greatest("level", "level_b") <= F.greatest("ell", "ell_b"))
+    homes = cut(bounds.join(other, "h").where(may).select("h", "home", "home_b"))
+    fewer = cut(rest.join(homes, ["h", "home"]).drop("home"))
+    many = rest.select("h", F.col("home").alias("home_b"), *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "m", "ell", "level", "component")])
+    asks = F.struct("n", "doc_id") < F.struct("n_b", "doc_id_b")
+    ell = F.when(asks, F.col("ell")).otherwise(F.col("ell_b"))
+    meets = (F.col("component") != F.col("component_b")) & _fits("", "_b", num, den) & (F.greatest("level", "level_b") <= ell)
+    pairs = fewer.join(many, ["h", "home_b"]).where(meets)
+    pairs = pairs.groupBy(F.least("doc_id", "doc_id_b").alias("a"), F.greatest("doc_id", "doc_id_b").alias("b")).agg(F.count("*").alias("common"), F.first(ell).alias("ell"))
+    return pairs.where("common >= ell").select("a", "b")
 
 
 def _differences(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
