@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, disclosure, html_text, line_dedup, mixing, multi_index, ngram_join, ppm, quality, substring_dedup
+from . import bpe, disclosure, divergence, html_text, lexical_search, line_dedup, mixing, multi_index, ngram_join, ppm, quality, substring_dedup, url_filter
 from .base import documents
 
 
@@ -192,9 +192,68 @@ FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN kept ON o.lang = kept.lang AND o.term = kept.term GROUP BY ALL),
+gn AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM c GROUP BY ALL),
+ln AS (SELECT lang, sum(n)::HUGEINT AS n, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(gn.n, 0) + 2 * ln.v) AS p,
+         1 + (1000000000::HUGEINT * (kept.n + 2)) // (ln.n + 2 * ln.v) AS q
+  FROM g JOIN kept ON g.lang = kept.lang JOIN ln ON ln.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+both_parts AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM both_parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "words", "score")
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+it AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+t AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+o AS (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM o WHERE term IN (SELECT term FROM it) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * (SELECT n FROM t) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf GROUP BY term),
+m AS (SELECT tf.*, w, 25 + (75 * tf.n * t.n) // t.l AS m FROM tf JOIN df ON tf.term = df.term CROSS JOIN t),
+s AS (SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM it JOIN m ON it.term = m.term GROUP BY ALL),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10
+"""
+
+
 def queries() -> dict:
-    return {"op1_html_text": op1_html_text, "op2_disclosure": op2_disclosure, "op3_embeddings": op3_embeddings, "op4_ppm": op4_ppm, "op5_bpe": op5_bpe, "op6_mixing": op6_mixing, "op7_lines": op7_lines, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_substrings": op10_substrings}
+    found = [
+        op1_html_text, op2_disclosure, op3_embeddings, op4_ppm, op5_bpe, op6_mixing, op7_lines, op8_ngram_join, op9_quality, op10_substrings, op11_divergence, op12_urls, op13_search,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embeddings": OP3_SQL, "op6_mixing": OP6_SQL, "op7_lines": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_quality": OP9_SQL, "op10_substrings": OP10_SQL}
+    return {
+        "op3_embeddings": OP3_SQL, "op6_mixing": OP6_SQL, "op7_lines": OP7_SQL, "op8_ngram_join": OP8_SQL, "op9_quality": OP9_SQL, "op10_substrings": OP10_SQL, "op11_divergence": OP11_SQL,
+        "op13_search": OP13_SQL,
+    }

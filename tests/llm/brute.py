@@ -233,3 +233,94 @@ def visible_words(source):
     parser.feed(source or "")
     parser.close()
     return Counter("".join(parser.text).split())
+
+
+def terms(text, digits=False):
+    """Runs of letters (and digits), everything outside ASCII being a letter."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+" if digits else r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def audit(rows, min_docs, ranks):
+    """Rows of the source audit for (lang, source, text)."""
+    seen, by_lang, by_group, out = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), []
+    for lang, source, text in rows:
+        found = terms(text)
+        seen[lang or ""].update(set(found))
+        by_group[lang or "", source or ""].update(found)
+        by_lang[lang or ""].update(found)
+    for lang in seen:
+        kept = sorted(t for t, n in seen[lang].items() if n >= min_docs)
+
+        def shares(counts, kept=kept):
+            total = sum(counts[t] for t in kept)
+            return {t: 1 + 10**9 * (counts[t] + 2) // (total + 2 * len(kept)) for t in kept}
+
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        q, groups = shares(by_lang[lang]), {s: shares(c) for (l, s), c in by_group.items() if l == lang}
+        for s, p in groups.items():
+            pairs = [(-sum(f(p[t], o[t]) for t in kept), x.encode()) for x, o in groups.items() if x != s]
+            own = [(-f(p[t], q[t]), t.encode()) for t in kept if by_group[lang, s][t] and p[t] > q[t]]
+            out += [(lang, s, part, i.decode(), -v, k) for part, found in (("pair", pairs), ("term", own)) for k, (v, i) in enumerate(sorted(found), 1) if part == "pair" or k <= ranks]
+    return sorted(out)
+
+
+def lexical(docs, items, k):
+    """(item, rank, id, score) for docs of (id, text) and items of (item, text)."""
+    texts = [(i, terms(t, True)) for i, t in docs]
+    texts = [(i, len(w), Counter(w)) for i, w in texts if w]
+    n_docs, n_terms = len(texts), sum(n for _, n, _ in texts)
+    df = Counter(t for _, _, c in texts for t in c)
+    asked, out = defaultdict(Counter), []
+    for item, text in items:
+        asked[item].update(terms(text, True))
+    for item, want in asked.items():
+        found = []
+        for i, n, c in texts:
+            m = 25 + 75 * n * n_docs // n_terms
+            score = sum(times * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t, times in want.items() if c[t])
+            if score > 0:
+                found.append((-score, i is None, i))
+        out += [(item, r, i, -s) for r, (s, _, i) in enumerate(sorted(found, key=lambda x: x[:2] + (x[2] or 0,))[:k], 1)]
+    return out
+
+
+def split_run(run, cost, first, more, longest):
+    """Cheapest total cost and words of a split of a run, over all splits."""
+    best = [(0, [])]
+    for i in range(1, len(run) + 1):
+        options = []
+        for j in range(i):
+            w = run[j:i]
+            if w in cost and len(w) <= longest:
+                options.append((best[j][0] + cost[w], len(best[j][1]) + 1, 0, len(w), best[j][1] + [w]))
+            options.append((best[j][0] + first + more * (len(w) - 1), len(best[j][1]) + 1, 1, len(w), best[j][1] + [w]))
+        x = min(options)
+        best.append((x[0], x[4]))
+    return best[-1]
+
+
+def judge_urls(pages, rules, longest=20):
+    """(id, host, path, rule, verdict, score) for pages of (id, url, html)."""
+    scaled = lambda x: math.floor(1_000_000 * math.log(x))
+    counts = Counter(t for _, _, h in pages for t in terms(re.sub(r"<[^<>]*>", " ", h or "")))
+    total = sum(counts.values()) or 1
+    cost = {t: scaled(total / n) for t, n in counts.items() if len(t) <= longest}
+    rows, seen, classes = [], {"block": Counter(), "allow": Counter()}, Counter()
+    for i, url, _ in pages:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].translate(LOWER), m[2]) if m else ("", "")
+        fits = [(len(r), r, v) for v, r in rules if (host == (n := r.split("/")[0]) or host.endswith("." + n)) and path.startswith(r[len(n) :])]
+        rule, verdict = max(fits)[1:] if fits else (None, None)
+        words = [w for run in terms(host) for w in split_run(run, cost, scaled(total), scaled(10), longest)[1]] + terms(path)
+        rows.append((i, host, path, rule, verdict, words))
+        if rule:
+            seen[verdict].update(words)
+            classes[verdict] += 1
+    v, b, a = len({*seen["block"], *seen["allow"]}), sum(seen["block"].values()), sum(seen["allow"].values())
+    weight = lambda x, y: scaled((x + 1) / max(1, b + v)) - scaled((y + 1) / max(1, a + v))
+    prior = scaled(classes["block"] + 1) - scaled(classes["allow"] + 1)
+    out = []
+    for i, host, path, rule, verdict, words in rows:
+        score = None if rule else prior + sum(weight(seen["block"][w], seen["allow"][w]) for w in words)
+        out.append((i, host, path, rule, verdict or ("block" if score > 0 else "allow"), score))
+    return out

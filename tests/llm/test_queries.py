@@ -22,7 +22,7 @@ def test_same_as_sql(spark, duck, name):  # noqa: F811
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_patterns_on_all_documents(spark):
