@@ -301,6 +301,41 @@ def kb_build(spark: SparkSession, d: str) -> DataFrame:
     return _built(spark, d).select("url", "outcome", "title", "source_lastmod", F.length("text").alias("text_length"), "in_bodies")
 
 
+def _twice(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(items, pages) in which urls are repeated: every third page was fetched again with another title, and its item listed again with an earlier date."""
+    p = read_parquet(spark, d, "pages", spread=True).select("page_id", "url", "html")
+    later = F.concat(F.lit("<h1>Later "), F.col("page_id"), F.lit("</h1><article>"), F.repeat(F.lit("word "), 60), F.lit("</article>"))
+    again = F.explode(F.when(F.col("page_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("ord")
+    pages = p.select("page_id", "url", "html", again).select("url", F.when(F.col("ord") == 2, later).otherwise(F.col("html")).alias("html"), "ord")
+    items = p.select("page_id", "url", again).select("url", F.when(F.col("ord") == 2, "2023-12-31").otherwise(_lastmod(True)).alias("lastmod"), "ord")
+    return items, pages
+
+
+def build_repeated_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated urls among items and pages: the last of each counts, even where its values are smaller."""
+    built = kb.build(*_twice(spark, d), F.expr(NOW))
+    return built.select("url", "outcome", "title", "source_lastmod", F.length("text").alias("text_length"), "in_bodies")
+
+
+def refresh_repeated_pages(spark: SparkSession, d: str) -> DataFrame:
+    index = _index(spark, d).select("article_id", "title", "url", "source_lastmod", F.lit("en").alias("language"), F.expr(NOW).alias("checked_at"))
+    return kb.refresh(index, *_twice(spark, d), F.expr(NOW))[0].select("url", "title", "source_lastmod")
+
+
+def publish_with_failures(spark: SparkSession, d: str) -> DataFrame:
+    """What is published where pages fail to be fetched that an earlier index has: every such record, in the bodies too if it was there."""
+    was = read_parquet(spark, d, "pages").where("page_id % 13 = 0")
+    earlier = was.select(
+        F.concat("url", F.lit("/missing")).alias("url"), F.lit("english").alias("outcome"), F.col("page_id").cast("string").alias("article_id"), F.concat(F.lit("Old "), "page_id").alias("title"), F.lit("old body").alias("text"),
+        F.lit("2023-01-01").alias("source_lastmod"), F.lit("en").alias("language"), (F.expr(NOW) - F.expr("INTERVAL 400 DAYS")).alias("checked_at"), (F.col("page_id") % 2 == 0).alias("in_bodies"), F.lit(0).alias("chunk_no"),
+    )
+    path = new_folder(spark, "published")
+    kb.publish(kb.build(_items(spark, d).drop("page_id"), read_parquet(spark, d, "pages", spread=True), F.expr(NOW), earlier), path, "2024-06-01", "en")
+    parts = [spark.read.parquet(f"{path}/{n}/records").select(F.lit(n).alias("part"), "url", "title") for n in ("titles", "bodies")]
+    heads = [spark.read.parquet(f"{path}/{n}/header").select(F.concat(F.lit(n), F.lit(" header")).alias("part"), F.col("page_count").cast("string").alias("url"), F.col("failed_count").cast("string").alias("title")) for n in ("titles", "bodies")]
+    return parts[0].unionByName(parts[1]).unionByName(heads[0]).unionByName(heads[1])
+
+
 def kb_from_sitemaps(spark: SparkSession, d: str) -> DataFrame:
     """The build from sitemaps, root choice and plan included."""
     built = kb.from_sitemaps(_sitemaps(spark, d), _roots(spark), read_parquet(spark, d, "pages", spread=True), F.expr(NOW))
@@ -518,7 +553,7 @@ def streamed_refresh(spark: SparkSession, d: str) -> DataFrame:
 _ALL = [
     phrase_search, boolean_search, token_fallback_search, id_boolean_search, body_search, weighted_token_search, multi_group_boolean_search, batch_search_topk, search_page, collated_page, wide_letters_search,
     source_counts, digest, merge_title_body_hits, snippets, highlight, extract_titles, extract_bodies, text_functions, script_profile, latin_gate, canonical_urls, change_set,
-    unchanged_urls, reuse_or_refetch, apply_changes, outcome_counters, failure_fallback, sitemap_reach, sitemap_items, root_choice, dedupe_first, dedupe_last, index_stats, kb_build, kb_from_sitemaps, kb_build_with_reuse, refresh_with_bodies,
+    unchanged_urls, reuse_or_refetch, apply_changes, outcome_counters, failure_fallback, sitemap_reach, sitemap_items, root_choice, dedupe_first, dedupe_last, index_stats, kb_build, build_repeated_pages, refresh_repeated_pages, publish_with_failures, kb_from_sitemaps, kb_build_with_reuse, refresh_with_bodies,
     kb_refresh, record_gate, result_projection, dated_hits, indexed_search, wiki_listing, legacy_texts, term_snippets, event_fields, plan_with_extras, capped_plan, artifact_round_trip,
     chunk_round_trip, published_headers, title_places, first_titles, streamed_refresh, flatten_blocks, block_text, page_title, chunk_assign, chunk_counts, chunk_tokens, chunk_prune, local_time, query_parse,
 ]

@@ -145,6 +145,10 @@ built AS (
   FROM items i LEFT JOIN page p ON i.url = p.url)"""
 
 
+#: The last item and page of each url, where every third stands twice.
+_AGAIN = f"again AS (SELECT page_id, url, title, body, CASE WHEN page_id % 3 = 0 THEN '2023-12-31' ELSE {_SHIFTED} END AS lastmod FROM page)"
+
+
 def snippet(text: str, found: str, q: str, before: int, after: int, fallback: str, token: str | None = None) -> str:
     at = f"CASE WHEN instr({found}, '{q}') > 0 THEN instr({found}, '{q}') - 1 {f'WHEN {token} > 0 THEN {token} - 1' if token else ''} END"
     a, b = f"greatest(0, ({at}) - {before})", f"least(length({text}), ({at}) + {max(1, len(q))} + {after})"
@@ -241,6 +245,15 @@ def oracle_sql() -> dict[str, str]:
         "dedupe_last": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_min(event_id, (ts, event_id)) AS first_event_id FROM events GROUP BY user_id",
         "index_stats": f"WITH {BUILT} SELECT count(*) AS pages, count(*) FILTER (in_bodies) AS bodies, true AS has_chunks, TIMESTAMP '2024-06-01 00:00:00' AS latest FROM built WHERE outcome = 'english'",
         "kb_build": f"WITH {BUILT} SELECT * FROM built",
+        "build_repeated_pages": f"""WITH {PAGE}, {_AGAIN} SELECT url, CASE WHEN page_id % 3 = 0 OR {_BY_TITLE} THEN 'english' ELSE 'skipped' END AS outcome, CASE WHEN page_id % 3 = 0 THEN 'Later ' || page_id ELSE title END AS title,
+            lastmod AS source_lastmod, CASE WHEN page_id % 3 = 0 THEN 299 ELSE length(substr(body, 1, 4000)) END::INTEGER AS text_length, page_id % 3 = 0 OR ({_BY_TITLE} AND {_BY_BODY}) AS in_bodies FROM again""",
+        "refresh_repeated_pages": f"""WITH {INDEX}, {PAGE}, {_AGAIN},
+            c AS (SELECT a.*, x.url IS NULL AS fresh, coalesce(a.lastmod <> x.source_lastmod, false) AS changed, a.page_id % 3 = 0 OR {_BY_TITLE.replace('title', 'a.title').replace('body', 'a.body').replace('(url', '(a.url')} AS good, x.title AS was, x.source_lastmod AS was_lastmod FROM again a LEFT JOIN idx x ON x.url = a.url)
+            SELECT url, CASE WHEN NOT fresh AND NOT changed THEN was WHEN page_id % 3 = 0 THEN 'Later ' || page_id ELSE title END AS title, CASE WHEN fresh OR changed THEN lastmod ELSE was_lastmod END AS source_lastmod FROM c WHERE good OR NOT (fresh OR changed)""",
+        "publish_with_failures": f"""WITH {BUILT}, k AS (SELECT url, outcome, title, in_bodies FROM built WHERE outcome = 'english'
+              UNION ALL SELECT url || '/missing', 'kept', 'Old ' || page_id, page_id % 2 = 0 FROM pages WHERE page_id % 13 = 0), f AS (SELECT count(*) AS n FROM built WHERE outcome = 'failed')
+            SELECT 'titles' AS part, url, title FROM k UNION ALL SELECT 'bodies', url, title FROM k WHERE in_bodies
+            UNION ALL SELECT 'titles header', (SELECT count(*) FROM k)::VARCHAR, n::VARCHAR FROM f UNION ALL SELECT 'bodies header', (SELECT count(*) FROM k WHERE in_bodies)::VARCHAR, n::VARCHAR FROM f""",
         "kb_from_sitemaps": f"WITH RECURSIVE {_FROM_MAPS} SELECT * FROM built",
         "kb_build_with_reuse": f"""WITH {INDEX}, {BUILT}, old AS (SELECT b.*, x.title AS was, x.source_lastmod AS was_lastmod FROM built b LEFT JOIN idx x ON x.url = b.url)
             SELECT url, CASE WHEN source_lastmod = was_lastmod THEN 'reused' ELSE outcome END AS outcome, CASE WHEN source_lastmod = was_lastmod OR outcome = 'failed' THEN was ELSE title END AS title, source_lastmod,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import html, urls
-from docquarry.functions.language import BODY, TITLE, is_latin_page
+from docquarry.functions.language import BODY, TITLE, is_latin_page, is_latin_title
 from docquarry.functions.text import nfkc, or_empty, trim
 from docquarry.operators import changes, chunks, sitemap
 from docquarry.sources import tables
@@ -17,41 +17,56 @@ BROADCAST_URLS = 100_000
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(url, article_id, title, sample, text): every page's title, gate sample and stored body out of one projection, in compatibility form."""
+    """(url, article_id, title, sample, text): every page's title, gate sample and stored body out of one projection, in compatibility form; ord passes through."""
     h = or_empty(F.col("html"))
     composed = lambda c: trim(nfkc(c, h))
-    named = pages.select("url", urls.article_id(F.col("url")).alias("article_id"), composed(html.title(h)).alias("title"), composed(html.body(h)).alias("_body"))
-    return named.select("url", "article_id", "title", F.substring("_body", 1, 8000).alias("sample"), F.substring("_body", 1, 4000).alias("text"))
+    ord_of = [c for c in pages.columns if c == "ord"]
+    named = pages.select("url", urls.article_id(F.col("url")).alias("article_id"), composed(html.title(h)).alias("title"), composed(html.body(h)).alias("_body"), *ord_of)
+    return named.select("url", "article_id", "title", F.substring("_body", 1, 8000).alias("sample"), F.substring("_body", 1, 4000).alias("text"), *ord_of)
 
 
+def latest(pages: DataFrame) -> DataFrame:
+    """What extract() gives, one row for each url: the last page by a column ord, if there is one. Pages are read where they are; only extracts meet."""
+    return changes.filled(extract(pages))
+
+
+#: Outcomes whose rows are published; kept is a failed page with an earlier record.
+PUBLISHED = ("english", "reused", "kept")
 BUILT = ["url", "outcome", "article_id", "title", "text", "source_lastmod", "language", "checked_at", "in_bodies", "chunk_no"]
 
 
 def build(items: DataFrame, pages: DataFrame, now: Column, previous: DataFrame | None = None, n_chunks: int = 64, reuse_days: int | None = None) -> DataFrame:
-    """Every planned url with its outcome: titles and bodies in one pass.
+    """Every planned url with its outcome, once: titles and bodies in one pass.
 
-    ``items``: url, lastmod; rows without a url drop out. Columns: BUILT; outcome is english, skipped, failed or reused. A failed page falls back on
-    ``previous`` (url, title, text) if it is there. With ``reuse_days``, rows of ``previous`` (BUILT) that are still fresh stand for their pages,
+    ``items``: url, lastmod; rows without a url drop out. Columns: BUILT; outcome is english, skipped, failed, kept or reused. Of repeated urls in
+    items and pages the last counts, by a column ord. A failed page with a record in ``previous`` (url, title, text, and what else of BUILT there is) that
+    passes the title's gate is kept: it has that record's columns. With ``reuse_days``, rows of ``previous`` (BUILT) that are still fresh stand for their pages,
     which are not read: those with the plan's lastmod or, where one is missing, checked less than so many days ago.
     """
-    items = changes.filled(items.select("url", "lastmod"))
+    items = changes.filled(items.select("url", "lastmod", *[c for c in items.columns if c == "ord"]))
     kept = None
+    if previous is not None:
+        previous = changes.filled(previous)
     if previous is not None and reuse_days is not None:
         plan = written(changes.reuse(items.withColumn("title", F.lit(None).cast("string")), previous, now, reuse_days, by_lastmod=True))
         kept = previous.join(plan.where("reuse").select("url"), "url", "left_semi").withColumn("outcome", F.lit("reused")).select(*BUILT)
         items = plan.where(~F.col("reuse")).select("url", "lastmod")
-    got = extract(pages.join(items.select("url"), "url", "left_semi"))
+    got = latest(pages.join(items.select("url"), "url", "left_semi"))
     joined = items.join(got, "url", "left")
     outcome = F.when(F.col("title").isNull(), "failed").when(is_latin_page(F.col("title"), F.col("sample"), F.col("url"), TITLE), "english").otherwise("skipped")
     out = joined.withColumn("outcome", outcome).withColumn("in_bodies", (F.col("outcome") == "english") & is_latin_page(F.col("title"), F.col("sample"), F.col("url"), BODY))
-    if previous is not None:
-        old = previous.select("url", F.col("title").alias("_title"), F.col("text").alias("_text"))
-        failed = F.col("outcome") == "failed"
-        out = out.join(old, "url", "left").withColumns({"title": F.when(failed, F.col("_title")).otherwise(F.col("title")), "text": F.when(failed, F.col("_text")).otherwise(F.col("text"))})
     out = out.select(
         "url", "outcome", F.coalesce("article_id", urls.article_id(F.col("url"))).alias("article_id"), "title", "text", F.col("lastmod").alias("source_lastmod"),
         F.lit("en").alias("language"), now.alias("checked_at"), F.coalesce("in_bodies", F.lit(False)).alias("in_bodies"), chunks.by_hash(F.col("url"), n_chunks).alias("chunk_no"),
     )
+    if previous is not None:
+        had = [c for c in BUILT if c in previous.columns and c not in ("url", "outcome")]
+        old = previous.where(is_latin_title(F.col("title"))).select("url", F.struct(*had).alias("_old"))
+        keeps = (F.col("outcome") == "failed") & F.col("_old").isNotNull()
+        out = out.join(old, "url", "left").withColumn("_keeps", keeps)
+        # without a word on bodies, a record that has a text is in them
+        told = {"outcome": F.lit("kept"), "in_bodies": F.col("_old.in_bodies") if "in_bodies" in had else F.coalesce(F.col("_old.text"), F.lit("")) != ""}
+        out = out.select("url", *[F.when(F.col("_keeps"), told.get(c, F.col(f"_old.{c}") if c in had else F.col(c))).otherwise(F.col(c)).alias(c) for c in BUILT[1:]])
     return out if kept is None else out.unionByName(kept)
 
 
@@ -72,10 +87,10 @@ def from_sitemaps(sitemaps: DataFrame, roots: DataFrame, pages: DataFrame, now:
 
 
 def publish(built: DataFrame, path: str, created_at, collation: str | None = "en_CI_AI") -> None:
-    """Titles in title order and bodies by chunk under ``path``, each with its header; failed pages are counted."""
+    """Titles in title order and bodies by chunk under ``path``, each with its header; failed pages are counted, also those whose earlier record is kept."""
     built = written(built)
-    failed = built.where("outcome = 'failed'").count()
-    good = built.where("outcome in ('english', 'reused')")
+    failed = built.where("outcome in ('failed', 'kept')").count()
+    good = built.where(F.col("outcome").isin(*PUBLISHED))
     titles = good.select("article_id", "title", "url", "source_lastmod", "language", "checked_at")
     tables.publish(in_title_order(titles, collation), f"{path}/titles", failed, created_at)
     tables.publish(good.where("in_bodies").select("article_id", "title", "text", "url", "checked_at", "language", "chunk_no"), f"{path}/bodies", failed, created_at)
@@ -101,7 +116,7 @@ def _checked(index: DataFrame, items: DataFrame, pages: DataFrame) -> tuple[Data
     fetch, removed = plan.where("reason <> 'removed'"), plan.where("reason = 'removed'").select("url")
     wanted = fetch.select("url")
     wanted = F.broadcast(wanted) if plan.count() <= BROADCAST_URLS else wanted
-    got = extract(pages.join(wanted, "url", "left_semi"))
+    got = latest(pages.join(wanted, "url", "left_semi"))
     checked = fetch.drop("article_id").join(got, "url", "left")
     latin = is_latin_page(F.col("title"), F.col("sample"), F.col("url"), TITLE)
     checked = checked.withColumn("outcome", F.when(F.col("title").isNull(), "keep").when(latin, "upsert").otherwise("remove"))

@@ -13,17 +13,19 @@ def _filled(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) != ""
 
 
-def filled(df: DataFrame) -> DataFrame:
-    """Rows with a url, one for each: of several, the one whose other columns are largest."""
-    others = [c for c in df.columns if c != "url"]
-    kept = df.where(_filled("url"))
-    return kept.groupBy("url").agg(*[F.max(F.struct(*others)).alias("_row")]).select("url", "_row.*") if others else kept.distinct()
+def filled(df: DataFrame, order: str = "ord") -> DataFrame:
+    """Rows with a url, one for each: the last by a column ``order`` if there is one; without it, and of equal ones, that whose other columns are largest."""
+    others = [c for c in df.columns if c not in ("url", order)]
+    kept, by = df.where(_filled("url")), [order] if order in df.columns else []
+    if not by + others:
+        return kept.distinct()
+    return kept.groupBy("url").agg(F.max(F.struct(*by, *others)).alias("_row")).select("url", *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
 def change_set(items: DataFrame, index: DataFrame) -> DataFrame:
     """(url, lastmod, article_id, reason) of new, changed (lastmod) and removed URLs, in one full outer join on url.
 
-    ``items``: url, lastmod. ``index``: url, source_lastmod, article_id. A lastmod missing on either side is no change. Rows without a url are
+    ``items``: url, lastmod, and ord if the last of repeated urls is to count. ``index``: url, source_lastmod, article_id. A lastmod missing on either side is no change. Rows without a url are
     left out, and repeated urls are one row.
     """
     items, index = filled(items), filled(index)
@@ -59,10 +61,11 @@ def reuse(plan: DataFrame, previous: DataFrame, now: Column, days: int = 30, by_
 
 
 def apply_changes(index: DataFrame, upserts: DataFrame, removed: DataFrame) -> DataFrame:
-    """The index with ``upserts`` (its columns) in place of their urls and without the urls of ``removed``.
+    """The index with ``upserts`` (its columns; repeated urls as filled() has them) in place of their urls and without the urls of ``removed``.
 
     Urls that failed to be fetched are in neither and keep their rows.
     """
+    upserts = filled(upserts.select(*index.columns, *[c for c in upserts.columns if c == "ord" and c not in index.columns]))
     touched = upserts.select("url").unionByName(removed.select("url")).distinct()
     return index.join(touched, "url", "left_anti").unionByName(upserts.select(*index.columns))
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _pick(df: DataFrame, key: str, best, order: list[Column]) -> DataFrame:
+def _pick(df: DataFrame, key: str, best, order: list[Column], **more: Column) -> DataFrame:
     others = [c for c in df.columns if c != key]
-    chosen = best(F.struct(*others), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
-    return df.groupBy(key).agg(chosen.alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
+    chosen = best(F.struct(F.lit(0), *others), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    rows = df.groupBy(key).agg(chosen.alias("_row"), *[c.alias(name) for name, c in more.items()])
+    return rows.select(key, *[F.col(f"_row.{c}").alias(c) for c in others], *more)
 
 
 def keep_first(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -18,9 +19,8 @@ def keep_first(df: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def keep_last(df: DataFrame, key: str, order: Column) -> DataFrame:
-    """The row of largest ``order`` for each key, at the position ``first_at`` of the key's first row."""
-    last = _pick(df.withColumn("_at", order), key, F.max_by, [F.col("_at")]).drop("_at")
-    return last.join(df.groupBy(key).agg(F.min(order).alias("first_at")), key)
+    """The row of largest ``order`` for each key, null among them, at the position ``first_at`` of the key's first row; one aggregate."""
+    return _pick(df, key, F.max_by, [order], first_at=F.min(order))
 
 
 def first_in_listing(pages: DataFrame, most: int | None = None) -> DataFrame:

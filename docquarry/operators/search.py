@@ -130,15 +130,21 @@ def search(docs: DataFrame, queries: DataFrame, by: Ranker = WIKI) -> DataFrame:
     """
     if by.with_id:
         docs = docs.withColumn("whole_id", F.concat_ws("\n", "whole_norm", F.lower("article_id")))
-    n = queries.count()
-    blocks = [queries] if n <= BLOCK else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BLOCK) * 2)) == i) for i in range(-(-n // BLOCK) * 2)]
-    found = [_scored(docs.join(F.broadcast(b), matches(by)), by).select(*HIT) for b in blocks]
+    found = [_scored(docs.join(F.broadcast(b), matches(by)), by).select(*HIT) for b in in_blocks(queries)]
     return reduce(DataFrame.unionByName, found)
 
 
+def in_blocks(queries: DataFrame) -> list[DataFrame]:
+    """``queries`` in parts of about BLOCK rows at most, each small enough for a broadcast."""
+    n = queries.count()
+    parts = -(-n // BLOCK) * 2
+    return [queries] if n <= BLOCK else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+
+
 def old_boolean(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """The earlier Boolean ranker: title 700, body 350, 400 for each of several terms, 100 for each matching alternative."""
-    hits = docs.join(F.broadcast(queries.where("has_ops")), F.exists("norms", lambda g: F.forall(g, lambda t: _holds("whole_norm", t))))
+    condition = F.exists("norms", lambda g: F.forall(g, lambda t: _holds("whole_norm", t)))
+    hits = reduce(DataFrame.unionByName, [docs.join(F.broadcast(b), condition) for b in in_blocks(queries.where("has_ops"))])
     ok = F.filter("norms", lambda g: F.forall(g, lambda t: _holds("whole_norm", t)))
     terms = F.get(ok, F.lit(0))
     score = _points(terms, "title_norm", 700) + _points(terms, "body_norm", 350) + F.when(F.size(terms) > 1, 400 * F.size(terms)).otherwise(0) + 100 * F.size(ok)
@@ -149,7 +155,7 @@ def token_ranker(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """The earlier ranker by words: phrase 1500 and 800, words 250 and 80, all words 500 and 350."""
     in_title, in_body = _holds("title_norm", F.col("q")), _holds("body_norm", F.col("q"))
     any_word = F.exists("words", lambda t: _holds("whole_norm", t))
-    hits = docs.join(F.broadcast(queries), in_title | in_body | any_word)
+    hits = reduce(DataFrame.unionByName, [docs.join(F.broadcast(b), in_title | in_body | any_word) for b in in_blocks(queries)])
     t, b, n = F.size(F.filter("words", lambda x: _holds("title_norm", x))), F.size(F.filter("words", lambda x: _holds("body_norm", x))), F.size("words")
     all_of = lambda k, points: F.when((n > 1) & (k == n), points).otherwise(0)
     score = F.when(in_title, 1500).otherwise(0) + F.when(in_body, 800).otherwise(0) + 250 * t + 80 * b + all_of(t, 500) + all_of(b, 350)
