@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import html, language, text, urls
 from docquarry.functions import query as Q
 from docquarry.jobs import answers, kb, wiki
-from docquarry.operators import blocks, changes, chunks, dedupe, results, search, sitemap
+from docquarry.operators import blocks, changes, chunks, dedupe, grams, results, search, sitemap
 from docquarry.sources.tables import ITEMS, new_folder, read_chunks, read_parquet, read_records, read_wiki_pages, write_chunks, write_records
 from docquarry.streaming import refresh
 
@@ -462,6 +462,25 @@ def indexed_search(spark: SparkSession, d: str) -> DataFrame:
     return found.unionByName(search.search(docs, asked, search.KB_BODY).select("query_id", "id", "score").withColumn("ranker", F.lit("body")))
 
 
+def _gram_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The documents with their 3-gram postings, some fifty documents to a block."""
+    path, docs = new_folder(spark, "grams"), _docs(spark, d)
+    grams.store(docs, path, 1 + read_parquet(spark, d, "documents").count() // 50)
+    return grams.load(spark, path)
+
+
+def indexed_boolean_search(spark: SparkSession, d: str) -> DataFrame:
+    """boolean_search over blocks that postings of 3-grams leave."""
+    found = grams.pruned_search(_gram_index(spark, d), _ask(spark, BOOLEAN))
+    return found.select(*_SHOWN, F.array_join("matched_terms", ",").alias("terms"))
+
+
+def indexed_batch_search(spark: SparkSession, d: str) -> DataFrame:
+    """A batch of phrases and Boolean queries, some rare and one too short for a gram, by the ranker that also takes words and ids; pruned by postings."""
+    found = grams.pruned_search(_gram_index(spark, d), _ask(spark, *BATCH, "42 & the", "of", "license of the", "on | no such words"), search.KB_TITLE)
+    return found.select("query_id", "id", "score", "title_match", "body_match")
+
+
 def wiki_listing(spark: SparkSession, d: str) -> DataFrame:
     """Documents as raw page objects in JSON, read back and listed: one row for each id, other objects and empty ids left out."""
     t, i = read_parquet(spark, d, "documents"), F.col("doc_id")
@@ -554,7 +573,7 @@ _ALL = [
     phrase_search, boolean_search, token_fallback_search, id_boolean_search, body_search, weighted_token_search, multi_group_boolean_search, batch_search_topk, search_page, collated_page, wide_letters_search,
     source_counts, digest, merge_title_body_hits, snippets, highlight, extract_titles, extract_bodies, text_functions, script_profile, latin_gate, canonical_urls, change_set,
     unchanged_urls, reuse_or_refetch, apply_changes, outcome_counters, failure_fallback, sitemap_reach, sitemap_items, root_choice, dedupe_first, dedupe_last, index_stats, kb_build, build_repeated_pages, refresh_repeated_pages, publish_with_failures, kb_from_sitemaps, kb_build_with_reuse, refresh_with_bodies,
-    kb_refresh, record_gate, result_projection, dated_hits, indexed_search, wiki_listing, legacy_texts, term_snippets, event_fields, plan_with_extras, capped_plan, artifact_round_trip,
+    kb_refresh, record_gate, result_projection, dated_hits, indexed_search, indexed_boolean_search, indexed_batch_search, wiki_listing, legacy_texts, term_snippets, event_fields, plan_with_extras, capped_plan, artifact_round_trip,
     chunk_round_trip, published_headers, title_places, first_titles, streamed_refresh, flatten_blocks, block_text, page_title, chunk_assign, chunk_counts, chunk_tokens, chunk_prune, local_time, query_parse,
 ]
 

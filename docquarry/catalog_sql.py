@@ -78,12 +78,16 @@ _BODY_WORDS = " + ".join(n(has("bn", t), 1) for t in ("the", "license"))
 _BATCH = ((1, [["of the"]]), (2, [["with", "and"]]), (3, [["license"]]), (4, [["the"], ["der"]]), (5, [["on the"]]))
 
 
-def _hits(table: str, source: str, kind: str) -> str:
+#: The same and some more: an id, a word of two letters, a rare phrase, and an alternative that no text has.
+_WIDE_BATCH = (*_BATCH, (6, [["42", "the"]]), (7, [["of"]]), (8, [["license of the"]]), (9, [["on"], ["no such words"]]))
+
+
+def _hits(table: str, source: str, kind: str, batch: tuple = _BATCH) -> str:
     """All hits of the batch by one ranker: wiki, title or body."""
     p = {"wiki": (2400, 1600, 1200, 700, 250), "title": (2200, 1200, 900, 450, 300), "body": (0, 1600, 500, 900, 300)}[kind]
     parts = []
-    for i, groups in _BATCH:
-        if i in (2, 4):  # Boolean
+    for i, groups in batch:
+        if i in (2, 4, 6, 9):  # Boolean
             whole = "(tn || chr(10) || bn || chr(10) || number)" if kind == "title" else "(tn || chr(10) || bn)"
             score = f"SELECT {i} AS query_id, id, title, {boolean(groups, *p[2:], whole)} FROM {table}"
         else:
@@ -277,6 +281,8 @@ def oracle_sql() -> dict[str, str]:
         "dated_hits": f"""{_ONE}, e AS (SELECT id, score, CASE WHEN id % 5 = 0 THEN 'unknown' ELSE '2024-01-' || lpad((id % 28 + 1)::VARCHAR, 2, '0') END AS last_edited FROM h),
             r AS (SELECT row_number() OVER (ORDER BY score DESC, coalesce(epoch_ms(try_cast(last_edited AS TIMESTAMP)), 0) DESC, id) AS rank, * FROM e) SELECT * FROM r WHERE rank <= 20""",
         "indexed_search": f"WITH {DOCS} SELECT query_id, id::BIGINT AS id, score, 'wiki' AS ranker FROM ({_hits('d', 'w', 'wiki')}) UNION ALL SELECT query_id, id::BIGINT, score, 'body' FROM ({_hits('d', 'b', 'body')})",
+        "indexed_boolean_search": f"WITH {DOCS} SELECT * FROM (SELECT id, title, {boolean([['with', 'license'], ['of', 'them']], 1200, 700, 250)} FROM d) WHERE score IS NOT NULL",
+        "indexed_batch_search": f"WITH {DOCS}, n AS (SELECT *, id::VARCHAR AS number FROM d) SELECT query_id, id::BIGINT AS id, score, title_match, body_match FROM ({_hits('n', 'w', 'title', _WIDE_BATCH)})",
         "wiki_listing": """WITH w AS (SELECT doc_id AS i, CASE WHEN doc_id % 10 = 9 THEN '' ELSE 'p-' || (doc_id // 2) || '-x' END AS id, '2024-01-' || lpad((doc_id * 7 % 28 + 1)::VARCHAR, 2, '0') AS last_edited FROM documents WHERE doc_id % 6 <> 0),
             r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_edited DESC, i) AS k FROM w WHERE id <> '')
             SELECT id, 'doc ' || i AS title, CASE WHEN i % 3 = 0 THEN 'https://e.example/' || i ELSE 'https://wiki.example.com/' || replace(id, '-', '') END AS url, last_edited FROM r WHERE k = 1""",

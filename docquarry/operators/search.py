@@ -128,12 +128,20 @@ def search(docs: DataFrame, queries: DataFrame, by: Ranker = WIKI) -> DataFrame:
 
     ``docs`` as documents() makes them, ``queries`` as parsed(). More than BLOCK queries run in several passes.
     """
-    if by.with_id:
-        docs = docs.withColumn("whole_id", F.concat_ws("\n", "whole_norm", F.lower("article_id")))
+    docs = _with_id(docs, by)
     found = [_scored(docs.join(F.broadcast(b), matches(by)), by).select(*HIT) for b in in_blocks(queries)]
     return reduce(DataFrame.unionByName, found)
 
 
+def _with_id(docs: DataFrame, by: Ranker) -> DataFrame:
+    return docs.withColumn("whole_id", F.concat_ws("\n", "whole_norm", F.lower("article_id"))) if by.with_id else docs
+
+
+def scored(pairs: DataFrame, by: Ranker = WIKI) -> DataFrame:
+    """Hits among ``pairs``, rows of a document and a query beside each other."""
+    return _scored(_with_id(pairs, by).where(matches(by)), by).select(*HIT)
+
+
 def in_blocks(queries: DataFrame) -> list[DataFrame]:
     """``queries`` in parts of about BLOCK rows at most, each small enough for a broadcast."""
     n = queries.count()
