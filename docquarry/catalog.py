@@ -11,6 +11,7 @@ from docquarry.functions import html, language, text, urls
 from docquarry.functions import query as Q
 from docquarry.jobs import answers, kb, wiki
 from docquarry.operators import blocks, changes, chunks, dedupe, grams, results, search, sitemap
+from docquarry.sources import snapshots
 from docquarry.sources.tables import ITEMS, new_folder, read_chunks, read_parquet, read_records, read_wiki_pages, write_chunks, write_records
 from docquarry.streaming import refresh
 
@@ -569,12 +570,53 @@ def streamed_refresh(spark: SparkSession, d: str) -> DataFrame:
     return refresh.run(spark, f"{folder}/drops/*", f"{folder}/index", f"{folder}/cursor").select("url", "title")
 
 
+def chunked_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """A day's refresh of titles and bodies that are kept in chunks, of which it writes only those with a changed url."""
+    path = new_folder(spark, "chunked")
+    index = _index(spark, d).select("article_id", "title", F.lit("old body").alias("text"), "url", "source_lastmod", F.lit("en").alias("language"), F.expr(NOW).alias("checked_at"), F.lit(True).alias("in_bodies"))
+    snapshots.merge(spark, path, kb.INDEX, index, index.where("false"), 64)
+    kb.refresh_chunks(spark, path, _items(spark, d).drop("page_id"), read_parquet(spark, d, "pages", spread=True), F.expr(NOW))
+    return snapshots.read(spark, path, kb.INDEX).select("url", "title", F.length("text").alias("text_length"), "in_bodies", "source_lastmod")
+
+
+def half_published(spark: SparkSession, d: str) -> DataFrame:
+    """What readers see of an index while its next version is written, and after: rows by version."""
+    path, p = new_folder(spark, "half"), read_parquet(spark, d, "pages")
+    rows = p.select(F.col("page_id").cast("string").alias("article_id"), "url", F.floor(F.col("page_id") / SET).cast("int").alias("chunk_no"))
+    schema = "article_id string, url string, chunk_no int"
+    snapshots.commit(rows, path, 0)
+    rows.withColumn("article_id", F.lit("new")).write.partitionBy("chunk_no").parquet(f"{path}/data/version=1")  # written, but not yet told of
+    seen = snapshots.read(spark, path, schema).select(F.lit("while").alias("seen"), "article_id", "url")
+    snapshots.commit(rows.where("chunk_no = 0").withColumn("article_id", F.lit("new")), path, 1, {0})
+    after = snapshots.read(spark, path, schema).select(F.lit("after").alias("seen"), "article_id", "url")
+    return seen.unionByName(after).unionByName(snapshots.read(spark, path, schema, 0).select(F.lit("before").alias("seen"), "article_id", "url"))
+
+
+def keyed_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Four drops as a stream that keeps what it has seen of each url: all pages; a second look within ten days, which is too soon; changed, repeated and failed
+    pages after that; and late ones, older than what was taken."""
+    folder, p = new_folder(spark, "keyed"), read_parquet(spark, d, "pages").select("page_id", "url", "html")
+    day = lambda n: F.expr(f"timestamp '2024-06-{n:02} 00:00:00'").alias("seen_at")
+    titled = lambda t: F.concat(F.lit(f"<h1>{t} "), F.col("page_id"), F.lit("</h1><article>"), F.repeat(F.lit("word "), 60), F.lit("</article>")).alias("html")
+    other = F.when(F.col("page_id") % 7 != 0, titled("Third"))
+    drops = [
+        p.select("url", "html", day(1)),
+        p.select("url", titled("Soon"), day(5)),
+        p.where("page_id % 2 = 0").select("url", other.alias("html"), day(20)).unionByName(p.where("page_id % 6 = 0").select("url", titled("Again"), day(21))),
+        p.select("url", titled("Late"), F.when(F.col("page_id") % 2 == 0, F.expr("timestamp '2024-06-03 00:00:00'")).otherwise(F.expr("timestamp '2024-05-30 00:00:00'")).alias("seen_at")),
+    ]
+    for i, drop in enumerate(drops):
+        drop.write.parquet(f"{folder}/drops/{i}")
+        index = refresh.run(spark, f"{folder}/drops/*", f"{folder}/index", f"{folder}/cursor", fresh_days=10)
+    return index.select("url", "title", F.length("text").alias("text_length"), "in_bodies", F.dayofmonth("checked_at").alias("day"))
+
+
 _ALL = [
     phrase_search, boolean_search, token_fallback_search, id_boolean_search, body_search, weighted_token_search, multi_group_boolean_search, batch_search_topk, search_page, collated_page, wide_letters_search,
     source_counts, digest, merge_title_body_hits, snippets, highlight, extract_titles, extract_bodies, text_functions, script_profile, latin_gate, canonical_urls, change_set,
     unchanged_urls, reuse_or_refetch, apply_changes, outcome_counters, failure_fallback, sitemap_reach, sitemap_items, root_choice, dedupe_first, dedupe_last, index_stats, kb_build, build_repeated_pages, refresh_repeated_pages, publish_with_failures, kb_from_sitemaps, kb_build_with_reuse, refresh_with_bodies,
     kb_refresh, record_gate, result_projection, dated_hits, indexed_search, indexed_boolean_search, indexed_batch_search, wiki_listing, legacy_texts, term_snippets, event_fields, plan_with_extras, capped_plan, artifact_round_trip,
-    chunk_round_trip, published_headers, title_places, first_titles, streamed_refresh, flatten_blocks, block_text, page_title, chunk_assign, chunk_counts, chunk_tokens, chunk_prune, local_time, query_parse,
+    chunk_round_trip, published_headers, title_places, first_titles, streamed_refresh, keyed_stream, chunked_refresh, half_published, flatten_blocks, block_text, page_title, chunk_assign, chunk_counts, chunk_tokens, chunk_prune, local_time, query_parse,
 ]
 
 

@@ -267,6 +267,13 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT url, title, length(substr(body, 1, 4000))::INTEGER FROM c WHERE o = 'upsert' AND {_BY_BODY}""",
         "kb_refresh": f"""WITH {CHANGES}, {PAGE}, c AS (SELECT ch.url, ch.lastmod, p.title, CASE WHEN p.url IS NULL THEN 'keep' WHEN {_BY_TITLE} THEN 'upsert' ELSE 'remove' END AS o FROM (SELECT * FROM ch WHERE reason IN ('new', 'lastmod')) ch LEFT JOIN page p ON p.url = ch.url)
             SELECT url, title, source_lastmod FROM idx WHERE url NOT IN (SELECT url FROM c WHERE o <> 'keep') AND url NOT IN (SELECT url FROM ch WHERE reason = 'removed') UNION ALL SELECT url, title, lastmod FROM c WHERE o = 'upsert'""",
+        "keyed_stream": f"""WITH {PAGE}, a AS (SELECT *, page_id % 2 = 0 AND page_id % 7 <> 0 AS third, page_id % 6 = 0 AND page_id % 7 = 0 AS again, {_BY_TITLE} AS good, {_BY_TITLE} AND {_BY_BODY} AS bodies FROM page)
+            SELECT url, CASE WHEN third THEN 'Third ' || page_id WHEN again THEN 'Again ' || page_id ELSE title END AS title, CASE WHEN third OR again THEN 299 ELSE length(substr(body, 1, 4000)) END::INTEGER AS text_length,
+                   third OR again OR bodies AS in_bodies, CASE WHEN third THEN 20 WHEN again THEN 21 ELSE 1 END AS day FROM a WHERE third OR again OR good""",
+        "chunked_refresh": f"""WITH {CHANGES}, {PAGE}, c AS (SELECT ch.url, ch.lastmod, p.title, p.body, CASE WHEN p.url IS NULL THEN 'keep' WHEN {_BY_TITLE} THEN 'upsert' ELSE 'remove' END AS o FROM (SELECT * FROM ch WHERE reason IN ('new', 'lastmod')) ch LEFT JOIN page p ON p.url = ch.url)
+            SELECT url, title, 8 AS text_length, true AS in_bodies, source_lastmod FROM idx WHERE url NOT IN (SELECT url FROM c WHERE o <> 'keep') AND url NOT IN (SELECT url FROM ch WHERE reason = 'removed')
+            UNION ALL SELECT url, title, length(substr(body, 1, 4000))::INTEGER, {_BY_BODY}, lastmod FROM c WHERE o = 'upsert'""",
+        "half_published": """SELECT s AS seen, CASE WHEN s = 'after' AND page_id < 100 THEN 'new' ELSE page_id::VARCHAR END AS article_id, url FROM pages, (VALUES ('while'), ('after'), ('before')) t(s)""",
         "flatten_blocks": f"""WITH {_TREE}, c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS k FROM walk), j AS (SELECT conv_id AS page_id, string_agg(text, chr(10) ORDER BY path) FILTER (text <> '') AS text FROM c WHERE k <= 500 GROUP BY conv_id)
             SELECT page_id, md5(coalesce({_PLAIN}, '')) AS text_md5, length(coalesce({_PLAIN}, ''))::INTEGER AS text_length FROM j""",
         "block_text": f"SELECT conv_id, turn, md5(CASE turn % 4 WHEN 0 THEN {_PLAIN} WHEN 1 THEN trim({_PLAIN} || ' ' || {_PLAIN}) WHEN 2 THEN 'https://e.example/x' ELSE {_PLAIN} END) AS text_md5 FROM conversations",

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import html, urls
 from docquarry.functions.language import BODY, TITLE, is_latin_page, is_latin_title
 from docquarry.functions.text import nfkc, or_empty, trim
 from docquarry.operators import changes, chunks, sitemap
-from docquarry.sources import tables
+from docquarry.sources import snapshots, tables
 from docquarry.sources.tables import written
 
 #: Changed urls up to this number are broadcast to the pages; more go through an ordinary join.
@@ -157,6 +157,24 @@ def refresh_with_bodies(index: DataFrame, bodies: DataFrame | None, items: DataF
     return new, changes.apply_changes(bodies, read.where(fits).select(*bodies.columns), without), told
 
 
+#: Columns of a knowledge base that is kept in chunks.
+INDEX = "article_id string, title string, text string, url string, source_lastmod string, language string, checked_at timestamp, in_bodies boolean, chunk_no int"
+
+
+def refresh_chunks(spark: SparkSession, path: str, items: DataFrame, pages: DataFrame, now: Column, n_chunks: int = 64) -> tuple[DataFrame, set[int]]:
+    """(outcomes by url, chunks written): the same refresh of titles and bodies kept under ``path`` (INDEX, see snapshots): only chunks with a changed url are read whole and written.
+
+    The change set reads no texts. ``n_chunks`` is that of the first version; the refresh makes the next one.
+    """
+    index = snapshots.read(spark, path, INDEX)
+    checked, removed = _checked(index.select("url", "source_lastmod", "article_id"), items, pages)
+    upserts = _upserts(checked, now).withColumn("in_bodies", is_latin_page(F.col("title"), F.col("sample"), F.col("url"), BODY))
+    gone = removed.unionByName(checked.where("outcome = 'remove'").select("url"))
+    columns = [c for c in spark.createDataFrame([], INDEX).columns if c != "chunk_no"]
+    touched = snapshots.merge(spark, path, INDEX, upserts.select(*columns), gone, n_chunks)
+    return checked.select("url", "outcome").unionByName(removed.withColumn("outcome", F.lit("removed"))), touched
+
+
 def statistics(index: DataFrame) -> DataFrame:
     """One row: pages, bodies, chunks, latest check."""
     return index.agg(

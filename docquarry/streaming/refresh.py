@@ -1,50 +1,97 @@
-"""The refresh as a stream: drops of pages are read as they come and merged into the index by url."""
+"""The refresh as a stream of page drops, with what was last seen of each url as keyed state.
+
+The state of a url is when its page was last taken. By it a drop's pages are told apart: failed ones (no HTML), late ones (older than what was taken), fresh ones (the
+url was checked less than so many days before) and those to take, the last of each url. Only these are parsed and merged, by url, into the chunks of the
+index that they touch. A batch writes one version of the index; after a failure it is repeated whole, from the same state.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from docquarry.functions.language import TITLE, is_latin_page
+from docquarry.functions.language import BODY, TITLE, is_latin_page
 from docquarry.jobs.kb import extract
-from docquarry.operators.changes import apply_changes
-from docquarry.operators.dedupe import keep_last
+from docquarry.sources import snapshots
+from docquarry.sources.tables import written
+
+DROP = "url string, html string, seen_at timestamp"
+INDEX = "article_id string, title string, text string, url string, checked_at timestamp, in_bodies boolean, chunk_no int"
+EVENT = "url string, outcome string, seen_at timestamp, html string"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY_MS = 86_400_000
+
+
+class Seen(StatefulProcessor):
+    """Events (EVENT) of the pages of one url; see the module."""
 
-INDEX = "article_id string, title string, url string, checked_at timestamp"
+    def __init__(self, fresh_days: int, state_days: int | None) -> None:
+        self.fresh, self.ttl = fresh_days * DAY_MS, state_days * DAY_MS if state_days else None
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.taken = handle.getValueState("taken", "at long", self.ttl)
 
-def merge_batch(index: DataFrame, drop: DataFrame) -> DataFrame:
-    """The index after a drop of (url, html, seen_at): the last page of each url replaces its row, or removes it if it fails the gate; a
-    page without HTML is a failed fetch, which changes nothing."""
-    last = keep_last(drop.where((F.coalesce("url", F.lit("")) != "") & F.col("html").isNotNull()), "url", F.col("seen_at"))
-    read = extract(last).join(last.select("url", "seen_at"), "url")
-    read = read.withColumn("ok", is_latin_page(F.col("title"), F.col("sample"), F.col("url"), TITLE))
-    upserts = read.where("ok").select("article_id", "title", "url", F.col("seen_at").alias("checked_at"))
-    return apply_changes(index, upserts, read.where(~F.col("ok")).select("url"))
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = self.taken.get()[0] if self.taken.exists() else None
+        told, last = [], None
+        pages = pd.concat(list(rows)).sort_values("seen_at", kind="stable")
+        for seen, html in zip(pages["seen_at"], pages["html"], strict=True):
+            ms = int(seen.timestamp() * 1000)
+            if html is None:
+                told.append(("failed", seen, None))
+            elif at is not None and ms <= at:
+                told.append(("late", seen, None))
+            elif at is not None and ms - at < self.fresh:
+                told.append(("fresh", seen, None))
+            else:
+                if last:
+                    told.append(("replaced", last[0], None))
+                at, last = ms, (seen, html)
+        if last:
+            self.taken.update((at,))
+            told.append(("taken", *last))
+        yield pd.DataFrame([(key[0], *x) for x in told], columns=["url", "outcome", "seen_at", "html"])
 
 
-def start(spark: SparkSession, drops: str, index: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
-    """Read Parquet drops in ``drops`` and keep versions of the index under ``index``; the checkpoint is the cursor.
+def events(pages: DataFrame, fresh_days: int = 0, state_days: int | None = None) -> DataFrame:
+    """What becomes of each page (url, html, seen_at) of a stream; pages without a url or a time drop out.
 
-    A batch writes version=<batch id> and is repeated whole after a failure, so it is applied once. Runs until what is there is read.
+    ``state_days``: how long by the clock the state of a url is kept; a url that is unknown again is taken as new.
     """
-    source = spark.readStream.schema("url string, html string, seen_at timestamp").option("maxFilesPerTrigger", files_per_batch).parquet(drops)
+    known = pages.where((F.coalesce("url", F.lit("")) != "") & F.col("seen_at").isNotNull())
+    return known.groupBy("url").transformWithStateInPandas(Seen(fresh_days, state_days), EVENT, "Append", "ProcessingTime" if state_days else "None")
+
+
+def merge_batch(spark: SparkSession, index: str, batch: DataFrame, version: int, n_chunks: int = 64) -> set[int]:
+    """Merge the taken pages of ``batch`` (EVENT) into the index as ``version``: those that fail the title's gate leave it. Returns the chunks written."""
+    taken = batch.where("outcome = 'taken'").select("url", "html", "seen_at")
+    read = extract(taken).join(taken.select("url", "seen_at"), "url")
+    fits = lambda by: is_latin_page(F.col("title"), F.col("sample"), F.col("url"), by)
+    read = written(read.withColumns({"ok": fits(TITLE), "in_bodies": fits(BODY)}))
+    upserts = read.where("ok").select("article_id", "title", "text", "url", F.col("seen_at").alias("checked_at"), "in_bodies")
+    return snapshots.merge(spark, index, INDEX, upserts, read.where("not ok").select("url"), n_chunks, version)
+
+
+def start(spark: SparkSession, drops: str, index: str, checkpoint: str, files_per_batch: int = 100, fresh_days: int = 0, state_days: int | None = None, n_chunks: int = 64) -> StreamingQuery:
+    """Read Parquet drops (DROP) in ``drops`` into versions of the index under ``index``; ``checkpoint`` has the cursor and the state. Runs until what is there is read."""
+    source = spark.readStream.schema(DROP).option("maxFilesPerTrigger", files_per_batch).parquet(drops)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        old = session.read.schema(INDEX).parquet(f"{index}/version={batch_id - 1}") if batch_id else session.createDataFrame([], INDEX)
-        merge_batch(old, batch).write.mode("overwrite").parquet(f"{index}/version={batch_id}")
+        merge_batch(batch.sparkSession, index, written(batch), batch_id, n_chunks)
 
-    return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    was, name = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None), "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, ROCKS)  # a query takes the settings at its start with it
+    try:
+        return events(source, fresh_days, state_days).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, was) if was else spark.conf.unset(name)
 
 
-def run(spark: SparkSession, drops: str, index: str, checkpoint: str, files_per_batch: int = 100) -> DataFrame:
+def run(spark: SparkSession, drops: str, index: str, checkpoint: str, files_per_batch: int = 100, **options) -> DataFrame:
     """Take what there is of drops, and return the index as it is then."""
-    query = start(spark, drops, index, checkpoint, files_per_batch)
-    query.awaitTermination()
-    done = [p.batchId for p in query.recentProgress if p.numInputRows > 0]
-    if not done:  # nothing new
-        every = spark.read.schema(f"{INDEX}, version long").parquet(index)
-        return every.join(every.agg(F.max("version").alias("version")), "version", "left_semi").drop("version")
-    return spark.read.schema(INDEX).parquet(f"{index}/version={max(done)}")
+    start(spark, drops, index, checkpoint, files_per_batch, **options).awaitTermination()
+    return snapshots.read(spark, index, INDEX)

@@ -196,6 +196,7 @@ def test_tables_round_trip(spark, tmp_path):
 
 
 def test_stream_refresh(spark, tmp_path):
+    from docquarry.sources import snapshots
     from docquarry.streaming import refresh
 
     page = lambda title: f"<h1>{title}</h1><article>{'word ' * 60}</article>"
@@ -208,8 +209,7 @@ def test_stream_refresh(spark, tmp_path):
     refresh.start(*args).awaitTermination()
     drop([("a", None, day(3)), ("b", page("바"), day(3)), ("d", page("D"), day(3))], "2")
     refresh.start(*args).awaitTermination()
-    last = max((tmp_path / "index").iterdir(), key=lambda p: int(p.name.split("=")[1]))
-    assert {(r.url, r.title) for r in spark.read.parquet(str(last)).collect()} == {("a", "A2"), ("d", "D")}
+    assert {(r.url, r.title) for r in snapshots.read(spark, str(tmp_path / "index"), refresh.INDEX).collect()} == {("a", "A2"), ("d", "D")}
 
 
 def test_answers_job(spark):
