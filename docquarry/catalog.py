@@ -12,7 +12,7 @@ from docquarry.functions import query as Q
 from docquarry.jobs import answers, kb, wiki
 from docquarry.operators import blocks, changes, chunks, dedupe, grams, results, search, sitemap
 from docquarry.sources import snapshots
-from docquarry.sources.tables import ITEMS, new_folder, read_chunks, read_parquet, read_records, read_wiki_pages, write_chunks, write_records
+from docquarry.sources.tables import ITEMS, new_folder, read_chunks, read_parquet, read_records, read_wiki_pages, write_buckets, write_chunks, write_records
 from docquarry.streaming import refresh
 
 PHRASE, BOOLEAN, WORDS = "of the", "with & license | of & them", "the license"
@@ -202,6 +202,12 @@ def change_set(spark: SparkSession, d: str) -> DataFrame:
     return changes.change_set(_items(spark, d), _index(spark, d))
 
 
+def change_set_from_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """change_set against an index that is stored in buckets of url: only the snapshot is shuffled."""
+    name = write_buckets(_index(spark, d).select("url", "source_lastmod", "article_id", "title"), new_folder(spark, "buckets"), "url", 16)
+    return changes.change_set(_items(spark, d), spark.table(name))
+
+
 def unchanged_urls(spark: SparkSession, d: str) -> DataFrame:
     return changes.unchanged(_items(spark, d), _index(spark, d))
 
@@ -414,10 +420,26 @@ def chunk_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _chunk_tokens(spark, d).groupBy("chunk_no").agg(F.count("*").alias("n_tokens"))
 
 
-def chunk_prune(spark: SparkSession, d: str) -> DataFrame:
+def sketch_bits(spark: SparkSession, d: str) -> DataFrame:
+    """Bits that are set in each chunk's sketch, merged from the sketches of two parts of it."""
+    tokens = _chunk_tokens(spark, d).withColumn("part", F.length("token") % 2)
+    parts = [chunks.sketches(tokens.where(F.col("part") == k)) for k in (0, 1)]
+    return chunks.set_bits(chunks.merged(parts[0].unionByName(parts[1])))
+
+
+def _pruned(spark: SparkSession, d: str, words: list[str], most: int | None = None) -> DataFrame:
     k = _kb(spark, d).withColumn("chunk_no", F.col("article_id").cast("int") % 16)
-    left = chunks.prune(k, chunks.sketches(_chunk_tokens(spark, d)), ["the", "and"])
-    return left.where(F.contains("body_norm", F.lit("the and"))).select("id")
+    return chunks.prune(k, chunks.sketches(_chunk_tokens(spark, d)), words, most)
+
+
+def chunk_prune(spark: SparkSession, d: str) -> DataFrame:
+    """Hits within the chunks whose sketch has both words."""
+    return _pruned(spark, d, ["the", "and"]).where(F.contains("body_norm", F.lit("the and"))).select("id")
+
+
+def chunk_prune_first(spark: SparkSession, d: str) -> DataFrame:
+    """Articles of the first three chunks whose sketch has a rarer word."""
+    return _pruned(spark, d, ["blend"], 3).select("id", "chunk_no")
 
 
 def local_time(spark: SparkSession, d: str) -> DataFrame:
@@ -613,10 +635,10 @@ def keyed_stream(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = [
     phrase_search, boolean_search, token_fallback_search, id_boolean_search, body_search, weighted_token_search, multi_group_boolean_search, batch_search_topk, search_page, collated_page, wide_letters_search,
-    source_counts, digest, merge_title_body_hits, snippets, highlight, extract_titles, extract_bodies, text_functions, script_profile, latin_gate, canonical_urls, change_set,
+    source_counts, digest, merge_title_body_hits, snippets, highlight, extract_titles, extract_bodies, text_functions, script_profile, latin_gate, canonical_urls, change_set, change_set_from_buckets,
     unchanged_urls, reuse_or_refetch, apply_changes, outcome_counters, failure_fallback, sitemap_reach, sitemap_items, root_choice, dedupe_first, dedupe_last, index_stats, kb_build, build_repeated_pages, refresh_repeated_pages, publish_with_failures, kb_from_sitemaps, kb_build_with_reuse, refresh_with_bodies,
     kb_refresh, record_gate, result_projection, dated_hits, indexed_search, indexed_boolean_search, indexed_batch_search, wiki_listing, legacy_texts, term_snippets, event_fields, plan_with_extras, capped_plan, artifact_round_trip,
-    chunk_round_trip, published_headers, title_places, first_titles, streamed_refresh, keyed_stream, chunked_refresh, half_published, flatten_blocks, block_text, page_title, chunk_assign, chunk_counts, chunk_tokens, chunk_prune, local_time, query_parse,
+    chunk_round_trip, published_headers, title_places, first_titles, streamed_refresh, keyed_stream, chunked_refresh, half_published, flatten_blocks, block_text, page_title, chunk_assign, chunk_counts, chunk_tokens, sketch_bits, chunk_prune, chunk_prune_first, local_time, query_parse,
 ]
 
 

@@ -153,6 +153,18 @@ built AS (
 _AGAIN = f"again AS (SELECT page_id, url, title, body, CASE WHEN page_id % 3 = 0 THEN '2023-12-31' ELSE {_SHIFTED} END AS lastmod FROM page)"
 
 
+#: Bits of the sketches: four groups of four hex digits of a token's MD5.
+_BITS = """t AS (SELECT (number::INTEGER % 16) AS chunk_no, unnest(list_filter(regexp_split_to_array(tn || chr(10) || bn, '[^a-z0-9._+-]+'), lambda x: length(x) BETWEEN 2 AND 64)) AS token FROM k),
+bits AS (SELECT DISTINCT chunk_no, ('0x' || substr(md5(token), 4 * i::INTEGER + 1, 4))::INTEGER AS bit FROM (SELECT DISTINCT chunk_no, token FROM t), range(4) r(i))"""
+
+
+def _holding(words: list[str]) -> str:
+    """good: the chunks that have all bits of the words."""
+    asked = ", ".join(f"('{w}')" for w in words)
+    return f"""w AS (SELECT DISTINCT ('0x' || substr(md5(w), 4 * i::INTEGER + 1, 4))::INTEGER AS bit FROM (VALUES {asked}) v(w), range(4) r(i)),
+good AS (SELECT chunk_no FROM bits JOIN w ON bits.bit = w.bit GROUP BY chunk_no HAVING count(*) = (SELECT count(*) FROM w))"""
+
+
 def snippet(text: str, found: str, q: str, before: int, after: int, fallback: str, token: str | None = None) -> str:
     at = f"CASE WHEN instr({found}, '{q}') > 0 THEN instr({found}, '{q}') - 1 {f'WHEN {token} > 0 THEN {token} - 1' if token else ''} END"
     a, b = f"greatest(0, ({at}) - {before})", f"least(length({text}), ({at}) + {max(1, len(q))} + {after})"
@@ -234,6 +246,7 @@ def oracle_sql() -> dict[str, str]:
         "canonical_urls": """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://knowledge.example.com/external/article/' || page_id WHEN 1 THEN 'https://knowledge.example.com/external/article/' || page_id || '/how-to_fix.html' END AS canonical,
             CASE WHEN page_id % 3 < 2 THEN page_id::VARCHAR ELSE '' END AS article_id, CASE WHEN page_id % 3 = 1 THEN 'How to fix' END AS title FROM pages""",
         "change_set": f"WITH {CHANGES} SELECT * FROM ch WHERE reason IS NOT NULL",
+        "change_set_from_buckets": f"WITH {CHANGES} SELECT * FROM ch WHERE reason IS NOT NULL",
         "unchanged_urls": f"WITH {CHANGES} SELECT url FROM ch WHERE reason IS NULL",
         "reuse_or_refetch": f"""WITH {INDEX}, {ITEMS} SELECT i.url, x.url IS NOT NULL AND x.page_id % 60 < 30 AND i.page_id % 4 <> 0 AS by_age,
             x.url IS NOT NULL AND CASE WHEN i.lastmod IS NOT NULL AND x.source_lastmod IS NOT NULL THEN i.lastmod = x.source_lastmod ELSE x.page_id % 60 < 7 END AS by_lastmod FROM items i LEFT JOIN idx x ON i.url = x.url""",
@@ -282,6 +295,9 @@ def oracle_sql() -> dict[str, str]:
         "chunk_counts": "SELECT chunk_no, count(*) AS n FROM (SELECT (floor((row_number() OVER (ORDER BY url) - 1) / 50) + 1)::INTEGER AS chunk_no FROM pages) GROUP BY chunk_no",
         "chunk_tokens": f"""WITH {KB}, t AS (SELECT (number::INTEGER % 16) AS chunk_no, unnest(list_filter(regexp_split_to_array(tn || chr(10) || bn, '[^a-z0-9._+-]+'), lambda x: length(x) BETWEEN 2 AND 64)) AS token FROM k)
             SELECT chunk_no, count(DISTINCT token) AS n_tokens FROM t GROUP BY chunk_no""",
+        "sketch_bits": f"WITH {KB}, {_BITS} SELECT chunk_no, count(DISTINCT bit) AS n_bits FROM bits GROUP BY chunk_no",
+        "chunk_prune": f"WITH {KB}, {_BITS}, {_holding(['the', 'and'])} SELECT id FROM k WHERE number::INTEGER % 16 IN (SELECT chunk_no FROM good) AND {has('bn', 'the and')}",
+        "chunk_prune_first": f"WITH {KB}, {_BITS}, {_holding(['blend'])} SELECT id, number::INTEGER % 16 AS chunk_no FROM k WHERE number::INTEGER % 16 IN (SELECT chunk_no FROM good ORDER BY chunk_no LIMIT 3)",
         "record_gate": f"WITH {SCRIPTED} SELECT page_id, {_TITLE_OK} AS by_title, {_TITLE_OK} AND {_gate(_RECORD, ((12, 0.08), (5, 0.2)))} AS by_record FROM s",
         "result_projection": f"""{_BOTH}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, id) AS rank FROM h WHERE source = 'kb')
             SELECT query_id, rank, id, title, id AS url, '' AS snippet, false AS title_match, score > 2000 AS body_match, score, source FROM r WHERE rank <= 5""",

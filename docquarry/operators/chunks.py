@@ -46,26 +46,48 @@ def token_rows(df: DataFrame, most: int | None = None) -> DataFrame:
     return df.select("chunk_no", F.explode(index_tokens(F.col("normal"), most)).alias("token")).distinct()
 
 
-def _probe(token: Column, k: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(k), token), F.lit(BITS)).cast("int")
+def probes(token: Column) -> Column:
+    """array<int>: the PROBES bits of a token, each four hex digits of its MD5, which any engine has."""
+    digest = F.md5(token)
+    return F.array(*[F.conv(F.substring(digest, 4 * k + 1, 4), 16, 10).cast("int") for k in range(PROBES)])
+
+
+#: Bits of one bitmap of Spark's bitmap functions; a sketch has two.
+HALF = BITS // 2
 
 
 def sketches(tokens: DataFrame) -> DataFrame:
-    """(chunk_no, bits): the set bit positions of each chunk, 65,536 at most."""
-    with_bits = tokens.select("chunk_no", F.explode(F.array(*[_probe(F.col("token"), k) for k in range(PROBES)])).alias("bit"))
-    return with_bits.groupBy("chunk_no").agg(F.sort_array(F.collect_set("bit")).alias("bits"))
+    """(chunk_no, low, high): each chunk's sketch, BITS bits as two packed bitmaps. ``tokens``: chunk_no, token, repeated or not."""
+    bits = tokens.select("chunk_no", F.explode(probes(F.col("token"))).alias("bit"))
+    half = lambda name, which: F.expr(f"bitmap_construct_agg(cast(bit % {HALF} as bigint)) FILTER (WHERE bit {which} {HALF})").alias(name)
+    return bits.groupBy("chunk_no").agg(half("low", "<"), half("high", ">="))
+
+
+def merged(sketch: DataFrame) -> DataFrame:
+    """One sketch for each chunk of ``sketch``, which may have several, made of parts of the chunk: the same as of the whole."""
+    return sketch.groupBy("chunk_no").agg(F.bitmap_or_agg("low").alias("low"), F.bitmap_or_agg("high").alias("high"))
+
+
+def set_bits(sketch: DataFrame) -> DataFrame:
+    """(chunk_no, n_bits)."""
+    return sketch.select("chunk_no", (F.bitmap_count("low") + F.bitmap_count("high")).alias("n_bits"))
+
+
+def _has(bit: Column) -> Column:
+    part, at = F.when(bit < HALF, F.col("low")).otherwise(F.col("high")), bit % HALF
+    byte = F.conv(F.hex(F.substring(part, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, at % 8) == 1
 
 
-def may_hold(bits: Column, words: list[str]) -> Column:
-    """Whether a chunk's sketch has all words. It is about whole tokens, while search is about substrings: a lossy filter."""
-    probes = [_probe(F.lit(w), k) for w in words for k in range(PROBES)]
+def may_hold(words: list[str]) -> Column:
+    """Whether a chunk's sketch (low, high) has all words. It is about whole tokens, while search is about substrings: a lossy filter."""
     out = F.lit(True)
-    for p in probes:
-        out = out & F.array_contains(bits, p)
+    for w in words:
+        out = out & F.forall(probes(F.lit(w)), _has)
     return out
 
 
 def prune(df: DataFrame, sketch: DataFrame, words: list[str], most: int | None = None) -> DataFrame:
     """Rows of the chunks that may hold all words; ``most`` of the first such chunks if a cut is wanted (none by default)."""
-    good = sketch.where(may_hold(F.col("bits"), words)).select("chunk_no").orderBy("chunk_no")
+    good = sketch.where(may_hold(words)).select("chunk_no").orderBy("chunk_no")
     return df.join(good.limit(most) if most else good, "chunk_no", "left_semi")

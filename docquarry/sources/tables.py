@@ -87,6 +87,16 @@ def read_chunks(spark: SparkSession, path: str, schema: str, expected: int | Non
     return out
 
 
+def write_buckets(df: DataFrame, path: str, key: str, buckets: int) -> str:
+    """Write ``df`` to ``path`` in buckets of ``key``, sorted in each, as a table of the session's catalogue, and return its name.
+
+    Joins and aggregates by ``key`` take the buckets as they are; what is joined to them is dealt to as many.
+    """
+    name = f"buckets_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    return name
+
+
 def read_sitemap_items(spark: SparkSession, path: str) -> DataFrame:
     """(loc, lastmod) of sitemap files; lastmod stays text."""
     return spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)

@@ -41,10 +41,5 @@ def test_same_as_sql(spark, duck, name):
     same(spark, duck, name)
 
 
-def test_pruned_search_is_part_of_the_exact_one(spark):
-    exact = {r.id for r in catalog._kb(spark, FOLDER).where("contains(body_norm, 'the and')").collect()}
-    assert {r.id for r in catalog.chunk_prune(spark, FOLDER).collect()} <= exact
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
