@@ -12,6 +12,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 #: Fixed sets of HTML's element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes canvas audio video datalist area annotation annotation-xml mphantom".split())
+UNSEEN = frozenset("rp head title script style template noscript iframe noembed noframes canvas audio video datalist area annotation annotation-xml mphantom".split())
 #: Within svg, what is drawn only by reference or not at all, and what holds text that is drawn.
 UNDRAWN, DRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc".split()), frozenset(["text", "foreignobject"])
 PRE = frozenset(["pre", "xmp", "plaintext"])
@@ -46,7 +47,7 @@ SCOPE = frozenset("table td th caption html template button object foreignobject
 #: Parts of a table reach over its cells, not over the table.
 TABLE_PARTS, TABLE_SCOPE = frozenset("table caption colgroup thead tbody tfoot tr td th".split()), frozenset(["table"])
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))[^>\"']*)*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</(?:>|[^a-zA-Z>][^>]*>?)|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))[^>\"']*)*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s/=][^\s/=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s]+)))?")
 _MAY_HIDE = re.compile(r"hidden|style", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
@@ -55,8 +56,10 @@ _NUMBER = re.compile(r"\s*(-?\d{1,12})")
 
 #: Fixed: the largest spans of a cell that HTML knows.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
-#: Padding of a cell and indentation of a line stop here, so that a page's text is no longer than a multiple of its source. Text is never cut.
-WIDEST, DEEPEST = 60, 40
+#: A longer cell doesn't widen its column, one gap is padded so far at most, and indentation stops there, so that a page's text is no longer than a multiple of its source. Text is never cut.
+WIDEST, MOST_PADDING, DEEPEST = 60, 1000, 40
+#: Columns up to which a cell's rows below it are remembered.
+TRACKED = 20_000
 
 
 class Node:
@@ -76,40 +79,68 @@ def attributes_of(written: str) -> dict[str, str]:
     return found
 
 
-def _hidden(written: str) -> bool:
-    """Whether the attributes hide their element: one is named hidden, or the style says so."""
+def _shown(name: str, written: str) -> tuple[bool, bool | None]:
+    """Whether the element is laid out, and what its attributes say of visibility: True, False, or None for that of its parent.
+
+    The style attribute's display counts before an attribute named hidden.
+    """
+    if name == "dialog" and "open" not in attributes_of(written):
+        return False, None
     if not _MAY_HIDE.search(written):
-        return False
+        return True, None
     attributes = attributes_of(written)
-    if "hidden" in attributes:
-        return True
     style: dict[str, tuple[str, bool]] = {}
     for declaration in _COMMENT.sub(" ", attributes.get("style", "")).lower().split(";"):
-        name, _, value = declaration.partition(":")
-        name, (value, mark, _) = name.strip(), value.partition("!")
-        if mark or not style.get(name, ("", False))[1]:
-            style[name] = (value.strip(), bool(mark))
-    return style.get("display", ("", False))[0] == "none" or style.get("visibility", ("", False))[0] in ("hidden", "collapse")
+        key, _, value = declaration.partition(":")
+        key, (value, mark, _) = key.strip(), value.partition("!")
+        if mark or not style.get(key, ("", False))[1]:
+            style[key] = (value.strip(), bool(mark))
+    display, visibility = (style.get(k, ("", False))[0] for k in ("display", "visibility"))
+    laid = display != "none" if display else "hidden" not in attributes
+    return laid, {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(visibility)
+
+
+_IN_SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I)
+
+
+def _script_end(source: str, at: int) -> tuple[int, int]:
+    """Where a script's text ends and where its end tag does; within a comment, a script in it has an end tag of its own."""
+    comment = inner = False
+    for m in _IN_SCRIPT.finditer(source, at):
+        if m[0] == "<!--":
+            comment = True
+        elif m[0] == "-->":
+            comment = inner = False
+        elif not m[1]:
+            inner = comment
+        elif inner:
+            inner = False
+        else:
+            end = source.find(">", m.end())
+            return m.start(), end + 1 if end >= 0 else len(source)
+    return len(source), len(source)
 
 
 def parse(source: str) -> Node:
     """The page's tree. What isn't a tag is text; an unclosed tag or comment at the end is left out."""
     root = Node("html")
     stack, at, n = [root], 0, len(source)
-    opened: dict[str, int] = {}  # how many of each name are open, so that stray tags cost nothing
+    opened: dict[str, list[int]] = {}  # where on the stack the open elements of each name are, so that no tag has to look through it
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
-            opened[stack.pop().name] -= 1
+            opened[stack.pop().name].pop()
 
-    def close(names: frozenset[str], stop: frozenset[str]) -> None:
-        if any(opened.get(x) for x in names):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in names:
-                    return pop_to(i)
-                if stack[i].name in stop:
-                    return None
-        return None
+    def last(names) -> int:
+        return max((opened[x][-1] for x in names if opened.get(x)), default=0)
+
+    def close(names: frozenset[str], stop: frozenset[str]) -> bool:
+        """Close the last open element of ``names``, if it is behind all others of ``stop``."""
+        found = last(names)
+        if found and found > last(stop - names):
+            pop_to(found)
+            return True
+        return False
 
     while at < n:
         m = _TOKEN.search(source, at)
@@ -123,8 +154,8 @@ def parse(source: str) -> Node:
             name = m[1].lower()
             if name == "br":
                 stack[-1].children.append(Node("br"))
-            elif opened.get(name):
-                close(frozenset([name]), (TABLE_SCOPE if name in TABLE_PARTS else SCOPE) - {name})
+            elif not (opened.get(name) and close(frozenset([name]), TABLE_SCOPE if name in TABLE_PARTS else SCOPE)) and name == "p":
+                stack[-1].children.append(Node("p"))  # a stray one is an empty paragraph
         elif m[2]:
             name, attributes = m[2].lower(), m[3]
             if name in ("html", "body") and opened.get("body"):
@@ -138,16 +169,20 @@ def parse(source: str) -> Node:
             node = Node(name, attributes)
             stack[-1].children.append(node)
             if name in RAW and not (attributes.endswith("/") and (opened.get("svg") or opened.get("math"))):
-                end = None if name == "plaintext" else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-                inside = source[at : end.start() if end else n]
+                if name == "script":
+                    until, after = _script_end(source, at)
+                else:
+                    end = None if name == "plaintext" else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+                    until, after = (end.start(), end.end()) if end else (n, n)
+                inside = source[at:until]
                 if name == "textarea":
                     node.children.append(html.unescape(inside))
                 elif name in PRE:
                     node.children.append(inside)
-                at = end.end() if end else n
+                at = after
             elif name not in VOID and not attributes.endswith("/"):
+                opened.setdefault(name, []).append(len(stack))
                 stack.append(node)
-                opened[name] = opened.get(name, 0) + 1
     return root
 
 
@@ -207,22 +242,24 @@ def _number(node: Node, attribute: str) -> int | None:
 
 def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, str]]]:
     """Rows of (cell, columns, rows it spans; 0 rows: all that follow) as rows of (first column, columns, cell); cells from rows above keep their columns."""
-    out, above, until = [], [], 0  # above: (first column, end, first row below), by column; until: the least of those rows
+    out: list[list[tuple[int, int, str]]] = []
+    below, until = np.zeros(0, np.int32), 0  # for each column, the first row that no cell from above reaches; the largest of them
     for nth, row in enumerate(rows):
-        if above and nth >= until:
-            above = [x for x in above if x[2] > nth]
-            until = min((x[2] for x in above), default=0)
-        line, mine, at, k = [], [], 0, 0
+        line, at = [], 0
+        free = np.flatnonzero(below <= nth) if nth < until else None
         for cell, columns, deep in row:
-            while k < len(above) and above[k][0] < at + 1:
-                at, k = max(at, above[k][1]), k + 1
+            if free is not None:
+                k = np.searchsorted(free, at)
+                at = int(free[k]) if k < len(free) else max(at, len(below))
             line.append((at, columns, cell))
-            if deep != 1:
-                mine.append((at, at + columns, nth + (deep or MOST_ROWS)))
             at += columns
-        if mine:
-            above = sorted(above + mine)
-            until = min(x[2] for x in above)
+        for (a, columns, _), (_, _, deep) in zip(line, row, strict=True):
+            if deep != 1 and a < TRACKED:
+                end, last = min(a + columns, TRACKED), min(nth + (deep or MOST_ROWS), 2**31 - 1)
+                if end > len(below):
+                    below = np.concatenate([below, np.zeros(max(end, 2 * len(below)) - len(below), np.int32)])
+                np.maximum(below[a:end], last, out=below[a:end])
+                until = max(until, last)
         out.append(line)
     return out
 
@@ -230,7 +267,8 @@ def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int,
 def _table(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     """Rows of (cell, columns, rows it spans) with columns aligned, two spaces apart.
 
-    A column is as wide as its widest cell of up to WIDEST characters; longer cells are written whole and push the rest of their line on.
+    A column is as wide as its widest cell of up to WIDEST characters; longer cells are written whole and push the rest of their line on. A cell begins at its column also
+    where there is none to its left, up to a gap of MOST_PADDING.
     """
     placed = _placed(rows)
     widths: dict[int, int] = {}
@@ -253,8 +291,8 @@ def _table(rows: list[list[tuple[str, int, int]]]) -> list[str]:
             if not cell and columns > 1:
                 continue
             if at > end:  # columns without a cell here
-                line.append(" " * min(between(end, at), WIDEST))
-            line.append(cell.ljust(min(max(between(at, at + columns) - 2, 0), WIDEST)) + "  ")
+                line.append(" " * min(between(end, at), MOST_PADDING))
+            line.append(cell.ljust(min(max(between(at, at + columns) - 2, 0), MOST_PADDING)) + "  ")
             end = at + columns
         out.append("".join(line).rstrip(" "))
     return [x for x in out if x]
@@ -268,15 +306,18 @@ def render(root: Node) -> str:
     lists: list[list] = []
     pre = 0
     drawn: list[bool] = []  # within svg, whether text is drawn
+    seen: list[tuple[Node, bool]] = []  # elements that say whether their text is visible
     todo: list[tuple[object, bool]] = [(root, False)]
     while todo:
         node, leaving = todo.pop()
         if isinstance(node, str):
-            if not drawn or drawn[-1]:
+            if (not drawn or drawn[-1]) and (not seen or seen[-1][1]):
                 out.put(node, keep=pre > 0)
             continue
         name = node.name
         if leaving:
+            if seen and seen[-1][0] is node:
+                seen.pop()
             if name in ("ul", "ol"):
                 lists.pop()
             elif name == "li":
@@ -306,7 +347,8 @@ def render(root: Node) -> str:
                 out.end()
                 out.blank |= name in SPACED and not (name in ("ul", "ol") and lists)
             continue
-        if name in UNSEEN or node.attributes and _hidden(node.attributes) or name == "input" or drawn and name in UNDRAWN:
+        laid, visible = _shown(name, node.attributes) if node.attributes or name == "dialog" else (True, None)
+        if name in UNSEEN or not laid or name == "input" or drawn and name in UNDRAWN:
             continue
         if name == "br":
             out.end(force=True)
@@ -316,7 +358,11 @@ def render(root: Node) -> str:
             out.blank |= name in SPACED and not (name in ("ul", "ol") and lists)
         if name == "hr":
             continue
+        if visible is not None:
+            seen.append((node, visible))
         children = node.children
+        if name == "details" and "open" not in attributes_of(node.attributes):
+            children = [x for x in children if isinstance(x, Node) and x.name == "summary"][:1]
         if name in ("ul", "ol"):
             start = _number(node, "start") if name == "ol" else None
             lists.append([name, 1 if start is None else start])
@@ -324,7 +370,7 @@ def render(root: Node) -> str:
             kind = lists[-1] if lists else ["ul", 1]
             given = _number(node, "value") if kind[0] == "ol" else None
             kind[1] = kind[1] if given is None else given
-            out.mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
+            out.mark = "" if seen and not seen[-1][1] else f"{kind[1]}. " if kind[0] == "ol" else "- "
             kind[1] += 1
             out.indent.append(" " * len(out.mark))
         elif name in ("blockquote", "dd"):
@@ -359,11 +405,10 @@ def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
 
     Null or empty pages give an empty text. Spaces collapse outside pre; paragraphs, headings, lists, tables and quotes
     stand apart by an empty line, other blocks begin a line; list items carry "- " or their number and are indented by
-    depth; a table has a line for each row with its columns aligned, row spans included. Padding and indentation stop at WIDEST and DEEPEST characters, so that
-    an element adds a bounded number of characters to the page's text. Options of a select are lines, shown by their label where
+    depth; a table has a line for each row with its columns aligned, row spans included. What padding and indentation an element adds to the page's text is bounded. Options of a select are lines, shown by their label where
     they have one; objects give their fallback, svg the text it draws, math all but its annotations, xmp and plaintext their source.
-    Scripts, styles, the head, templates, hidden elements (attribute hidden, or display or visibility in the style attribute),
-    inputs, datalists, noscript, and fallback of frames, media and canvas give no text. Extra columns are left out.
+    Scripts, styles, the head, templates, elements that aren't laid out (display in the style attribute, or the attribute hidden), closed dialogs, all of
+    closed details but the summary, what is invisible (visibility in the style attribute, its own or the nearest parent's), rp, inputs, datalists, noscript, and fallback of frames, media and canvas give no text. Extra columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
