@@ -504,6 +504,11 @@ def indexed_batch_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "id", "score", "title_match", "body_match")
 
 
+def bounded_topk(spark: SparkSession, d: str) -> DataFrame:
+    """batch_search_topk from the blocks whose bound reaches the fifth score."""
+    return grams.top(_gram_index(spark, d), _ask(spark, *BATCH), 5)[0].select("query_id", "rank", "id", "score")
+
+
 def wiki_listing(spark: SparkSession, d: str) -> DataFrame:
     """Documents as raw page objects in JSON, read back and listed: one row for each id, other objects and empty ids left out."""
     t, i = read_parquet(spark, d, "documents"), F.col("doc_id")
@@ -637,7 +642,7 @@ _ALL = [
     phrase_search, boolean_search, token_fallback_search, id_boolean_search, body_search, weighted_token_search, multi_group_boolean_search, batch_search_topk, search_page, collated_page, wide_letters_search,
     source_counts, digest, merge_title_body_hits, snippets, highlight, extract_titles, extract_bodies, text_functions, script_profile, latin_gate, canonical_urls, change_set, change_set_from_buckets,
     unchanged_urls, reuse_or_refetch, apply_changes, outcome_counters, failure_fallback, sitemap_reach, sitemap_items, root_choice, dedupe_first, dedupe_last, index_stats, kb_build, build_repeated_pages, refresh_repeated_pages, publish_with_failures, kb_from_sitemaps, kb_build_with_reuse, refresh_with_bodies,
-    kb_refresh, record_gate, result_projection, dated_hits, indexed_search, indexed_boolean_search, indexed_batch_search, wiki_listing, legacy_texts, term_snippets, event_fields, plan_with_extras, capped_plan, artifact_round_trip,
+    kb_refresh, record_gate, result_projection, dated_hits, indexed_search, indexed_boolean_search, indexed_batch_search, bounded_topk, wiki_listing, legacy_texts, term_snippets, event_fields, plan_with_extras, capped_plan, artifact_round_trip,
     chunk_round_trip, published_headers, title_places, first_titles, streamed_refresh, keyed_stream, chunked_refresh, half_published, flatten_blocks, block_text, page_title, chunk_assign, chunk_counts, chunk_tokens, sketch_bits, chunk_prune, chunk_prune_first, local_time, query_parse,
 ]
 

@@ -220,6 +220,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, ({phrase('the license', 1500, 800)} + 250 * t + 80 * b + {n('t = 2', 500)} + {n('b = 2', 350)})::INTEGER AS score FROM w WHERE t + b > 0""",
         "multi_group_boolean_search": f"""WITH {DOCS} SELECT id, score::INTEGER AS score FROM (SELECT id, {first(lambda g: group(g, 700, 350, 400 if len(g) > 1 else 0))} + 100 * ({' + '.join(n(all_of(g), 1) for g in groups3)}) AS score FROM d) WHERE score IS NOT NULL""",
         "batch_search_topk": f"{_RANKED}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, id::BIGINT) AS rank, id::BIGINT AS id, score FROM h) SELECT * FROM r WHERE rank <= 5",
+        "bounded_topk": f"{_RANKED}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, id::BIGINT) AS rank, id::BIGINT AS id, score FROM h) SELECT * FROM r WHERE rank <= 5",
         "search_page": f"{_ONE}, r AS (SELECT 1 AS query_id, row_number() OVER (ORDER BY score DESC, title, id) AS rank, id, score, count(*) OVER () AS total FROM h), p AS (SELECT *, greatest(1, ceil(total / 10.0))::INTEGER AS total_pages FROM r), s AS (SELECT *, least(2, total_pages) AS page FROM p) SELECT * FROM s WHERE rank > (page - 1) * 10 AND rank <= page * 10",
         "collated_page": f"{_ONE}, r AS (SELECT 1 AS query_id, row_number() OVER (ORDER BY score DESC, title COLLATE en, id) AS rank, id, score, count(*) OVER () AS total FROM h), s AS (SELECT *, least(2, greatest(1, ceil(total / 10.0)))::INTEGER AS page FROM r) SELECT * FROM s WHERE rank > (page - 1) * 10 AND rank <= page * 10",
         "wide_letters_search": f"""WITH w AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'abc guide ' ELSE '' END || coalesce(text, '') AS t FROM documents),

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from docquarry.operators import grams, search
+from docquarry.operators import grams, results, search
 
 rng = random.Random(5)
 LETTERS = "abc é中𝄞"
@@ -53,3 +53,19 @@ def test_a_rare_phrase_reads_few_texts(spark, tmp_path):
     assert [r.id for r in found.collect()] == [321]
     texts = sum(n for columns, n in scanned(found._jdf.queryExecution().executedPlan()) if "body_norm" in columns)
     assert 0 < texts < t.count() / 10
+
+
+def test_the_best_hits_need_few_blocks(spark, tmp_path):
+    rows = [(i, "a rare title" if i in (5, 77) else "other", "some common words of the text and more " + ("rare title" if i % 50 == 0 else "")) for i in range(400)]
+    docs = search.documents(spark.createDataFrame(rows, "id long, title string, text string"), F.col("id"), F.col("title"), F.col("text"), F.col("id").cast("string"))
+    grams.store(docs, str(tmp_path / "i"), 40)
+    index, asked = grams.load(spark, str(tmp_path / "i")), search.parsed(search.query_table(spark, ["rare title", "common & rare", "the text | nothing", "of", "no such"]))
+    for by in (search.WIKI, search.KB_TITLE, search.KB_BODY):
+        for k in (1, 2, 5, 1000):
+            best, blocks = grams.top(index, asked, k, by, first=2)
+            want = results.top(search.search(docs, asked, by), k)
+            rows_of = lambda df: sorted((r.query_id, r["rank"], r.id, r.score) for r in df.collect())
+            assert rows_of(best) == rows_of(want)
+            counted = {r.query_id: (r.candidates, r.scored) for r in blocks.collect()}
+            if by == search.WIKI and k == 2:
+                assert counted[1][1] == 2 < counted[1][0] and 4 not in counted
