@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import html, language, text, urls
 from docquarry.functions import query as Q
 from docquarry.jobs import answers, kb, wiki
-from docquarry.operators import blocks, changes, chunks, dedupe, grams, results, search, sitemap
+from docquarry.operators import blocks, changes, chunks, dedupe, grams, many, results, search, sitemap
 from docquarry.sources import snapshots
 from docquarry.sources.tables import ITEMS, new_folder, read_chunks, read_parquet, read_records, read_wiki_pages, write_buckets, write_chunks, write_records
 from docquarry.streaming import refresh
@@ -509,6 +509,15 @@ def bounded_topk(spark: SparkSession, d: str) -> DataFrame:
     return grams.top(_gram_index(spark, d), _ask(spark, *BATCH), 5)[0].select("query_id", "rank", "id", "score")
 
 
+def many_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item as two queries, a phrase of two of its words and both words by themselves, over all documents in one pass."""
+    b = read_parquet(spark, d, "benchmark")
+    word = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
+    raw = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.concat(word(3), F.lit(" "), word(4)).alias("raw")), F.struct(F.lit(1).alias("k"), F.concat(word(3), F.lit(" & "), word(5), F.lit(" | "), word(6)).alias("raw")))).alias("x")
+    asked = b.select("item_id", raw).select((F.col("item_id") * 2 + F.col("x.k")).cast("int").alias("query_id"), "x.raw")
+    return many.search_many(_docs(spark, d), search.parsed(asked)).select("query_id", "id", "score", "title_match", "body_match")
+
+
 def wiki_listing(spark: SparkSession, d: str) -> DataFrame:
     """Documents as raw page objects in JSON, read back and listed: one row for each id, other objects and empty ids left out."""
     t, i = read_parquet(spark, d, "documents"), F.col("doc_id")
@@ -642,7 +651,7 @@ _ALL = [
     phrase_search, boolean_search, token_fallback_search, id_boolean_search, body_search, weighted_token_search, multi_group_boolean_search, batch_search_topk, search_page, collated_page, wide_letters_search,
     source_counts, digest, merge_title_body_hits, snippets, highlight, extract_titles, extract_bodies, text_functions, script_profile, latin_gate, canonical_urls, change_set, change_set_from_buckets,
     unchanged_urls, reuse_or_refetch, apply_changes, outcome_counters, failure_fallback, sitemap_reach, sitemap_items, root_choice, dedupe_first, dedupe_last, index_stats, kb_build, build_repeated_pages, refresh_repeated_pages, publish_with_failures, kb_from_sitemaps, kb_build_with_reuse, refresh_with_bodies,
-    kb_refresh, record_gate, result_projection, dated_hits, indexed_search, indexed_boolean_search, indexed_batch_search, bounded_topk, wiki_listing, legacy_texts, term_snippets, event_fields, plan_with_extras, capped_plan, artifact_round_trip,
+    kb_refresh, record_gate, result_projection, dated_hits, indexed_search, indexed_boolean_search, indexed_batch_search, bounded_topk, many_queries, wiki_listing, legacy_texts, term_snippets, event_fields, plan_with_extras, capped_plan, artifact_round_trip,
     chunk_round_trip, published_headers, title_places, first_titles, streamed_refresh, keyed_stream, chunked_refresh, half_published, flatten_blocks, block_text, page_title, chunk_assign, chunk_counts, chunk_tokens, sketch_bits, chunk_prune, chunk_prune_first, local_time, query_parse,
 ]
 

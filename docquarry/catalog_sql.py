@@ -221,6 +221,12 @@ def oracle_sql() -> dict[str, str]:
         "multi_group_boolean_search": f"""WITH {DOCS} SELECT id, score::INTEGER AS score FROM (SELECT id, {first(lambda g: group(g, 700, 350, 400 if len(g) > 1 else 0))} + 100 * ({' + '.join(n(all_of(g), 1) for g in groups3)}) AS score FROM d) WHERE score IS NOT NULL""",
         "batch_search_topk": f"{_RANKED}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, id::BIGINT) AS rank, id::BIGINT AS id, score FROM h) SELECT * FROM r WHERE rank <= 5",
         "bounded_topk": f"{_RANKED}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, id::BIGINT) AS rank, id::BIGINT AS id, score FROM h) SELECT * FROM r WHERE rank <= 5",
+        "many_queries": f"""WITH {DOCS}, q AS (SELECT item_id, lower(split_part(text, ' ', 3)) AS a, lower(split_part(text, ' ', 4)) AS b, lower(split_part(text, ' ', 5)) AS c, lower(split_part(text, ' ', 6)) AS e FROM benchmark),
+            p AS (SELECT (item_id * 2)::INTEGER AS query_id, id, contains(tn, a || ' ' || b) AS t, contains(bn, a || ' ' || b) AS x FROM q, d),
+            o AS (SELECT (item_id * 2 + 1)::INTEGER AS query_id, id, contains(tn, a) AS has_at, contains(bn, a) AS has_ab, contains(tn, c) AS has_ct, contains(bn, c) AS has_cb, contains(tn, e) AS has_et, contains(bn, e) AS has_eb FROM q, d)
+            SELECT query_id, id, (2400 * t::INTEGER + 1600 * x::INTEGER)::INTEGER AS score, t AS title_match, x AS body_match FROM p WHERE t OR x
+            UNION ALL SELECT query_id, id, CASE WHEN (has_at OR has_ab) AND (has_ct OR has_cb) THEN 500 + 1200 * (has_at::INTEGER + has_ct::INTEGER) + 700 * (has_ab::INTEGER + has_cb::INTEGER) ELSE 250 + 1200 * has_et::INTEGER + 700 * has_eb::INTEGER END::INTEGER,
+                   CASE WHEN (has_at OR has_ab) AND (has_ct OR has_cb) THEN has_at OR has_ct ELSE has_et END, CASE WHEN (has_at OR has_ab) AND (has_ct OR has_cb) THEN has_ab OR has_cb ELSE has_eb END FROM o WHERE (has_at OR has_ab) AND (has_ct OR has_cb) OR has_et OR has_eb""",
         "search_page": f"{_ONE}, r AS (SELECT 1 AS query_id, row_number() OVER (ORDER BY score DESC, title, id) AS rank, id, score, count(*) OVER () AS total FROM h), p AS (SELECT *, greatest(1, ceil(total / 10.0))::INTEGER AS total_pages FROM r), s AS (SELECT *, least(2, total_pages) AS page FROM p) SELECT * FROM s WHERE rank > (page - 1) * 10 AND rank <= page * 10",
         "collated_page": f"{_ONE}, r AS (SELECT 1 AS query_id, row_number() OVER (ORDER BY score DESC, title COLLATE en, id) AS rank, id, score, count(*) OVER () AS total FROM h), s AS (SELECT *, least(2, greatest(1, ceil(total / 10.0)))::INTEGER AS page FROM r) SELECT * FROM s WHERE rank > (page - 1) * 10 AND rank <= page * 10",
         "wide_letters_search": f"""WITH w AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'abc guide ' ELSE '' END || coalesce(text, '') AS t FROM documents),
