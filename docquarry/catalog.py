@@ -12,7 +12,7 @@ from docquarry.functions import query as Q
 from docquarry.jobs import answers, kb, wiki
 from docquarry.operators import blocks, changes, chunks, dedupe, grams, many, results, search, sitemap
 from docquarry.sources import snapshots
-from docquarry.sources.tables import ITEMS, new_folder, read_chunks, read_parquet, read_records, read_wiki_pages, write_buckets, write_chunks, write_records
+from docquarry.sources.tables import ITEMS, new_folder, read_chunks, read_parquet, read_published, read_raw_blocks, read_records, read_wiki_pages, write_buckets, write_chunks, write_records
 from docquarry.streaming import refresh
 
 PHRASE, BOOLEAN, WORDS = "of the", "with & license | of & them", "the license"
@@ -338,8 +338,8 @@ def publish_with_failures(spark: SparkSession, d: str) -> DataFrame:
     )
     path = new_folder(spark, "published")
     kb.publish(kb.build(_items(spark, d).drop("page_id"), read_parquet(spark, d, "pages", spread=True), F.expr(NOW), earlier), path, "2024-06-01", "en")
-    parts = [spark.read.parquet(f"{path}/{n}/records").select(F.lit(n).alias("part"), "url", "title") for n in ("titles", "bodies")]
-    heads = [spark.read.parquet(f"{path}/{n}/header").select(F.concat(F.lit(n), F.lit(" header")).alias("part"), F.col("page_count").cast("string").alias("url"), F.col("failed_count").cast("string").alias("title")) for n in ("titles", "bodies")]
+    parts = [read_published(spark, f"{path}/{n}")[0].select(F.lit(n).alias("part"), "url", "title") for n in ("titles", "bodies")]
+    heads = [read_published(spark, f"{path}/{n}")[1].select(F.concat(F.lit(n), F.lit(" header")).alias("part"), F.col("page_count").cast("string").alias("url"), F.col("failed_count").cast("string").alias("title")) for n in ("titles", "bodies")]
     return parts[0].unionByName(parts[1]).unionByName(heads[0]).unionByName(heads[1])
 
 
@@ -394,6 +394,22 @@ def block_text(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", F.md5(blocks.block_text(kind, payload)).alias("text_md5"))
 
 
+def raw_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as raw block objects of several types, one JSON line each, some of them cut off and some of an odd shape, read as VARIANT."""
+    c, path = read_parquet(spark, d, "conversations"), new_folder(spark, "raw")
+    part, k = F.array(F.struct(F.col("text").alias("plain_text"))), F.col("turn") % 5
+    held = [
+        ("paragraph", F.struct(part.alias("rich_text"))), ("image", F.struct(part.alias("caption"))), ("bookmark", F.struct(F.lit("https://e.example/x").alias("url"))),
+        ("child_page", F.struct(F.col("text").alias("title"))), ("to_do", F.struct(F.lit("no list").alias("rich_text"), F.lit(True).alias("checked"))),
+    ]
+    shown = lambda kind, payload: F.to_json(F.struct(F.col("conv_id").cast("string").alias("page_id"), F.col("turn").cast("string").alias("id"), F.col("turn").alias("pos"), F.lit(kind).alias("type"), payload.alias(kind)))
+    line = F.coalesce(*[F.when(k == i, shown(kind, payload)) for i, (kind, payload) in enumerate(held)])
+    cut = (F.col("conv_id") + F.col("turn")) % 11 == 0
+    c.select(F.when(cut, F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line).alias("value")).write.text(path)
+    found = blocks.from_raw(read_raw_blocks(spark, path))
+    return found.select("page_id", "block_id", "pos", "type", F.md5("text").alias("text_md5"))
+
+
 def page_title(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose title stands in a property, in the title parts, in the name, or nowhere."""
     b, k = read_parquet(spark, d, "documents", spread=True), F.col("doc_id") % 4
@@ -581,7 +597,7 @@ def chunk_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def published_headers(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "published")
     kb.publish(_built(spark, d), path, "2024-06-01")
-    heads = [spark.read.parquet(f"{path}/{name}/header").withColumn("name", F.lit(name)) for name in ("titles", "bodies")]
+    heads = [read_published(spark, f"{path}/{name}")[1].withColumn("name", F.lit(name)) for name in ("titles", "bodies")]
     return heads[0].unionByName(heads[1])
 
 
@@ -652,7 +668,7 @@ _ALL = [
     source_counts, digest, merge_title_body_hits, snippets, highlight, extract_titles, extract_bodies, text_functions, script_profile, latin_gate, canonical_urls, change_set, change_set_from_buckets,
     unchanged_urls, reuse_or_refetch, apply_changes, outcome_counters, failure_fallback, sitemap_reach, sitemap_items, root_choice, dedupe_first, dedupe_last, index_stats, kb_build, build_repeated_pages, refresh_repeated_pages, publish_with_failures, kb_from_sitemaps, kb_build_with_reuse, refresh_with_bodies,
     kb_refresh, record_gate, result_projection, dated_hits, indexed_search, indexed_boolean_search, indexed_batch_search, bounded_topk, many_queries, wiki_listing, legacy_texts, term_snippets, event_fields, plan_with_extras, capped_plan, artifact_round_trip,
-    chunk_round_trip, published_headers, title_places, first_titles, streamed_refresh, keyed_stream, chunked_refresh, half_published, flatten_blocks, block_text, page_title, chunk_assign, chunk_counts, chunk_tokens, sketch_bits, chunk_prune, chunk_prune_first, local_time, query_parse,
+    chunk_round_trip, published_headers, title_places, first_titles, streamed_refresh, keyed_stream, chunked_refresh, half_published, flatten_blocks, block_text, raw_blocks, page_title, chunk_assign, chunk_counts, chunk_tokens, sketch_bits, chunk_prune, chunk_prune_first, local_time, query_parse,
 ]
 
 

@@ -297,6 +297,10 @@ def oracle_sql() -> dict[str, str]:
         "flatten_blocks": f"""WITH {_TREE}, c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS k FROM walk), j AS (SELECT conv_id AS page_id, string_agg(text, chr(10) ORDER BY path) FILTER (text <> '') AS text FROM c WHERE k <= 500 GROUP BY conv_id)
             SELECT page_id, md5(coalesce({_PLAIN}, '')) AS text_md5, length(coalesce({_PLAIN}, ''))::INTEGER AS text_length FROM j""",
         "block_text": f"SELECT conv_id, turn, md5(CASE turn % 4 WHEN 0 THEN {_PLAIN} WHEN 1 THEN trim({_PLAIN} || ' ' || {_PLAIN}) WHEN 2 THEN 'https://e.example/x' ELSE {_PLAIN} END) AS text_md5 FROM conversations",
+        "raw_blocks": f"""WITH c AS (SELECT *, (conv_id + turn) % 11 = 0 AS cut FROM conversations)
+            SELECT CASE WHEN NOT cut THEN conv_id::VARCHAR END AS page_id, CASE WHEN NOT cut THEN turn::VARCHAR END AS block_id, CASE WHEN NOT cut THEN turn::INTEGER END AS pos,
+                   CASE WHEN NOT cut THEN CASE turn % 5 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'image' WHEN 2 THEN 'bookmark' WHEN 3 THEN 'child_page' ELSE 'to_do' END END AS type,
+                   md5(CASE WHEN cut OR turn % 5 = 4 THEN '' WHEN turn % 5 = 2 THEN 'https://e.example/x' ELSE {_PLAIN} END) AS text_md5 FROM c""",
         "page_title": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'doc ' || doc_id WHEN 1 THEN 'the name' ELSE '제목 없음' END AS title FROM documents",
         "chunk_assign": "SELECT page_id, url, (floor((row_number() OVER (ORDER BY url) - 1) / 50) + 1)::INTEGER AS chunk_no FROM pages",
         "chunk_counts": "SELECT chunk_no, count(*) AS n FROM (SELECT (floor((row_number() OVER (ORDER BY url) - 1) / 50) + 1)::INTEGER AS chunk_no FROM pages) GROUP BY chunk_no",

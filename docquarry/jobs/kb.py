@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import html, urls
@@ -88,8 +88,9 @@ def from_sitemaps(sitemaps: DataFrame, roots: DataFrame, pages: DataFrame, now:
 
 def publish(built: DataFrame, path: str, created_at, collation: str | None = "en_CI_AI") -> None:
     """Titles in title order and bodies by chunk under ``path``, each with its header; failed pages are counted, also those whose earlier record is kept."""
-    built = written(built)
-    failed = built.where("outcome in ('failed', 'kept')").count()
+    counted = Observation()
+    built = written(built.observe(counted, F.count_if(F.col("outcome").isin("failed", "kept")).alias("failed")))
+    failed = counted.get["failed"]
     good = built.where(F.col("outcome").isin(*PUBLISHED))
     titles = good.select("article_id", "title", "url", "source_lastmod", "language", "checked_at")
     tables.publish(in_title_order(titles, collation), f"{path}/titles", failed, created_at)

@@ -41,6 +41,29 @@ def block_text(kind: Column, payload: Column) -> Column:
     )
 
 
+def from_raw(raw: DataFrame) -> DataFrame:
+    """(page_id, block_id, parent_id, pos, type, has_children, text) of raw block objects (raw VARIANT), in which what a block holds stands under the name of its type.
+
+    Each field is taken by itself, so that an object of an odd shape loses only that field; a row that was no JSON has nulls and no text.
+    """
+    get = lambda path, kind: F.try_variant_get("raw", path, kind)
+    kind = get("$.type", "string")
+    # a name that could not stand in a path has no payload
+    payload = lambda field, to: get(F.when(kind.rlike("^[a-z][a-z0-9_]*$"), F.concat(F.lit("$."), kind, F.lit(f".{field}"))), to)
+    rich, caption = payload("rich_text", RICH), payload("caption", RICH)
+    joined = normalize_space(F.array_join(F.filter(F.array(rich_text(rich), rich_text(caption)), lambda x: x != ""), " "))
+    text = (
+        F.when(rich.isNotNull() | caption.isNotNull(), joined)
+        .when(kind.isin("child_page", "child_database"), normalize_space(payload("title", "string")))
+        .when(kind.isin("bookmark", "embed", "link_preview"), payload("url", "string"))
+        .when(kind == "equation", payload("expression", "string"))
+    )
+    return raw.select(
+        get("$.page_id", "string").alias("page_id"), get("$.id", "string").alias("block_id"), get("$.parent.block_id", "string").alias("parent_id"), get("$.pos", "int").alias("pos"),
+        kind.alias("type"), F.coalesce(get("$.has_children", "boolean"), F.lit(False)).alias("has_children"), F.coalesce(text, F.lit("")).alias("text"),
+    )
+
+
 def preorder(blocks: DataFrame, max_depth: int = 5, max_blocks: int = 500) -> DataFrame:
     """(page_id, block_id, depth, path, text) of the first ``max_blocks`` blocks of each page down to ``max_depth``.
 

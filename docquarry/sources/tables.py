@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SITEMAPS = "url string, xml string, root_rank int"
@@ -74,6 +74,11 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BLOCKS).json(path)
 
 
+def read_raw_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(raw VARIANT): one JSON object a line, of any shape; null where a line is no JSON. See blocks.from_raw()."""
+    return spark.read.text(path).select(F.try_parse_json("value").alias("raw"))
+
+
 def write_chunks(df: DataFrame, path: str) -> None:
     """One gzipped JSON line for each record, in a folder for each chunk_no."""
     df.write.mode("overwrite").option("compression", "gzip").partitionBy("chunk_no").json(path)
@@ -108,8 +113,31 @@ def read_html_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def publish(index: DataFrame, path: str, failed: int, created_at, version: int = 1, language: str = "en") -> None:
-    """The records, and beside them one row of version, language, created_at, page_count and failed_count."""
-    index.write.mode("overwrite").parquet(f"{path}/records")
-    header = index.sparkSession.read.parquet(f"{path}/records").agg(F.count("*").alias("page_count"))
-    header = header.select(F.lit(version).alias("version"), F.lit(language).alias("language"), F.lit(created_at).alias("created_at"), "page_count", F.lit(failed).alias("failed_count"))
-    header.write.mode("overwrite").parquet(f"{path}/header")
+    """The records as the next publication under ``path``, and beside them one row of version, language, created_at, page_count and failed_count.
+
+    Rows are counted by the job that writes them. The header is written last, as one file, and read_published() goes by headers: until it is there, readers see the publication before.
+    """
+    spark, counted = index.sparkSession, Observation()
+    last = _publications(spark, path)
+    # a publication that was begun and not finished is written anew
+    now = f"publication={last + 1}"
+    index.observe(counted, F.count(F.lit(1)).alias("page_count")).write.mode("overwrite").parquet(f"{path}/records/{now}")
+    header = spark.range(1).select(
+        F.lit(version).alias("version"), F.lit(language).alias("language"), F.lit(created_at).alias("created_at"), F.lit(counted.get["page_count"]).cast("long").alias("page_count"), F.lit(failed).alias("failed_count")
+    )
+    header.coalesce(1).write.mode("overwrite").parquet(f"{path}/header/{now}")
+
+
+def _publications(spark: SparkSession, path: str) -> int:
+    """The number of the last finished publication, 0 if there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/header")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    done = [x.getName() for x in found if x.getName().startswith("publication=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return max((int(x.partition("=")[2]) for x in done), default=0)
+
+
+def read_published(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, header) of the last finished publication."""
+    now = f"publication={_publications(spark, path)}"
+    return spark.read.parquet(f"{path}/records/{now}"), spark.read.parquet(f"{path}/header/{now}")

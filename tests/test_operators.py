@@ -192,7 +192,11 @@ def test_tables_round_trip(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"page_id": "p", "block_id": "1", "pos": 0, "type": "paragraph", "payload": "{}"}\n')
     assert tables.read_blocks(spark, str(tmp_path / "b.json")).first().block_id == "1"
     tables.publish(df, str(tmp_path / "i"), 3, "2024-01-01")
-    assert spark.read.parquet(str(tmp_path / "i/header")).first().page_count == 2
+    assert tables.read_published(spark, str(tmp_path / "i"))[1].first().page_count == 2
+    tables.publish(df.limit(1), str(tmp_path / "i"), 0, "2024-01-02")
+    df.limit(0).write.parquet(str(tmp_path / "i/records/publication=3"))  # begun, without a header
+    records, header = tables.read_published(spark, str(tmp_path / "i"))
+    assert (records.count(), header.first().page_count, header.first().failed_count) == (1, 1, 0)
 
 
 def test_stream_refresh(spark, tmp_path):
