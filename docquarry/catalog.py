@@ -85,6 +85,13 @@ def collated_page(spark: SparkSession, d: str) -> DataFrame:
     return results.page(found, 2, order=results.by_score("en")).select("query_id", "rank", "id", "score", "total", "page")
 
 
+def korean_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page of hits in the order of Korean: some titles begin with Hangul, in an order that isn't that of their code points beside Latin ones."""
+    found = search.search(_docs(spark, d), _ask(spark, PHRASE))
+    syllable = F.get(F.array(*[F.lit(x) for x in ("하늘 ", "", "가방 ", "Zebra ", "나무 ", "zebra ", "각도 ")]), (F.col("id") % 7).cast("int"))
+    return results.page(found.withColumn("title", F.concat(syllable, "title")), 2, 20, results.by_score("ko")).select("query_id", "rank", "id", "score", "total", "page")
+
+
 def wide_letters_search(spark: SparkSession, d: str) -> DataFrame:
     """A query in full-width letters and documents that begin with such: both are compared in their compatibility form."""
     t = read_parquet(spark, d, "documents", spread=True)
@@ -129,6 +136,17 @@ def extract_titles(spark: SparkSession, d: str) -> DataFrame:
     return read_parquet(spark, d, "pages", spread=True).select("page_id", html.title(F.col("html")).alias("title"))
 
 
+def odd_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and bodies of pages whose title stands in each of the places that are tried, and whose text does; every sixth is as it is."""
+    p, k = read_parquet(spark, d, "pages", spread=True), F.col("page_id")
+    put = lambda *parts: F.concat(*[k.cast("string") if x == "#" else F.lit(x) for x in parts])
+    heads = [put("<h1>Support Portal</h1><h2>Second ", "#", "</h2>"), put("<h3>Third ", "#", "</h3>"), put('<meta property="og:title" content="Og ', "#", '">'), put("<title>Plain ", "#", "</title>"), put("<h1> </h1><title>Under ", "#", "</title>")]
+    texts = ["<main>" + "main " * 60 + "</main>", '<div class="page content">' + "div " * 60 + "</div>", "<article>short</article><main>" + "other " * 50 + "</main>", "<p>" + "loose " * 5 + "</p>", "<nav>skip</nav><article>" + "art " * 60 + "</article>"]
+    pick = lambda of, n: F.get(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in of]), (k % n).cast("int"))
+    made = F.when(k % 6 == 5, F.col("html")).otherwise(F.concat(pick(heads, 6), pick(texts, 5)))
+    return p.select("page_id", html.title(made).alias("title"), F.md5(html.body(made)).alias("body_md5"))
+
+
 def extract_bodies(spark: SparkSession, d: str) -> DataFrame:
     bodies = read_parquet(spark, d, "pages", spread=True).select("page_id", html.body(F.col("html")).alias("body"))
     return bodies.select("page_id", text.let(F.col("body"), lambda b: F.struct(b.alias("body"), text.prefix(b, 4000).alias("stored"))).alias("x")).select("page_id", "x.*")
@@ -246,7 +264,7 @@ def failure_fallback(spark: SparkSession, d: str) -> DataFrame:
 SET, SETS = 100, 100
 
 
-def _sitemaps(spark: SparkSession, d: str) -> DataFrame:
+def _sitemaps(spark: SparkSession, d: str, again: bool = False) -> DataFrame:
     """(url, xml): url sets of bounded size, indexes that name them and lists of bare locations, and a root that names the indexes. Indexes
     name the root, too."""
     p = read_parquet(spark, d, "pages").select("page_id", "url")
@@ -254,7 +272,9 @@ def _sitemaps(spark: SparkSession, d: str) -> DataFrame:
     entry = F.concat(F.lit("<url><loc> "), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit(" </loc>"), lastmod, F.lit("</url>"))
     k, i = F.floor(F.col("page_id") / SET), F.floor(F.col("page_id") / (SET * SETS))
     joined = lambda e: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", e.alias("e")))), lambda x: x["e"]), "\n")
-    sets = p.groupBy(F.concat(F.lit("set"), k).alias("url")).agg(F.concat(F.lit("<urlset>"), joined(entry), F.lit("</urlset>")).alias("xml"))
+    # with ``again``, a set ends in further entries of every fourth page, with an earlier date
+    second = F.when((F.col("page_id") % 4 == 0) & F.lit(again), F.concat(F.lit("<url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>2001-01-01</lastmod></url>")))
+    sets = p.groupBy(F.concat(F.lit("set"), k).alias("url")).agg(F.concat(F.lit("<urlset>"), joined(entry), joined(second), F.lit("</urlset>")).alias("xml"))
     extra = F.when(F.col("page_id") % 50 == 0, F.concat(F.lit("<loc>extra"), F.col("page_id"), F.lit("</loc>")))
     bare = p.groupBy(F.concat(F.lit("bare"), i).alias("url")).agg(joined(extra).alias("xml"))
     named = lambda x: F.concat(F.lit("<sitemap><loc>"), x, F.lit("</loc></sitemap>"))
@@ -279,6 +299,12 @@ def sitemap_items(spark: SparkSession, d: str) -> DataFrame:
     return sitemap.items(entries, sitemap.reach(entries, _roots(spark))).select("root", "url", "lastmod")
 
 
+def sitemap_last_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of sitemaps that name urls twice: the last entry counts, though its date is the earlier one."""
+    entries = sitemap.parse(_sitemaps(spark, d, again=True))
+    return sitemap.items(entries, sitemap.reach(entries, _roots(spark))).select("root", "url", "lastmod")
+
+
 def root_choice(spark: SparkSession, d: str) -> DataFrame:
     return sitemap.choose_root(sitemap_items(spark, d), _roots(spark)).groupBy("root").agg(F.count("*").alias("n"))
 
@@ -296,7 +322,8 @@ def dedupe_last(spark: SparkSession, d: str) -> DataFrame:
 
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
     built = _built(spark, d)
-    return kb.statistics(built.where("outcome = 'english'")).select("pages", "bodies", F.col("chunks") > 0, "latest").toDF("pages", "bodies", "has_chunks", "latest")
+    checked = F.expr(NOW) + F.make_dt_interval((F.length("url") % 30).cast("int"))
+    return kb.statistics(built.where("outcome = 'english'").withColumn("checked_at", checked))
 
 
 def _built(spark: SparkSession, d: str) -> DataFrame:
@@ -664,9 +691,9 @@ def keyed_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = [
-    phrase_search, boolean_search, token_fallback_search, id_boolean_search, body_search, weighted_token_search, multi_group_boolean_search, batch_search_topk, search_page, collated_page, wide_letters_search,
-    source_counts, digest, merge_title_body_hits, snippets, highlight, extract_titles, extract_bodies, text_functions, script_profile, latin_gate, canonical_urls, change_set, change_set_from_buckets,
-    unchanged_urls, reuse_or_refetch, apply_changes, outcome_counters, failure_fallback, sitemap_reach, sitemap_items, root_choice, dedupe_first, dedupe_last, index_stats, kb_build, build_repeated_pages, refresh_repeated_pages, publish_with_failures, kb_from_sitemaps, kb_build_with_reuse, refresh_with_bodies,
+    phrase_search, boolean_search, token_fallback_search, id_boolean_search, body_search, weighted_token_search, multi_group_boolean_search, batch_search_topk, search_page, collated_page, korean_page, wide_letters_search,
+    source_counts, digest, merge_title_body_hits, snippets, highlight, extract_titles, odd_pages, extract_bodies, text_functions, script_profile, latin_gate, canonical_urls, change_set, change_set_from_buckets,
+    unchanged_urls, reuse_or_refetch, apply_changes, outcome_counters, failure_fallback, sitemap_reach, sitemap_items, sitemap_last_entries, root_choice, dedupe_first, dedupe_last, index_stats, kb_build, build_repeated_pages, refresh_repeated_pages, publish_with_failures, kb_from_sitemaps, kb_build_with_reuse, refresh_with_bodies,
     kb_refresh, record_gate, result_projection, dated_hits, indexed_search, indexed_boolean_search, indexed_batch_search, bounded_topk, many_queries, wiki_listing, legacy_texts, term_snippets, event_fields, plan_with_extras, capped_plan, artifact_round_trip,
     chunk_round_trip, published_headers, title_places, first_titles, streamed_refresh, keyed_stream, chunked_refresh, half_published, flatten_blocks, block_text, raw_blocks, page_title, chunk_assign, chunk_counts, chunk_tokens, sketch_bits, chunk_prune, chunk_prune_first, local_time, query_parse,
 ]

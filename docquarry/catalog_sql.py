@@ -116,8 +116,9 @@ ch AS (
          CASE WHEN x.url IS NULL THEN 'new' WHEN i.url IS NULL THEN 'removed' WHEN i.lastmod <> x.source_lastmod THEN 'lastmod' END AS reason
   FROM items i FULL JOIN idx x ON i.url = x.url)"""
 _LOCALIZED = r"[\x{3040}-\x{30ff}\x{31f0}-\x{31ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{ac00}-\x{d7af}\x{0400}-\x{04ff}]"
+_URL_OK = f"NOT regexp_matches(url_decode(url), '{_LOCALIZED}')"
 SCRIPTED = f"""{PAGE},
-s AS (SELECT page_id, url, title || CASE WHEN page_id % 7 = 2 THEN 'д' ELSE '' END AS title,
+s AS (SELECT page_id, CASE WHEN page_id % 7 = 3 THEN 'https://knowledge.example.com/%EA%B0%80' ELSE url END AS url, title || CASE WHEN page_id % 7 = 2 THEN 'д' ELSE '' END AS title,
              body || CASE page_id % 7 WHEN 0 THEN repeat('가', length(body)) WHEN 1 THEN repeat('д', 6) ELSE '' END AS body FROM page)"""
 
 
@@ -229,6 +230,8 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN (has_at OR has_ab) AND (has_ct OR has_cb) THEN has_at OR has_ct ELSE has_et END, CASE WHEN (has_at OR has_ab) AND (has_ct OR has_cb) THEN has_ab OR has_cb ELSE has_eb END FROM o WHERE (has_at OR has_ab) AND (has_ct OR has_cb) OR has_et OR has_eb""",
         "search_page": f"{_ONE}, r AS (SELECT 1 AS query_id, row_number() OVER (ORDER BY score DESC, title, id) AS rank, id, score, count(*) OVER () AS total FROM h), p AS (SELECT *, greatest(1, ceil(total / 10.0))::INTEGER AS total_pages FROM r), s AS (SELECT *, least(2, total_pages) AS page FROM p) SELECT * FROM s WHERE rank > (page - 1) * 10 AND rank <= page * 10",
         "collated_page": f"{_ONE}, r AS (SELECT 1 AS query_id, row_number() OVER (ORDER BY score DESC, title COLLATE en, id) AS rank, id, score, count(*) OVER () AS total FROM h), s AS (SELECT *, least(2, greatest(1, ceil(total / 10.0)))::INTEGER AS page FROM r) SELECT * FROM s WHERE rank > (page - 1) * 10 AND rank <= page * 10",
+        "korean_page": f"""{_ONE}, g AS (SELECT id, score, ['하늘 ', '', '가방 ', 'Zebra ', '나무 ', 'zebra ', '각도 '][id % 7 + 1] || title AS title FROM h),
+            r AS (SELECT 1 AS query_id, row_number() OVER (ORDER BY score DESC, title COLLATE ko, id) AS rank, id, score, count(*) OVER () AS total FROM g), s AS (SELECT *, least(2, greatest(1, ceil(total / 20.0)))::INTEGER AS page FROM r) SELECT * FROM s WHERE rank > (page - 1) * 20 AND rank <= page * 20""",
         "wide_letters_search": f"""WITH w AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'abc guide ' ELSE '' END || coalesce(text, '') AS t FROM documents),
             d0 AS (SELECT id, split_part(t, chr(10), 1) AS title, t AS text FROM w), d AS (SELECT id, title, {normal("title")} AS tn, {normal("text")} AS bn FROM d0)
             SELECT 1 AS query_id, id, ({phrase('abc guide', 2400, 1600)})::INTEGER AS score, {has('tn', 'abc guide')} AS title_match, {has('bn', 'abc guide')} AS body_match FROM d WHERE {any_in('tn', ['abc guide'])} OR {any_in('bn', ['abc guide'])}
@@ -244,12 +247,16 @@ def oracle_sql() -> dict[str, str]:
         "snippets": f"SELECT doc_id, {snippet(source, low, 'of the', 80, 180, cut220, token)} AS wiki, {snippet(flat, f'lower({flat})', 'of the', 100, 180, f'substr({flat}, 1, 260)')} AS body, {snippet(flat, f'lower({flat})', 'of the', 110, 110, f'substr({flat}, 1, 220)')} AS title FROM documents",
         "highlight": "SELECT doc_id, md5(regexp_replace(text, '(of the|the|of)', '**\\1**', 'gi')) AS marked_md5 FROM documents",
         "extract_titles": f"WITH {PAGE} SELECT page_id, title FROM page",
+        "odd_pages": f"""WITH {PAGE}, o AS (SELECT *, page_id % 6 AS h, page_id % 5 AS t FROM page)
+            SELECT page_id, CASE h WHEN 0 THEN 'Second ' || page_id WHEN 1 THEN 'Third ' || page_id WHEN 2 THEN 'Og ' || page_id WHEN 3 THEN 'Plain ' || page_id WHEN 4 THEN 'Under ' || page_id ELSE title END AS title,
+                   md5(CASE WHEN h = 5 THEN body WHEN t = 0 THEN trim(repeat('main ', 60)) WHEN t = 1 THEN trim(repeat('div ', 60)) WHEN t = 2 THEN trim(repeat('other ', 50)) WHEN t = 4 THEN trim(repeat('art ', 60))
+                       ELSE trim(CASE h WHEN 0 THEN 'Support Portal Second ' || page_id WHEN 1 THEN 'Third ' || page_id WHEN 2 THEN '' WHEN 3 THEN 'Plain ' || page_id ELSE 'Under ' || page_id END || ' ' || repeat('loose ', 5)) END) AS body_md5 FROM o""",
         "extract_bodies": f"WITH {PAGE} SELECT page_id, body, substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 4000) AS stored FROM page",
         "text_functions": f"""SELECT doc_id, CASE WHEN length(text) <= 100 THEN text ELSE substr(text, 1, 88) || ' …(생략)' END AS truncated, md5(regexp_replace(text, '([\\\\`*_\\[\\]()])', '\\\\\\1', 'g')) AS markdown_md5,
             md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS html_md5, md5({normal('text')}) AS normal_md5,
             len(list_distinct(list_filter(regexp_split_to_array({normal('text')}, '\\s+'), lambda x: length(x) >= 2)))::INTEGER AS n_tokens FROM documents""",
         "script_profile": f"WITH {SCRIPTED} SELECT page_id, {_count('body', '[A-Za-z]')}::INTEGER AS latin, {_count('body', _LOCALIZED)}::INTEGER AS localized, regexp_matches(title, '{_LOCALIZED}') AS title_localized FROM s",
-        "latin_gate": f"WITH {SCRIPTED} SELECT page_id, {_BY_TITLE} AND page_id % 7 <> 3 AS by_title, {_BY_BODY} AND page_id % 7 <> 3 AS by_body, {_LEGACY} AND page_id % 7 <> 3 AS legacy FROM s",
+        "latin_gate": f"WITH {SCRIPTED} SELECT page_id, {_BY_TITLE} AND {_URL_OK} AS by_title, {_BY_BODY} AND {_URL_OK} AS by_body, {_LEGACY} AND {_URL_OK} AS legacy FROM s",
         "canonical_urls": """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://knowledge.example.com/external/article/' || page_id WHEN 1 THEN 'https://knowledge.example.com/external/article/' || page_id || '/how-to_fix.html' END AS canonical,
             CASE WHEN page_id % 3 < 2 THEN page_id::VARCHAR ELSE '' END AS article_id, CASE WHEN page_id % 3 = 1 THEN 'How to fix' END AS title FROM pages""",
         "change_set": f"WITH {CHANGES} SELECT * FROM ch WHERE reason IS NOT NULL",
@@ -258,16 +265,18 @@ def oracle_sql() -> dict[str, str]:
         "reuse_or_refetch": f"""WITH {INDEX}, {ITEMS} SELECT i.url, x.url IS NOT NULL AND x.page_id % 60 < 30 AND i.page_id % 4 <> 0 AS by_age,
             x.url IS NOT NULL AND CASE WHEN i.lastmod IS NOT NULL AND x.source_lastmod IS NOT NULL THEN i.lastmod = x.source_lastmod ELSE x.page_id % 60 < 7 END AS by_lastmod FROM items i LEFT JOIN idx x ON i.url = x.url""",
         "apply_changes": f"WITH {CHANGES} SELECT url, source_lastmod, article_id, title FROM idx WHERE url NOT IN (SELECT url FROM ch WHERE reason IS NOT NULL) UNION ALL SELECT url, lastmod, '', 'fetched' FROM ch WHERE reason IN ('new', 'lastmod')",
-        "outcome_counters": f"""WITH {SCRIPTED}, o AS (SELECT CASE WHEN page_id % 13 = 0 THEN 'failed' WHEN {_BY_TITLE} AND page_id % 7 <> 3 THEN 'english' ELSE 'skipped' END AS o FROM s)
+        "outcome_counters": f"""WITH {SCRIPTED}, o AS (SELECT CASE WHEN page_id % 13 = 0 THEN 'failed' WHEN {_BY_TITLE} AND {_URL_OK} THEN 'english' ELSE 'skipped' END AS o FROM s)
             SELECT count(*) FILTER (o = 'english') AS english, count(*) FILTER (o = 'skipped') AS skipped, count(*) FILTER (o = 'failed') AS failed, count(*) AS total, round(count(*) FILTER (o <> 'failed') / count(*) * 100, 1) AS progress FROM o""",
         "failure_fallback": """SELECT 'https://knowledge.example.com/external/article/' || page_id || '/the-page' AS url, CASE WHEN page_id % 3 = 0 THEN 'fetched' WHEN page_id % 2 = 0 THEN 'earlier' ELSE 'The page' END AS title,
             CASE WHEN page_id % 3 = 0 THEN 'new' WHEN page_id % 2 = 0 THEN 'old' ELSE '' END AS text, CASE WHEN page_id % 3 = 0 THEN 'fetched' WHEN page_id % 2 = 0 THEN 'previous' ELSE 'stub' END AS origin FROM pages""",
         "sitemap_reach": f"WITH RECURSIVE {_MAPS} SELECT root, url, level FROM reach",
         "sitemap_items": f"WITH RECURSIVE {_MAPS} SELECT root, url, lastmod FROM found",
+        "sitemap_last_entries": f"WITH RECURSIVE {_MAPS} SELECT root, found.url, CASE WHEN p.url IS NOT NULL THEN '2001-01-01' ELSE lastmod END AS lastmod FROM found LEFT JOIN (SELECT url FROM pages WHERE page_id % 4 = 0) p ON p.url = found.url",
         "root_choice": f"WITH RECURSIVE {_MAPS} SELECT root, count(*) AS n FROM found WHERE root = 'root' GROUP BY root",
         "dedupe_first": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k = 1",
         "dedupe_last": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_min(event_id, (ts, event_id)) AS first_event_id FROM events GROUP BY user_id",
-        "index_stats": f"WITH {BUILT} SELECT count(*) AS pages, count(*) FILTER (in_bodies) AS bodies, true AS has_chunks, TIMESTAMP '2024-06-01 00:00:00' AS latest FROM built WHERE outcome = 'english'",
+        "index_stats": f"""WITH {BUILT} SELECT count(*) AS pages, count(*) FILTER (in_bodies) AS bodies, count(DISTINCT ('0x' || substr(md5(url), 1, 8))::BIGINT % 64) FILTER (in_bodies) AS chunks,
+            max(TIMESTAMP '2024-06-01 00:00:00' + to_days((length(url) % 30)::INTEGER)) AS latest FROM built WHERE outcome = 'english'""",
         "kb_build": f"WITH {BUILT} SELECT * FROM built",
         "build_repeated_pages": f"""WITH {PAGE}, {_AGAIN} SELECT url, CASE WHEN page_id % 3 = 0 OR {_BY_TITLE} THEN 'english' ELSE 'skipped' END AS outcome, CASE WHEN page_id % 3 = 0 THEN 'Later ' || page_id ELSE title END AS title,
             lastmod AS source_lastmod, CASE WHEN page_id % 3 = 0 THEN 299 ELSE length(substr(body, 1, 4000)) END::INTEGER AS text_length, page_id % 3 = 0 OR ({_BY_TITLE} AND {_BY_BODY}) AS in_bodies FROM again""",
