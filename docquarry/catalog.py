@@ -412,6 +412,14 @@ def flatten_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks.page_texts(walked).select("page_id", F.md5("text").alias("text_md5"), "text_length")
 
 
+def flatten_deep(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as chains, every turn on the one before it, of whatever depth."""
+    c = read_parquet(spark, d, "conversations")
+    parent = F.when(F.col("turn") > 0, (F.col("turn") - 1).cast("string"))
+    chain = c.select(F.col("conv_id").alias("page_id"), F.col("turn").cast("string").alias("block_id"), parent.alias("parent_id"), F.col("turn").cast("int").alias("pos"), "text")
+    return blocks.page_texts(blocks.preorder_deep(chain)).select("page_id", F.md5("text").alias("text_md5"), "text_length")
+
+
 def block_text(spark: SparkSession, d: str) -> DataFrame:
     """Turns as blocks of several types, their payloads as JSON."""
     c, k = read_parquet(spark, d, "conversations"), F.col("turn") % 4
@@ -695,7 +703,7 @@ _ALL = [
     source_counts, digest, merge_title_body_hits, snippets, highlight, extract_titles, odd_pages, extract_bodies, text_functions, script_profile, latin_gate, canonical_urls, change_set, change_set_from_buckets,
     unchanged_urls, reuse_or_refetch, apply_changes, outcome_counters, failure_fallback, sitemap_reach, sitemap_items, sitemap_last_entries, root_choice, dedupe_first, dedupe_last, index_stats, kb_build, build_repeated_pages, refresh_repeated_pages, publish_with_failures, kb_from_sitemaps, kb_build_with_reuse, refresh_with_bodies,
     kb_refresh, record_gate, result_projection, dated_hits, indexed_search, indexed_boolean_search, indexed_batch_search, bounded_topk, many_queries, wiki_listing, legacy_texts, term_snippets, event_fields, plan_with_extras, capped_plan, artifact_round_trip,
-    chunk_round_trip, published_headers, title_places, first_titles, streamed_refresh, keyed_stream, chunked_refresh, half_published, flatten_blocks, block_text, raw_blocks, page_title, chunk_assign, chunk_counts, chunk_tokens, sketch_bits, chunk_prune, chunk_prune_first, local_time, query_parse,
+    chunk_round_trip, published_headers, title_places, first_titles, streamed_refresh, keyed_stream, chunked_refresh, half_published, flatten_blocks, flatten_deep, block_text, raw_blocks, page_title, chunk_assign, chunk_counts, chunk_tokens, sketch_bits, chunk_prune, chunk_prune_first, local_time, query_parse,
 ]
 
 

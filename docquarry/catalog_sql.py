@@ -305,6 +305,8 @@ def oracle_sql() -> dict[str, str]:
         "half_published": """SELECT s AS seen, CASE WHEN s = 'after' AND page_id < 100 THEN 'new' ELSE page_id::VARCHAR END AS article_id, url FROM pages, (VALUES ('while'), ('after'), ('before')) t(s)""",
         "flatten_blocks": f"""WITH {_TREE}, c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS k FROM walk), j AS (SELECT conv_id AS page_id, string_agg(text, chr(10) ORDER BY path) FILTER (text <> '') AS text FROM c WHERE k <= 500 GROUP BY conv_id)
             SELECT page_id, md5(coalesce({_PLAIN}, '')) AS text_md5, length(coalesce({_PLAIN}, ''))::INTEGER AS text_length FROM j""",
+        "flatten_deep": f"""WITH j AS (SELECT conv_id AS page_id, string_agg(text, chr(10) ORDER BY turn) FILTER (text <> '') AS text FROM conversations GROUP BY conv_id)
+            SELECT page_id, md5(coalesce({_PLAIN}, '')) AS text_md5, length(coalesce({_PLAIN}, ''))::INTEGER AS text_length FROM j""",
         "block_text": f"SELECT conv_id, turn, md5(CASE turn % 4 WHEN 0 THEN {_PLAIN} WHEN 1 THEN trim({_PLAIN} || ' ' || {_PLAIN}) WHEN 2 THEN 'https://e.example/x' ELSE {_PLAIN} END) AS text_md5 FROM conversations",
         "raw_blocks": f"""WITH c AS (SELECT *, (conv_id + turn) % 11 = 0 AS cut FROM conversations)
             SELECT CASE WHEN NOT cut THEN conv_id::VARCHAR END AS page_id, CASE WHEN NOT cut THEN turn::VARCHAR END AS block_id, CASE WHEN NOT cut THEN turn::INTEGER END AS pos,

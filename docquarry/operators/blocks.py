@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import normalize_space
+from docquarry.sources.tables import written
 
 RICH = "array<struct<plain_text:string,text:struct<content:string>>>"
 #: What a block's payload may hold.
@@ -82,6 +83,26 @@ def preorder(blocks: DataFrame, max_depth: int = 5, max_blocks: int = 500) -> Da
     return walked.withColumn("_n", place).where(F.col("_n") <= max_blocks).drop("_n")
 
 
+def preorder_deep(blocks: DataFrame, max_depth: int | None = None, max_blocks: int = 500) -> DataFrame:
+    """The same as preorder() for trees of any depth, in as many joins as the depth has binary digits.
+
+    Each block holds its path up to an ancestor; a step puts the ancestor's own path before it, which doubles the reach. Blocks in a cycle or without a way to the
+    top never get there and drop out: a step that brings nobody to the top is the last. Paths are as long as blocks are deep.
+    """
+    texts = blocks.select("page_id", "block_id", "text")
+    here = written(blocks.select("page_id", "block_id", F.col("parent_id").alias("up"), F.array("pos").alias("path")))
+    rooted = -1
+    while (now := here.where("up is null").count()) > rooted:
+        rooted = now
+        above = here.select(F.col("page_id").alias("_page"), F.col("block_id").alias("_id"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        open_ = here.where("up is not null").join(above, (F.col("page_id") == F.col("_page")) & (F.col("up") == F.col("_id")))
+        reached = open_.select("page_id", "block_id", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"))
+        here = written(here.where("up is null").unionByName(reached))
+    walked = here.where("up is null").withColumn("depth", F.size("path") - 1).join(texts, ["page_id", "block_id"])
+    walked = walked if max_depth is None else walked.where(F.col("depth") <= max_depth)
+    return walked.withColumn("_n", F.row_number().over(W.partitionBy("page_id").orderBy("path"))).where(F.col("_n") <= max_blocks).select("page_id", "block_id", "depth", "path", "text")
+
+
 def page_texts(walked: DataFrame) -> DataFrame:
     """(page_id, text, text_length): the blocks' texts in preorder, one line each, normalized."""
     lines = F.array_sort(F.collect_list(F.struct("path", "text")))
