@@ -82,7 +82,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, text
         known[x.h1, x.h2] = (count + x.n - (high == x.low), x.high)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
+        held: list[list[np.ndarray]] = []  # pieces of one hash that may go on in the next batch
 
         def dropped(part: list[np.ndarray]) -> pa.RecordBatch:
             h1, h2, doc, tag, pos = part
@@ -97,12 +97,24 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, text
             gone = np.repeat(count >= min_docs, sizes) & (doc != np.repeat(high, sizes))
             return pa.record_batch([pa.array(doc[gone]), pa.array(tag[gone]), pa.array(pos[gone].astype(np.int32))], ["doc_id", "tag", "pos"])
 
+        def released(*more: list[np.ndarray]) -> pa.RecordBatch:
+            pieces = [*held, *more]
+            held.clear()
+            return dropped([np.concatenate(x) for x in zip(*pieces, strict=True)])
+
         for batch in batches:
-            both = [np.concatenate(x) for x in zip(rest, _arrays(batch), strict=True)]
-            last = _runs(both[0], both[1])[-1:].sum()  # the last hash may go on in the next batch
-            yield dropped([x[:last] for x in both])
-            rest = [x[last:] for x in both]
-        yield dropped(rest)
+            rows = _arrays(batch)
+            if not len(rows[0]):
+                continue
+            last = int(_runs(rows[0], rows[1])[-1])
+            goes_on = held and last == 0 and (held[0][0][0], held[0][1][0]) == (rows[0][0], rows[1][0])
+            if not goes_on:
+                yield released([x[:last] for x in rows])
+            held.append([x[last:] for x in rows])
+            if (int(rows[0][-1]), int(rows[1][-1])) in known:  # its verdict needs no further rows
+                yield released()
+        if held:
+            yield released()
 
     gone = ranged.mapInArrow(stream, "doc_id long, tag long, pos int")
     by_doc = gone.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("gone"))

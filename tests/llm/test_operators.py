@@ -242,12 +242,37 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_targets_of_many_sources(spark):
+    size = {f"s{i:04d}": i * 7919 % 1000 + 1 for i in range(3000)}
+    names = sorted(size)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    left, share, level = 1.5 * sum(size.values()), sum(weight.values()), 0.0
+    for s in sorted(names, key=lambda s: 2 * size[s] / weight[s]):
+        level = left / share
+        if 2 * size[s] > level * weight[s]:
+            break
+        left, share = left - 2 * size[s], share - weight[s]
+    got = {r.source: r for r in mixing.source_targets(spark.createDataFrame(list(size.items()), "source string, source_size long"), (5.0, 2.0, 1.0), 1.5, 2.0).collect()}
+    assert len(got) == 3000 and all(got[s].weight == weight[s] and math.isclose(got[s].target, min(2 * size[s], level * weight[s]), rel_tol=1e-12) for s in names)
+
+
 def test_mixing_ties(spark):
     df = spark.createDataFrame([(1, "a b c", "s")] * 4 + [(None, "a", None), (2, None, None)], "doc_id long, text string, source string")
     rows = mixing.mix(df).collect()
     assert len(rows) == 6 and len({r.copies for r in rows if r.doc_id == 1}) == 1
 
 
+def test_lines_in_many_batches(spark):
+    long, rare = "a line that very many documents have", "a line that some of the documents have"
+    texts = {i: "\n".join([long] * (1 + i % 2) + [rare] * (i % 3 == 0) + [f"a line of document {i} alone {i}"]) for i in range(700)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.drop_repeated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute.drop_lines(texts)
+
+
 def test_lines(spark, docs, empty):
     want = brute.drop_lines(BY_ID)
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.text or "") for r in line_dedup.drop_repeated(docs).collect()}
