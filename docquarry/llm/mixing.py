@@ -25,8 +25,23 @@ def order_hash(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit("mix"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
+def _with_sums_before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Append, for each name, the sum over all rows before in ``order``, which has no ties.
+
+    Rows are dealt by range; what lies before a range is told by the sums of the ranges, one row for each. Whole numbers in doubles
+    add up exactly in any grouping.
+    """
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))  # ranges are fixed from here on
+    within = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    of_ranges = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_in_{n}") for n, c in sums.items()])
+    ranges = ranges.select("_part", *[F.coalesce(F.sum(f"_in_{n}").over(of_ranges), F.lit(0)).alias(f"_to_{n}") for n in sums])
+    told = {n: F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"_to_{n}") for n, c in sums.items()}
+    return ranged.join(F.broadcast(ranges), "_part").withColumns(told).drop("_part", *[f"_to_{n}" for n in sums])
+
+
 def source_targets(totals: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
-    """Append rank, weight and target to one row per source (source, source_size).
+    """Append weight and target to one row per source (source, source_size); sources may be very many.
 
     Sources by code point, null last, take ``weights`` in turn. The whole budget is ``share``
     times all sizes; targets stop at ``cap`` times the source's size and what that leaves
@@ -34,29 +49,21 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...], share: float,
     min(cap * size, level * weight): sources in order of cap * size / weight are capped as long as
     sharing the rest by weight would put them above.
     """
-    by_name = W.orderBy(F.col("source").isNull(), F.col("source"))
-    n = len(weights)
-    ranked = totals.withColumn("_rank", F.row_number().over(by_name) - 1).withColumn(
-        "weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % n).cast("int") + 1)
-    )
-    order = W.orderBy(F.col("_full") / F.col("weight"), "_rank")
-    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
-    everything = W.partitionBy()
+    ranked = _with_sums_before(totals, [F.col("source").isNull(), F.col("source")], {"_rank": F.lit(1)})
+    nth = (F.col("_rank") % len(weights)).cast("int") + 1
+    weighed = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), nth)).withColumn("_full", cap * F.col("source_size").cast("double"))
+    order = [F.col("_full") / F.col("weight"), F.col("_rank")]
+    summed = _with_sums_before(weighed, order, {"_filled": F.col("_full"), "_weighed": F.col("weight")})
+    whole = summed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
     levelled = (
-        ranked.withColumn("_full", cap * F.col("source_size").cast("double"))
-        .withColumn("_budget", share * F.sum("source_size").over(everything).cast("double"))
-        .withColumn("_rest", F.col("_budget") - F.coalesce(F.sum("_full").over(before), F.lit(0.0)))
-        .withColumn("_level", F.greatest(F.lit(0.0), F.col("_rest")) / F.sum("weight").over(after))
+        summed.withColumn("_rest", share * F.lit(float(whole["size"] or 0)) - F.col("_filled"))
+        .withColumn("_level", F.greatest(F.lit(0.0), F.col("_rest")) / (F.lit(whole["weight"] or 0.0) - F.col("_weighed")))
         .withColumn("_capped", F.col("_full") <= F.col("_level") * F.col("weight"))
     )
     # the level of the first source that isn't capped holds for all that follow it
-    level = F.min(F.when(~F.col("_capped"), F.struct(F.col("_full") / F.col("weight"), F.col("_rank"), F.col("_level")))).over(everything)["_level"]
-    return levelled.withColumn("_final", level).select(
-        "source",
-        "source_size",
-        "weight",
-        F.when(F.col("_capped") | F.col("_final").isNull(), F.col("_full")).otherwise(F.least(F.col("_full"), F.col("_final") * F.col("weight"))).alias("target"),
-    )
+    first = levelled.where(~F.col("_capped")).agg(F.min(F.struct(*order, "_level"))["_level"].alias("level")).first()["level"]
+    shared = F.col("_full") if first is None else F.least(F.col("_full"), first * F.col("weight"))
+    return levelled.select("source", "source_size", "weight", F.when(F.col("_capped"), F.col("_full")).otherwise(shared).alias("target"))
 
 
 def _with_sources(left: DataFrame, right: DataFrame, few: bool, how: str = "inner") -> DataFrame:
