@@ -28,34 +28,63 @@ SLOTS = 64
 BROADCAST_PAIRS = 200_000
 
 
-def grams_of(text: str) -> np.ndarray:
-    """The distinct 3-grams of a text."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:]) if len(points) > 2 else np.zeros(0, np.int64)
+#: A number that no code point has, between texts.
+BETWEEN = 0x1FFFFF
+
+
+def grams_of(*texts: str) -> np.ndarray:
+    """The distinct 3-grams of some texts; none spans two of them."""
+    between = BETWEEN.to_bytes(4, "little")
+    points = np.frombuffer(between.join(x.encode("utf-32-le", "surrogatepass") for x in texts), np.uint32).astype(np.int64)
+    if len(points) < 3:
+        return np.zeros(0, np.int64)
+    grams = (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
+    if len(texts) > 1:
+        apart = points != BETWEEN
+        grams = grams[apart[:-2] & apart[1:-1] & apart[2:]]
+    return np.unique(grams)
 
 
 #: Where a gram stands in some document of a block, as bits of a posting.
 TITLE, BODY, ID = 1, 2, 4
 
 
+#: Characters of texts whose grams are made at once; they take some tens of bytes each.
+AT_ONCE = 1_000_000
+
+
 def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, block, parts), once for each run of rows of one block: documents are stored by block, so that is nearly once for each file."""
-    now, found = None, {}
+    now, waiting, n = None, {TITLE: [], BODY: [], ID: []}, 0
+    found = {bit: np.zeros(0, np.int64) for bit in waiting}
+
+    def add():
+        nonlocal n
+        for bit, texts in waiting.items():
+            found[bit] = np.union1d(found[bit], grams_of(*texts))
+            texts.clear()
+        n = 0
 
     def told():
-        grams = np.unique(np.concatenate([np.zeros(0, np.int64), *found.values()]))
+        add()
+        grams = np.unique(np.concatenate(list(found.values())))
         parts = np.zeros(len(grams), np.int32)
         for bit, some in found.items():
             parts[np.searchsorted(grams, some)] |= bit
+            found[bit] = some[:0]
         return pa.record_batch([pa.array(grams), pa.array(np.full(len(grams), now if now is not None else 0), pa.int32()), pa.array(parts)], ["gram", "block", "parts"])
 
     for batch in batches:
         for block, *texts in zip(*(batch.column(c).to_pylist() for c in ("block", "title_norm", "body_norm", "article_id")), strict=True):
             if block != now:
                 yield told()
-                now, found = block, {}
-            for bit, text in zip((TITLE, BODY, ID), texts, strict=True):
-                found[bit] = np.union1d(found.get(bit, np.zeros(0, np.int64)), grams_of(text or ""))
+                now = block
+            for bit, text in zip(waiting, texts, strict=True):
+                for at in range(0, len(text or ""), AT_ONCE):  # long texts in pieces that share two characters
+                    waiting[bit].append(text[at : at + AT_ONCE + 2])
+                    n += len(waiting[bit][-1])
+                    if n >= AT_ONCE:
+                        add()
     yield told()
 
 

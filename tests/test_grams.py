@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docquarry.operators import grams, results, search
@@ -24,6 +25,20 @@ def scanned(plan):
     return [x for i in range(plan.children().size()) for x in scanned(plan.children().apply(i))]
 
 
+def test_grams_in_pieces(monkeypatch):
+    batch = pa.record_batch([pa.array([i // 40 for i, _, _ in ROWS], pa.int32())] + [pa.array([str(r[k]) if r[k] is not None else None for r in ROWS]) for k in (1, 2, 0)], ["block", "title_norm", "body_norm", "article_id"])
+    want = {}
+    for i, title, body in ROWS:
+        for bit, text in ((grams.TITLE, title), (grams.BODY, body or ""), (grams.ID, str(i))):
+            for k in range(len(text) - 2):
+                key = i // 40, sum(ord(c) << s for c, s in zip(text[k : k + 3], (42, 21, 0), strict=True))
+                want[key] = want.get(key, 0) | bit
+    for at_once in (1, 7, 10**6):
+        monkeypatch.setattr(grams, "AT_ONCE", at_once)
+        got = [r for b in grams._block_grams(iter([batch.slice(0, 60), batch.slice(60)])) for r in b.to_pylist()]
+        assert len(got) == len(want) and {(r["block"], r["gram"]): r["parts"] for r in got} == want
+
+
 def test_same_hits(spark, tmp_path):
     docs = search.documents(spark.createDataFrame(ROWS, "id long, title string, text string"), F.col("id"), F.col("title"), F.col("text"), F.col("id").cast("string"))
     grams.store(docs, str(tmp_path / "i"), 12)
