@@ -96,9 +96,10 @@ def store(docs: DataFrame, path: str, blocks: int) -> None:
     """Write documents() to ``path``/docs in ``blocks`` folders by hash of id, and their postings to ``path``/grams by slot.
 
     A block of some thousand documents is one file of some ten MB; fewer documents to a block prune more and cost more postings.
+    whole_norm is left to load(), so that a text is moved and kept in two forms rather than three.
     """
-    placed = docs.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    placed.repartition("block").write.mode("overwrite").partitionBy("block").parquet(f"{path}/docs")
+    placed = docs.drop("whole_norm").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    placed.repartition("block").write.mode("overwrite").partitionBy("block").option("compression", "zstd").parquet(f"{path}/docs")
     kept = docs.sparkSession.read.parquet(f"{path}/docs").select("title_norm", "body_norm", F.lower("article_id").alias("article_id"), "block")
     pairs = kept.mapInArrow(_block_grams, "gram long, block int, parts int").groupBy("gram", "block").agg(F.bit_or("parts").alias("parts")).withColumn("slot", _slot(F.col("gram")))
     pairs.repartition("slot").sortWithinPartitions("slot", "gram", "block").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/grams")
@@ -106,7 +107,7 @@ def store(docs: DataFrame, path: str, blocks: int) -> None:
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(documents with block, postings)."""
-    return spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/grams")
+    return spark.read.parquet(f"{path}/docs").withColumn("whole_norm", search.whole_norm()), spark.read.parquet(f"{path}/grams")
 
 
 def _grams(terms: pd.Series) -> pd.Series:

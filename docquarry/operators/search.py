@@ -43,11 +43,16 @@ KB_TITLE = Ranker(2200, 1200, 900, 450, 300, with_id=True, token_title=400, toke
 KB_BODY = Ranker(0, 1600, 500, 900, 300, title_only_phrase=False, flags="body")
 
 
+def whole_norm() -> Column:
+    """Title and body in normal form as one text."""
+    return F.concat_ws("\n", "title_norm", "body_norm")
+
+
 def documents(df: DataFrame, doc_id: Column, title: Column, text: Column, article_id: Column | None = None, with_nfkc: bool = True) -> DataFrame:
     """(id, title, text, article_id, title_norm, body_norm, whole_norm): the searchable form, made at index time."""
     base = df.select(doc_id.alias("id"), or_empty(title).alias("title"), or_empty(text).alias("text"), (article_id if article_id is not None else F.lit("")).alias("article_id"))
     base = base.withColumns({"title_norm": normalize_for_search(F.col("title"), with_nfkc), "body_norm": normalize_for_search(F.col("text"), with_nfkc)})
-    return base.withColumn("whole_norm", F.concat_ws("\n", "title_norm", "body_norm"))
+    return base.withColumn("whole_norm", whole_norm())
 
 
 def parsed(queries: DataFrame, with_nfkc: bool = True) -> DataFrame:
