@@ -48,10 +48,12 @@ def reach(entries: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
     return seen.groupBy("root", "url").agg(F.min("level").alias("level"), F.min("path").alias("path"))
 
 
-def items(entries: DataFrame, reached: DataFrame, canonical=lambda c: c) -> DataFrame:
-    """(root, url, lastmod, ord): articles in reading order, the last entry of each canonical url at its first place."""
+def items(entries: DataFrame, reached: DataFrame, canonical=lambda c: c, newest: bool = False) -> DataFrame:
+    """(root, url, lastmod, ord): articles in reading order, the last entry of each canonical url at its first place; ``newest``: the latest lastmod of its entries instead."""
     found = entries.where("kind = 'page'").join(reached.select("root", F.col("url").alias("_map"), "path"), F.col("url") == F.col("_map"))
     listed = found.select("root", canonical(F.col("loc")).alias("url"), "lastmod", F.struct("path", "pos").alias("at")).where("url is not null")
+    if newest:
+        return listed.groupBy("root", "url").agg(F.max("lastmod").alias("lastmod"), F.min("at").alias("ord"))
     key = listed.withColumn("k", F.struct("root", "url")).drop("root", "url")
     return keep_last(key, "k", F.col("at")).select("k.root", "k.url", "lastmod", F.col("first_at").alias("ord"))
 
