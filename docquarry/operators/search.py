@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import query as Q
-from docquarry.functions.text import normalize_for_search, or_empty, tokens
+from docquarry.functions.text import normalize_for_search, normalize_space, or_empty, tokens
 
 #: Queries that one pass takes.
 BLOCK = 1_000
@@ -55,12 +55,13 @@ def documents(df: DataFrame, doc_id: Column, title: Column, text: Column, articl
     return base.withColumn("whole_norm", whole_norm())
 
 
-def parsed(queries: DataFrame, with_nfkc: bool = True) -> DataFrame:
+def parsed(queries: DataFrame, with_nfkc: bool = True, lines: bool = False) -> DataFrame:
     """(query_id, raw, q, has_ops, groups, norms, words) of (query_id, raw); queries that are empty after clean-up drop out.
 
     Operators are those written in the query; its terms get the normal form of the documents, NFKC included.
+    ``lines``: line feeds within a query stay and are looked for, where clean-up makes them spaces otherwise.
     """
-    clean = queries.select("query_id", Q.cleaned(F.col("raw")).alias("raw")).where("raw <> ''")
+    clean = queries.select("query_id", (normalize_space if lines else Q.cleaned)(F.col("raw")).alias("raw")).where("raw <> ''")
     clean = clean.withColumns({"q": normalize_for_search(F.col("raw"), with_nfkc), "has_ops": Q.has_operators(F.col("raw")), "groups": Q.groups(F.col("raw"))})
     # a Python function can't stand within a lambda: terms are rows for it
     terms = clean.select("query_id", F.posexplode("groups").alias("g", "terms")).select("query_id", "g", F.posexplode("terms").alias("t", "term"))
