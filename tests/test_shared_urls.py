@@ -25,7 +25,7 @@ def duck(shared):
     return con
 
 
-@pytest.mark.parametrize("name", ["refresh_repeated_pages"])
+@pytest.mark.parametrize("name", ["refresh_repeated_pages", "sitemap_last_entries"])
 def test_same_as_sql(spark, duck, shared, name, monkeypatch):
     monkeypatch.setattr("tests.test_catalog.FOLDER", shared)
     same(spark, duck, name)
