@@ -136,11 +136,15 @@ def _gate(read: str, reject: tuple, latin: bool = True) -> str:
 
 _TITLE_OK = f"(title <> '' AND NOT regexp_matches(title, '%[0-9A-Fa-f]{{2}}') AND NOT regexp_matches(title, '{_LOCALIZED}'))"
 _TB = "substr(regexp_replace(title || chr(10) || substr(body, 1, 8000), 'https?://\\S+', ' ', 'g'), 1, 8000)"
-_TBH = "substr(regexp_replace(regexp_replace(title || chr(10) || substr(body, 1, 8000), 'https?://\\S+', ' ', 'g'), '\\b[A-Fa-f0-9]{16,}\\b', ' ', 'g'), 1, 8000)"
 _RECORD = "substr(regexp_replace(regexp_replace(title || chr(10) || substr(body, 1, 6000), 'https?://\\S+', ' ', 'g'), '\\b[A-Fa-f0-9]{16,}\\b', ' ', 'g'), 1, 8000)"
 _BY_TITLE = f"({_TITLE_OK} AND {_gate(_TB, ((12, 0.08), (5, 0.2)))})"
 _BY_BODY = f"({_TITLE_OK} AND {_gate('substr(body, 1, 8000)', ((12, 0.08),))})"
-_LEGACY = f"({_TITLE_OK} AND {_gate(_TBH, ((12, 0.08), (5, 0.2)))})"
+
+#: The same over whole texts.
+_WHOLE = "regexp_replace(title || chr(10) || body, 'https?://\\S+', ' ', 'g')"
+_WHOLE_BY_TITLE = f"({_TITLE_OK} AND {_gate(_WHOLE, ((12, 0.08), (5, 0.2)))})"
+_WHOLE_BY_BODY = f"({_TITLE_OK} AND {_gate('body', ((12, 0.08),))})"
+_LEGACY = f"({_TITLE_OK} AND {_gate(f"regexp_replace({_WHOLE}, '\\b[A-Fa-f0-9]{{16,}}\\b', ' ', 'g')", ((12, 0.08), (5, 0.2)))})"
 
 #: What kb_build makes of each planned url.
 BUILT = f"""{ITEMS}, {PAGE},
@@ -256,7 +260,7 @@ def oracle_sql() -> dict[str, str]:
             md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS html_md5, md5({normal('text')}) AS normal_md5,
             len(list_distinct(list_filter(regexp_split_to_array({normal('text')}, '\\s+'), lambda x: length(x) >= 2)))::INTEGER AS n_tokens FROM documents""",
         "script_profile": f"WITH {SCRIPTED} SELECT page_id, {_count('body', '[A-Za-z]')}::INTEGER AS latin, {_count('body', _LOCALIZED)}::INTEGER AS localized, regexp_matches(title, '{_LOCALIZED}') AS title_localized FROM s",
-        "latin_gate": f"WITH {SCRIPTED} SELECT page_id, {_BY_TITLE} AND {_URL_OK} AS by_title, {_BY_BODY} AND {_URL_OK} AS by_body, {_LEGACY} AND {_URL_OK} AS legacy FROM s",
+        "latin_gate": f"WITH {SCRIPTED} SELECT page_id, {_WHOLE_BY_TITLE} AND {_URL_OK} AS by_title, {_WHOLE_BY_BODY} AND {_URL_OK} AS by_body, {_LEGACY} AND {_URL_OK} AS legacy FROM s",
         "canonical_urls": """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://knowledge.example.com/external/article/' || page_id WHEN 1 THEN 'https://knowledge.example.com/external/article/' || page_id || '/how-to_fix.html' END AS canonical,
             CASE WHEN page_id % 3 < 2 THEN page_id::VARCHAR ELSE '' END AS article_id, CASE WHEN page_id % 3 = 1 THEN 'How to fix' END AS title FROM pages""",
         "change_set": f"WITH {CHANGES} SELECT * FROM ch WHERE reason IS NOT NULL",

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from docquarry.functions.language import BODY, TITLE, is_latin_page
-from docquarry.jobs.kb import extract
+from docquarry.functions.language import is_latin_page
+from docquarry.jobs.kb import BODY, TITLE, extract
 from docquarry.sources import snapshots
 from docquarry.sources.tables import written
 
