@@ -146,14 +146,19 @@ _WHOLE_BY_TITLE = f"({_TITLE_OK} AND {_gate(_WHOLE, ((12, 0.08), (5, 0.2)))})"
 _WHOLE_BY_BODY = f"({_TITLE_OK} AND {_gate('body', ((12, 0.08),))})"
 _LEGACY = f"({_TITLE_OK} AND {_gate(f"regexp_replace({_WHOLE}, '\\b[A-Fa-f0-9]{{16,}}\\b', ' ', 'g')", ((12, 0.08), (5, 0.2)))})"
 
-#: What kb_build makes of each planned url.
-BUILT = f"""{ITEMS}, {PAGE},
+
+def _built(by_title: str, by_body: str, text: str) -> str:
+    """What a build makes of each planned url."""
+    return f"""{ITEMS}, {PAGE},
 built AS (
-  SELECT i.url, CASE WHEN p.url IS NULL THEN 'failed' WHEN {_BY_TITLE} THEN 'english' ELSE 'skipped' END AS outcome, p.title, i.lastmod AS source_lastmod,
-         length(substr(p.body, 1, 4000))::INTEGER AS text_length, coalesce({_BY_TITLE} AND {_BY_BODY}, false) AS in_bodies
+  SELECT i.url, CASE WHEN p.url IS NULL THEN 'failed' WHEN {by_title} THEN 'english' ELSE 'skipped' END AS outcome, p.title, i.lastmod AS source_lastmod,
+         length({text})::INTEGER AS text_length, coalesce({by_title} AND {by_body}, false) AS in_bodies
   FROM items i LEFT JOIN page p ON i.url = p.url)"""
 
 
+BUILT = _built(_BY_TITLE, _BY_BODY, "substr(p.body, 1, 4000)")
+
+
 #: The last item and page of each url, where every third stands twice.
 _AGAIN = f"again AS (SELECT page_id, url, title, body, CASE WHEN page_id % 3 = 0 THEN '2023-12-31' ELSE {_SHIFTED} END AS lastmod FROM page)"
 
@@ -281,7 +286,7 @@ def oracle_sql() -> dict[str, str]:
         "dedupe_last": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_min(event_id, (ts, event_id)) AS first_event_id FROM events GROUP BY user_id",
         "index_stats": f"""WITH {BUILT} SELECT count(*) AS pages, count(*) FILTER (in_bodies) AS bodies, count(DISTINCT ('0x' || substr(md5(url), 1, 8))::BIGINT % 64) FILTER (in_bodies) AS chunks,
             max(TIMESTAMP '2024-06-01 00:00:00' + to_days((length(url) % 30)::INTEGER)) AS latest FROM built WHERE outcome = 'english'""",
-        "kb_build": f"WITH {BUILT} SELECT * FROM built",
+        "kb_build": f"WITH {_built(_WHOLE_BY_TITLE, _WHOLE_BY_BODY, 'p.body')} SELECT * FROM built",
         "build_repeated_pages": f"""WITH {PAGE}, {_AGAIN} SELECT url, CASE WHEN page_id % 3 = 0 OR {_BY_TITLE} THEN 'english' ELSE 'skipped' END AS outcome, CASE WHEN page_id % 3 = 0 THEN 'Later ' || page_id ELSE title END AS title,
             lastmod AS source_lastmod, CASE WHEN page_id % 3 = 0 THEN 299 ELSE length(substr(body, 1, 4000)) END::INTEGER AS text_length, page_id % 3 = 0 OR ({_BY_TITLE} AND {_BY_BODY}) AS in_bodies FROM again""",
         "refresh_repeated_pages": f"""WITH {INDEX}, {PAGE}, {_AGAIN},

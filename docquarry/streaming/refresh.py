@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from docquarry.functions.language import is_latin_page
-from docquarry.jobs.kb import BODY, TITLE, extract
+from docquarry.jobs.kb import WHOLE, Extent, extract
 from docquarry.sources import snapshots
 from docquarry.sources.tables import written
 
@@ -66,22 +65,20 @@ def events(pages: DataFrame, fresh_days: int = 0, state_days: int | None = None)
     return known.groupBy("url").transformWithStateInPandas(Seen(fresh_days, state_days), EVENT, "Append", "ProcessingTime" if state_days else "None")
 
 
-def merge_batch(spark: SparkSession, index: str, batch: DataFrame, version: int, n_chunks: int = 64) -> set[int]:
+def merge_batch(spark: SparkSession, index: str, batch: DataFrame, version: int, n_chunks: int = 64, extent: Extent = WHOLE) -> set[int]:
     """Merge the taken pages of ``batch`` (EVENT) into the index as ``version``: those that fail the title's gate leave it. Returns the chunks written."""
     taken = batch.where("outcome = 'taken'").select("url", "html", "seen_at")
-    read = extract(taken).join(taken.select("url", "seen_at"), "url")
-    fits = lambda by: is_latin_page(F.col("title"), F.col("sample"), F.col("url"), by)
-    read = written(read.withColumns({"ok": fits(TITLE), "in_bodies": fits(BODY)}))
-    upserts = read.where("ok").select("article_id", "title", "text", "url", F.col("seen_at").alias("checked_at"), "in_bodies")
-    return snapshots.merge(spark, index, INDEX, upserts, read.where("not ok").select("url"), n_chunks, version)
+    read = written(extract(taken, extent).join(taken.select("url", "seen_at"), "url"))
+    upserts = read.where("passes").select("article_id", "title", "text", "url", F.col("seen_at").alias("checked_at"), F.col("fits").alias("in_bodies"))
+    return snapshots.merge(spark, index, INDEX, upserts, read.where("not passes").select("url"), n_chunks, version)
 
 
-def start(spark: SparkSession, drops: str, index: str, checkpoint: str, files_per_batch: int = 100, fresh_days: int = 0, state_days: int | None = None, n_chunks: int = 64) -> StreamingQuery:
+def start(spark: SparkSession, drops: str, index: str, checkpoint: str, files_per_batch: int = 100, fresh_days: int = 0, state_days: int | None = None, n_chunks: int = 64, extent: Extent = WHOLE) -> StreamingQuery:
     """Read Parquet drops (DROP) in ``drops`` into versions of the index under ``index``; ``checkpoint`` has the cursor and the state. Runs until what is there is read."""
     source = spark.readStream.schema(DROP).option("maxFilesPerTrigger", files_per_batch).parquet(drops)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(batch.sparkSession, index, written(batch), batch_id, n_chunks)
+        merge_batch(batch.sparkSession, index, written(batch), batch_id, n_chunks, extent)
 
     was, name = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None), "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(name, ROCKS)  # a query takes the settings at its start with it

@@ -5,6 +5,7 @@ import pytest
 
 from docquarry import catalog
 from docquarry.functions import language
+from docquarry.jobs import kb
 
 from .test_catalog import same
 
@@ -31,7 +32,11 @@ def duck(long):
     return con
 
 
-@pytest.mark.parametrize("name", ["latin_gate"])
+#: Queries whose SQL states a cut; they take it as a parameter.
+CUT = ["outcome_counters", "record_gate", "index_stats", "published_headers", "title_places", "publish_with_failures", "build_repeated_pages", "refresh_repeated_pages", "kb_from_sitemaps", "kb_build_with_reuse", "kb_refresh", "refresh_with_bodies", "chunked_refresh", "streamed_refresh", "keyed_stream"]
+
+
+@pytest.mark.parametrize("name", ["latin_gate", "kb_build", *CUT])
 def test_same_as_sql(spark, duck, long, name, monkeypatch):
     monkeypatch.setattr("tests.test_catalog.FOLDER", long)
     same(spark, duck, name)
@@ -48,6 +53,19 @@ def test_the_gate_reads_whole_texts(spark, long):
     assert all(got[k][1:] == (got[k][0],) * 2 for k in TEXTS)
 
 
+def test_the_build_uses_whole_texts(spark, long):
+    got = {int(r.url.rsplit("/", 1)[1]): r for r in catalog.kb_build(spark, long).collect() if not r.url.endswith("missing")}
+    assert {k: got[k].text_length for k in TEXTS} == {k: len(text(*t)) for k, t in TEXTS.items()}
+    assert {k: (got[k].outcome, got[k].in_bodies) for k in TEXTS} == {k: ("english" if passes(k) else "skipped", passes(k)) for k in TEXTS}
+
+
+def test_extracts_are_whole_or_as_long_as_asked(spark):
+    pages = spark.createDataFrame([("https://e.example/1", f"<h1>A</h1><article>{text(1800, 1800, 0)}</article>")], "url string, html string")
+    whole, cut = kb.extract(pages).first(), kb.extract(pages, kb.Extent(stored=4000, read=8000)).first()
+    assert (len(whole.text), whole.passes, whole.fits) == (len(text(1800, 1800, 0)), False, False)
+    assert (len(cut.text), cut.passes, cut.fits) == (4000, True, True)
+
+
 def test_a_cut_is_taken_where_it_is_asked_for(one):
     page = lambda by: one(lambda t, b, u: language.is_latin_page(t, b, u, by), "A", text(2000, 2000, 0), "https://x.example/a")
     for by in (language.TITLE, language.BODY, language.LEGACY):
